@@ -15,12 +15,24 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.repair import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, spaced=False).drop("ids")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.packing import pack
 
@@ -28,7 +40,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_id_shards": op1_token_id_shards,
     "op3_token_counts": op3_token_counts,
+    "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
