@@ -21,6 +21,12 @@ def op1_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, spaced=False).drop("ids")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.jaccard import duplicate_components
+
+    return duplicate_components(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.token_counts import count_tokens
 
@@ -59,6 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_id_shards": op1_token_id_shards,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_token_counts": op3_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
