@@ -33,6 +33,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.winnowing import compare_edits
+
+    return compare_edits(table(spark, sf_dir, "documents"), k=4, w=4)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.toxicity import judge
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_id_shards": op1_token_id_shards,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_token_counts": op3_token_counts,
+    "op4_winnowing": op4_winnowing,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
