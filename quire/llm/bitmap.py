@@ -40,3 +40,32 @@ def has_id(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _has(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, whose id isn't in gone's doc_id; of the ids in once's, one row each.
+
+    Rows that the bitmap clears stay where they are; only the others are joined. Rows without an id stay.
+    """
+    known = gone.select("doc_id").dropna().distinct()
+    named = known if once is None else known.unionByName(once.select("doc_id").dropna()).distinct()
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(named, of_id("doc_id")))
+
+    def part(maybe: bool):
+        def parted(batches):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            bits = np.frombuffer(held.value, np.uint8)
+            for batch in batches:
+                ids = pc.cast(batch.column(at), pa.int64())
+                named = has_id(bits, pc.fill_null(ids, 0).to_numpy()) & ~np.asarray(pc.is_null(ids))
+                yield batch.filter(pa.array(named == maybe))
+
+        return docs.mapInArrow(parted, docs.schema)
+
+    at = docs.columns.index(id_col)
+    doubtful = part(True).join(known.select(F.col("doc_id").alias("_gone_id")), F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    if once is not None:
+        doubtful = doubtful.dropDuplicates([id_col])
+    return part(False).unionByName(doubtful)

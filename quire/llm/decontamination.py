@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bitmap import bitmap, has_hash, of_hash
-from quire.llm.common import texts
+from quire.llm.bitmap import bitmap, has_hash, of_hash, without
+from quire.llm.common import texts, written
 from quire.llm.textvec import WORD, Words, keep, lower_ascii, mix, runs, words_and_signs
 
 MASKS = ("11101010111", "11011001111", "1111001101011", "111111")
@@ -132,5 +132,4 @@ def _each(column) -> Iterator[tuple[int, int, Words]]:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs, all columns, that overlap with no item. Rows without an id stay."""
-    leaks = overlaps(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col).cast("long") == F.col("_leak"), "left_anti")
+    return without(docs, written(overlaps(docs, items, id_col=id_col, **how).select("doc_id"), "leaks"), id_col=id_col)

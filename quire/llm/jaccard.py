@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bitmap import bitmap, has_id, of_id
+from quire.llm.bitmap import bitmap, has_id, of_id, without
 from quire.llm.common import texts, written
 from quire.llm.components import components
 from quire.llm.textvec import Words, grams, lower_ascii, mix, runs, words_only
@@ -231,6 +231,13 @@ def duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, stars:
     return out.unionByName(mine.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs, all columns, that have their component's smallest id, one row for each id. Rows without an id stay."""
+    found = written(duplicate_components(docs, id_col=id_col, **how).select("doc_id", "component_id"), "components")
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return without(docs, found.filter("doc_id <> component_id"), once=twice, id_col=id_col)
+
+
 def _with_components(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The lists with each class's component, without lists that lie in one component."""
     if labels is None:

@@ -58,3 +58,20 @@ def fitted(docs: DataFrame, chosen: DataFrame, classes: np.ndarray, fold: np.nda
     rows = rows.mapInArrow(features, "doc_id long, y int, features binary, counts binary")
     got = rows.groupBy().applyInArrow(learned, "model binary").collect()
     return bytes(got[0][0]) if got else b""
+
+
+def kept_rows(docs: DataFrame, text_col: str, model: bytes, judge: Callable[[bytes], Callable]) -> DataFrame:
+    """The rows of docs, all columns, for which judge(model)(batch, the text column's place) is true. Nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def kept(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        good = judge(held.value)
+        for batch in batches:
+            texts_of = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(at), "")], ["text"])
+            yield batch.filter(pa.array(good(texts_of, 0)))
+
+    return docs.mapInArrow(kept, docs.schema)

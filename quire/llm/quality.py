@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import texts
-from quire.llm.labelled import featured, fitted, sample
+from quire.llm.labelled import featured, fitted, kept_rows, sample
 from quire.llm.textvec import SIGN, Words, grams, lower_ascii, mix, words_and_signs
 
 BITS = 20
@@ -87,25 +87,42 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class
     return fitted(docs, sample(labels, target, per_class), words_and_signs(), lower_ascii(), features, learned)
 
 
-def score(docs: DataFrame, model: bytes, steep: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores_of(model: bytes, steep: float = 4.0):
+    """A function from a batch and a string column's place to the scores of its rows."""
+    known = bool(model)
+    bias = float(np.frombuffer(model, "<f8", 1)[0]) if known else 0.0
+    weights = np.frombuffer(model, "<f4", offset=8) if known else np.zeros(1 << BITS, np.float32)
+
+    def scores(batch, column: int) -> np.ndarray:
+        out = [np.zeros(0)]
+        for _, i, j, text, feature, _ in featured([batch], words_and_signs(), lower_ascii(), features, column):
+            w = weights[feature].astype(float)
+            total, n = np.bincount(text, w, j - i), np.bincount(text, w != 0, j - i)
+            out.append(1 / (1 + np.exp(-np.clip(steep * (total / np.sqrt(np.maximum(n, 1)) + bias), -500, 500))))
+        return np.concatenate(out)
+
+    return scores
+
+
+def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher is better) of each row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = bool(held.value)
-        bias = float(np.frombuffer(held.value, "<f8", 1)[0]) if known else 0.0
-        weights = np.frombuffer(held.value, "<f4", offset=8) if known else np.zeros(1 << BITS, np.float32)
-        for batch, i, j, text, feature, _ in featured(batches, words_and_signs(), lower_ascii(), features):
-            w = weights[feature].astype(float)
-            total, n = np.bincount(text, w, j - i), np.bincount(text, w != 0, j - i)
-            margin = np.clip(steep * (total / np.sqrt(np.maximum(n, 1)) + bias), -500, 500)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(1 / (1 + np.exp(-margin)))], ["doc_id", "score"])
+        scores = scores_of(held.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch, 1))], ["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(scored, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: bytes, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score `least` or more."""
+    return kept_rows(docs, text_col, model, lambda model: (lambda f: lambda batch, column: f(batch, column) >= least)(scores_of(model)))
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that the model never learns from: crc32 of the id as text leaves 1 when divided by 3. A null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))

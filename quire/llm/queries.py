@@ -39,6 +39,12 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"), k=4, w=4)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.toxicity import judge
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_token_counts": op3_token_counts,
     "op4_winnowing": op4_winnowing,
+    "op5_html_text": op5_html_text,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,

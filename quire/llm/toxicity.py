@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from quire.llm.common import texts
-from quire.llm.labelled import fitted, sample
+from quire.llm.labelled import fitted, kept_rows, sample
 from quire.llm.textvec import Words, lower_ascii, mix, runs, words_and_signs
 
 BITS = 24
@@ -120,6 +120,27 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class:
     return fitted(docs, sample(labels, target, per_class), words_and_signs(), lower_ascii(), features, learned)
 
 
+def chances_of(model: bytes):
+    """A function from a batch and a string column's place to P(grade >= k) for each row and k from 1 on."""
+    n, top = np.frombuffer(model, "<i8", 2).tolist() if model else (0, 0)
+    at = np.frombuffer(model, "<i8", n, 16) if n else np.zeros(0, np.int64)
+    thresholds = np.frombuffer(model, "<f8", top, 16 + 16 * n) if top else np.full(1, np.inf)
+    weight_of = np.zeros(1 << BITS, np.float32)
+    weight_of[at] = np.frombuffer(model, "<f8", n, 16 + 8 * n) if n else 0
+
+    def chances(batch, column: int) -> np.ndarray:
+        out = [np.zeros((0, len(thresholds)))]
+        for i, j, words in runs(batch.column(column), words_and_signs(), lower_ascii()):
+            text, feature = features(words)
+            hit = np.flatnonzero(weight_of[feature.astype(np.int64)])  # few words have a weight, so only these are counted
+            keys, count = np.unique((text[hit].astype(np.uint64) << np.uint64(32)) | feature[hit], return_counts=True)
+            z = np.bincount((keys >> np.uint64(32)).astype(np.int64), weight_of[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] * values_of(count), j - i)
+            out.append(_logistic(z[:, None] - thresholds) * np.isfinite(thresholds))
+        return np.concatenate(out)
+
+    return chances
+
+
 def grade(docs: DataFrame, model: bytes, reject_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, severity (expected grade), grade (most likely), toxic (P(grade >= 1) >= reject_at) of each row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -127,25 +148,20 @@ def grade(docs: DataFrame, model: bytes, reject_at: float = 0.5, id_col: str = "
     def graded(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        n, top = np.frombuffer(held.value, "<i8", 2).tolist() if held.value else (0, 0)
-        at = np.frombuffer(held.value, "<i8", n, 16) if n else np.zeros(0, np.int64)
-        weights = np.frombuffer(held.value, "<f8", n, 16 + 8 * n) if n else np.zeros(0)
-        thresholds = np.frombuffer(held.value, "<f8", top, 16 + 16 * n) if top else np.full(1, np.inf)
-        weight_of = np.zeros(1 << BITS, np.float32)
-        weight_of[at] = weights
+        chances = chances_of(held.value)
         for batch in batches:
-            for i, j, words in runs(batch.column(1), words_and_signs(), lower_ascii()):
-                text, feature = features(words)
-                w = weight_of[feature.astype(np.int64)]
-                hit = np.flatnonzero(w)  # few words have a weight, so only these are counted
-                keys, count = np.unique((text[hit].astype(np.uint64) << np.uint64(32)) | feature[hit], return_counts=True)
-                z = np.bincount((keys >> np.uint64(32)).astype(np.int64), weight_of[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] * values_of(count), j - i)
-                p = _logistic(z[:, None] - thresholds)
-                levels = -np.diff(np.c_[np.ones(j - i), p, np.zeros(j - i)], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(p.sum(axis=1)), pa.array(levels.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= reject_at)], ["doc_id", "severity", "grade", "toxic"])
+            p = chances(batch, 1)
+            one = np.ones((len(p), 1))
+            levels = -np.diff(np.concatenate([one, p, 0 * one], axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(levels.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= reject_at)], ["doc_id", "severity", "grade", "toxic"])
 
     return texts(docs, id_col, text_col).mapInArrow(graded, "doc_id long, severity double, grade int, toxic boolean")
 
 
+def keep_clean(docs: DataFrame, model: bytes, reject_at: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that aren't toxic."""
+    return kept_rows(docs, text_col, model, lambda model: (lambda f: lambda batch, column: f(batch, column)[:, 0] < reject_at)(chances_of(model)))
+
+
 def judge(docs: DataFrame, labels: DataFrame, per_class: int = 4096) -> DataFrame:
     return grade(docs, train(docs, labels, per_class=per_class))
