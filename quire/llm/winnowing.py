@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import texts
+from quire.llm.common import texts, written
 
 SEGMENT = 4096
 _LOW = (1 << 24) - 1
@@ -59,14 +59,15 @@ def as_text(entries: str) -> Column:
     return F.expr(f"array_join(transform({entries}, x -> hex(x ^ {_LOW}L)), ' ')")
 
 
-def with_next(rows: DataFrame, marks: Column, block_bits: int = 10) -> DataFrame:
+def with_next(rows: DataFrame, marks: Column, block_bits: int = 11) -> DataFrame:
     """doc_id, text, marks of each row, and next_text, next_marks of the row that follows by descending doc_id."""
     none = -(1 << 62)
     rows = rows.withColumn("block", F.coalesce(F.shiftright("doc_id", block_bits), F.lit(none)))
     tops = rows.groupBy("block").agg(F.max("doc_id").alias("top"))
     circle = Window.orderBy("block")
     after = tops.select("block", "top", F.lead("block").over(circle).alias("after"), F.min("block").over(circle).alias("first"))
-    after = after.select(F.col("block").alias("of"), "top", F.coalesce("after", "first").alias("after"))
+    # a few rows for many documents: written, so that Spark knows their size and can choose the join by it
+    after = written(after.select(F.col("block").alias("of"), "top", F.coalesce("after", "first").alias("after")), "block-ends")
     last = rows.join(after, (F.col("block") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
     last = last.groupBy("after").agg(F.max("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("after").alias("block"), F.lit(True).alias("lent"))
     both = rows.withColumn("lent", F.lit(False)).unionByName(last).withColumn("marks", marks)
