@@ -39,8 +39,10 @@ MARKS = frozenset(
     newsletter subscribe subscription signup signin login register paywall sidebar sidebars aside rail menu menus nav navbar
     navigation navi breadcrumb breadcrumbs pagination pager paging toolbar topbar masthead footer foot footnav copyright legal
     share sharing social socials related recommended recommendations recirculation trending popular outbrain taboola widget widgets
-    comment comments commentlist respond disqus discussion replies search searchbox hidden skip skiplink offscreen tagcloud""".split()
+    comment comments commentlist respond disqus discussion replies search searchbox skiplink offscreen tagcloud""".split()
 )
+#: Words after which a class or id speaks of something else on the page ("layout-with-sidebar").
+TURNS = frozenset("has have with without no not is".split())
 GOOD = frozenset("article content post entry story main text body".split())
 CLOSED_BY = {t: frozenset([t]) for t in ("li", "tr", "option")} | {"dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th"))}
 WALLS = {"li": frozenset(("ul", "ol", "menu")), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "option": frozenset(("select",))}
@@ -64,12 +66,16 @@ def _open(tag: str, attributes: str, parent: Element | None) -> Element:
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    names = unescape(f"{found.get('class', '')} {found.get('id', '')}")
-    words = {w.lower() for w in _PARTS.findall(names)}
+    words: set[str] = set()
+    for name in unescape(f"{found.get('class', '')} {found.get('id', '')}").split():
+        for word in map(str.lower, _PARTS.findall(name)):
+            if word in TURNS:
+                break
+            words.add(word)
     inside = parent is not None and parent.article
     article = inside or tag == "article" or found.get("itemprop") == "articleBody"
     out = parent is not None and parent.out or tag in LEFT_OUT or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    out = out or tag == "header" and not (article or any(e.good for e in _up(parent))) or bool(words & MARKS) and tag not in ("html", "body") or bool(_HIDDEN.search(found.get("style", "")))
+    out = out or tag == "header" and not (article or any(e.good for e in _up(parent))) or bool(words & MARKS) and tag not in ("html", "body", "main") or bool(_HIDDEN.search(found.get("style", "")))
     classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").lower().split()}))
     step = f"{tag}.{classes}" if classes else tag
     return Element(tag, f"{parent.path}/{step}" if parent else step, parent, out, bool(words & GOOD) or tag in ("article", "main"), article)
