@@ -26,11 +26,16 @@ _SHIFT = np.uint64(64 - BITS)
 
 
 def shapes(w: Words) -> np.ndarray:
-    """For each word a hash of its shape (digit, lower, Capital, UPPER), for signs the signs themselves."""
+    """For each word a hash of its shape (digit, lower, Capital, UPPER, or a repeat of the word before it, signs aside), for
+    signs the signs themselves."""
     first = w.data[w.starts]
     second = w.data[np.minimum(w.starts + 1, w.ends - 1)]
     upper = lambda b: (b >= 65) & (b <= 90)
     code = np.where((first >= 48) & (first <= 57), 1, np.where(upper(first), 2 + upper(second), 4)).astype(np.uint64)
+    text = w.texts
+    for back in (1, 2):
+        again = (w.hashes[back:] == w.hashes[:-back]) & (text[back:] == text[:-back])
+        code[back:][again] = 9
     return np.where(w.kinds == SIGN, w.hashes, mix(code))
 
 
