@@ -21,7 +21,7 @@ from quire.llm.tokens import BYTE_PATTERN, Chunked, byte_letters, kept
 class Counter(Chunked):
     """How many tokens a byte-level vocabulary makes of a text."""
 
-    def __init__(self, file: str, limit: int = 700_000):
+    def __init__(self, file: str, limit: int = 600_000):
         super().__init__(True, BYTE_PATTERN, limit)
         with open(file, encoding="utf-8") as f:
             said = json.load(f)
@@ -70,7 +70,7 @@ class Counter(Chunked):
 
     def odd(self, chunk: str) -> int:
         parts = self.special.split(chunk) if self.special else [chunk]
-        return sum(1 if i % 2 else sum(map(self.known, self.cut(p))) for i, p in enumerate(parts))
+        return sum(1 if i % 2 else sum(map(self.word, self.cut(p))) for i, p in enumerate(parts))
 
 
 def count_tokens(docs: DataFrame, file: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,6 +37,8 @@ _LETTERS = byte_letters()
 
 
 def in_letters(word: str) -> str:
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", "Ġ")
     return word.encode().decode("latin-1").translate(_LETTERS)
 
 
@@ -47,22 +49,23 @@ class _Chunks(dict):
         self.of, self.lead = of, lead
 
     def __missing__(self, chunk: str):
-        self[chunk] = got = None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.of.worth(self.lead, chunk)
+        self[chunk] = got = None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.of.worth(self, chunk)
         return got
 
 
 class Chunked:
     """What a text is worth, chunk by chunk; subclasses say what a word or an odd chunk is worth and how to add up.
 
-    Keeps up to `limit` distinct chunks and as many words in a worker's memory, and forgets them when there are more.
-    `spaced`: the vocabulary gives a space to the word after it, so the first chunk of a text differs from the others.
+    Keeps up to `limit` distinct chunks and words in a worker's memory, and forgets them when there are more.
+    `spaced`: the vocabulary gives a space to the word after it, so what stands after a space differs from what doesn't.
     """
 
     def __init__(self, spaced: bool, pattern: str, limit: int = 500_000):
         import regex
 
         self.spaced, self.limit, self.cut = spaced, limit, regex.compile(pattern).findall
-        self.first, self.later, self.words = _Chunks(self, ""), _Chunks(self, " " if spaced else ""), {}
+        self.later = _Chunks(self, " " if spaced else "")
+        self.first = _Chunks(self, "") if spaced else self.later
 
     def odd(self, chunk: str):
         raise NotImplementedError
@@ -76,44 +79,49 @@ class Chunked:
     def normal(self, chunk: str) -> str:
         return chunk
 
-    def worth(self, lead: str, chunk: str):
+    def worth(self, place: _Chunks, chunk: str):
+        """What a chunk without white space is worth at this place."""
         if not chunk.isascii() and max(chunk) >= "ɐ" or "<|" in chunk:
-            return self.odd(lead + chunk)
-        chunk = self.normal(chunk)
+            return self.odd(place.lead + chunk)
+        plain = self.normal(chunk)
+        if plain != chunk:
+            return place[plain]
         if chunk.isalpha():
-            return self.known(lead + chunk)
+            return self.word(place.lead + chunk)
         if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
-            return self.total((self.known(lead + chunk[:-1]), self.known(chunk[-1])))
-        return self.total([self.known(w) for w in self.cut(lead + chunk)])
-
-    def known(self, word: str):
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            got = self.words[word] = self.word(word)
-        return got
+            return self.total((place[chunk[:-1]], self.first[chunk[-1]]))
+        parts = self.cut(place.lead + chunk)
+        return self.word(parts[0]) if len(parts) == 1 else self.total([self.part(p) for p in parts])
+
+    def part(self, part: str):
+        """What one match of the pattern is worth."""
+        if part.isspace():
+            return self.word(part)
+        return self.later[part[1:]] if part[0] == " " else self.first[part]
 
     def of(self, text: str):
         """What the whole text is worth."""
         if len(self.later) + len(self.first) > self.limit:
-            self.later.clear()
-            self.first.clear()
-        first, later = (self.first, self.later) if self.spaced else (self.later, self.later)
+            self._forget()
         cut = text.split(" ")
-        head = first[cut[0]]
-        cut[0] = ""
+        head = self.first[cut[0]]
         try:
-            return self.total(chain((head,), map(later.__getitem__, islice(cut, 1, None))))
+            return self.total(chain((head,), map(self.later.__getitem__, islice(cut, 1, None))))
         except TypeError:  # a None: white space that isn't a single space between words
             cut = _PLACE.split(text)
-            return self.total([self.whole(cut[0], ""), *(self.whole(c, later.lead) for c in cut[1:])])
+            return self.total([self.whole(c, self.later.lead if i else "") for i, c in enumerate(cut)])
+
+    def _forget(self) -> None:
+        """Keeps the chunks that were met first, which are the frequent ones."""
+        for place in (self.first, self.later):
+            for old in [*islice(place, self.limit // 6, None)]:
+                place.pop(old, None)
 
     def whole(self, chunk: str, lead: str):
         """A chunk that may have white space inside or around it."""
-        if not chunk:
-            return self.total([])
-        return self.odd(lead + chunk) if not chunk.isascii() or "<|" in chunk else self.total([self.known(w) for w in self.cut(lead + self.normal(chunk))])
+        if not chunk.isascii() or "<|" in chunk:
+            return self.odd(lead + chunk)
+        return self.total([self.part(p) for p in self.cut(lead + self.normal(chunk))])
 
 
 class Encoder(Chunked):
