@@ -2,9 +2,9 @@
 
 Documents are dealt to partitions by ranges of doc_id, encoded in order and cut into shards of about `shard_ids` ids, a
 document never being split. In a shard the frequent pairs of neighbouring symbols are replaced by new symbols, round
-after round: a round counts all pairs, takes those that occur at least `least` times and half as often as the most
-frequent one (or the `step` most frequent), and replaces their occurrences at once; where occurrences overlap, the more
-frequent pair wins, and the other waits for the next round. It ends when no pair is frequent or `rounds` are over.
+after round: a round counts all pairs, takes the `step` most frequent ones that occur at least `least` times, and replaces their
+occurrences at once; where occurrences overlap, the more frequent pair wins, and the other waits for the next round. It
+ends when no pair is frequent or `rounds` are over.
 
 A shard file holds its rules with the number of ids that each expands to, the symbols that are left, the number of ids
 before every `BLOCK`-th symbol, and the documents with their places, so `read_span` expands only what it is asked for.
@@ -34,24 +34,36 @@ NULL_ID = -(2**63)
 _BITS = 20
 
 
-def _frequent(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of neighbours that occur at least `least` times, as left << 32 | right, with their counts and each position's key (0: rare).
+def _cells(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of `_BITS` bits of each pair."""
+    h = left * np.uint32(2654435761)
+    h ^= (right * np.uint32(2246822519)) >> np.uint32(7)
+    h *= np.uint32(3266489917)
+    return h >> np.uint32(32 - _BITS)
+
 
-    Pairs are first counted by a hash of `_BITS` bits; only those in full enough cells are counted one by one.
+def _frequent(x: np.ndarray, least: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(up to `step` pairs that occur `least` times or more, as left << 32 | right, the most frequent first; the places
+    where they occur; which one does).
+
+    Pairs are first counted by their cell; only those in full enough cells are counted one by one. Of chosen pairs in one
+    cell the most frequent is placed; the others wait for the next round.
     """
-    h = x[:-1] * np.uint32(2654435761)
-    h ^= (x[1:] * np.uint32(2246822519)) >> np.uint32(7)
-    h *= np.uint32(3266489917)
-    h >>= np.uint32(32 - _BITS)
+    h = _cells(x[:-1], x[1:])
     at = np.flatnonzero((np.bincount(h, minlength=1 << _BITS) >= least)[h])
     keys = (x[at].astype(np.uint64) << np.uint64(32)) | x[at + 1]
-    order = np.argsort(keys, kind="stable") if len(keys) < 2 else np.argsort(keys)
-    ordered = keys[order]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.r_[first, len(keys)])
-    group = np.empty(len(keys), np.int64)
-    group[order] = np.repeat(np.arange(len(first)), counts)
-    return ordered[first] if len(keys) else keys, counts, np.stack([at, group]) if len(keys) else np.zeros((2, 0), np.int64)
+    ordered = np.sort(keys)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts, pairs = np.diff(np.append(first, len(keys))), ordered[first]
+    often = np.flatnonzero(counts >= least)
+    pairs = pairs[often[np.lexsort((pairs[often], -counts[often]))][:step]]
+    none = len(pairs)
+    slot = np.full(1 << _BITS, none, np.int32)
+    slot[_cells((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))[::-1]] = np.arange(none, dtype=np.int32)[::-1]
+    which = slot[h[at]]
+    hit = np.flatnonzero(which < none)
+    hit = hit[pairs[which[hit]] == keys[hit]]
+    return pairs, at[hit], which[hit].astype(np.int64)
 
 
 def compress(ids: np.ndarray, least: int = 16, rounds: int = 4, step: int = 16_384, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -62,24 +74,17 @@ def compress(ids: np.ndarray, least: int = 16, rounds: int = 4, step: int = 16_3
     for _ in range(rounds):
         if len(x) < 2:
             break
-        keys, counts, (at, group) = _frequent(x, least)
-        chosen = np.flatnonzero(counts >= least)
-        chosen = chosen[np.lexsort((keys[chosen], -counts[chosen]))][: min(step, most - top)]
-        if not len(chosen):
+        pairs, at, got = _frequent(x, least, min(step, most - top))
+        if not len(pairs):
             break
-        rank = np.full(len(keys), len(chosen), np.int64)
-        rank[chosen] = np.arange(len(chosen))
-        got = rank[group]
-        keep = got < len(chosen)
-        at, got = at[keep], got[keep]
         # of overlapping occurrences the more frequent pair's stays; in a run of one pair, the first
         near = np.r_[False, at[1:] == at[:-1] + 1]
         loses = near & (np.r_[0, got[:-1]] <= got)
         loses |= np.r_[near[1:], False] & (np.r_[got[1:], 0] < got)
         at, got = at[~loses], got[~loses]
-        used = np.bincount(got, minlength=len(chosen)) > 0
+        used = np.bincount(got, minlength=len(pairs)) > 0
         symbol = np.cumsum(used) - 1 + top
-        pair = keys[chosen][used]
+        pair = pairs[used]
         left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
         size = np.concatenate(sizes) if len(sizes) > 1 else sizes[0]
         lefts.append(left)
@@ -182,7 +187,7 @@ def write_shards(docs: DataFrame, folder: str, file: str, end_id: int, spaced: b
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, encoder, end = TaskContext.get().partitionId(), kept(Encoder, file, spaced), end_id.to_bytes(4, "little")
+        part, encoder, end = TaskContext.get().partitionId(), kept(Encoder, file, spaced, 400_000), end_id.to_bytes(4, "little")
         held: list[bytes] = []
         docs: list = []
         size = shard = 0
@@ -197,8 +202,8 @@ def write_shards(docs: DataFrame, folder: str, file: str, end_id: int, spaced: b
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = encoder.of(text) + end
+            for doc, got in zip(batch.column(0).to_pylist(), map(encoder.of, batch.column(1).to_pylist())):
+                got += end
                 held.append(got)
                 docs.append(doc)
                 size += len(got) // 4
