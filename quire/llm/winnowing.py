@@ -2,8 +2,8 @@
 
 Every run of `k` tokens has a hash. Of each `w` neighbouring hashes the smallest is chosen, of equal ones the rightmost,
 and what is chosen is kept once with its position: so two texts that share `k + w - 1` tokens in a row share a
-fingerprint entry from there, whatever surrounds them. Tokens are runs of up to 24 code points without white space; in
-scripts that write no spaces between words, single code points. A text of fewer than `k` tokens has one run, all of it,
+fingerprint entry from there, whatever surrounds them. Tokens are runs of up to 24 code points without (ASCII) white
+space; in scripts that write no spaces between words, single code points. A text of fewer than `k` tokens has one run, all of it,
 and a text of fewer than `w` runs one window. A null text is empty; a text without tokens has the one entry of the empty
 run.
 
