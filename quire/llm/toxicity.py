@@ -23,7 +23,7 @@ from quire.llm.common import texts
 from quire.llm.labelled import fitted, kept_rows, sample
 from quire.llm.textvec import Words, lower_ascii, mix, runs, words_and_signs
 
-BITS = 24
+BITS = 22
 BEGINNINGS = (4, 5, 6, 7)
 
 
@@ -110,7 +110,7 @@ def fit(xs: list[np.ndarray], ns: list[np.ndarray], ys: np.ndarray, least: int =
     return keep, weights, thresholds
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 4096, **how) -> bytes:
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 2048, **how) -> bytes:
     """The model, fitted on a bounded sample of the labelled rows."""
 
     def learned(xs, ns, ys):
@@ -163,5 +163,5 @@ def keep_clean(docs: DataFrame, model: bytes, reject_at: float = 0.5, text_col:
     return kept_rows(docs, text_col, model, lambda model: (lambda f: lambda batch, column: f(batch, column)[:, 0] < reject_at)(chances_of(model)))
 
 
-def judge(docs: DataFrame, labels: DataFrame, per_class: int = 4096) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, per_class: int = 2048) -> DataFrame:
     return grade(docs, train(docs, labels, per_class=per_class))
