@@ -88,5 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+_BITS = ", ".join(f"'{i:04b}'" for i in range(16))
+_DIGIT = "substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + " + " + ".join(f"{1 << 4 - k} * CAST(substring(bits, 5 * i + {k + 1}, 1) AS INT)" for k in range(5)) + ", 1)"
+
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+        s AS (SELECT page_id, url, strlen(h) AS payload_bytes, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: [{_BITS}][instr('0123456789abcdef', c)]), '') AS bits, first FROM p JOIN f USING (h))
+        SELECT page_id, url, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: {_DIGIT}), '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM s""",
+}
