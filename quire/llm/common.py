@@ -58,3 +58,18 @@ def put_file(folder: str, name: str, data: bytes) -> str:
         out.write(data)
     system.move(part, f"{path}/{name}")
     return f"{folder}/{name}"
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(kind: type, *args):
+    """One of these for each worker process, kept from task to task."""
+    if (kind, *args) not in _KEPT:
+        _KEPT[kind, *args] = kind(*args)
+    return _KEPT[kind, *args]
+
+
+def forget() -> None:
+    """Gives up what this worker has kept, when it turns to work that needs none of it."""
+    _KEPT.clear()

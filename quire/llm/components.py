@@ -24,17 +24,32 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node hangs on one other that hangs on none."""
+    twice = links.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    inner = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
+    return not twice.unionByName(inner).take(1)
+
+
 def components(links: DataFrame, most: int = 50) -> DataFrame:
     """(node, label) of every node that has a link in (a, b): label is the smallest id of its component."""
     now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
     for _ in range(most):
-        now = written(_small(_large(now)), "stars")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        if _settled(now):
             break
-        mark = seen
+        now = written(_small(_large(now)), "stars")
     else:
         raise RuntimeError(f"components are not settled after {most} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: only the components that these join are worked on."""
+    if labels is None:
+        return written(components(links), "labels")
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    new = components(between)
+    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(moved.unionByName(new.join(labels, "node", "left_anti")), "labels")

@@ -3,12 +3,13 @@
 A document's set holds its distinct runs of `n` words; with fewer words, all of them as one. Two documents link when
 100 * |A and B| >= `percent` * |A or B|; the result is each document's component, the smallest doc_id that links reach.
 
-Sets are ordered alike everywhere: by how often a shingle's cell was seen to be frequent, then by hash, so that common
-passages come last. If A and B link, each shares at least a known number of shingles with the other, so with a prefix
+Sets are ordered alike everywhere: by how far a shingle's cell of 2^CELLS stands above the usual count over all documents,
+then by hash, so that common passages come last. If A and B link, each shares at least a known number of shingles with the other, so with a prefix
 that leaves out all but l - 1 of those, they share at least l prefix shingles. Every document chooses its own l: with
 the estimated lists behind its prefix shingles, a longer prefix costs their scan, and saves candidates, which must
-match l times instead of once. Of a pair, the smaller l counts, and only shingles in the prefixes for that l.
-What two sets can share at most after their prefixes gives a second, stronger bound.
+match l times instead of once. Of a pair, the smaller l counts, and only shingles in the prefixes that l and both sizes
+leave: sets of like sizes must share six in seven, so their prefixes are shorter, and what these spare goes into more
+matches (`_match`).
 
 Documents with equal sets are one class, known by a 64-bit and a 56-bit digest and the set's size. Shingles that only
 one class has in its prefix are dropped in the shuffle that brings them together. What is left is joined in two steps:
@@ -34,10 +35,13 @@ from pyspark.sql import functions as F
 
 from quire.llm.bitmap import bitmap, has_id, of_id, without
 from quire.llm.common import texts, written
-from quire.llm.components import components
+from quire.llm.components import merged
 from quire.llm.textvec import Words, grams, lower_ascii, mix, runs, words_only
 
-CELLS = 20
+CELLS = 22
+#: Share of the smaller set by which pairs must match more often than their levels ask for, as far as prefixes reach.
+MORE = 0.03
+BLOCK = 1 << 15
 LEVELS = (1, 2, 4, 8)
 _U = np.uint64
 
@@ -80,27 +84,55 @@ def least_of(n, percent: int = 75):
 
 
 def surveyed(rows: DataFrame, n: int) -> DataFrame:
-    """Two kinds of rows: (doc_id, n_shingles, d1, d2) of each document, and (cell, seen) of each task's frequent cells."""
+    """Two kinds of rows: (doc_id, n_shingles, d1, d2) of each document, and (block, counts) of each task's cells."""
 
     def survey(batches):
         import pyarrow as pa
 
-        seen, total, doc = np.zeros(1 << CELLS, np.int64), 0, pa.array([], pa.int64())
+        seen, held, size_held = np.zeros(1 << CELLS, np.int64), [], 0
         for batch, i, j, h, cut in sets(batches, n):
             size = np.diff(cut)
             ends = lambda x: np.diff(np.append(_U(0), np.cumsum(x, dtype=_U))[cut])
             d1, d2 = ends(mix(h + _U(1))), ends(mix(h + _U(2)))
-            total += len(h)
-            seen += np.bincount(h >> _U(64 - CELLS), minlength=1 << CELLS)
-            none = pa.nulls(j - i, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(size), pa.array(d1.view(np.int64)), pa.array((d2 >> _U(8)).view(np.int64)), none, none, pa.array(np.ones(j - i, bool))], names)
-        usual = total / (1 << CELLS)
-        often = np.flatnonzero(seen > usual + 7 * np.sqrt(usual) + 12)
-        none = pa.nulls(len(often), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(often), pa.array(seen[often]), pa.array(np.zeros(len(often), bool))], names)
+            held.append((h >> _U(64 - CELLS)).astype(np.uint32))
+            size_held += len(h)
+            if size_held > 1 << CELLS - 2:
+                seen += np.bincount(np.concatenate(held), minlength=1 << CELLS)
+                held, size_held = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(size), pa.array(d1.view(np.int64)), pa.array((d2 >> _U(8)).view(np.int64)), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.binary()), pa.array(np.ones(j - i, bool))], names)
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=1 << CELLS)
+        if seen.any():
+            counts = np.minimum(seen, 65535).astype("<u2").reshape(-1, BLOCK)
+            none = pa.nulls(len(counts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(len(counts))), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(np.zeros(len(counts), bool))], names)
+
+    names = ["doc_id", "n_shingles", "d1", "d2", "block", "counts", "is_doc"]
+    return written(rows.mapInArrow(survey, "doc_id long, n_shingles long, d1 long, d2 long, block long, counts binary, is_doc boolean"), "shingle-survey")
+
+
+def list_lengths(survey: DataFrame) -> np.ndarray:
+    """For each cell of shingles, how far it is above the usual count; 0 within what chance makes of it.
+
+    Tasks' counts are added up block by block; 2^CELLS numbers come to the driver, however large the corpus.
+    """
+
+    def added(batches):
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array([np.minimum(s, 2**32 - 1).astype("<u4").tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
 
-    names = ["doc_id", "n_shingles", "d1", "d2", "cell", "seen", "is_doc"]
-    return written(rows.mapInArrow(survey, "doc_id long, n_shingles long, d1 long, d2 long, cell long, seen long, is_doc boolean"), "shingle-survey")
+    got = survey.filter("not is_doc").select("block", "counts").repartition("block").mapInArrow(added, "block long, counts binary").toArrow()
+    total = np.zeros(((1 << CELLS) // BLOCK, BLOCK), np.uint32)
+    for block, counts in zip(got.column("block").to_pylist(), got.column("counts").to_pylist()):
+        total[block] = np.frombuffer(counts, "<u4")
+    total = total.reshape(-1)
+    usual = total.mean()
+    return np.where(total > usual + 3 * np.sqrt(usual) + 3, np.minimum(total, 2**31 - 1) - np.uint32(usual), 0).astype(np.int32)
 
 
 def level(costs: np.ndarray, n: int, percent: int, scan: float, verify: float) -> int:
@@ -118,7 +150,7 @@ def level(costs: np.ndarray, n: int, percent: int, scan: float, verify: float) -
 
 
 def prefixes(rows: DataFrame, n: int, percent: int, often: np.ndarray, scan: float = 1.0, verify: float = 20.0) -> DataFrame:
-    """(token, d1, d2, n_shingles, level, step) of every document's prefix shingles; step: the least level whose prefix has it."""
+    """(token, d1, d2, n_shingles, level, rank) of every document's prefix shingles; rank: their place in its order, from 0."""
     held = rows.sparkSession.sparkContext.broadcast(often)
 
     def prefix(batches):
@@ -129,7 +161,7 @@ def prefixes(rows: DataFrame, n: int, percent: int, often: np.ndarray, scan: flo
             ends = lambda x: np.diff(np.append(_U(0), np.cumsum(x, dtype=_U))[cut])
             d1, d2 = ends(mix(h + _U(1))).view(np.int64), (ends(mix(h + _U(2))) >> _U(8)).view(np.int64)
             cost = lists[h >> _U(64 - CELLS)]
-            tokens, which, levels, steps = [], [], [], []
+            tokens, which, levels, ranks = [], [], [], []
             for t in range(j - i):
                 a, b = cut[t], cut[t + 1]
                 size = int(b - a)
@@ -144,12 +176,12 @@ def prefixes(rows: DataFrame, n: int, percent: int, often: np.ndarray, scan: flo
                 tokens.append(x[: base + l])
                 which.append(np.full(base + l, t))
                 levels.append(np.full(base + l, l, np.int8))
-                steps.append(np.append(np.ones(base, np.int8), np.arange(1, l + 1, dtype=np.int8)))
+                ranks.append(np.arange(base + l, dtype=np.int32))
             if tokens:
                 which = np.concatenate(which)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(d1[which]), pa.array(d2[which]), pa.array(np.diff(cut)[which].astype(np.int32)), pa.array(np.concatenate(levels)), pa.array(np.concatenate(steps))], ["token", "d1", "d2", "n_shingles", "level", "step"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(d1[which]), pa.array(d2[which]), pa.array(np.diff(cut)[which].astype(np.int32)), pa.array(np.concatenate(levels)), pa.array(np.concatenate(ranks))], ["token", "d1", "d2", "n_shingles", "level", "rank"])
 
-    return rows.mapInArrow(prefix, "token long, d1 long, d2 long, n_shingles int, level byte, step byte")
+    return rows.mapInArrow(prefix, "token long, d1 long, d2 long, n_shingles int, level byte, rank int")
 
 
 def class_sets(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -173,8 +205,10 @@ def class_sets(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return written(some.dropDuplicates(["doc_id"]).mapInArrow(hashed, "node long, hashes binary"), "shingle-sets")
 
 
-def linked(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose sets are alike enough."""
+def linked(rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (a, b) of pairs whose sets are alike enough. Only the pairs' own documents are read for their sets."""
+    pairs = written(pairs, "pairs")
+    known = class_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n)
 
     def verified(batches):
         import pyarrow as pa
@@ -203,9 +237,7 @@ def duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, stars:
     rows = texts(docs, id_col, text_col)
     survey = surveyed(rows, n)
     mine = survey.filter("is_doc").select("doc_id", "n_shingles", "d1", "d2")
-    cells = survey.filter("not is_doc").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
-    often = np.zeros(1 << CELLS, np.int64)
-    often[cells.column("cell").to_numpy()] = cells.column("seen").to_numpy()
+    often = list_lengths(survey)
 
     whole = rows.dropna(subset=["doc_id"])
     same = ["d1", "d2", "n_shingles"]
@@ -213,18 +245,12 @@ def duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, stars:
     shared = prefixes(whole, n, percent, often)
     shared = shared.withColumn("low", F.min(F.struct(*same)).over(by_token)).withColumn("high", F.max(F.struct(*same)).over(by_token)).filter("low <> high").drop("low", "high")
     classes = mine.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")).dropna(subset=["node"])
-    lists = written(shared.distinct().join(classes, same).select("token", "node", F.col("n_shingles").cast("int").alias("n_shingles"), "level", "step"), "shingle-lists")
+    lists = written(shared.distinct().join(classes, same).select("token", "node", F.col("n_shingles").cast("int").alias("n_shingles"), "level", "rank"), "shingle-lists")
 
-    nodes = lists.select("node").distinct()
-    known = class_sets(whole, nodes, n)
-    links = None
     labels = None
     for turn in range(stars):
-        found = written(linked(_stars(lists, labels, turn, percent), known, percent), "star-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    rest = written(linked(_rest(lists, labels, percent), known, percent), "links")
-    labels = components(links.unionByName(rest)) if links is not None else components(rest)
+        labels = merged(labels, written(linked(whole, _stars(lists, labels, turn, percent), n, percent), "star-links"))
+    labels = merged(labels, written(linked(whole, _rest(lists, labels, percent), n, percent), "links"))
 
     named = classes.join(labels, "node", "left").select(*same, F.coalesce("label", "node").alias("component_id"))
     out = mine.filter("n_shingles > 0").join(named, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -247,24 +273,40 @@ def _with_components(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return got.join(mixed.select("token"), "token", "left_semi")
 
 
+def _match(n: str, m: str, one: str, two: str, percent: int):
+    """(how often sets of n and m shingles must match in their prefixes for that, what these prefixes leave in front).
+
+    To link, they must share at least `least` shingles. So of the first n - least + l and m - least + l, they share l or
+    more, for every l; it is the smaller of both levels, and MORE of the smaller set on top if both prefixes reach so far.
+    """
+    n, m = F.col(n).cast("long"), F.col(m).cast("long")
+    least = F.floor(((n + m) * percent + 99 + percent) / (100 + percent))
+    room = lambda x: least - F.floor((x * percent + 99) / 100)
+    times = F.least(one, two) + F.greatest(F.least(F.floor(F.least(n, m) * MORE), room(n), room(m)), F.lit(0))
+    return times, n - least + times, m - least + times
+
+
 def _stars(lists: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """(a, b): each class with the one pivot that it shares most lists with, of those of a size that can link."""
+    """(a, b): each class with the one pivot that it shares most lists with, where these lists alone are enough to link.
+
+    A list's pivot is its smallest id at first, then another one by a hash.
+    """
     got = _with_components(lists, labels)
-    pivots = got.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n_shingles", "component")).alias("p")).select("token", F.col("p.node").alias("b"), F.col("p.n_shingles").alias("m"), F.col("p.component").alias("other"))
-    near = got.join(pivots, "token").filter((F.col("component") != F.col("other")) & similar_sizes("n_shingles", "m", percent))
-    votes = near.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
-    return votes.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    order = (F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("order")
+    pivots = got.groupBy("token").agg(F.min(F.struct(order, "node", "n_shingles", "component", "level", "rank")).alias("p"))
+    pivots = pivots.select("token", *(F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "n_shingles", "component", "level", "rank")))
+    times, first, second = _match("n_shingles", "n_shingles_b", "level", "level_b", percent)
+    near = got.join(pivots, "token").filter((F.col("component") != F.col("component_b")) & similar_sizes("n_shingles", "n_shingles_b", percent) & (F.col("rank") < first) & (F.col("rank_b") < second))
+    votes = near.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), times.alias("times")).agg(F.count("*").alias("shared"))
+    return votes.filter("shared >= times").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
 def _rest(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """(a, b): all pairs of different components that match as often as their levels and sizes ask for."""
     got = _with_components(lists, labels)
-    left = got.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n_shingles", "level", "step", "component")))
-    right = got.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "level", "step", "component")))
-    level = F.least("level_a", "level_b")
-    both = left.join(right, "token").filter((F.col("component_a") < F.col("component_b")) & similar_sizes("n_shingles_a", "n_shingles_b", percent) & (F.greatest("step_a", "step_b") <= level))
-    met = both.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_shingles_a").alias("n"), F.col("n_shingles_b").alias("m"), level.alias("level")).agg(F.count("*").alias("shared"))
-    # |A and B| >= percent / (100 + percent) * (|A| + |B|), of which the sets' rest can hold so many:
-    need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
-    rest = lambda x: F.floor((F.col(x) * percent + 99) / 100) - F.col("level")
-    return met.filter((F.col("shared") >= F.col("level")) & (F.col("shared") >= need - F.greatest(rest("n"), rest("m")))).select("a", "b")
+    side = lambda s: got.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "level", "rank", "component")))
+    times, first, second = _match("n_shingles_a", "n_shingles_b", "level_a", "level_b", percent)
+    near = (F.col("component_a") < F.col("component_b")) & similar_sizes("n_shingles_a", "n_shingles_b", percent) & (F.col("rank_a") < first) & (F.col("rank_b") < second)
+    both = side("a").join(side("b"), "token").filter(near)
+    met = both.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), times.alias("times")).agg(F.count("*").alias("shared"))
+    return met.filter("shared >= times").select("a", "b")

@@ -18,8 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import texts
-from quire.llm.tokens import Encoder, kept
+from quire.llm.common import kept, texts
+from quire.llm.tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -25,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import filesystem, new_folder, put_file, texts, written
-from quire.llm.tokens import Encoder, kept
+from quire.llm.common import filesystem, forget, kept, new_folder, put_file, texts, written
+from quire.llm.tokens import Encoder
 
 MAGIC = b"RPAIRIDS"
 BLOCK = 256
@@ -226,6 +226,7 @@ def read_documents(spark: SparkSession, folder: str, shards: DataFrame) -> DataF
     def decoded(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget()
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 s = Shard(data)

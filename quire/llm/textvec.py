@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from quire.llm.common import forget
+
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -51,7 +53,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the prime and of its inverse, modulo 2^64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, by in (("up", _PRIME), ("down", _INVERSE)):
             step = np.full(size, by, _U)
             step[0] = 1
@@ -118,8 +120,9 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def runs(column, classes: np.ndarray, fold: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def runs(column, classes: np.ndarray, fold: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int, Words]]:
     """(from, to, their Words) for runs of the column's texts of about `most` bytes; a longer text is a run of its own."""
+    forget()
     data, at = buffers(column)
     i = 0
     while i < len(at) - 1:

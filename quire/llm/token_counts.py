@@ -14,8 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import texts
-from quire.llm.tokens import BYTE_PATTERN, Chunked, byte_letters, kept
+from quire.llm.common import kept, texts
+from quire.llm.tokens import BYTE_PATTERN, Chunked, byte_letters
 
 
 class Counter(Chunked):

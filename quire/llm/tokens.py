@@ -147,13 +147,3 @@ class Encoder(Chunked):
         return chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).lower()  # as the library, up to Latin
 
     total = staticmethod(b"".join)
-
-
-_KEPT: dict[tuple, Chunked] = {}
-
-
-def kept(kind: type, *args) -> Chunked:
-    """One of these for each worker process, kept from task to task."""
-    if (kind, *args) not in _KEPT:
-        _KEPT[kind, *args] = kind(*args)
-    return _KEPT[kind, *args]
