@@ -89,11 +89,10 @@ def _place(row: str, one: Column) -> Column:
 BULLETS = "•●○◦▪■□◆◇▶▷►‣★☆※\\-–"
 
 
-def list_mark(text: Column | str) -> Column:
-    """struct(kind, key, value, length) of the mark a line begins with: b for bullets, n for numbers; null where there is none."""
-    t = _c(text)
+def _mark_forms() -> list[tuple[str, str, str, bool, bool]]:
+    """Kind, pattern, shape of the key, whether the number is written in digits, whether a closing sign follows."""
     space = "[ \\u00a0]"
-    forms = [  # kind, pattern, shape of the key, whether the number is written in digits, whether a closing sign follows
+    return [
         ("b", rf"^([{BULLETS}]){space}+(?=\S)", "", False, False),
         ("n", rf"^([0-9]{{1,2}})([.)]){space}+(?=\S)", "9", True, True),
         ("n", rf"^\(([0-9]{{1,2}})\){space}*(?=\S)", "(9)", True, False),
@@ -102,8 +101,18 @@ def list_mark(text: Column | str) -> Column:
         ("n", rf"^([a-h])([.)]){space}+(?=\S)", "a", False, True),
         ("n", rf"^([A-H])([.)]){space}+(?=\S)", "A", False, True),
     ]
+
+
+def is_list_line(text: Column | str) -> Column:
+    """Whether a line begins with a list mark."""
+    return reduce(lambda x, y: x | y, (_c(text).rlike(f[1]) for f in _mark_forms()))
+
+
+def list_mark(text: Column | str) -> Column:
+    """struct(kind, key, value, length) of the mark a line begins with: b for bullets, n for numbers; null where there is none."""
+    t = _c(text)
     out = F.lit(None).cast("struct<kind:string,key:string,value:int,length:int>")
-    for kind, pattern, shape, digits, closed in reversed(forms):
+    for kind, pattern, shape, digits, closed in reversed(_mark_forms()):
         one = F.regexp_extract(t, pattern, 1)
         value = F.lit(None).cast("int") if kind == "b" else one.try_cast("int") if digits else mark_order(one).cast("int")
         key = F.concat(F.lit("b"), one) if kind == "b" else F.concat(F.lit("n" + shape), F.regexp_extract(t, pattern, 2) if closed else F.lit(""))

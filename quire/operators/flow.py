@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.scalars import list_mark
+from quire.functions.scalars import is_list_line, list_mark
 
 END = r"""[.!?…。！？]["'”’)\]]*\z"""
 
@@ -34,15 +34,16 @@ def seams(lines: DataFrame, size: float = 10.0) -> DataFrame:
     slack = F.col("edge") - F.col("prev_x1")
     rules: list[tuple[Column, str, float, str]] = [
         ((F.col("text") == "") | (F.col("prev") == ""), "para", 0.97, "blank"),
-        (list_mark("text").isNotNull(), "para", 0.97, "list mark"),
+        (is_list_line("text"), "para", 0.97, "list mark"),
         ((slack >= need) & F.col("prev").rlike(END), "para", 0.93, "short line ends a sentence"),
         (F.col("prev").rlike(r"[\p{L}]-\z") & F.col("text").rlike(r"^\p{Ll}"), "hyphen-drop", 0.92, "hyphen before a small letter"),
         (F.col("prev").rlike(r"-\z"), "none", 0.92, "hyphen"),
         (slack >= need, "para", 0.72, "short line"),
         (F.col("prev").rlike(END), "space", 0.7, "sentence end in a full line"),
     ]
-    pick = lambda i, rest: _when([(r[0], F.lit(r[i])) for r in rules], F.lit(rest))
-    out = pairs.withColumns({"kind": pick(1, "space"), "conf": pick(2, 0.95), "reason": pick(3, "full line")})
+    first = _when([(r[0], F.lit(i)) for i, r in enumerate(rules)], F.lit(len(rules)))
+    of = lambda i, rest: F.get(F.array(*(F.lit(r[i]) for r in rules), F.lit(rest)), F.col("rule"))
+    out = pairs.withColumn("rule", first).withColumns({"kind": of(1, "space"), "conf": of(2, 0.95), "reason": of(3, "full line")})
     return out.select("doc_id", "line_no", "kind", "conf", (F.col("conf") < 0.8).alias("flagged"), "reason")
 
 
