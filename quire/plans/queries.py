@@ -426,7 +426,7 @@ def label_lines(spark, sf_dir):
     SELECT doc_id, line_no, CASE WHEN chars = 0 OR chars > 120 THEN 0 WHEN chars > 55 AND regexp_matches(text, '[.!?。！？]$') AND ratio < 1.4 THEN 0 WHEN regexp_matches(text, '^[^\\s:：.!?。][^:：.!?。]{{0,18}}\\s*[:：]\\s*\\S') AND ratio < 1.17 THEN 0
     WHEN ratio >= 1.65 THEN 1 WHEN ratio >= 1.38 THEN 2 WHEN ratio >= 1.17 THEN 3 WHEN ratio >= 1.06 AND (bold OR length(latin) >= 4 AND latin = upper(latin)) THEN 3 WHEN chars <= 55 AND bold AND ratio >= 0.96 THEN 3 ELSE 0 END AS level FROM c""")
 def heading_levels(spark, sf_dir):
-    rows = _marked(spark, sf_dir).select("doc_id", "line_no", F.left("text", F.lit(60)).alias("text"), (8.0 + F.col("line_no") % 7 * 1.5).alias("size"), (F.col("line_no") % 5 == 0).alias("bold"))
+    rows = _marked(spark, sf_dir).select("doc_id", "line_no", "text", (8.0 + F.col("line_no") % 7 * 1.5).alias("size"), (F.col("line_no") % 5 == 0).alias("bold"))
     level = S.heading_level(F.col("text"), F.col("size"), F.lit(10.0), F.lit(1), F.col("bold"), F.lit(False))
     return rows.select("doc_id", "line_no", level.alias("level"))
 
