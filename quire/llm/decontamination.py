@@ -1,20 +1,23 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a hash of some of the words in a short stretch, at the places that a fixed mask names; words at the other
-places may differ. All seeds of all benchmark items are joined to all seeds of all documents; a bitmap of fixed size,
+A seed is a hash of some of the words in a short stretch, at the places that a mask names; words at the other places may
+differ. The masks are made from the rule below: whatever overlap it accepts holds at least one of them, for items of any
+length and substitutions at any places (see `masks`). All seeds of all benchmark items are joined to all seeds of all documents; a bitmap of fixed size,
 made of the benchmark's seeds, keeps most other document seeds from being shuffled. Every hit gives an offset between an
 item and a document, and along each such offset the longest overlap is taken that keeps a word's agreement worth 1 and a
 substitution worth -`penalty`. It counts if it agrees in at least `least` words, or in `share` of an item's words where
 that is fewer.
 
-Words are runs of letters and digits in lower case (A-Z); signs and white space are passed over. An item shorter than
-the masks has one seed, all its words; items of under `shortest` words and null or empty texts overlap with nothing.
+Words are runs of letters and digits in lower case (A-Z); signs and white space are passed over. Items of under `shortest` words and null or empty texts overlap with nothing.
 Repeated rows count as one document or item; rows without an id are left out. Without items or documents there are no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +27,8 @@ from quire.llm.bitmap import bitmap, has_hash, of_hash, without
 from quire.llm.common import texts, written
 from quire.llm.textvec import WORD, Words, keep, lower_ascii, mix, runs, words_and_signs
 
-MASKS = ("11101010111", "11011001111", "1111001101011", "111111")
+#: Agreeing words of an overlap's end that masks are made from at most, words of a mask, and stretches that are listed.
+DEEP, WEIGHT, LISTED = 10, 6, 2000
 OVERLAP = "doc_id long, item_id long, doc_word long, item_word int, n_words int, n_same int"
 
 
@@ -33,12 +37,66 @@ def _runs(column) -> Iterator[tuple[int, int, Words]]:
         yield i, j, keep(w, w.kinds == WORD)
 
 
-def seeds(w: Words, mask: str, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of the mask at each place of each text; whole: only of texts that have just as many words."""
+def stretches(n: int, penalty: float, longest: int) -> list[str] | None:
+    """All ends of overlaps, from an agreeing word on, in which n words agree (1) and others don't (0); None if too many.
+
+    best_overlap takes the first end with the highest score, so every end of an overlap scores above 0.
+    """
+    least = 0.0 if float(penalty * 64).is_integer() else -1e-9  # other sums are rounded, so 0 may turn out above 0
+    out, ways = [], [("", 0, 0.0)]
+    while ways:
+        p, ones, score = ways.pop()
+        if ones == n:
+            out.append(p[::-1])
+        elif len(p) < longest:
+            ways.append((p + "1", ones + 1, score + 1))
+            if score - penalty > least:
+                ways.append((p + "0", ones, score - penalty))
+        if len(out) + len(ways) > LISTED:
+            return None
+    return out
+
+
+@lru_cache
+def masks(n_words: int, least: int, share: float, penalty: float) -> tuple[str, ...]:
+    """Masks of which every overlap that counts, with an item of n_words words, holds one.
+
+    An overlap that counts agrees in n words or more, so it has an end in which just n agree: masks are taken, each time
+    the one that the most ends hold, until every end holds one. Few misses allowed, or a short item, leave n as it is;
+    many make it smaller, down to 1.
+    """
+    n = min(max(ceil(min(least, share * n_words) - 1e-9), 1), DEEP)
+    while (ends := stretches(n, penalty, n_words)) is None:
+        n -= 1
+    held: dict[tuple, int] = {}
+    for i, end in enumerate(ends):
+        ones = [k for k, c in enumerate(end) if c == "1"]
+        for at in {tuple(k - chosen[0] for k in chosen) for chosen in combinations(ones, min(n, WEIGHT))}:
+            held[at] = held.get(at, 0) | 1 << i
+    out, left = [], (1 << len(ends)) - 1
+    while left:
+        best = max(held, key=lambda at: ((held[at] & left).bit_count(), -at[-1], at))
+        out.append("".join("01"[k in best] for k in range(best[-1] + 1)))
+        left &= ~held[best]
+    return tuple(out)
+
+
+def lengths_of(least: int, share: float, penalty: float, shortest: int) -> dict[str, list[int]]:
+    """Each mask's lengths of items; the last length stands for all longer ones too, whose ends are the same."""
+    out: dict[str, list[int]] = {}
+    last = max(shortest, DEEP + int(DEEP / max(penalty, 0.1)), min(ceil(least / max(share, 0.1)), 1000))
+    for n in range(shortest, last + 1):
+        for mask in masks(n, least, share, penalty):
+            out.setdefault(mask, []).append(n)
+    return out
+
+
+def seeds(w: Words, mask: str, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of the mask at each place of each text, or of the chosen texts."""
     n, m = len(mask), len(w.hashes)
     if m < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.full(m - n + 1, np.uint64(len(mask)))
+    h = np.full(m - n + 1, np.uint64(int(mask, 2)))
     for k, one in enumerate(mask):
         if one == "1":
             h = h * np.uint64(0xFF51AFD7ED558CCD) + w.hashes[k : m - n + 1 + k]
@@ -46,12 +104,16 @@ def seeds(w: Words, mask: str, whole: bool = False) -> tuple[np.ndarray, np.ndar
     at = np.arange(m - n + 1)
     left = np.repeat(w.firsts[1:], w.counts)[: m - n + 1] - at
     ok = left >= n
-    if whole:
-        ok &= (np.repeat(w.counts, w.counts)[: m - n + 1] == n)
+    if chosen is not None:
+        ok &= np.repeat(chosen, w.counts)[: m - n + 1]
     at = at[ok]
     return mix(h[ok] + np.uint64(len(mask) << 8)), at
 
 
+#: The masks for items of any length, with overlaps' own bounds.
+MASKS = (*lengths_of(10, 0.75, 2.0, 4),)
+
+
 def best_overlap(same: np.ndarray, penalty: float) -> tuple[int, int, int]:
     """(from, to, agreeing words) of the stretch with the highest score, the first of equals."""
     score = np.append(0.0, np.cumsum(np.where(same, 1.0, -penalty)))
@@ -66,7 +128,9 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = 10, share: float =
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).dropna(subset=["doc_id"])
     tests = texts(items, item_col, text_col).withColumnRenamed("doc_id", "item_id").dropna(subset=["item_id"])
-    span = min(map(len, MASKS))
+    lengths = lengths_of(least, share, penalty, shortest)
+    known = list(lengths)
+    last = max((n for of in lengths.values() for n in of), default=0)
 
     def item_seeds(batches):
         import pyarrow as pa
@@ -74,13 +138,13 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = 10, share: float =
         for batch in batches:
             for i, j, w in _runs(batch.column(1)):
                 ids = batch.column(0)[i:j].to_numpy()
-                for mask in (*MASKS, *("1" * n for n in range(shortest, span))):
-                    h, at = seeds(w, mask, whole=len(mask) < span)
+                for k, mask in enumerate(known):
+                    h, at = seeds(w, mask, np.isin(np.minimum(w.counts, last), lengths[mask]))
                     text = w.texts[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text]), pa.array((at - w.firsts[text]).astype(np.int32)), pa.array(np.full(len(at), len(mask), np.int32))], ["seed", "item_id", "item_word", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text]), pa.array((at - w.firsts[text]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32))], ["seed", "item_id", "item_word", "mask"])
 
-    test_seeds = tests.mapInArrow(item_seeds, "seed long, item_id long, item_word int, size int").distinct()
-    short = sorted(r[0] for r in test_seeds.filter(F.col("size") < span).select("size").distinct().collect())
+    test_seeds = tests.mapInArrow(item_seeds, "seed long, item_id long, item_word int, mask int").distinct()
+    needed = [known[r[0]] for r in test_seeds.select("mask").distinct().orderBy("mask").collect()]
     held = spark.sparkContext.broadcast(bitmap(test_seeds, of_hash("seed")))
 
     def doc_seeds(batches):
@@ -90,7 +154,7 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = 10, share: float =
         for batch in batches:
             for i, j, w in _runs(batch.column(1)):
                 ids, texts_of = batch.column(0)[i:j].to_numpy(), w.texts
-                for mask in (*MASKS, *("1" * n for n in short)):
+                for mask in needed:
                     h, at = seeds(w, mask)
                     hit = has_hash(bits, h)
                     h, at = h[hit], at[hit]

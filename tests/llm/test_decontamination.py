@@ -76,3 +76,44 @@ def test_odd_rows(spark):
     assert [r.doc_id for r in clean(docs, tests).collect()] == [None]
     assert overlaps(docs.limit(0), tests).collect() == [] and overlaps(docs, tests.limit(0)).collect() == []
     assert clean(docs, tests.limit(0)).count() == 4
+
+
+def test_every_overlap_has_a_seed():
+    """All patterns of short items, and random longer ones, without a seed condition."""
+    import itertools
+
+    import numpy as np
+
+    from quire.llm.decontamination import lengths_of
+
+    for least, share, penalty in ((10, 0.75, 2.0), (6, 0.5, 1.0), (10, 0.75, 0.5)):
+        lengths = lengths_of(least, share, penalty, 4)
+        last = max(max(of) for of in lengths.values())
+        rng, n_found = random.Random(7), 0
+        some = ([rng.random() < p for _ in range(n)] for n in (20, 40, 90) for p in (0.6, 0.7, 0.8, 0.9) for _ in range(100))
+        for same in itertools.chain.from_iterable([(itertools.product((False, True), repeat=n) for n in (4, 5, 6, 7, 8, 10, 11)), (some,), ([[k % 5 != r for k in range(n)] for n in (15, 60, 200) for r in range(5)],)]):
+            for s in same:
+                n = len(s)
+                start, to, agree = best_overlap(np.array(s), penalty)
+                if agree >= min(least, share * n):
+                    n_found += 1
+                    mine = [m for m, of in lengths.items() if min(n, last) in of]
+                    assert any(all(s[p + k] for k, c in enumerate(m) if c == "1") for m in mine for p in range(start, to - len(m) + 1)), (s, penalty)
+        assert n_found > 500
+
+
+def test_substituted_items(spark):
+    """Every fifth word substituted, and short items with a miss, are found."""
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in (4, 5, 6, 7, 8, 10, 15, 60)]
+    docs = [(n, " ".join(["before"] + ["other" if k % 5 == 2 and n != 4 or n == 4 and k == 3 else w for k, w in enumerate(t)] + ["behind"])) for n, t in items]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame([(n, " ".join(t)) for n, t in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_same for r in overlaps(df, tests).collect()}
+
+    def best(d, t):
+        score = lambda s: sum(1 if x else -2 for x in s)
+        same = [x == y for x, y in zip(d.split()[1:], t)]
+        return sum(max((same[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)), key=score))
+
+    want = {(n, n): b for (n, t), (_, d) in zip(items, docs) if (b := best(d, t)) >= min(10, 0.75 * n)}
+    assert got == want and (60, 60) in got and (8, 8) in got and (4, 4) in got
