@@ -8,7 +8,8 @@ item and a document, and along each such offset the longest overlap is taken tha
 substitution worth -`penalty`. It counts if it agrees in at least `least` words, or in `share` of an item's words where
 that is fewer.
 
-Words are runs of letters and digits in lower case (A-Z); signs and white space are passed over. Items of under `shortest` words and null or empty texts overlap with nothing.
+Words are runs of letters and digits in lower case (A-Z), and single code points in scripts that write no spaces between
+words (Han, kana, Thai, Lao, Khmer, Myanmar); signs and white space of any script are passed over. Items of under `shortest` words and null or empty texts overlap with nothing.
 Repeated rows count as one document or item; rows without an id are left out. Without items or documents there are no rows.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.bitmap import bitmap, has_hash, of_hash, without
 from quire.llm.common import texts, written
-from quire.llm.textvec import WORD, Words, keep, lower_ascii, mix, runs, words_and_signs
+from quire.llm.textvec import WORD, Words, code_points, keep, lower_ascii, mix, runs
 
 #: Agreeing words of an overlap's end that masks are made from at most, words of a mask, and stretches that are listed.
 DEEP, WEIGHT, LISTED = 10, 6, 2000
@@ -33,7 +34,7 @@ OVERLAP = "doc_id long, item_id long, doc_word long, item_word int, n_words int,
 
 
 def _runs(column) -> Iterator[tuple[int, int, Words]]:
-    for i, j, w in runs(column, words_and_signs(), lower_ascii()):
+    for i, j, w in runs(column, code_points(), lower_ascii()):
         yield i, j, keep(w, w.kinds == WORD)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -12,7 +14,12 @@ from quire.llm.common import forget
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_PRIME, -1, 1 << 64)
-SPACE, WORD, SIGN = 0, 1, 2
+SPACE, WORD, SIGN, UNSPACED = 0, 1, 2, 3
+#: Fixed value: blocks of scripts that write no spaces between words (Han, kana, Thai, Lao, Khmer, Myanmar).
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3038, 0x303C), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
 
 
 def words_only() -> np.ndarray:
@@ -31,6 +38,47 @@ def words_and_signs() -> np.ndarray:
     return out
 
 
+@lru_cache
+def code_points() -> np.ndarray:
+    """Code points by class: white space, letters, digits and marks, signs, and letters that are words by themselves.
+
+    Up to 0x7F as words_and_signs. Variation selectors and format characters are signs; joiners belong to words.
+    """
+    kinds = {"Z": SPACE, "P": SIGN, "S": SIGN, "Cc": SIGN, "Cf": SIGN}
+    out = np.full(0x110000, WORD, np.uint8)
+    of = [unicodedata.category(chr(i)) for i in range(0x20000)]
+    out[:0x20000] = [kinds.get(c, kinds.get(c[0], WORD)) for c in of]
+    for a, b in _UNSPACED:
+        part = out[a : b + 1]
+        part[part == WORD] = UNSPACED
+    out[0xFE00:0xFE10] = out[0xE0000:0xE1000] = SIGN
+    out[0x85], out[[0x200C, 0x200D]] = SPACE, WORD
+    out[:128] = words_and_signs()[:128]
+    return out
+
+
+def _kinds(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte's class by its code point in UTF-8, and the bytes that begin a code point of class UNSPACED."""
+    kind = classes[data]
+    if not len(wide := np.flatnonzero(data >= 0x80)):
+        return kind, wide
+    kind[wide] = WORD
+    lead = wide[data[wide] >= 0xC0]
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = (data[lead] & (0x7F >> size)).astype(np.int64)
+    rest = []
+    for k in range(1, 4):
+        at = np.minimum(lead + k, len(data) - 1)
+        more = (size > k) & (data[at] & 0xC0 == 0x80)
+        code = np.where(more, code << 6 | data[at] & 0x3F, code)
+        rest.append((at, more))
+    mine = classes[np.minimum(code, len(classes) - 1)]
+    kind[lead] = mine
+    for at, more in rest:
+        kind[at[more]] = mine[more]
+    return kind, lead[mine == UNSPACED]
+
+
 def lower_ascii() -> np.ndarray:
     out = np.arange(256, dtype=np.uint8)
     out[65:91] += 32
@@ -91,12 +139,14 @@ class Words:
 
 
 def split(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, fold: np.ndarray) -> Words:
-    """data: the texts' bytes in a row; bounds: where each begins, and the end."""
+    """data: the texts' bytes in a row; bounds: where each begins, and the end; classes: of the 256 bytes, or of code points."""
     n = len(data)
-    kind = classes[data]
+    kind, alone = (classes[data], None) if len(classes) == 256 else _kinds(data, classes)
     new = np.ones(n, bool)
     np.not_equal(kind[1:], kind[:-1], out=new[1:])
     new[bounds[bounds < n]] = True
+    if alone is not None:
+        new[alone] = True
     edges = np.flatnonzero(new)
     behind = np.append(edges[1:], n)
     real = kind[edges] != SPACE
@@ -105,7 +155,7 @@ def split(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, fold: np.nd
     sums = np.zeros(n + 1, _U)
     np.cumsum((fold[data].astype(_U) + _U(1)) * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return Words(data, bounds, sums, hashes, starts, ends, np.searchsorted(starts, bounds), kind[starts])
+    return Words(data, bounds, sums, hashes, starts, ends, np.searchsorted(starts, bounds), np.where(kind[starts] == UNSPACED, WORD, kind[starts]))
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:

@@ -117,3 +117,27 @@ def test_substituted_items(spark):
 
     want = {(n, n): b for (n, t), (_, d) in zip(items, docs) if (b := best(d, t)) >= min(10, 0.75 * n)}
     assert got == want and (60, 60) in got and (8, 8) in got and (4, 4) in got
+
+
+def test_other_scripts(spark):
+    """Unspaced scripts by code point, and signs and spaces beyond ASCII, in exact and edited copies."""
+    items = [(1, "水は百度で沸騰する。なぜか?"), (2, "ข้าวหอมมะลิมาจากไทย"), (3, "the “quick” brown — fox can’t jump"), (4, "天地玄黄，宇宙洪荒"), (5, "один два три четыре")]
+    docs = [
+        (1, "前置き、水は百度で沸騰する!なぜか。後"), (2, "เขาว่าข้าวหอมมะลิมาจากไทยครับ"), (3, 'so the "quick" brown - fox can\'t jump high'), (4, "書曰天地玄黄宇宙洪荒日月"),
+        (5, "раз　один два…три«четыре»пять"), (6, "天地玄X宇宙洪荒"), (7, "まったく別の文"),
+    ]
+    got = {(r.doc_id, r.item_id) for r in overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 4)}
+
+
+def test_words_of_code_points():
+    import numpy as np
+
+    from quire.llm.textvec import WORD, code_points, lower_ascii, split
+
+    texts = ["a日本b 1", "é—É’x", "", "𠀀𠀁 z y", "x‍y ไทย", "日"]
+    data = "".join(texts).encode()
+    bounds = np.cumsum([0] + [len(t.encode()) for t in texts])
+    w = split(np.frombuffer(data, np.uint8), bounds, code_points(), lower_ascii())
+    got = [[data[w.starts[k] : w.ends[k]].decode() for k in range(a, b) if w.kinds[k] == WORD] for a, b in zip(w.firsts[:-1], w.firsts[1:])]
+    assert got == [["a", "日", "本", "b", "1"], ["é", "É", "x"], [], ["𠀀", "𠀁", "z", "y"], ["x‍y", "ไ", "ท", "ย"], ["日"]]
