@@ -23,7 +23,7 @@ from quire.llm.common import texts
 from quire.llm.labelled import fitted, kept_rows, sample
 from quire.llm.textvec import Words, lower_ascii, mix, runs, words_and_signs
 
-BITS = 22
+BITS = 24
 BEGINNINGS = (4, 5, 6, 7)
 
 
@@ -79,6 +79,16 @@ def ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n: in
     return free[:n], free[n] + np.r_[0.0, np.cumsum(np.exp(free[n + 1 :]))]
 
 
+def _places(keep: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the ascending `keep` of those of x that are in it, and which of x these are."""
+    if not len(keep):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = x.astype(np.int64)
+    at = np.minimum(np.searchsorted(keep, x), len(keep) - 1)
+    held = np.flatnonzero(keep[at] == x)
+    return at[held], held
+
+
 def values_of(n: np.ndarray) -> np.ndarray:
     return 1.0 + np.log(n)
 
@@ -88,21 +98,22 @@ def fit(xs: list[np.ndarray], ns: list[np.ndarray], ys: np.ndarray, least: int =
     none = np.zeros(0)
     if len(set(ys.tolist())) < 2:
         return none.astype(np.int64), none, none
-    count = lambda y: np.bincount(np.concatenate([x for x, v in zip(xs, ys) if (v > 0) == y]), minlength=1 << BITS)
-    toxic, clean = count(True), count(False)
+    keep, toxic = np.unique(np.concatenate([x for x, v in zip(xs, ys) if v > 0]).astype(np.int64), return_counts=True)
+    keep, toxic = keep[toxic >= least], toxic[toxic >= least]
+    clean = np.zeros(len(keep), np.int64)
+    for x, v in zip(xs, ys):
+        if v == 0:
+            clean[_places(keep, x)[0]] += 1  # a row has each feature once
     many, few = (ys > 0).sum(), (ys == 0).sum()
-    keep = np.flatnonzero(toxic >= least)
-    a, b = toxic[keep] + 0.5, clean[keep] + 0.5
+    a, b = toxic + 0.5, clean + 0.5
     odds = np.log(a / (many - a + 1)) - np.log(b / (few - b + 1))
     error = np.sqrt(1 / a + 1 / (many - a + 1) + 1 / b + 1 / (few - b + 1))
     strong = odds - z * error > ratio
     keep, odds = keep[strong], odds[strong]
-    column = np.full(1 << BITS, -1, np.int64)
-    column[keep] = np.arange(len(keep))
     rows, evidence = [], np.zeros(len(xs))
     for i, (x, n) in enumerate(zip(xs, ns)):
-        c = column[x]
-        rows.append((c[c >= 0], values_of(n[c >= 0])))
+        c, held = _places(keep, x)
+        rows.append((c, values_of(n[held])))
         evidence[i] = odds[rows[-1][0]] @ rows[-1][1] if len(rows[-1][0]) else 0.0
     steps = np.quantile(evidence[ys > 0], np.arange(1, grades_of) / grades_of)
     grades = np.where(ys > 0, 1 + np.searchsorted(steps, evidence, "right"), 0)
@@ -110,7 +121,7 @@ def fit(xs: list[np.ndarray], ns: list[np.ndarray], ys: np.ndarray, least: int =
     return keep, weights, thresholds
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 2048, **how) -> bytes:
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 4096, **how) -> bytes:
     """The model, fitted on a bounded sample of the labelled rows."""
 
     def learned(xs, ns, ys):
@@ -125,16 +136,19 @@ def chances_of(model: bytes):
     n, top = np.frombuffer(model, "<i8", 2).tolist() if model else (0, 0)
     at = np.frombuffer(model, "<i8", n, 16) if n else np.zeros(0, np.int64)
     thresholds = np.frombuffer(model, "<f8", top, 16 + 16 * n) if top else np.full(1, np.inf)
-    weight_of = np.zeros(1 << BITS, np.float32)
-    weight_of[at] = np.frombuffer(model, "<f8", n, 16 + 8 * n) if n else 0
+    weights = (np.frombuffer(model, "<f8", n, 16 + 8 * n) if n else np.zeros(0)).astype(np.float32)
+    at, weights = at[weights != 0], weights[weights != 0]
+    near = np.zeros(1 << 16, bool)  # most features are told by their lower bits, before they are looked up
+    near[at & 0xFFFF] = True
 
     def chances(batch, column: int) -> np.ndarray:
         out = [np.zeros((0, len(thresholds)))]
         for i, j, words in runs(batch.column(column), words_and_signs(), lower_ascii()):
             text, feature = features(words)
-            hit = np.flatnonzero(weight_of[feature.astype(np.int64)])  # few words have a weight, so only these are counted
-            keys, count = np.unique((text[hit].astype(np.uint64) << np.uint64(32)) | feature[hit], return_counts=True)
-            z = np.bincount((keys >> np.uint64(32)).astype(np.int64), weight_of[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] * values_of(count), j - i)
+            maybe = np.flatnonzero(near[feature & np.uint64(0xFFFF)])
+            place, held = _places(at, feature[maybe])  # few words have a weight, so only these are counted
+            keys, count = np.unique((text[maybe[held]].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64), return_counts=True)
+            z = np.bincount((keys >> np.uint64(32)).astype(np.int64), weights[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] * values_of(count), j - i)
             out.append(_logistic(z[:, None] - thresholds) * np.isfinite(thresholds))
         return np.concatenate(out)
 
@@ -163,5 +177,5 @@ def keep_clean(docs: DataFrame, model: bytes, reject_at: float = 0.5, text_col:
     return kept_rows(docs, text_col, model, lambda model: (lambda f: lambda batch, column: f(batch, column)[:, 0] < reject_at)(chances_of(model)))
 
 
-def judge(docs: DataFrame, labels: DataFrame, per_class: int = 2048) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, per_class: int = 4096) -> DataFrame:
     return grade(docs, train(docs, labels, per_class=per_class))
