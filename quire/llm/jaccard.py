@@ -30,7 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bitmap import bitmap, has_id, of_id, without
@@ -184,6 +184,40 @@ def prefixes(rows: DataFrame, n: int, percent: int, often: np.ndarray, scan: flo
     return rows.mapInArrow(prefix, "token long, d1 long, d2 long, n_shingles int, level byte, rank int")
 
 
+def in_several(prefixes: DataFrame) -> DataFrame:
+    """The rows of prefixes whose token is in the prefixes of several classes.
+
+    Rows come sorted by their token and are looked at as they pass. Of a token that one class alone has had so far, one
+    row is held until another class comes, so memory is constant, however long a list is.
+    """
+
+    def several(batches):
+        import pyarrow as pa
+
+        held, listed = None, None  # the last token's only class so far; the last token, once it has several
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            token, *kind = (batch.column(i).to_numpy() for i in range(4))
+            opens = np.append(True, token[1:] != token[:-1])
+            first = np.flatnonzero(opens)
+            group = np.cumsum(opens) - 1
+            other = np.zeros(len(token), bool)
+            same = ~opens  # as the row before
+            for x in kind:
+                other |= x != x[first][group]
+                same[1:] &= x[1:] == x[:-1]
+            good = np.logical_or.reduceat(other, first)
+            good[0] |= listed is not None and token[0] == listed
+            listed = token[-1] if good[-1] else None
+            held = None if good[-1] else batch.slice(first[-1], 1)
+            yield batch.filter(pa.array(good[group] & ~same))
+
+    return prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(several, prefixes.schema)
+
+
 def class_sets(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, hashes) of the documents that nodes name; a bitmap keeps most others from being worked on and shuffled."""
     held = rows.sparkSession.sparkContext.broadcast(bitmap(nodes, of_id("node")))
@@ -241,9 +275,7 @@ def duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, stars:
 
     whole = rows.dropna(subset=["doc_id"])
     same = ["d1", "d2", "n_shingles"]
-    by_token = Window.partitionBy("token")
-    shared = prefixes(whole, n, percent, often)
-    shared = shared.withColumn("low", F.min(F.struct(*same)).over(by_token)).withColumn("high", F.max(F.struct(*same)).over(by_token)).filter("low <> high").drop("low", "high")
+    shared = in_several(prefixes(whole, n, percent, often))
     classes = mine.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")).dropna(subset=["node"])
     lists = written(shared.distinct().join(classes, same).select("token", "node", F.col("n_shingles").cast("int").alias("n_shingles"), "level", "rank"), "shingle-lists")
 
@@ -302,11 +334,18 @@ def _stars(lists: DataFrame, labels: DataFrame | None, turn: int, percent: int)
 
 
 def _rest(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): all pairs of different components that match as often as their levels and sizes ask for."""
-    got = _with_components(lists, labels)
+    """(a, b): all pairs of different components that match as often as their levels and sizes ask for.
+
+    A pair that matches `times` times within the first n - least + times of its shingles has the first of these matches
+    within the first n - least + 1. So only these meet in the join, which keeps a group's members apart that have too many
+    shingles of their own in front; the pairs' longer prefixes are then compared before any set is.
+    """
+    got = written(_with_components(lists, labels), "mixed-lists")
     side = lambda s: got.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "level", "rank", "component")))
     times, first, second = _match("n_shingles_a", "n_shingles_b", "level_a", "level_b", percent)
-    near = (F.col("component_a") < F.col("component_b")) & similar_sizes("n_shingles_a", "n_shingles_b", percent) & (F.col("rank_a") < first) & (F.col("rank_b") < second)
-    both = side("a").join(side("b"), "token").filter(near)
-    met = both.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), times.alias("times")).agg(F.count("*").alias("shared"))
-    return met.filter("shared >= times").select("a", "b")
+    near = (F.col("component_a") < F.col("component_b")) & similar_sizes("n_shingles_a", "n_shingles_b", percent) & (F.col("rank_a") <= first - times) & (F.col("rank_b") <= second - times)
+    met = side("a").join(side("b"), "token").filter(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), times.alias("times"), first.alias("first"), second.alias("second")).distinct()
+    mine = got.select(F.col("node").alias("a"), "token", F.col("rank").alias("rank_a"))
+    yours = got.select(F.col("node").alias("b"), "token", F.col("rank").alias("rank_b"))
+    both = met.join(mine, "a").filter(F.col("rank_a") < F.col("first")).join(yours, ["b", "token"]).filter(F.col("rank_b") < F.col("second"))
+    return both.groupBy("a", "b", "times").agg(F.count("*").alias("shared")).filter("shared >= times").select("a", "b")
