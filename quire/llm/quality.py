@@ -2,11 +2,12 @@
 
 Indicators of word n-grams are scaled by the log ratio of their smoothed shares in the two classes, rows are brought to
 length 1, and a linear hinge-loss model is fitted to them by dual coordinate descent. The score is the logistic of the
-margin. Texts are seen as words, signs and their shapes only: labels, language, source and id are no features.
+margin, `steep` times steeper than one unit of margin for one of log odds. Texts are seen as words, signs and their shapes only: labels, language, source and id are no features.
 
 The model is fitted on up to `per_class` labelled rows of each class; every row of docs is scored. Null and empty texts
 have no features and get the model's bias alone; without rows of both classes every score is 0.5. Repeated rows are
-scored one by one, and a null doc_id stays null.
+scored one by one, and a null doc_id stays null. A score of 0.5 counts as good. A text of any length is scored whole, by
+its distinct n-grams. Other columns of docs and labels, whatever their names, are left aside.
 """
 
 from __future__ import annotations
@@ -49,12 +50,12 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([t for t, _ in out]), np.concatenate([f for _, f in out])
 
 
-def fit(xs: list[np.ndarray], ys: np.ndarray, cost: float = 1.0, smoothing: float = 1.0, least: int = 3, epochs: int = 12, seed: int = 0) -> tuple[np.ndarray, float]:
-    """(weight of each feature, bias): hinge loss, dual coordinate descent over the rows in a new order each epoch."""
+def fit(xs: list[np.ndarray], ys: np.ndarray, cost: float = 1.0, smoothing: float = 1.0, least: int = 3, epochs: int = 12, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weight of each feature times its ratio, the ratios, bias): hinge loss, dual coordinate descent over the rows in a new order each epoch."""
     size = 1 << BITS
     weights = np.zeros(size, np.float32)
     if len(set(ys.tolist())) < 2:
-        return weights, 0.0
+        return weights, weights, 0.0
     count = lambda y: np.bincount(np.concatenate([x for x, v in zip(xs, ys) if v == y] or [np.zeros(0, np.int64)]), minlength=size).astype(float)
     good, bad = count(1), count(0)
     seen = good + bad >= least
@@ -79,15 +80,15 @@ def fit(xs: list[np.ndarray], ys: np.ndarray, cost: float = 1.0, smoothing: floa
                 alpha[i], moved = new, max(moved, abs(step))
         if moved < 1e-3:
             break
-    return (w * ratio).astype(np.float32), bias
+    return (w * ratio).astype(np.float32), ratio.astype(np.float32), bias
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class: int = 4096, **how) -> bytes:
     """The model, fitted on a bounded sample of the labelled rows: bias, then 2^BITS weights and 2^BITS squared ratios."""
 
     def learned(xs, _, ys):
-        weights, bias = fit(xs, ys, **how)
-        return np.float64(bias).tobytes() + weights.tobytes()
+        weights, ratios, bias = fit(xs, ys, **how)
+        return np.float64(bias).tobytes() + weights.tobytes() + (ratios * ratios).tobytes()
 
     return fitted(docs, sample(labels, target, per_class), words_and_signs(), lower_ascii(), features, learned)
 
@@ -96,14 +97,14 @@ def scores_of(model: bytes, steep: float = 4.0):
     """A function from a batch and a string column's place to the scores of its rows."""
     known = bool(model)
     bias = float(np.frombuffer(model, "<f8", 1)[0]) if known else 0.0
-    weights = np.frombuffer(model, "<f4", offset=8) if known else np.zeros(1 << BITS, np.float32)
+    weights, squares = np.frombuffer(model, "<f4", offset=8).reshape(2, -1) if known else np.zeros((2, 1 << BITS), np.float32)
 
     def scores(batch, column: int) -> np.ndarray:
         out = [np.zeros(0)]
         for _, i, j, text, feature, _ in featured([batch], words_and_signs(), lower_ascii(), features, column):
-            w = weights[feature].astype(float)
-            total, n = np.bincount(text, w, j - i), np.bincount(text, w != 0, j - i)
-            out.append(1 / (1 + np.exp(-np.clip(steep * (total / np.sqrt(np.maximum(n, 1)) + bias), -500, 500))))
+            total, square = np.bincount(text, weights[feature], j - i), np.bincount(text, squares[feature], j - i)
+            margin = np.divide(total, np.sqrt(square), out=np.zeros(j - i), where=square > 0) + bias  # of the row at length 1, as fitted
+            out.append(1 / (1 + np.exp(-np.clip(steep * margin, -500, 500))))
         return np.concatenate(out)
 
     return scores

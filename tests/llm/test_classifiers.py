@@ -43,13 +43,14 @@ def test_dual_descent_matches_a_plain_solver():
     rng = np.random.default_rng(0)
     xs = [np.unique(rng.integers(0, 30, 8)) for _ in range(80)]
     ys = np.array([int((x < 10).sum() > 2) for x in xs])
-    weights, bias = quality.fit(xs, ys, least=1, epochs=200)
+    weights, ratios, bias = quality.fit(xs, ys, least=1, epochs=200)
     good, bad = (np.bincount(np.concatenate([x for x, y in zip(xs, ys) if y == k]), minlength=30) + 1.0 for k in (1, 0))
     ratio = np.log(good / good.sum() / (bad / bad.sum()))
     rows = np.zeros((80, 30))
     for i, x in enumerate(xs):
         rows[i, x] = ratio[x]
         rows[i] /= np.linalg.norm(rows[i])
+    assert np.allclose(ratios[:30], ratio, atol=1e-5)
     sign = 2 * ys - 1
     loss = lambda w, b: 0.5 * (w @ w + b * b) + np.maximum(0, 1 - sign * (rows @ w + b)).sum()
     mine = loss(np.divide(weights[:30], ratio, out=np.zeros(30), where=ratio != 0), bias)
@@ -72,6 +73,67 @@ def test_quality_held_out(spark):
     assert all(again[r.doc_id] == pytest.approx(r.score) for r in rows)
 
 
+def test_served_margin_is_the_fitted_one():
+    """Scores are the logistic of the margin of the row at length 1, worked out here feature by feature."""
+    import pyarrow as pa
+
+    good, bad = ["calm green river bends slowly past old mills"] * 3, ["buy cheap pills now now click click here"] * 3
+    xs = []
+    for t in good + bad:
+        for _, _, w in runs(pa.array([t]), words_and_signs(), lower_ascii()):
+            xs.append(np.unique(quality.features(w)[1]).astype(np.int64))
+    ys = np.array([1, 1, 1, 0, 0, 0])
+    weights, ratios, bias = quality.fit(xs, ys, least=1)
+    model = np.float64(bias).tobytes() + weights.tobytes() + (ratios * ratios).tobytes()
+    texts = ["calm green pills now", "river click", "", "unseen entirely", good[0] * 50]
+    got = quality.scores_of(model, steep=4.0)(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 0)
+    for t, score in zip(texts, got):
+        f = [np.unique(quality.features(w)[1]).astype(np.int64) for _, _, w in runs(pa.array([t]), words_and_signs(), lower_ascii())][0]
+        row = ratios[f].astype(float)
+        norm = np.sqrt((row**2).sum())
+        plain = np.divide(weights[f], ratios[f], out=np.zeros(len(f)), where=ratios[f] != 0)
+        assert score == pytest.approx(1 / (1 + np.exp(-4 * ((plain @ row / norm if norm else 0.0) + bias))), rel=1e-4)
+
+
+def test_ordinal_matches_a_plain_likelihood():
+    """The cumulative-link fit reaches (nearly) the least penalised loss that slow numeric descent finds, for any start."""
+    rng = np.random.default_rng(5)
+    n, top, m = 4, 3, 120
+    rows, grades = [], []
+    for _ in range(m):
+        c = np.flatnonzero(rng.random(n) < 0.5)
+        v = 1.0 + rng.random(len(c))
+        rows.append((c, v))
+        grades.append(int(np.clip(np.round((v * np.array([0.2, 0.9, 0.0, 0.5])[c]).sum() + rng.normal(0, 0.5)), 0, top)))
+    grades = np.array(grades)
+    weight = np.where(grades > 0, 0.5 / (grades > 0).sum(), 0.5 / (grades == 0).sum())
+
+    def loss(w, thresholds, ridge=3e-4):
+        z = np.array([w[c] @ v for c, v in rows])
+        p = np.c_[np.ones(m), 1 / (1 + np.exp(-(z[:, None] - thresholds))), np.zeros(m)]
+        chance = np.maximum(p[np.arange(m), grades] - p[np.arange(m), grades + 1], 1e-12)
+        return -(weight * np.log(chance)).sum() + 0.5 * ridge * (w @ w)
+
+    w, thresholds = toxicity.ordinal(rows, grades, n, top)
+    assert (np.diff(thresholds) > 0).all() and (w >= 0).all()
+    free, best = np.r_[np.full(n, 0.1), -1.0, 0.0, 0.0], np.inf
+    unpack = lambda x: (np.maximum(x[:n], 0), x[n] + np.r_[0.0, np.cumsum(np.exp(x[n + 1 :]))])
+    step = np.full(len(free), 0.5)
+    for _ in range(600):  # coordinate search, no slopes used
+        for i in range(len(free)):
+            for by in (step[i], -step[i]):
+                tried = free.copy()
+                tried[i] += by
+                if loss(*unpack(tried)) < best:
+                    best, free = loss(*unpack(tried)), tried
+                    break
+            else:
+                step[i] *= 0.7
+        if step.max() < 1e-5:
+            break
+    assert loss(w, thresholds) <= best * 1.01 + 1e-4
+
+
 def test_labels_are_all_that_is_learned_from(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("quality", (quality.held_out() != (labels.quality == 1)).cast("int"))
