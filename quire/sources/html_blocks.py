@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Elements whose content is no text, and elements that end a block.
 DROPPED = frozenset("script style noscript template iframe object embed head".split())
+VOID = frozenset(["embed"])
 BLOCKS = frozenset("p div section article nav aside header footer h1 h2 h3 h4 h5 h6 li ul ol table tr blockquote pre figure body html".split())
 
 
@@ -20,7 +21,7 @@ class _Blocks(HTMLParser):
         self.rows: list[tuple[str, int, str]] = []
         self.open: list[str] = []
         self.text: list[str] = []
-        self.dropped = 0
+        self.dropped: list[str] = []
 
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -30,8 +31,10 @@ class _Blocks(HTMLParser):
         self.text = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in DROPPED:
-            self.dropped += 1
+        if tag in BLOCKS and self.dropped == ["head"]:
+            self.dropped = []  # a head's end may be left out
+        if tag in DROPPED and tag not in VOID:
+            self.dropped.append(tag)
         if tag in BLOCKS:
             self.end_block()
             if tag in ("p", "li") and tag in self.open:
@@ -41,8 +44,8 @@ class _Blocks(HTMLParser):
             self.text.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in DROPPED:
-            self.dropped = max(0, self.dropped - 1)
+        if tag in self.dropped:
+            del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(tag) :]
         if tag in BLOCKS and tag in self.open:
             self.end_block()
             del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]

@@ -77,15 +77,24 @@ def separator(first_line: Column) -> Column:
     return F.when(count(";") > count(","), ";").otherwise(",")
 
 
-def csv_cells(docs: DataFrame, most: int = 2000) -> DataFrame:
-    """(doc_id, row, col, value): the cells of CSV texts, quoted as usual, at most `most` rows of each.
+#: A quoted stretch of a CSV; one that nothing closes ends with the text. All loops are possessive, so no length is too much.
+_QUOTED = r'"(?:[^"]++|"")*+(?:"|\z)'
 
-    A row ends at a line end outside quotes: one that an even number of quotes stands before.
+
+def csv_cells(docs: DataFrame, sep: str | None = None, most: int | None = None) -> DataFrame:
+    """(doc_id, row, col, value): the cells of CSV texts, quoted as usual; sep: None for comma or semicolon, as the first line says.
+
+    A row ends at a line end outside quotes; carriage returns outside quotes are left out. Quotes inside a cell that doesn't
+    begin with one quote what follows too. Null and empty texts have no rows; most: rows of each text to keep, None for all.
     """
-    lines = docs.select("doc_id", F.expr("translate(text, '\\r', '')").alias("text")).withColumn("sep", separator(F.substring_index("text", "\n", 1)))
-    field = r'(?:"(?:[^"]|"")*"|[^"\n])*'
-    rows = lines.select("doc_id", "sep", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?:^|\n)({field})"), 1)).alias("row", "line")).filter(F.col("row") < most)
-    comma, semi = (F.regexp_extract_all("line", F.lit(rf'(?:^|{s})((?:"(?:[^"]|"")*"|[^"{s}])*)'), 1) for s in (",", ";"))
-    cells = rows.select("doc_id", "row", F.posexplode(F.when(F.col("sep") == ";", semi).otherwise(comma)).alias("col", "raw"))
-    value = F.when(F.col("raw").startswith('"'), F.replace(F.regexp_extract("raw", r'(?s)^"(.*)"\s*$', 1), F.lit('""'), F.lit('"'))).otherwise(F.col("raw"))
+    bare = F.regexp_replace("text", rf"({_QUOTED})|\r", "$1")
+    lines = docs.select("doc_id", bare.alias("text"), (F.lit(sep) if sep else separator(F.substring_index("text", "\n", 1))).alias("sep"))
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), "text"), F.lit(rf'\n((?:{_QUOTED}|[^"\n]++)*+)'), 1)
+    whole = F.when(F.element_at(found, -1).isin("", '""'), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    rows = lines.select("doc_id", "sep", F.posexplode(whole).alias("row", "line"))
+    rows = rows if most is None else rows.filter(F.col("row") < most)
+    of = lambda s: F.regexp_extract_all(F.concat(F.lit(s), "line"), F.lit(rf'{s}((?:{_QUOTED}|[^"{s}]++)*+)'), 1)
+    split = of(sep) if sep else F.when(F.col("sep") == ";", of(";")).otherwise(of(","))
+    cells = rows.select("doc_id", "row", F.posexplode(split).alias("col", "raw"))
+    value = F.replace(F.regexp_replace("raw", r'"((?:[^"]++|"")*+)(?:"|\z)', "$1"), F.lit('""'), F.lit('"'))
     return cells.select("doc_id", "row", "col", value.alias("value"))

@@ -121,7 +121,7 @@ def test_lines(spark):
     assert rows(lines.repeated_lines(d)) == [("Head #", 3, 2)]
     assert rows(lines.body_lines(d)) == [(1, 1, "body"), (1, 2, "x"), (2, 1, "other"), (3, 1, "body"), (3, 2, "x")]
     assert rows(lines.joined_glyphs(lines.glyphs(lines.split_lines(d)))) == rows(lines.split_lines(d))
-    assert rows(lines.duplicate_pairs(d, least=2)) == [(1, 2)]
+    assert rows(lines.whole_copies(d, least=2)) == [(1, 2)]
 
 
 def test_formats(spark):
@@ -145,7 +145,8 @@ def packed(**files):
 
 def test_archives(spark):
     w = 'xmlns:w="http://w"'
-    docx = packed(word__document_dot_xml=f'<w:d {w}><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p></w:d>')
+    rels = '<R><Relationship Type="http://x/relationships/officeDocument" Target="/d/main.xml"/></R>'
+    docx = packed(**{"_rels/.rels": rels}, d__main_dot_xml=f'<w:d {w}><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p></w:d>')
     xlsx = packed(xl__sharedStrings_dot_xml="<s><si><t>hi</t></si></s>", xl__worksheets__sheet1_dot_xml='<w><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c></row><row><c r="B5"><v>8</v></c></row></w>')
     epub = packed(o__c_dot_opf='<p><item id="a" href="1.xhtml"/><item id="b" href="2.xhtml"/><itemref idref="b"/><itemref idref="a"/></p>', o__1_dot_xhtml="<p>one</p>", o__2_dot_xhtml="<p>two</p>")
     files = spark.createDataFrame([(1, docx), (2, xlsx), (3, epub), (4, b"broken")], "doc_id long, content binary")
@@ -172,3 +173,51 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([(batch, text)], incremental.DOCUMENTS).write.mode("append").parquet(source)
         incremental.run_once(incremental.line_counts(incremental.documents_stream(spark, source)), out, mark)
     assert rows(incremental.latest(spark, out)) == [("a", 3), ("b", 1), ("c", 1)]
+
+
+def test_long_cells_and_groups(spark):
+    """Sizes that patterns with loops over alternatives could not take."""
+    big = "x" * 1_000_000
+    texts = [(1, f'"{big}",b\n"a""{big}"\n'), (2, f"{big},{big}"), (3, '"open, to the end\nof the text'), (4, "\n\na"), (5, ""), (6, None), (7, 'x"y,"z,"\r\nb')]
+    cells = {}
+    for r in text_formats.csv_cells(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        cells.setdefault(r.doc_id, {})[r.row, r.col] = r.value
+    assert cells[1] == {(0, 0): big, (0, 1): "b", (1, 0): 'a"' + big} and cells[2] == {(0, 0): big, (0, 1): big}
+    assert cells[3] == {(0, 0): "open, to the end\nof the text"} and cells[4] == {(0, 0): "", (1, 0): "", (2, 0): "a"} and not {5, 6} & set(cells)
+    assert cells[7] == {(0, 0): "xy,z", (0, 1): "\r\nb"}
+    many = spark.createDataFrame([(1, "\n".join(f"{i};2" for i in range(3000)))], "doc_id long, text string")
+    assert text_formats.csv_cells(many).count() == 6000 and text_formats.csv_cells(many, most=10).count() == 20
+    rtf = [(1, r"{\rtf1{\pict " + "0a" * 500_000 + r"}a\par " + "{" * 3000 + r"b" + "}" * 3000 + r"\u8364?\'e9}"), (2, None), (3, r"{\rtf1\ansicpg949{\*\x y}\'b0\'a1}")]
+    assert [r.text for r in archives.rtf_text(spark.createDataFrame(rtf, "doc_id long, content string")).orderBy("doc_id").collect()] == ["a\nb€é", None, "가"]
+    lines = spark.createDataFrame([("." * 20_000,), ("T " + "." * 20_000 + " 7",), (" " * 100_000 + "x" + " " * 100_000 + "y" + " " * 9,)], "text string")
+    got = lines.select(S.toc_entry("text").alias("e"), F.length(S.digits_masked("text")).alias("n")).collect()
+    assert [r.e and (r.e.title, r.e.page) for r in got] == [None, ("T", "7"), None] and got[2].n == 100_002
+
+
+def test_damaged_files(spark):
+    import struct
+
+    good = packed(a_dot_xml="<a/>", b_dot_xml="<b><t>x</t></b>")
+    bad = bytearray(good)
+    at = bad.index(b"<b>") if b"<b>" in bad else struct.unpack("<I", b"\0\0\0\0")[0] + 60
+    bad[at] ^= 0xFF
+    files = spark.createDataFrame([(1, good), (2, bytes(bad)), (3, b""), (4, None), (5, good[: len(good) // 2])], "doc_id long, content binary")
+    names = {}
+    for r in archives.members(files).collect():
+        names.setdefault(r.doc_id, set()).add(r.name)
+    assert names[1] == {"a.xml", "b.xml"} and set(names) <= {1, 2}
+    broken = packed(**{"_rels/.rels": "<R>", "x.opf": "<p", "xl/worksheets/sheet1.xml": "<w><row>", "content.xml": "<not", "ppt/slides/slide1.xml": ""})
+    one = spark.createDataFrame([(1, broken)], "doc_id long, content binary")
+    for read in (archives.docx_blocks, archives.odt_blocks, archives.pptx_blocks, archives.xlsx_cells, archives.epub_chapters):
+        assert read(one).collect() == []
+    odt = packed(content_dot_xml='<d xmlns:t="u"><t:h t:outline-level="2">H</t:h><t:p>a<t:s/>b</t:p></d>')
+    pptx = packed(ppt__slides__slide2_dot_xml="<s><p><t>two</t></p></s>", ppt__slides__slide10_dot_xml="<s><p><t>ten</t></p><p/></s>")
+    both = spark.createDataFrame([(1, odt), (2, pptx)], "doc_id long, content binary")
+    assert [(r.kind, r.level, r.text) for r in archives.odt_blocks(both).orderBy("block_no").collect()] == [("heading", 2, "H"), ("paragraph", 0, "a b")]
+    assert [(r.slide, r.text) for r in archives.pptx_blocks(both).orderBy("slide").collect()] == [(2, "two"), (10, "ten")]
+
+
+def test_elements_without_an_end(spark):
+    pages = [(1, "<p>a</p><embed><p>b</p>"), (2, "<head><title>t</title><body><p>c</p>"), (3, "<p>a<script>x</script></p><object><p>no</p></object>d"), (4, "</iframe>e")]
+    got = html_blocks.html_blocks(spark.createDataFrame(pages, "page_id long, html string")).orderBy("page_id", "block_no").collect()
+    assert [(r.page_id, r.text) for r in got] == [(1, "a"), (1, "b"), (2, "c"), (3, "a"), (3, "d"), (4, "e")]
