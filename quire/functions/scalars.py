@@ -1,4 +1,8 @@
-"""Column functions on text, colours and boxes. All stay inside generated code; white space is always spelled out."""
+"""Column functions on text, colours and boxes, of built-in functions alone; white space is always spelled out.
+
+Patterns loop possessively or over single classes, so that no text is too long for them, and edges are found by a look
+behind, so that runs of white space inside a text are passed once.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +40,17 @@ def script_share(text: Column | str, *kinds: str) -> Column:
 
 
 def trimmed(text: Column | str) -> Column:
-    return F.regexp_replace(_c(text), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(_c(text), rf"^{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+
+
+def has_ink(text: Column | str) -> Column:
+    """Whether a text is more than white space."""
+    return _c(text).rlike(f"[^{SPACE[1:]}")
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def digits_masked(text: Column | str) -> Column:
@@ -46,7 +60,7 @@ def digits_masked(text: Column | str) -> Column:
 
 def word_core(token: Column | str) -> Column:
     """A token without soft hyphens and edge punctuation."""
-    return F.regexp_replace(F.regexp_replace(_c(token), "­", ""), rf"^{EDGE}+|{EDGE}+\z", "")
+    return F.regexp_replace(F.regexp_replace(_c(token), "­", ""), rf"^{EDGE}++|(?<!{EDGE}){EDGE}++\z", "")
 
 
 def stem(token: Column | str) -> Column:
@@ -86,42 +100,40 @@ def _place(row: str, one: Column) -> Column:
     return F.call_function("instr", F.lit(row), one)
 
 
+#: The signs and letters that list marks are made of.
 BULLETS = "•●○◦▪■□◆◇▶▷►‣★☆※\\-–"
-
-
-def _mark_forms() -> list[tuple[str, str, str, bool, bool]]:
-    """Kind, pattern, shape of the key, whether the number is written in digits, whether a closing sign follows."""
-    space = "[ \\u00a0]"
-    return [
-        ("b", rf"^([{BULLETS}]){space}+(?=\S)", "", False, False),
-        ("n", rf"^([0-9]{{1,2}})([.)]){space}+(?=\S)", "9", True, True),
-        ("n", rf"^\(([0-9]{{1,2}})\){space}*(?=\S)", "(9)", True, False),
-        ("n", rf"^([①-⑳]){space}*(?=\S)", "①", False, False),
-        ("n", rf"^([가나다라마바사아자차카타파하])([.)]){space}+(?=\S)", "가", False, True),
-        ("n", rf"^([a-h])([.)]){space}+(?=\S)", "a", False, True),
-        ("n", rf"^([A-H])([.)]){space}+(?=\S)", "A", False, True),
-    ]
+_SPACE = "[ \\u00a0]"
+_MARK = (
+    rf"^(?:[{BULLETS}]{_SPACE}++|[0-9]{{1,2}}[.)]{_SPACE}++|\([0-9]{{1,2}}\){_SPACE}*+|[①-⑳]{_SPACE}*+"
+    rf"|[가나다라마바사아자차카타파하a-hA-H][.)]{_SPACE}++)(?=\S)"
+)
 
 
 def is_list_line(text: Column | str) -> Column:
     """Whether a line begins with a list mark."""
-    return reduce(lambda x, y: x | y, (_c(text).rlike(f[1]) for f in _mark_forms()))
+    return _c(text).rlike(_MARK)
 
 
 def list_mark(text: Column | str) -> Column:
-    """struct(kind, key, value, length) of the mark a line begins with: b for bullets, n for numbers; null where there is none."""
-    t = _c(text)
-    out = F.lit(None).cast("struct<kind:string,key:string,value:int,length:int>")
-    for kind, pattern, shape, digits, closed in reversed(_mark_forms()):
-        one = F.regexp_extract(t, pattern, 1)
-        value = F.lit(None).cast("int") if kind == "b" else one.try_cast("int") if digits else mark_order(one).cast("int")
-        key = F.concat(F.lit("b"), one) if kind == "b" else F.concat(F.lit("n" + shape), F.regexp_extract(t, pattern, 2) if closed else F.lit(""))
-        found = F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), F.length(F.regexp_extract(t, pattern, 0)).alias("length"))
-        out = F.when(t.rlike(pattern), found).otherwise(out)
-    return out
+    """struct(kind, key, value, length) of the mark a line begins with: b for bullets, n for numbers; null where there is none.
 
+    The key is the mark's shape, so that marks of one list have the same: b and the bullet, or n, what stands for the
+    number, and the sign behind it.
+    """
 
-TOC = r"([.·…‥・_][ ]*){4,}([0-9]{1,4}|[ivxlcIVXLC]{1,6})[ ]*$"
+    def of(mark: Column) -> Column:
+        core, bare = F.regexp_extract(mark, r"^\(?([^.)\s\u00a0]+)", 1), F.rtrim(F.replace(mark, F.lit("\u00a0"), F.lit(" ")))
+        bullet = core.rlike(rf"^[{BULLETS}]\z")
+        key = F.when(bullet, F.concat(F.lit("b"), core)).otherwise(F.concat(F.lit("n"), mark_shape(bare)))
+        value = F.when(~bullet, mark_order(core).cast("int"))
+        found = F.struct(F.when(bullet, "b").otherwise("n").alias("kind"), key.alias("key"), value.alias("value"), F.length(mark).alias("length"))
+        return F.when(mark != "", found)
+
+    return let(F.regexp_extract(_c(text), _MARK, 0), of)
+
+
+#: Dot leaders, then a page number.
+TOC = r"(?<![.·…‥・_][ ]{0,9})(?:[.·…‥・_][ ]*+){4,}+([0-9]{1,4}|[ivxlcIVXLC]{1,6})[ ]*$"
 
 
 def is_toc_line(text: Column | str) -> Column:
@@ -217,3 +229,90 @@ def page_list(raw: Column | str) -> Column:
 
 def is_good_url(url: Column | str) -> Column:
     return _c(url).rlike(r"^https?://[^\s/?#]+\.[^\s]+$")
+
+
+def same_list_next(before: Column | str, mark: Column | str) -> Column:
+    """Whether a mark follows another in one list: the same shape and the next place, or the same bullet."""
+    a, b = _c(before), _c(mark)
+    x, y = mark_order(a), mark_order(b)
+    return (mark_shape(a) == mark_shape(b)) & F.when(x.isNull() & y.isNull(), a == b).otherwise(F.coalesce(y == x + 1, F.lit(False)))
+
+
+def decoded_entities(text: Column | str) -> Column:
+    """Text with the references of HTML that a plain text needs (amp, lt, gt, quot, #39, numbers) as characters; all others,
+    and numbers that are no character, stay as they are."""
+    named = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "#39": "'"}
+
+    def one(part: Column) -> Column:
+        head = F.lower(F.regexp_extract(part, r"^([A-Za-z]+|#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7});", 1))
+        code = F.when(head.startswith("#x"), F.conv(F.substring(head, 3, 8), 16, 10).cast("long")).when(head.startswith("#"), F.substring(head, 2, 8).cast("long"))
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.regexp_replace(part, "^[^;]*;", "")
+        out = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.concat(sign, rest))
+        for name, value in reversed(named.items()):
+            out = F.when(head == name, F.concat(F.lit(value), rest)).otherwise(out)
+        return F.coalesce(out, F.concat(F.lit("&"), part))
+
+    def all_of(parts: Column) -> Column:
+        return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+
+    return let(F.split(_c(text), "&"), all_of)
+
+
+def _family(name: Column) -> Column:
+    """A font's name without the six letters of a subset."""
+    return F.regexp_replace(name, r"^[A-Z]{6}\+", "")
+
+
+def is_bold_font(name: Column | str) -> Column:
+    """Whether a font's name says that it is bold."""
+    n = _family(_c(name))
+    return n.rlike("(?i)bold|black|heavy|semibold|extrabold|굵") | n.rlike(r"[a-z](?:B|EB|XB|SB|Bd|Bk)\z") | n.rlike(r"(?i)[-_ ](?:B|EB|XB|SB)\z")
+
+
+def font_css(name: Column | str) -> Column:
+    """The CSS font list for a font's name: the family, with spaces too, and fonts of its kind."""
+    n = F.coalesce(_c(name), F.lit(""))
+    base = F.regexp_replace(_family(n), r"[-,](Bold|Regular|Medium|Light|SemiBold|ExtraBold|Italic|[a-z]{1,2}[A-Z][a-z]+).*\z", "")
+    quoted = lambda x: F.when(x != "", F.concat(F.lit('"'), x, F.lit('"')))
+    # Names of serif fonts, and what stands in for both kinds.
+    serif = n.rlike("(?i)myeong|batang|serif|book|명조|바탕|gowun|times|mincho")
+    kind = F.when(serif, '"Noto Serif KR","Noto Serif CJK KR","Nanum Myeongjo","Batang",serif').otherwise('"Noto Sans KR","Noto Sans CJK KR","Nanum Gothic","Malgun Gothic",sans-serif')
+    return F.concat_ws(",", quoted(base), quoted(F.regexp_replace(base, "([a-z])([A-Z])", "$1 $2")), kind)
+
+
+def result_at(data: Column | str, path: str = "") -> Column:
+    """The text at a dotted path of a JSON text; without a path, at the usual places of an answer, else the JSON as it is."""
+    at = lambda p: F.get_json_object(_c(data), "$." + p)
+    if path:
+        return at(".".join(p for p in path.split(".") if p))
+    usual = ("output", "result", "text", "message", "data.output", "data.text")  # fixed values
+    return F.coalesce(*(at(p) for p in usual), _c(data))
+
+
+def filled(template: Column | str, **values: Column) -> Column:
+    """A template with {{name}} filled in; one that names no text gets it at its end."""
+    t, text = _c(template), values.get("text", F.lit(""))
+    whole = F.when(t.contains("{{text}}"), t).otherwise(F.concat(t, F.lit("\n\n"), text))
+    return reduce(lambda x, kv: F.replace(x, F.lit("{{%s}}" % kv[0]), F.coalesce(kv[1].cast("string"), F.lit(""))), values.items(), whole)
+
+
+def svg_size(svg: Column | str) -> Column:
+    """struct(width, height) of an SVG: its view box, else its attributes, else those of a page (595 by 842)."""
+    tag = F.regexp_extract(_c(svg), r"(?i)<svg\b[^>]*>", 0)
+    box = r"""(?i)\bviewBox=["']\s*[0-9.+-]+\s+[0-9.+-]+\s+([0-9.+-]+)\s+([0-9.+-]+)["']"""
+    pick = lambda i, name, usual: F.coalesce(*(F.nullif(F.regexp_extract(tag, p, k).try_cast("double"), F.lit(0.0)) for p, k in ((box, i), (rf"""(?i)\b{name}=["']([0-9.+-]+)""", 1))), F.lit(usual))
+    return F.struct(pick(1, "width", 595.0).alias("width"), pick(2, "height", 842.0).alias("height"))
+
+
+def word_at(text: Column | str, at: Column) -> Column:
+    """struct(start, length) of the word (letters, digits, _) around a place of a text, or right before it; null where none is."""
+    t = _c(text)
+    at = F.least(at, F.length(t))
+    left = F.length(F.regexp_extract(F.left(t, at), r"[\p{L}\p{N}_]*\z", 0))
+    right = F.length(F.regexp_extract(F.substring(t, at + 1, F.length(t)), r"^[\p{L}\p{N}_]*", 0))
+    return F.when(left + right > 0, F.struct((at - left).alias("start"), (left + right).alias("length")))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))

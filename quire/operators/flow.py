@@ -55,18 +55,16 @@ def _when(cases: list[tuple[Column, Column]], rest: Column) -> Column:
 
 
 def paragraphs(lines: DataFrame, joins: DataFrame) -> DataFrame:
-    """(doc_id, para_no, first_line, n_lines, text): lines joined as their seams say, a new paragraph at each para."""
-    kinds = lines.join(joins.select("doc_id", "line_no", "kind"), ["doc_id", "line_no"], "left")
-    numbered = kinds.withColumn("para_no", F.sum(F.when(F.col("kind") == "para", 1).otherwise(0)).over(_order()))
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "kind", "text")))
-
-    def add(text: Column, row: Column) -> Column:
-        glue = F.when(row["kind"] == "space", F.concat(text, F.lit(" "), row["text"])).when(row["kind"] == "hyphen-drop", F.concat(F.regexp_replace(text, "-\\z", ""), row["text"]))
-        return F.when(row["line_no"] == F.lit(-1), text).otherwise(F.coalesce(glue, F.concat(text, row["text"])))
+    """(doc_id, para_no, first_line, n_lines, text): lines joined as their seams say, a new paragraph at each para.
 
-    grouped = numbered.groupBy("doc_id", "para_no").agg(rows.alias("rows"))
-    text = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), F.get("rows", 0)["text"], add)
-    return grouped.select("doc_id", "para_no", F.get("rows", 0)["line_no"].alias("first_line"), F.size("rows").alias("n_lines"), text.alias("text"))
+    What stands behind a line follows from the next seam, so each line is a piece and a paragraph the pieces in a row.
+    """
+    kinds = lines.join(joins.select("doc_id", "line_no", "kind"), ["doc_id", "line_no"], "left")
+    after = F.lead("kind").over(_order())
+    piece = F.when(after == "space", F.concat("text", F.lit(" "))).when(after == "hyphen-drop", F.regexp_replace("text", "-\\z", "")).otherwise(F.col("text"))
+    numbered = kinds.withColumn("piece", piece).withColumn("para_no", F.sum(F.when(F.col("kind") == "para", 1).otherwise(0)).over(_order()))
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "piece")))
+    return numbered.groupBy("doc_id", "para_no").agg(F.min("line_no").alias("first_line"), F.count("*").cast("int").alias("n_lines"), F.array_join(F.transform(rows, lambda r: r["piece"]), "").alias("text"))
 
 
 def kept_whole(lines: DataFrame, paras: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.scalars import box_area, nearest_rank, overlap_area
+from quire.functions.scalars import box_area, half_up, nearest_rank, overlap_area
+from quire.operators.ranks import at_ranks
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -42,14 +43,20 @@ def mostly_inside(parts: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def following_line(figures: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, box_id, before_line): the first line of the page below a figure's top and beside it in x; else the line
-    after the page's last one, or the next page's first."""
-    over = (F.col("oy") > F.col("b_y0")) & (F.col("x0") < F.col("b_x1")) & (F.col("x1") > F.col("b_x0"))
+    """(doc_id, box_id, before_line): the first line of the page that begins below a figure's top and meets it in x; else the
+    line after the page's last one; on a page without lines, the first line of a later page, or the end of the document.
+    A document without lines has null."""
+    over = (F.col("oy") - F.col("size") > F.col("b_y0")) & (F.col("x0") < F.col("b_x1")) & (F.col("x1") > F.col("b_x0"))
     boxes = _prefixed(figures, "b_", "box_id")
     direct = boxes.join(lines, ["doc_id", "page"]).filter(over).groupBy("doc_id", F.col("b_box_id").alias("box_id")).agg(F.min("line_no").alias("direct"))
-    pages = lines.groupBy("doc_id", "page").agg((F.max("line_no") + 1).alias("after"))
-    out = figures.select("doc_id", "page", "box_id").join(direct, ["doc_id", "box_id"], "left").join(pages, ["doc_id", "page"], "left")
-    return out.select("doc_id", "box_id", F.coalesce("direct", "after").alias("before_line"))
+    pages = lines.groupBy("doc_id", "page").agg(F.min("line_no").alias("first"), (F.max("line_no") + 1).alias("after"))
+    ends = pages.groupBy("doc_id").agg(F.max("after").alias("end"))
+    # each figure's page and the pages with lines in one order: the next page with lines is the next first line
+    asked = figures.select("doc_id", "page").distinct().join(pages, ["doc_id", "page"], "full_outer")
+    later = Window.partitionBy("doc_id").orderBy("page").rowsBetween(1, Window.unboundedFollowing)
+    known = asked.withColumn("next", F.first("first", ignorenulls=True).over(later))
+    out = figures.select("doc_id", "page", "box_id").join(direct, ["doc_id", "box_id"], "left").join(known, ["doc_id", "page"], "left").join(ends, "doc_id", "left")
+    return out.select("doc_id", "box_id", F.coalesce("direct", "after", "next", "end").alias("before_line"))
 
 
 def nearest_left(cells: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -77,8 +84,7 @@ def column_measures(lines: DataFrame, body: float = 10.0) -> DataFrame:
     """
     tol = body * 0.12
     edges = lines.groupBy("doc_id", "x1").agg(F.count("*").alias("k"))
-    other = edges.select("doc_id", F.col("x1").alias("e"), F.col("k").alias("m"))
-    near = edges.join(other, "doc_id").filter(F.abs(F.col("x1") - F.col("e")) <= tol).groupBy("doc_id", "x1").agg(F.sum("m").alias("n_near"))
+    near = edges.withColumn("n_near", F.expr(f"sum(k) OVER (PARTITION BY doc_id ORDER BY x1 RANGE BETWEEN {tol}D PRECEDING AND {tol}D FOLLOWING)"))
     best = near.groupBy("doc_id").agg(F.max(F.struct("n_near", "x1")).alias("b")).select("doc_id", F.col("b.x1").alias("best_x"), F.col("b.n_near").alias("best_n"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     step = lines.withColumn("d", F.col("line_no") * 12.0 - F.lag(F.col("line_no") * 12.0).over(w)).join(best, "doc_id")
@@ -114,8 +120,10 @@ def line_gaps(chars: DataFrame) -> DataFrame:
 def space_width(gaps: DataFrame, loose: str = "loose", body: float = 10.0) -> DataFrame:
     """(doc_id, space): the natural width of a space: the median of gaps (doc_id, gap, loose) in loose lines if there are
     five, else a low rank of all if there are five, else a quarter of the body; between 0.15 and 0.5 of the body."""
-    both = gaps.groupBy("doc_id").agg(F.median(F.when(F.col(loose), F.col("gap"))).alias("mid"), F.count_if(loose).alias("k"), F.array_sort(F.collect_list("gap")).alias("all"))
-    value = F.when(F.col("k") >= 5, F.col("mid")).when(F.size("all") >= 5, nearest_rank(F.col("all"), 0.15)).otherwise(body * 0.25)
+    low = at_ranks(gaps, ["doc_id"], "gap", low=lambda n: half_up((n - 1) * 0.15))
+    mid = gaps.filter(loose).groupBy("doc_id").agg(F.median("gap").alias("mid"), F.count("gap").alias("k"))
+    both = low.join(mid, "doc_id", "left")
+    value = F.when(F.col("k") >= 5, F.col("mid")).when(F.col("n") >= 5, F.col("low")).otherwise(body * 0.25)
     return both.select("doc_id", F.least(F.greatest(value, F.lit(body * 0.15)), F.lit(body * 0.5)).alias("space"))
 
 

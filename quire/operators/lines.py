@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scalars import digits_masked
+from quire.functions.scalars import digits_masked, has_ink
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -25,14 +25,18 @@ def joined_glyphs(chars: DataFrame) -> DataFrame:
     return chars.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(ordered, lambda g: g["c"]), "").alias("text"))
 
 
+def _norms(docs: DataFrame, *more: str) -> DataFrame:
+    """(more, norm): each document's distinct lines with digits left aside, those of white space alone left out."""
+    inked = F.filter(F.split("text", "\n"), has_ink)
+    return docs.select(*more, F.explode(F.array_distinct(F.transform(inked, digits_masked))).alias("norm"))
+
+
 def repeated_lines(docs: DataFrame, least: int = 2) -> DataFrame:
     """(norm, n_docs, n_texts): lines that stand in at least `least` documents of different texts, digits left aside.
 
     That a document is copied whole is no evidence for its lines, so equal texts count once.
     """
-    lines = split_lines(docs.select("doc_id", "text")).select("doc_id", digits_masked("text").alias("norm")).filter("norm <> ''")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("of"))
-    per_text = lines.join(texts, "doc_id").groupBy("norm", "of").agg(F.count_distinct("doc_id").alias("n"))
+    per_text = _norms(docs.select("text", F.xxhash64("text").alias("of")), "of").groupBy("norm", "of").agg(F.count("*").alias("n"))
     return per_text.groupBy("norm").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_texts")).filter(F.col("n_texts") >= least)
 
 
@@ -42,16 +46,45 @@ def body_lines(docs: DataFrame, least: int = 2) -> DataFrame:
     return lines.join(repeated_lines(docs, least).select("norm"), "norm", "left_anti").select("doc_id", "line_no", "text")
 
 
-def duplicate_pairs(docs: DataFrame, least: int = 3, shortest: int = 4) -> DataFrame:
+def repeats_by_source(docs: DataFrame) -> DataFrame:
+    """(source, n_docs, n_lines, n_repeated): documents and lines of each source, and its lines that other documents have too."""
+    lines = docs.select("doc_id", "source", F.explode(F.filter(F.split("text", "\n"), has_ink)).alias("text")).select("doc_id", "source", digits_masked("text").alias("norm"))
+    counted = lines.groupBy("norm", "source", "doc_id").agg(F.count("*").alias("n"))  # a line that very many documents have is a row for each from here on
+    seen = counted.groupBy("norm").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("norm")
+    marked = counted.join(seen.withColumn("repeated", F.lit(True)), "norm", "left")
+    return marked.groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.sum("n").alias("n_lines"), F.sum(F.when(F.col("repeated"), F.col("n")).otherwise(0)).alias("n_repeated"))
+
+
+def whole_copies(docs: DataFrame, least: int = 3, shortest: int = 4) -> DataFrame:
     """(first_id, n_docs): documents whose lines are all the same, by their smallest id; `least` lines of `shortest` characters."""
     lines = split_lines(docs).filter(F.length("text") >= shortest)
     whole = lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line_no", "text").cast("decimal(38,0)")).alias("mark"))
     return whole.filter(F.col("n") >= least).groupBy("n", "mark").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs")).filter("n_docs > 1").select("first_id", "n_docs")
 
 
-def repeated_at_place(lines: DataFrame, longest: int = 40, steps: int = 32) -> DataFrame:
-    """(doc_id, line_no): short lines that another document has in the same of `steps` equal parts of its height."""
-    height = F.greatest(F.max("line_no").over(Window.partitionBy("doc_id")), F.lit(1))
-    placed = lines.withColumn("step", F.floor(F.col("line_no") * steps / (height + 1))).filter(F.length("text").between(1, longest))
-    shared = placed.groupBy("text", "step").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("text", "step")
-    return placed.join(shared, ["text", "step"], "left_semi").select("doc_id", "line_no")
+def duplicate_pages(lines: DataFrame, least: int = 3, shortest: int = 4, apart: float = 8.0, margin: float = 0.12) -> DataFrame:
+    """(doc_id, page_a, page_b): pages of a document with `least` body lines of page a, `shortest` characters or more, that
+    page b has too, less than `apart` higher or lower. lines: doc_id, page, line_no, text, oy, page_h; body lines stand
+    outside both margins."""
+    body = lines.filter((F.length("text") >= shortest) & F.col("oy").between(F.col("page_h") * margin, F.col("page_h") * (1 - margin)))
+    side = lambda s: body.select("doc_id", "text", *(F.col(c).alias(f"{c}_{s}") for c in ("page", "line_no", "oy")))
+    twins = side("a").join(side("b"), ["doc_id", "text"]).filter((F.col("page_a") < F.col("page_b")) & (F.abs(F.col("oy_a") - F.col("oy_b")) < apart))
+    met = twins.groupBy("doc_id", "page_a", "page_b").agg(F.count_distinct("line_no_a").alias("n"))
+    return met.filter(F.col("n") >= least).select("doc_id", "page_a", "page_b")
+
+
+def repeated_at_place(paras: DataFrame, longest: int = 40, near: float = 0.03) -> DataFrame:
+    """(doc_id, page, para): short paragraphs that another page of the document has at nearly the same relative place, or at
+    its mirror image in x. paras: doc_id, page, para, text, cx, cy (centre by page size, 0 to 1). Numbers of up to four
+    digits are alike; white space is left aside.
+
+    Places are joined by cells as wide as the reach, each with its neighbours, and by text, so only near ones meet.
+    """
+    bare = F.regexp_replace("text", r"\s+", "")
+    digits = bare.rlike(r"^[0-9]{1,4}\z")
+    rows = paras.select("doc_id", "page", "para", "cx", "cy", F.when(digits, "0").otherwise(bare).alias("key")).filter(F.length("key").between(1, longest))
+    cell = F.floor(F.col("cy") / near)
+    mine = rows.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    other = rows.select("doc_id", "key", cell.alias("cell"), F.col("page").alias("q"), F.col("cx").alias("qx"), F.col("cy").alias("qy"))
+    close = (F.abs(F.col("cy") - F.col("qy")) < near) & ((F.abs(F.col("cx") - F.col("qx")) < near) | (F.abs(F.col("cx") - 1 + F.col("qx")) < near))
+    return mine.join(other, ["doc_id", "key", "cell"]).filter((F.col("page") != F.col("q")) & close).select("doc_id", "page", "para").distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scalars import PARTICLES, floor_quantile, stem, upper_median, word_core
+from quire.functions.scalars import PARTICLES, stem, word_core
+from quire.operators.ranks import at_ranks
 
 
 def line_tokens(lines: DataFrame) -> DataFrame:
@@ -15,13 +16,22 @@ def line_tokens(lines: DataFrame) -> DataFrame:
     return each.select("doc_id", "line_no", "pos", "n", word_core("raw").alias("token"))
 
 
+def token_counts(lines: DataFrame) -> DataFrame:
+    """(token, n_all, n_inner): occurrences of each token anywhere, and not at a line's ends.
+
+    Parts are counted as they stand; only the distinct ones are cut to their cores and counted again.
+    """
+    parts = lines.select(F.split("text", "[ \t]").alias("parts")).select(F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "raw"))
+    raw = parts.filter("raw <> ''").groupBy("raw").agg(F.count("*").alias("n_all"), F.count_if(F.col("pos").between(1, F.col("n") - 2)).alias("n_inner"))
+    return raw.groupBy(word_core("raw").alias("token")).agg(F.sum("n_all").alias("n_all"), F.sum("n_inner").alias("n_inner")).filter("token <> ''")
+
+
 def dictionary(lines: DataFrame) -> DataFrame:
     """(token, n_all, n_inner, n_stem): occurrences anywhere, not at a line's ends, and of inner tokens with this stem.
 
     A line's first and last parts may be cut by the line's end, so they don't count as inner tokens.
     """
-    tokens = line_tokens(lines).filter("token <> ''").withColumn("inner", F.col("pos").between(1, F.col("n") - 2))
-    counted = tokens.groupBy("token").agg(F.count("*").alias("n_all"), F.count_if("inner").alias("n_inner"))
+    counted = token_counts(lines)
     stems = counted.filter("n_inner > 0").groupBy(stem("token").alias("token")).agg(F.sum("n_inner").alias("n_stem"))
     out = counted.join(stems, "token", "full_outer")
     return out.select("token", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_all", "n_inner", "n_stem")))
@@ -39,7 +49,8 @@ def space_rates(lines: DataFrame) -> DataFrame:
 
     Pairs with a sign on either side are left out.
     """
-    grams = lines.filter(F.length("text") > 1).select(F.explode(F.expr("transform(sequence(1, length(text) - 1), i -> substring(text, i, 2))")).alias("g"))
+    signs = lines.filter(F.length("text") > 1).select(F.split("text", "").alias("c"))
+    grams = signs.select(F.explode(F.expr("zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> concat(a, b))")).alias("g"))
     counted = grams.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("g").rlike(r"^[\p{L}\p{N} ]{2}\z"))
     side = lambda at, other: counted.filter(F.substring("g", at, 1) != " ").groupBy(F.substring("g", at, 1).alias("c")).agg(F.sum("n").alias("n"), F.sum(F.when(F.substring("g", other, 1) == " ", F.col("n")).otherwise(0)).alias("spaced"))
     after, before = side(1, 2), side(2, 1)
@@ -60,16 +71,15 @@ def spacing_scale(gaps: DataFrame, enough: int = 15) -> DataFrame:
 
     gaps: doc_id, p (chance of a space), g (gap by height), src. Few observations give the usual 0.5 and 0.33.
     """
-    kinds = gaps.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("src") == "model", F.col("g")))).alias("w"),
-        F.array_sort(F.collect_list(F.when(F.col("src").isNull() & (F.col("p") < 0.01), F.col("g")))).alias("s"),
-    )
-    return kinds.select("doc_id", F.when(F.size("w") >= enough, upper_median(F.col("w"))).otherwise(0.5).alias("word"), F.when(F.size("s") >= enough, floor_quantile(F.col("s"), 0.9)).otherwise(0.33).alias("syllable"))
+    kind = F.when(F.col("src") == "model", "word").when(F.col("src").isNull() & (F.col("p") < 0.01), "syllable")
+    ranked = at_ranks(gaps.select("doc_id", kind.alias("kind"), "g"), ["doc_id", "kind"], "g", word=lambda n: F.floor(n / 2), syllable=lambda n: F.least(n - 1, F.floor(n * 0.9)))
+    pick = lambda k, usual: F.coalesce(F.max(F.when((F.col("kind") == k) & (F.col("n") >= enough), F.col(k))), F.lit(usual)).alias(k)
+    return ranked.groupBy("doc_id").agg(pick("word", 0.5), pick("syllable", 0.33))
 
 
 def joined_evidence(lines: DataFrame) -> DataFrame:
     """(left, right, n_apart, n_joined): neighbouring words, how often they stand apart, and how often as one word."""
     apart = token_pairs(lines, 1).withColumnRenamed("n", "n_apart")
-    whole = dictionary(lines).select(F.col("token").alias("both"), F.col("n_all").alias("n_joined"))
+    whole = token_counts(lines).select(F.col("token").alias("both"), F.col("n_all").alias("n_joined"))
     return apart.join(whole, F.concat("left", "right") == F.col("both")).select("left", "right", "n_apart", "n_joined")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
@@ -68,25 +68,14 @@ def body_lines(spark, sf_dir):
 
 
 @query(f"WITH {LINES}, w AS (SELECT doc_id, count(*) AS n, list((line_no, text) ORDER BY line_no) AS l FROM lines WHERE length(text) >= 4 GROUP BY doc_id HAVING count(*) >= 3) SELECT min(doc_id) AS first_id, count(*) AS n_docs FROM w GROUP BY l HAVING count(*) > 1")
-def duplicate_pages(spark, sf_dir):
-    return lines.duplicate_pairs(table(spark, sf_dir, "documents"))
-
-
-@query(f"""WITH {LINES}, p AS (SELECT doc_id, line_no, text, CAST(floor(line_no * 32 / (greatest(max(line_no) OVER (PARTITION BY doc_id), 1) + 1)) AS BIGINT) AS step FROM lines),
-    s AS (SELECT text, step FROM p WHERE length(text) BETWEEN 1 AND 40 GROUP BY ALL HAVING count(DISTINCT doc_id) > 1)
-    SELECT doc_id, line_no FROM p JOIN s USING (text, step)""")
-def repeated_at_place(spark, sf_dir):
-    return lines.repeated_at_place(_lines(spark, sf_dir))
+def whole_copies(spark, sf_dir):
+    return lines.whole_copies(table(spark, sf_dir, "documents"))
 
 
 @query(f"""WITH {LINES}, n AS (SELECT doc_id, line_no, {NORM} AS norm FROM lines), per AS (SELECT norm, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM n WHERE norm <> '' GROUP BY norm)
     SELECT source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines, count(*) FILTER (per.n_docs > 1) AS n_repeated FROM documents JOIN n USING (doc_id) JOIN per USING (norm) GROUP BY source""")
 def furniture_by_source(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rows = _lines(spark, sf_dir).select("doc_id", S.digits_masked("text").alias("norm")).filter("norm <> ''")
-    seen = rows.groupBy("norm").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    marked = rows.join(seen, "norm").join(docs.select("doc_id", "source"), "doc_id")
-    return marked.groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_lines"), F.count_if(F.col("a") < F.col("b")).alias("n_repeated"))
+    return lines.repeats_by_source(table(spark, sf_dir, "documents"))
 
 
 # vocabulary
@@ -136,13 +125,13 @@ def joined_evidence(spark, sf_dir):
     return vocabulary.joined_evidence(_lines(spark, sf_dir))
 
 
-@query("""WITH g AS (SELECT event_id % 97 AS doc_id, (event_id * 37 % 101) / 1000.0 AS p, (event_id * 53 % 97) / 100.0 AS g, CASE WHEN event_type = 'click' THEN 'model' WHEN event_type = 'view' THEN 'gap' END AS src FROM events),
+@query("""WITH g AS (SELECT user_id AS doc_id, (event_id * 37 % 101) / 1000.0 AS p, (event_id * 53 % 97) / 100.0 AS g, CASE WHEN event_type = 'click' THEN 'model' WHEN event_type = 'view' THEN 'gap' END AS src FROM events),
     k AS (SELECT doc_id, list_sort(list(g) FILTER (src = 'model')) AS w, list_sort(list(g) FILTER (src IS NULL AND p < 0.01)) AS s FROM g GROUP BY doc_id)
     SELECT doc_id, CAST(CASE WHEN coalesce(len(w), 0) >= 15 THEN w[len(w) // 2 + 1] ELSE 0.5 END AS DOUBLE) AS word, CAST(CASE WHEN coalesce(len(s), 0) >= 15 THEN s[least(len(s) - 1, (len(s) * 9) // 10) + 1] ELSE 0.33 END AS DOUBLE) AS syllable FROM k""")
 def spacing_scale(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     src = F.when(F.col("event_type") == "click", "model").when(F.col("event_type") == "view", "gap")
-    return vocabulary.spacing_scale(e.select((F.col("event_id") % 97).alias("doc_id"), ((F.col("event_id") * 37 % 101) / 1000.0).alias("p"), ((F.col("event_id") * 53 % 97) / 100.0).alias("g"), src.alias("src")))
+    return vocabulary.spacing_scale(e.select(F.col("user_id").alias("doc_id"), ((F.col("event_id") * 37 % 101) / 1000.0).alias("p"), ((F.col("event_id") * 53 % 97) / 100.0).alias("g"), src.alias("src")))
 
 
 # glyphs and columns
@@ -183,12 +172,12 @@ def column_measures(spark, sf_dir):
     return geometry.column_measures(rows)
 
 
-@query("""WITH g AS (SELECT user_id % 50 AS doc_id, round(value, 2) AS gap, event_type = 'view' AS loose FROM events),
+@query("""WITH g AS (SELECT user_id AS doc_id, round(value, 2) AS gap, event_type = 'view' AS loose FROM events),
     k AS (SELECT doc_id, median(gap) FILTER (loose) AS mid, count(*) FILTER (loose) AS k, list_sort(list(gap)) AS a FROM g GROUP BY doc_id)
     SELECT doc_id, CAST(least(greatest(CASE WHEN k >= 5 THEN mid WHEN len(a) >= 5 THEN a[CAST(floor((len(a) - 1) * 0.15 + 0.5) AS BIGINT) + 1] ELSE 2.5 END, 1.5), 5.0) AS DOUBLE) AS space FROM k""")
 def space_width(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return geometry.space_width(e.select((F.col("user_id") % 50).alias("doc_id"), F.round("value", 2).alias("gap"), (F.col("event_type") == "view").alias("loose")))
+    return geometry.space_width(e.select(F.col("user_id").alias("doc_id"), F.round("value", 2).alias("gap"), (F.col("event_type") == "view").alias("loose")))
 
 
 @query(f"""WITH {LINES}, s AS (SELECT doc_id, list_sort(list(length(text))) AS a, median(length(text)) AS m FROM lines GROUP BY doc_id)
@@ -199,10 +188,10 @@ def quantile_rules(spark, sf_dir):
     return s.select("doc_id", "middle", F.get("a", S.half_up((F.size("a") - 1) * 0.3).cast("int")).alias("nearest"), S.upper_median(F.col("a")).alias("upper"), S.floor_quantile(F.col("a"), 0.9).alias("floored"))
 
 
-# boxes: lines on pages of 50, with figures at the places of some lines
+# boxes: lines on pages of 50, with a figure at each line's place
 
 _BOXES = """boxes AS (SELECT doc_id, CAST(line_no // 50 AS INT) AS page, line_no, text, 0.0 AS x0, (line_no % 50 + 1) * 12.0 - 10 AS y0, length(text) * 6.0 AS x1, (line_no % 50 + 1) * 12.0 + 2 AS y1, (line_no % 50 + 1) * 12.0 AS oy FROM lines),
-    figures AS (SELECT doc_id, page, line_no AS box_id, line_no AS seq, 30.0 AS x0, y0 - 6 AS y0, 30.0 + (line_no % 4) * 60 AS x1, y0 + (line_no % 3 + 1) * 15 AS y1 FROM boxes WHERE line_no % 5 = 2)"""
+    figures AS (SELECT doc_id, page, line_no AS box_id, line_no AS seq, 30.0 AS x0, y0 - 6 AS y0, 30.0 + (line_no % 4) * 60 AS x1, y0 + (line_no % 3 + 1) * 15 AS y1 FROM boxes)"""
 
 
 def _boxes(spark, sf_dir) -> DataFrame:
@@ -211,7 +200,7 @@ def _boxes(spark, sf_dir) -> DataFrame:
 
 def _figures(spark, sf_dir) -> DataFrame:
     n = F.col("line_no")
-    rows = _boxes(spark, sf_dir).filter(n % 5 == 2)
+    rows = _boxes(spark, sf_dir)
     return rows.select("doc_id", "page", n.alias("box_id"), n.alias("seq"), F.lit(30.0).alias("x0"), (F.col("y0") - 6).alias("y0"), (30.0 + n % 4 * 60).alias("x1"), (F.col("y0") + (n % 3 + 1) * 15).alias("y1"))
 
 
@@ -236,11 +225,14 @@ def mostly_inside(spark, sf_dir):
     return geometry.mostly_inside(points, _figures(spark, sf_dir))
 
 
-@query(f"""WITH {LINES}, {_BOXES}, d AS (SELECT f.doc_id, box_id, min(line_no) AS direct FROM figures f JOIN boxes b ON f.doc_id = b.doc_id AND f.page = b.page AND oy > f.y0 AND b.x0 < f.x1 AND b.x1 > f.x0 GROUP BY ALL),
-    a AS (SELECT doc_id, page, max(line_no) + 1 AS after FROM boxes GROUP BY ALL)
-    SELECT f.doc_id, f.box_id, coalesce(direct, after) AS before_line FROM figures f LEFT JOIN d ON f.doc_id = d.doc_id AND f.box_id = d.box_id LEFT JOIN a ON f.doc_id = a.doc_id AND f.page = a.page""")
+@query(f"""WITH {LINES}, {_BOXES}, figs AS (SELECT * FROM figures WHERE page % 2 = 1 OR seq % 50 > 3), texts AS (SELECT * FROM boxes WHERE page % 2 = 1 OR length(text) > 60),
+    d AS (SELECT f.doc_id, box_id, min(b.line_no) AS direct FROM figs f JOIN texts b ON f.doc_id = b.doc_id AND f.page = b.page AND oy - 10.0 > f.y0 AND b.x0 < f.x1 AND b.x1 > f.x0 GROUP BY ALL)
+    SELECT f.doc_id, f.box_id, coalesce(direct, (SELECT max(line_no) + 1 FROM texts t WHERE t.doc_id = f.doc_id AND t.page = f.page), (SELECT min(line_no) FROM texts t WHERE t.doc_id = f.doc_id AND t.page > f.page), (SELECT max(line_no) + 1 FROM texts t WHERE t.doc_id = f.doc_id)) AS before_line
+    FROM figs f LEFT JOIN d ON f.doc_id = d.doc_id AND f.box_id = d.box_id""")
 def following_line(spark, sf_dir):
-    return geometry.following_line(_figures(spark, sf_dir), _boxes(spark, sf_dir))
+    # even pages have texts at their longer lines alone, so that some pages have none
+    figures = _figures(spark, sf_dir).filter("page % 2 = 1 or seq % 50 > 3")
+    return geometry.following_line(figures, _boxes(spark, sf_dir).filter("page % 2 = 1 or length(text) > 60"))
 
 
 @query(f"""WITH {LINES}, {_BOXES}, c AS (SELECT doc_id, page, box_id AS cell, x1 AS cx, y0 + 16 AS coy FROM figures)
@@ -363,11 +355,14 @@ def merged_runs(spark, sf_dir):
     return flow.merged_runs(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("style"), F.substring("event_type", 1, 1).alias("text")))
 
 
-_TABS = f"starts AS (SELECT doc_id, line_no // 6 AS tab_no, line_no AS first FROM lines WHERE line_no % 6 = 1)"
+_TABS = f"starts AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS tab_no, line_no AS first FROM (SELECT *, length(text) > lag(length(text)) OVER (PARTITION BY doc_id ORDER BY line_no) AS longer FROM lines) WHERE longer)"
 
 
 def _tabs(rows: DataFrame) -> DataFrame:
-    return rows.filter("line_no % 6 = 1").select("doc_id", F.floor(F.col("line_no") / 6).alias("tab_no"), F.col("line_no").alias("first"))
+    """A tab begins at each line that is longer than the one before it."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    starts = rows.withColumn("longer", F.length("text") > F.lag(F.length("text")).over(w)).filter("longer")
+    return starts.select("doc_id", F.row_number().over(w).cast("long").alias("tab_no"), F.col("line_no").alias("first"))
 
 
 @query(f"WITH {LINES}, {_TABS}, e AS (SELECT doc_id, max(line_no) AS last FROM lines GROUP BY doc_id) SELECT doc_id, CAST(tab_no AS BIGINT) AS tab_no, first, coalesce(lead(first) OVER (PARTITION BY doc_id ORDER BY first) - 1, last) AS last FROM starts JOIN e USING (doc_id)")
@@ -405,11 +400,16 @@ def list_marks(spark, sf_dir):
     return _marked(spark, sf_dir).withColumn("m", S.list_mark("text")).filter("m is not null").select("doc_id", "line_no", "m.kind", "m.key", "m.value")
 
 
-@query(f"""WITH {LINES}, {_MARKED}, {_LIST}, k AS (SELECT doc_id, line_no, kind, key, value, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM marks WHERE kind IS NOT NULL),
+_LISTED = """marked AS (SELECT doc_id, line_no, CASE WHEN line_no % 12 < 5 THEN (line_no % 12 + 1 + line_no % 12 // 4) || '. ' WHEN line_no % 12 < 9 THEN '• ' WHEN line_no % 12 = 10 THEN '(b) ' ELSE '' END || text AS text FROM lines)"""
+
+
+@query(f"""WITH {LINES}, {_LISTED}, {_LIST}, k AS (SELECT doc_id, line_no, kind, key, value, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM marks WHERE kind IS NOT NULL),
     s AS (SELECT k.*, EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.i BETWEEN k.i - 3 AND k.i - 1 AND o.key = k.key AND (k.kind = 'b' OR k.value - o.value = 1)) AS back, EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.i BETWEEN k.i + 1 AND k.i + 3 AND o.key = k.key AND (k.kind = 'b' OR o.value - k.value = 1)) AS ahead FROM k)
     SELECT doc_id, line_no, kind, key, value, NOT back AS starts FROM s WHERE back OR ahead""")
 def list_items(spark, sf_dir):
-    return flow.list_items(_marked(spark, sf_dir))
+    n = F.col("line_no") % 12
+    lead = F.when(n < 5, F.concat(n + 1 + F.floor(n / 4), F.lit(". "))).when(n < 9, "• ").when(n == 10, "(b) ").otherwise("")
+    return flow.list_items(_lines(spark, sf_dir).withColumn("text", F.concat(lead, "text")))
 
 
 @query(f"WITH {LINES}, {_MARKED} SELECT doc_id, line_no, regexp_replace(regexp_replace(text, '([.·…‥・_][ ]*){{4,}}([0-9]{{1,4}}|[ivxlcIVXLC]{{1,6}})[ ]*$', ''), '[ \\t]+$', '') AS title, regexp_extract(text, '([0-9]{{1,4}}|[ivxlcIVXLC]{{1,6}})[ ]*$', 1) AS page FROM marked WHERE regexp_matches(text, '([.·…‥・_][ ]*){{4,}}([0-9]{{1,4}}|[ivxlcIVXLC]{{1,6}})[ ]*$')")
@@ -422,7 +422,7 @@ def label_lines(spark, sf_dir):
     return _marked(spark, sf_dir).filter(S.is_label_line("text")).select("doc_id", "line_no")
 
 
-@query(f"""WITH {LINES}, {_MARKED}, p AS (SELECT doc_id, line_no, left(text, 60) AS text, 8.0 + line_no % 7 * 1.5 AS size, line_no % 5 = 0 AS bold FROM marked), c AS (SELECT *, size / 10.0 AS ratio, length(regexp_replace(text, '{WS}+', '', 'g')) AS chars, regexp_replace(text, '[^A-Za-z]', '', 'g') AS latin FROM p)
+@query(f"""WITH {LINES}, {_MARKED}, p AS (SELECT doc_id, line_no, text, 8.0 + line_no % 7 * 1.5 AS size, line_no % 5 = 0 AS bold FROM marked), c AS (SELECT *, size / 10.0 AS ratio, length(regexp_replace(text, '{WS}+', '', 'g')) AS chars, regexp_replace(text, '[^A-Za-z]', '', 'g') AS latin FROM p)
     SELECT doc_id, line_no, CASE WHEN chars = 0 OR chars > 120 THEN 0 WHEN chars > 55 AND regexp_matches(text, '[.!?。！？]$') AND ratio < 1.4 THEN 0 WHEN regexp_matches(text, '^[^\\s:：.!?。][^:：.!?。]{{0,18}}\\s*[:：]\\s*\\S') AND ratio < 1.17 THEN 0
     WHEN ratio >= 1.65 THEN 1 WHEN ratio >= 1.38 THEN 2 WHEN ratio >= 1.17 THEN 3 WHEN ratio >= 1.06 AND (bold OR length(latin) >= 4 AND latin = upper(latin)) THEN 3 WHEN chars <= 55 AND bold AND ratio >= 0.96 THEN 3 ELSE 0 END AS level FROM c""")
 def heading_levels(spark, sf_dir):
