@@ -2,9 +2,9 @@
 
 Documents are dealt to partitions by ranges of doc_id, encoded in order and cut into shards of about `shard_ids` ids, a
 document never being split. In a shard the frequent pairs of neighbouring symbols are replaced by new symbols, round
-after round: a round counts all pairs, takes the `step` most frequent ones that occur at least `least` times, and replaces their
-occurrences at once; where occurrences overlap, the more frequent pair wins, and the other waits for the next round. It
-ends when no pair is frequent or `rounds` are over.
+after round: a round takes the `step` most frequent pairs and replaces their occurrences at once; where occurrences
+overlap, the more frequent pair wins, and the other waits for the next round. After the first round only the places are
+counted again where a pair is frequent or a symbol is new. It ends when no pair occurs `least` times: twice, that is.
 
 A shard file holds its rules with the number of ids that each expands to, the symbols that are left, the number of ids
 before every `BLOCK`-th symbol, and the documents with their places, so `read_span` expands only what it is asked for.
@@ -31,50 +31,54 @@ from quire.llm.tokens import Encoder
 MAGIC = b"RPAIRIDS"
 BLOCK = 256
 NULL_ID = -(2**63)
-_BITS = 20
 
 
-def _cells(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A hash of `_BITS` bits of each pair."""
-    h = left * np.uint32(2654435761)
-    h ^= (right * np.uint32(2246822519)) >> np.uint32(7)
-    h *= np.uint32(3266489917)
-    return h >> np.uint32(32 - _BITS)
+def _sorted(high: np.ndarray, low: np.ndarray, low_max: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both by high, then low. Where they fit into 64 bits together they are sorted as one number, which is much faster."""
+    bits = int(low_max).bit_length()
+    if len(high) and int(high.max()).bit_length() + bits > 64:
+        order = np.lexsort((low, high))
+        return high[order], low[order]
+    both = high << np.uint64(bits)
+    both |= low.astype(np.uint64)
+    both.sort()
+    return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _frequent(x: np.ndarray, least: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(x: np.ndarray, places: np.ndarray | None, least: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(up to `step` pairs that occur `least` times or more, as left << 32 | right, the most frequent first; the places
-    where they occur; which one does).
+    where they occur, in order; which one does; the places of all pairs that occur so often).
 
-    Pairs are first counted by their cell; only those in full enough cells are counted one by one. Of chosen pairs in one
-    cell the most frequent is placed; the others wait for the next round.
+    places: where such pairs can be; None for anywhere.
     """
-    h = _cells(x[:-1], x[1:])
-    at = np.flatnonzero((np.bincount(h, minlength=1 << _BITS) >= least)[h])
-    keys = (x[at].astype(np.uint64) << np.uint64(32)) | x[at + 1]
-    ordered = np.sort(keys)
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
-    counts, pairs = np.diff(np.append(first, len(keys))), ordered[first]
+    places = np.arange(len(x) - 1) if places is None else places
+    bits = np.uint64(int(x.max()).bit_length())
+    keys, places = _sorted((x[places].astype(np.uint64) << bits) | x[places + 1], places, len(x))
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(keys)))
     often = np.flatnonzero(counts >= least)
-    pairs = pairs[often[np.lexsort((pairs[often], -counts[often]))][:step]]
-    none = len(pairs)
-    slot = np.full(1 << _BITS, none, np.int32)
-    slot[_cells((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))[::-1]] = np.arange(none, dtype=np.int32)[::-1]
-    which = slot[h[at]]
-    hit = np.flatnonzero(which < none)
-    hit = hit[pairs[which[hit]] == keys[hit]]
-    return pairs, at[hit], which[hit].astype(np.int64)
-
-
-def compress(ids: np.ndarray, least: int = 16, rounds: int = 4, step: int = 16_384, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    many = counts[often]
+    top = int(many.max(initial=0))
+    chosen = _sorted((top - many).astype(np.uint64), often, len(counts))[1][:step]
+    number = np.full(len(counts), -2, np.int32)
+    number[often] = -1
+    number[chosen] = np.arange(len(chosen), dtype=np.int32)
+    number = np.repeat(number, counts)
+    hit = np.flatnonzero(number >= 0)
+    at, got = _sorted(places[hit].astype(np.uint64), number[hit], max(len(chosen), 1))
+    pairs = keys[first[chosen]]
+    return pairs >> bits << np.uint64(32) | pairs & np.uint64((1 << int(bits)) - 1), at.astype(np.int64), got, places[number > -2]
+
+
+def compress(ids: np.ndarray, least: int = 2, step: int = 65_536, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, rules' lefts, rights, expansion lengths, the first rule's symbol)."""
     x = ids.astype(np.uint32)
     base = top = int(x.max(initial=0)) + 1
-    lefts, rights, sizes = [], [], [np.ones(base, np.uint32)]
-    for _ in range(rounds):
-        if len(x) < 2:
-            break
-        pairs, at, got = _frequent(x, least, min(step, most - top))
+    lefts, rights, sizes, places = [], [], [np.ones(base, np.uint32)], None
+    while len(x) > 1:
+        pairs, at, got, often = _frequent(x, places, least, min(step, most - top))
         if not len(pairs):
             break
         # of overlapping occurrences the more frequent pair's stays; in a run of one pair, the first
@@ -94,39 +98,34 @@ def compress(ids: np.ndarray, least: int = 16, rounds: int = 4, step: int = 16_3
         x[at] = symbol[got]
         stays = np.ones(len(x), bool)
         stays[at + 1] = False
+        # counts of other pairs only fall, so from here on look at those that are still frequent, and around new symbols
+        places = np.concatenate([often, at, at[at > 0] - 1])
+        places.sort()
+        places = places[stays[places] & np.append(True, places[1:] != places[:-1])]
+        places -= np.searchsorted(at, places)  # a removed symbol before it for each replacement before it
         x = x[stays]
+        places = places[places < len(x) - 1]
     none = np.zeros(0, np.uint32)
     return x, np.concatenate(lefts or [none]), np.concatenate(rights or [none]), np.concatenate(sizes)[base:], base
 
 
-def _expansions(lefts: np.ndarray, rights: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """All rules' expansions in a row, and where each begins. A rule's parts come before it."""
-    begins = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
-    out, at = np.empty(begins[-1], np.uint32), begins.tolist()
-    for i, (a, b) in enumerate(zip(lefts.tolist(), rights.tolist())):
-        o = at[i]
-        for s in (a, b):
-            if s < base:
-                out[o] = s
-                o += 1
-            else:
-                n = at[s - base + 1] - at[s - base]
-                out[o : o + n] = out[at[s - base] : at[s - base + 1]]
-                o += n
-    return out, begins[:-1]
-
-
-def expand(symbols: np.ndarray, rules: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    pool, begins = rules
+def expand(symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """The ids that symbols stand for: all symbols of one depth at once, each at the place that the lengths give it."""
     inner = symbols >= base
     n = np.ones(len(symbols), np.int64)
     n[inner] = sizes[symbols[inner] - base]
-    source = np.concatenate([pool, symbols])  # single ids stand behind the pool
-    start = len(pool) + np.arange(len(symbols))
-    start[inner] = begins[symbols[inner] - base]
-    ends = np.cumsum(n)
-    return source[np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    at = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.uint32)
+    while len(symbols):
+        inner = symbols >= base
+        out[at[~inner]] = symbols[~inner]
+        rule, at = symbols[inner] - base, at[inner]
+        left, right = lefts[rule], rights[rule]
+        behind = np.ones(len(left), np.int64)
+        deep = left >= base
+        behind[deep] = sizes[left[deep] - base]
+        symbols, at = np.concatenate([left, right]), np.concatenate([at, at + behind])
+    return out
 
 
 def shard_bytes(part: int, shard: int, docs: list, ids: np.ndarray, starts: np.ndarray, **how) -> bytes:
@@ -160,22 +159,15 @@ class Shard:
         wide[:, :3] = take("u1", 3 * symbols).reshape(-1, 3)
         self.symbols = wide.view("<u4").reshape(-1)
         self.doc_ids, self.starts = take("<i8", docs), take("<u8", docs + 1).astype(np.int64)
-        self._rules = None
-
-    @property
-    def rules(self):
-        if self._rules is None:
-            self._rules = _expansions(self.lefts, self.rights, self.sizes, self.base)
-        return self._rules
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.sizes, self.base)
+        return expand(self.symbols, self.lefts, self.rights, self.sizes, self.base)
 
     def read_span(self, start: int, length: int) -> np.ndarray:
         """`length` ids from the shard's id `start` on, from the blocks that hold them alone."""
         first = max(0, int(np.searchsorted(self.blocks, start, "right")) - 1)
         last = int(np.searchsorted(self.blocks, start + length, "left"))
-        got = expand(self.symbols[first * BLOCK : max(last, first + 1) * BLOCK], self.rules, self.sizes, self.base)
+        got = expand(self.symbols[first * BLOCK : max(last, first + 1) * BLOCK], self.lefts, self.rights, self.sizes, self.base)
         skip = start - int(self.blocks[first]) if len(self.blocks) else 0
         return got[skip : skip + length]
 
@@ -202,7 +194,7 @@ def write_shards(docs: DataFrame, folder: str, file: str, end_id: int, spaced: b
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in batches:
-            for doc, got in zip(batch.column(0).to_pylist(), map(encoder.of, batch.column(1).to_pylist())):
+            for doc, got in zip(batch.column(0).to_pylist(), encoder.all(batch.column(1).to_pylist())):
                 got += end
                 held.append(got)
                 docs.append(doc)

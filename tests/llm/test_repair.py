@@ -1,6 +1,7 @@
 """Re-Pair shards give back what went in, from any place, and ids are numbered across shards."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,16 +10,34 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quire.llm.repair import Shard, _expansions, compress, expand, round_trip, shard_bytes
+from quire.llm.repair import Shard, compress, expand, round_trip, shard_bytes
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=200), st.integers(2, 4))
 def test_expands_to_the_same(ids, least):
     ids = np.array(ids, np.uint32)
-    x, lefts, rights, sizes, base = compress(ids, least=least, rounds=9)
-    assert expand(x, _expansions(lefts, rights, sizes, base), sizes, base).tolist() == ids.tolist()
+    x, lefts, rights, sizes, base = compress(ids, least=least)
+    assert expand(x, lefts, rights, sizes, base).tolist() == ids.tolist()
     assert len(x) <= len(ids)
+    assert_exhausted(x, least)
+
+
+def assert_exhausted(x, least):
+    """No pair is left that occurs `least` times."""
+    pairs = Counter(zip(x[:-1].tolist(), x[1:].tolist()))
+    assert max(pairs.values(), default=0) < least
+
+
+def test_production_values():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 400, n) for n in rng.integers(1, 9, 300)]
+    ids = np.concatenate([words[i] for i in rng.zipf(1.3, 20_000) % 300]).astype(np.uint32)
+    x, lefts, rights, sizes, base = compress(ids)
+    assert_exhausted(x, 2)
+    assert len(x) < len(ids) / 4 and sizes.max() > 20
+    assert (expand(x, lefts, rights, sizes, base) == ids).all()
+    assert compress(ids, step=7)[0].size < len(ids) / 4
 
 
 def test_random_access():
@@ -27,6 +46,7 @@ def test_random_access():
     assert len(shard.symbols) < len(ids) and (shard.all_ids() == ids).all()
     for start, n in ((0, 1), (0, 30_000), (12_345, 678), (29_999, 1), (15_000, 0)):
         assert (shard.read_span(start, n) == ids[start : start + n]).all()
+    assert np.concatenate([shard.read_span(s, 1000) for s in range(0, 30_000, 1000)]).tolist() == ids.tolist()
     assert shard.doc_ids[1] == -(2**63)
 
 

@@ -3,6 +3,8 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quire.llm.token_counts import Counter
@@ -17,6 +19,11 @@ def corpus(docs_text):
     return ODD + docs_text
 
 
+@pytest.fixture(scope="module")
+def encoders():
+    return {n: (Tokenizer.from_file(public_tokenizers.path(n)), Encoder(public_tokenizers.path(n), spaced)) for n, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))}
+
+
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_ids(corpus, name, spaced):
     file = public_tokenizers.path(name)
@@ -27,6 +34,27 @@ def test_ids(corpus, name, spaced):
         assert np.frombuffer(small.of(text), "<u4").tolist() == expected, text[:80]
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@pytest.mark.parametrize("limit,most", [(500_000, 1 << 20), (100, 2000), (10, 1)])
+def test_many_at_once(corpus, name, spaced, limit, most):
+    file = public_tokenizers.path(name)
+    library, ours = Tokenizer.from_file(file), Encoder(file, spaced, limit=limit)
+    texts = ["'s", "'tis 'll", "x\vy 's", "é's ''s 'S", *corpus, "y" * 5000 + " z", "\v", "ab\ncd \x1c"] + ["'re" + t for t in corpus[:60]]
+    got = [np.frombuffer(x, "<u4").tolist() for x in ours.all(texts, most)]
+    assert len(got) == len(texts)
+    for text, ids in zip(texts, got):
+        assert ids == library.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abest 's'll\n\v\tÉß19.,<|"), max_size=30), max_size=6))
+def test_any_texts(encoders, name, spaced, texts):
+    library, ours = encoders[name]
+    for text, ids in zip(texts, ours.all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_counts(corpus):
     file = public_tokenizers.path("byte_bpe_50k.json")
     library, ours = Tokenizer.from_file(file), Counter(file)
