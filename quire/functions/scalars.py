@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: White space as browsers' regular expressions see it.
@@ -114,22 +114,46 @@ def is_list_line(text: Column | str) -> Column:
     return _c(text).rlike(_MARK)
 
 
+#: Bullets, rows of numbering letters and signs, and the marks that lines of a list may begin with.
+LIST_BULLETS = "•●○◦▪■□◆◇▶▷►‣⁃∙❧❖➢✓✔★☆♢♦◈▣◾◽❑➔➡ㅇ\\-–"
+SYLLABLES, JAMO, NUMERALS = "가나다라마바사아자차카타파하", "ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎ", "一二三四五六七八九十"
+ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii")
+_LIST_MARK = (
+    rf"^(?:[·ㆍ・•]{_SPACE}*+(?=[\p{{L}}\p{{N}}])|[{LIST_BULLETS}]{_SPACE}++(?=\S)|[0-9]{{1,2}}[.)]{_SPACE}++(?=\S)|\([0-9]{{1,2}}\){_SPACE}*+(?=\S)|[⑴-⒇①-⑳㉠-㉭㉮-㉻ⓐ-ⓩⒶ-Ⓩ]{_SPACE}*+(?=\S)"
+    rf"|[{NUMERALS}][.)]{_SPACE}*+(?=\S)|(?:[{SYLLABLES}]|[{JAMO}]|i{{1,3}}|iv|vi{{0,3}}|ix|xi{{0,2}}|I{{1,3}}|IV|VI{{0,3}}|IX|XI{{0,2}}|[a-hA-H])[.)]{_SPACE}++(?=\S))"
+)
+#: Signs that hold a number, by their first one, how many there are, and their list's key.
+_RINGED = (("⑴", 20, "n0()"), ("①", 20, "n1"), ("㉠", 14, "nA."), ("㉮", 14, "nA."), ("ⓐ", 26, "nA."), ("Ⓐ", 26, "nA."))
+
+
 def list_mark(text: Column | str) -> Column:
     """struct(kind, key, value, length) of the mark a line begins with: b for bullets, n for numbers; null where there is none.
 
-    The key is the mark's shape, so that marks of one list have the same: b and the bullet, or n, what stands for the
-    number, and the sign behind it.
+    Marks of one list have one key: b and the bullet (middle dots count as •), or n, the way of numbering (0 digits, 1 ringed,
+    2 and 3 Roman, 4 and 5 letters, 8 syllables, 13 numerals, A what is shown as letters instead) and the sign behind it.
     """
 
     def of(mark: Column) -> Column:
-        core, bare = F.regexp_extract(mark, r"^\(?([^.)\s\u00a0]+)", 1), F.rtrim(F.replace(mark, F.lit("\u00a0"), F.lit(" ")))
-        bullet = core.rlike(rf"^[{BULLETS}]\z")
-        key = F.when(bullet, F.concat(F.lit("b"), core)).otherwise(F.concat(F.lit("n"), mark_shape(bare)))
-        value = F.when(~bullet, mark_order(core).cast("int"))
-        found = F.struct(F.when(bullet, "b").otherwise("n").alias("kind"), key.alias("key"), value.alias("value"), F.length(mark).alias("length"))
-        return F.when(mark != "", found)
-
-    return let(F.regexp_extract(_c(text), _MARK, 0), of)
+        core, sep = F.regexp_extract(mark, r"^\(?([^.)\s\u00a0]+)", 1), F.regexp_extract(mark, "[.)]", 0)
+        return F.when(mark != "", let(F.struct(core.alias("core"), sep.alias("sep"), F.ascii(core).alias("code"), F.length(mark).alias("length"), mark.startswith("(").alias("inside")), found))
+
+    def found(m: Column) -> Column:
+        core, sep, code = m["core"], m["sep"], m["code"]
+        place = lambda row: F.array_position(F.array(*map(F.lit, row)), core)
+        row = lambda letters: F.lit(letters).contains(core) & (F.length(core) == 1)
+        lower, upper = ROMAN, tuple(r.upper() for r in ROMAN)
+        cases = [(core.rlike("^[·ㆍ・•]\\z"), F.lit("b•"), None), (core.rlike(rf"^[{LIST_BULLETS}]\z"), F.concat(F.lit("b"), core), None), (core.rlike("^[0-9]+\\z"), F.concat(F.lit("n0"), F.when(m["inside"], "()").otherwise(sep)), core.try_cast("int"))]
+        cases += [(code.between(ord(a), ord(a) + n - 1), F.lit(key), code - (ord(a) - 1)) for a, n, key in _RINGED]
+        cases += [(row(letters), F.concat(F.lit(key), sep), _place(letters, core)) for letters, key in ((SYLLABLES, "n8"), (NUMERALS, "n13"), (JAMO, "nA"))]
+        cases += [(F.array_contains(F.array(*map(F.lit, row_of)), core), F.concat(F.lit(key), sep), place(row_of)) for row_of, key in ((lower, "n3"), (upper, "n2"))]
+        cases += [(core.rlike("^[a-h]\\z"), F.concat(F.lit("n5"), sep), code - 96), (core.rlike("^[A-H]\\z"), F.concat(F.lit("n4"), sep), code - 64)]
+        key, value = F.lit(None).cast("string"), F.lit(None).cast("int")
+        for test, k, v in reversed(cases):
+            key = F.when(test, k).otherwise(key)
+            value = F.when(test, F.lit(None).cast("int") if v is None else v.cast("int")).otherwise(value)
+        return F.struct(F.when(F.substring(key, 1, 1) == "b", "b").otherwise("n").alias("kind"), key.alias("key"), value.alias("value"), m["length"].alias("length"))
+
+    return let(F.regexp_extract(_c(text), _LIST_MARK, 0), of)
 
 
 #: Dot leaders, then a page number.
@@ -233,9 +257,13 @@ def is_good_url(url: Column | str) -> Column:
 
 def same_list_next(before: Column | str, mark: Column | str) -> Column:
     """Whether a mark follows another in one list: the same shape and the next place, or the same bullet."""
-    a, b = _c(before), _c(mark)
-    x, y = mark_order(a), mark_order(b)
-    return (mark_shape(a) == mark_shape(b)) & F.when(x.isNull() & y.isNull(), a == b).otherwise(F.coalesce(y == x + 1, F.lit(False)))
+
+    def of(marks: Column) -> Column:
+        a, b = marks["a"], marks["b"]
+        next_one = let(F.struct(mark_order(a).alias("x"), mark_order(b).alias("y")), lambda o: F.when(o["x"].isNull() & o["y"].isNull(), a == b).otherwise(F.coalesce(o["y"] == o["x"] + 1, F.lit(False))))
+        return (mark_shape(a) == mark_shape(b)) & next_one
+
+    return let(F.struct(_c(before).alias("a"), _c(mark).alias("b")), of)
 
 
 def decoded_entities(text: Column | str) -> Column:
@@ -316,3 +344,60 @@ def word_at(text: Column | str, at: Column) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def composed(first: Column, second: Column) -> Column:
+    """Two affine maps (arrays a, b, c, d, e, f) as one: the first one's, then the second one's."""
+    m, n = (lambda i: F.get(first, i)), (lambda i: F.get(second, i))
+    pair = lambda x, y, j: m(x) * n(j) + m(y) * n(j + 2)
+    return F.array(pair(0, 1, 0), pair(0, 1, 1), pair(2, 3, 0), pair(2, 3, 1), pair(4, 5, 0) + n(4), pair(4, 5, 1) + n(5))
+
+
+def moved(matrix: Column, x: Column, y: Column) -> Column:
+    """struct(x, y): where an affine map takes a point."""
+    m = lambda i: F.get(matrix, i)
+    return F.struct((m(0) * x + m(2) * y + m(4)).alias("x"), (m(1) * x + m(3) * y + m(5)).alias("y"))
+
+
+#: What the letters of two symbol fonts show.
+WINGDINGS = {'"': "✂", "#": "✁", "(": "☎", ")": "✆", "*": "✉", ",": "📪", "-": "📫", "l": "●", "n": "■", "o": "□", "q": "❑", "u": "◆", "v": "❖", "w": "⬥", "§": "▪", "Ø": "➢", "ü": "✓", "û": "✗", "ý": "☒", "þ": "☑", "¨": "◻", "J": "☺", "L": "☹", "F": "☞", "à": "➔", "è": "➡"}
+ZAPF = {"l": "●", "n": "■", "o": "❏", "q": "❑", "u": "◆", "H": "★", "I": "✩", "s": "▲", "t": "▼", "3": "✓", "4": "✔", "7": "✗", "8": "✘", "+": "☛"}
+
+
+def symbol_sign(font: Column, sign: Column) -> Column:
+    """The sign that a symbol font shows for a letter: by the two known tables, else an ornament or a bullet; other fonts,
+    white space and characters beyond Latin-1 stay as they are. Private code points of symbol fonts count as their letters."""
+    code = F.conv(F.hex(F.encode(F.substring(sign, 1, 1), "UTF-32")), 16, 10).cast("int")
+    code = F.when(code.between(0xF020, 0xF0FF), code - 0xF000).otherwise(code)
+    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    of = lambda known: F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), letter)
+    named = lambda p: font.rlike("(?i)" + p)
+    shown = F.coalesce(F.when(named("wingding"), of(WINGDINGS)), F.when(named("zapf|dingbat"), of(ZAPF)), F.when(named("ornament|fleuron"), "❧").otherwise("•"))
+    stays = ~named(r"ornament|dingbat|wingding|webding|zapf|fleuron|bullets?\b") | (sign == "") | sign.rlike(r"^\s") | ~code.between(0x21, 0xFF)
+    return F.when(stays, sign).otherwise(shown)
+
+
+def pasted_html(text: Column | str) -> Column:
+    """A text as a fragment of HTML to paste: a paragraph for each line."""
+    lines = F.split(F.regexp_replace(_c(text), "\r\n?", "\n"), "\n")
+    return F.concat(F.lit("<!--StartFragment-->"), F.array_join(F.transform(lines, lambda t: F.concat(F.lit("<p>"), F.when(t == "", "<br>").otherwise(escaped(t, quotes=False)), F.lit("</p>"))), ""), F.lit("<!--EndFragment-->"))
+
+
+def fitted_width(width: Column, fit: Column, *keys: str, body: float) -> Column:
+    """A cell's width in a table (keys) brought to the body's: tables that are to fit, and those that are too wide."""
+    total = F.sum(width).over(Window.partitionBy(*keys))
+    return F.when((total > 0) & (fit | (total > body)), width * (body / total)).otherwise(width)
+
+
+#: Groups of languages that one recogniser reads, by their codes.
+LANGUAGE_PACKS = {
+    "korean": "kor", "cjk": "jpn chi_sim chi_tra",
+    "latin": "afr aze bos cat ces cym dan deu spa est eus fin fra gle glg hrv hun ind isl ita kur lat ltz lit lav mri msa mlt nld nor oci pol por que roh ron srp_latn slk slv sqi swe swa tgl tur uzb vie",
+    "cyrillic": "bel bul mon kaz kir tgk mkd tat chv bak udm kom oss bua kal tuv sah kaa srp", "eastSlavic": "rus ukr", "arabic": "ara fas urd uig pus snd", "devanagari": "hin mar nep san bih", "thai": "tha", "greek": "ell grc", "tamil": "tam", "telugu": "tel",
+}
+
+
+def language_packs(codes: Column) -> Column:
+    """The groups that read any of an array of language codes; English alone needs its own."""
+    found = F.array_compact(F.array(*(F.when(F.arrays_overlap(codes, F.array(*map(F.lit, of.split()))), F.lit(pack)) for pack, of in LANGUAGE_PACKS.items())))
+    return F.when((F.size(found) == 0) & F.array_contains(codes, "eng"), F.array(F.lit("english"))).otherwise(found)

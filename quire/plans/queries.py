@@ -379,20 +379,30 @@ def tab_of_line(spark, sf_dir):
 
 # marks, headings and scalar rules, on lines made from the documents so that every rule has rows
 
-_MARKED = f"""marked AS (SELECT doc_id, line_no, CASE line_no % 8 WHEN 0 THEN (line_no // 8 + 1) || '. ' WHEN 1 THEN chr(97 + CAST(line_no // 8 % 8 AS INT)) || ') ' WHEN 2 THEN '• ' WHEN 3 THEN '(' || (line_no // 8 + 1) || ') ' WHEN 4 THEN chr(9312 + CAST(line_no // 8 % 20 AS INT)) WHEN 5 THEN 'Name: ' WHEN 6 THEN '12:30 ' ELSE '' END
+_MARKED = f"""marked AS (SELECT doc_id, line_no, CASE (line_no + doc_id) % 16 WHEN 0 THEN (line_no % 12 + 1) || '. ' WHEN 1 THEN chr(97 + CAST(line_no % 12 % 8 AS INT)) || ') ' WHEN 2 THEN '• ' WHEN 3 THEN '(' || (line_no % 12 + 1) || ') ' WHEN 4 THEN chr(9312 + CAST(line_no % 12 AS INT)) WHEN 5 THEN 'Name: ' WHEN 6 THEN '12:30 '
+    WHEN 8 THEN {list(S.ROMAN)}[line_no % 12 + 1] || '. ' WHEN 9 THEN 'ㄴ) ' WHEN 10 THEN chr(9424 + CAST(line_no % 12 AS INT)) WHEN 11 THEN '三.' WHEN 12 THEN '·' WHEN 13 THEN chr(9332 + CAST(line_no % 12 AS INT)) || ' ' WHEN 14 THEN upper({list(S.ROMAN)}[line_no % 12 + 1]) || ') ' WHEN 15 THEN '나. ' ELSE '' END
     || text || CASE WHEN line_no % 3 = 0 THEN ' ..... ' || line_no ELSE '' END AS text FROM lines)"""
 
 
 def _marked(spark, sf_dir) -> DataFrame:
-    n, k = F.col("line_no"), F.floor(F.col("line_no") / 8)
-    lead = F.when(n % 8 == 0, F.concat(k + 1, F.lit(". "))).when(n % 8 == 1, F.concat(F.char(97 + k % 8), F.lit(") "))).when(n % 8 == 2, "• ").when(n % 8 == 3, F.concat(F.lit("("), k + 1, F.lit(") "))).when(n % 8 == 4, F.get(F.array(*(F.lit(chr(9312 + i)) for i in range(20))), (k % 20).cast("int"))).when(n % 8 == 5, "Name: ").when(n % 8 == 6, "12:30 ").otherwise("")
-    return _lines(spark, sf_dir).select("doc_id", "line_no", F.concat(lead, "text", F.when(n % 3 == 0, F.concat(F.lit(" ..... "), n)).otherwise("")).alias("text"))
-
-
-_LIST = r"""marks AS (SELECT doc_id, line_no, text, CASE WHEN regexp_matches(text, '^[•●○◦▪■□◆◇▶▷►‣★☆※\-–][ \x{a0}]+\S') THEN 'b' WHEN regexp_matches(text, '^[0-9]{1,2}[.)][ \x{a0}]+\S|^\([0-9]{1,2}\)[ \x{a0}]*\S|^[①-⑳][ \x{a0}]*\S|^[가나다라마바사아자차카타파하][.)][ \x{a0}]+\S|^[a-hA-H][.)][ \x{a0}]+\S') THEN 'n' END AS kind,
-    CASE WHEN regexp_matches(text, '^[•●○◦▪■□◆◇▶▷►‣★☆※\-–][ \x{a0}]+\S') THEN 'b' || text[1] WHEN regexp_matches(text, '^[0-9]{1,2}[.)][ \x{a0}]+\S') THEN 'n9' || regexp_extract(text, '^[0-9]+([.)])', 1) WHEN regexp_matches(text, '^\([0-9]{1,2}\)[ \x{a0}]*\S') THEN 'n(9)' WHEN regexp_matches(text, '^[①-⑳][ \x{a0}]*\S') THEN 'n①'
-    WHEN regexp_matches(text, '^[가-하][.)][ \x{a0}]+\S') THEN 'n가' || text[2] WHEN regexp_matches(text, '^[a-h][.)][ \x{a0}]+\S') THEN 'na' || text[2] WHEN regexp_matches(text, '^[A-H][.)][ \x{a0}]+\S') THEN 'nA' || text[2] END AS key,
-    CAST(CASE WHEN regexp_matches(text, '^\(?[0-9]{1,2}[.)]') THEN TRY_CAST(regexp_extract(text, '^\(?([0-9]+)', 1) AS INT) WHEN regexp_matches(text, '^[①-⑳]') THEN unicode(text[1]) - 9311 WHEN regexp_matches(text, '^[a-h][.)]') THEN unicode(text[1]) - 96 WHEN regexp_matches(text, '^[A-H][.)]') THEN unicode(text[1]) - 64 END AS INT) AS value FROM marked)"""
+    n, m = F.col("line_no") % 12, (F.col("line_no") + F.col("doc_id")) % 16
+    ringed = lambda first: F.get(F.array(*(F.lit(chr(first + i)) for i in range(12))), n)
+    roman = F.get(F.array(*map(F.lit, S.ROMAN)), n)
+    leads = {0: F.concat(n + 1, F.lit(". ")), 1: F.concat(F.char(97 + n % 8), F.lit(") ")), 2: F.lit("• "), 3: F.concat(F.lit("("), n + 1, F.lit(") ")), 4: ringed(9312), 5: F.lit("Name: "), 6: F.lit("12:30 "), 8: F.concat(roman, F.lit(". ")), 9: F.lit("ㄴ) "), 10: ringed(9424), 11: F.lit("三."), 12: F.lit("·"), 13: F.concat(ringed(9332), F.lit(" ")), 14: F.concat(F.upper(roman), F.lit(") ")), 15: F.lit("나. ")}
+    lead = F.lit("")
+    for k, value in leads.items():
+        lead = F.when(m == k, value).otherwise(lead)
+    return _lines(spark, sf_dir).select("doc_id", "line_no", F.concat(lead, "text", F.when(F.col("line_no") % 3 == 0, F.concat(F.lit(" ..... "), "line_no")).otherwise("")).alias("text"))
+
+
+_BULLET = r"[•●○◦▪■□◆◇▶▷►‣⁃∙❧❖➢✓✔★☆♢♦◈▣◾◽❑➔➡ㅇ\-–]"
+_S = r"[ \x{a0}]"
+_LIST = rf"""marks AS (SELECT doc_id, line_no, text, CASE WHEN key IS NULL THEN NULL WHEN starts_with(key, 'b') THEN 'b' ELSE 'n' END AS kind, key,
+    CAST(CASE WHEN starts_with(key, 'b') THEN NULL WHEN regexp_matches(text, '^\(?[0-9]') THEN TRY_CAST(regexp_extract(text, '^\(?([0-9]+)', 1) AS INT) WHEN key = 'n0()' THEN unicode(text[1]) - 9331 WHEN key = 'n1' THEN unicode(text[1]) - 9311 WHEN regexp_matches(text, '^[㉠-㉭]') THEN unicode(text[1]) - 12895 WHEN regexp_matches(text, '^[㉮-㉻]') THEN unicode(text[1]) - 12909 WHEN regexp_matches(text, '^[ⓐ-ⓩ]') THEN unicode(text[1]) - 9423 WHEN regexp_matches(text, '^[Ⓐ-Ⓩ]') THEN unicode(text[1]) - 9397
+        WHEN starts_with(key, 'n8') THEN instr('{S.SYLLABLES}', text[1]) WHEN starts_with(key, 'n13') THEN instr('{S.NUMERALS}', text[1]) WHEN starts_with(key, 'nA') THEN instr('{S.JAMO}', text[1]) WHEN starts_with(key, 'n2') OR starts_with(key, 'n3') THEN list_position({list(S.ROMAN)}, lower(regexp_extract(text, '^([ivxIVX]+)', 1))) WHEN starts_with(key, 'n5') THEN unicode(text[1]) - 96 WHEN starts_with(key, 'n4') THEN unicode(text[1]) - 64 END AS INT) AS value
+    FROM (SELECT *, CASE WHEN regexp_matches(text, '^[·ㆍ・•]{_S}*[\p{{L}}\p{{N}}]') THEN 'b•' WHEN regexp_matches(text, '^{_BULLET}{_S}+\S') THEN 'b' || text[1] WHEN regexp_matches(text, '^[0-9]{{1,2}}[.)]{_S}+\S') THEN 'n0' || regexp_extract(text, '^[0-9]+([.)])', 1) WHEN regexp_matches(text, '^\([0-9]{{1,2}}\){_S}*\S|^[⑴-⒇]{_S}*\S') THEN 'n0()' WHEN regexp_matches(text, '^[①-⑳]{_S}*\S') THEN 'n1'
+        WHEN regexp_matches(text, '^[{S.SYLLABLES}][.)]{_S}+\S') THEN 'n8' || text[2] WHEN regexp_matches(text, '^[{S.NUMERALS}][.)]{_S}*\S') THEN 'n13' || text[2] WHEN regexp_matches(text, '^(i{{1,3}}|iv|vi{{0,3}}|ix|xi{{0,2}})[.)]{_S}+\S') THEN 'n3' || regexp_extract(text, '([.)])', 1) WHEN regexp_matches(text, '^(I{{1,3}}|IV|VI{{0,3}}|IX|XI{{0,2}})[.)]{_S}+\S') THEN 'n2' || regexp_extract(text, '([.)])', 1)
+        WHEN regexp_matches(text, '^[a-h][.)]{_S}+\S') THEN 'n5' || text[2] WHEN regexp_matches(text, '^[A-H][.)]{_S}+\S') THEN 'n4' || text[2] WHEN regexp_matches(text, '^[{S.JAMO}][.)]{_S}+\S') THEN 'nA' || text[2] WHEN regexp_matches(text, '^[㉠-㉭㉮-㉻ⓐ-ⓩⒶ-Ⓩ]{_S}*\S') THEN 'nA.' END AS key FROM marked) q)"""
 
 
 @query(f"WITH {LINES}, {_MARKED}, {_LIST} SELECT doc_id, line_no, kind, key, value FROM marks WHERE kind IS NOT NULL")

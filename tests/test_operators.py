@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
-from quire.operators import boxes, flow, geometry, lines, vocabulary
+from quire.operators import boxes, documents, flow, geometry, lines, segments, vocabulary
 from quire.plans import exports
 from quire.sources import archives, html_blocks, text_formats
 from quire.streaming import incremental
@@ -28,7 +28,7 @@ def test_marks(spark):
     assert column(spark, S.mark_shape, "12.", "b)", "ㄴ.", "③", "(7)") == ["9.", "a)", "ㄱ.", "①", "(9)"]
     assert column(spark, S.mark_order, "12.", "c)", "다.", "③", "四", "•", "ⓑ") == [12, 3, 3, 3, 4, None, 2]
     got = column(spark, S.list_mark, "• a", "3. x", "(4) y", "⑤z", "나. w", "b) v", "C. u", "3.5 no", "text", "-x", "12) two")
-    assert [g and tuple(g) for g in got] == [("b", "b•", None, 2), ("n", "n9.", 3, 3), ("n", "n(9)", 4, 4), ("n", "n①", 5, 1), ("n", "n가.", 2, 3), ("n", "na)", 2, 3), ("n", "nA.", 3, 3), None, None, None, ("n", "n9)", 12, 4)]
+    assert [g and tuple(g) for g in got] == [("b", "b•", None, 2), ("n", "n0.", 3, 3), ("n", "n0()", 4, 4), ("n", "n1", 5, 1), ("n", "n8.", 2, 3), ("n", "n5)", 2, 3), ("n", "n4.", 3, 3), None, None, None, ("n", "n0)", 12, 4)]
 
 
 def test_lines_by_kind(spark):
@@ -221,3 +221,17 @@ def test_elements_without_an_end(spark):
     pages = [(1, "<p>a</p><embed><p>b</p>"), (2, "<head><title>t</title><body><p>c</p>"), (3, "<p>a<script>x</script></p><object><p>no</p></object>d"), (4, "</iframe>e")]
     got = html_blocks.html_blocks(spark.createDataFrame(pages, "page_id long, html string")).orderBy("page_id", "block_no").collect()
     assert [(r.page_id, r.text) for r in got] == [(1, "a"), (1, "b"), (2, "c"), (3, "a"), (3, "d"), (4, "e")]
+
+
+def test_fragments_and_structured_documents(spark):
+    rows_ = [(1, 0, 0, "11.", 0.0, 0.0, 12.0, 10.0), (1, 0, 1, "after", 20.0, 1.0, 60.0, 10.0), (1, 0, 2, "far", 200.0, 0.0, 230.0, 10.0), (1, 0, 3, "below", 0.0, 20.0, 40.0, 30.0)]
+    df = spark.createDataFrame(rows_, "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.text, r.n) for r in segments.joined_fragments(df).orderBy("line_no").collect()] == [("11. after", 2), ("far", 1), ("below", 1)]
+    doc = """{"title": "T", "tabs": [{"tabProperties": {"title": "A"}, "documentTab": {"body": {"content": [{"paragraph": {"elements": [{"textRun": {"content": "one\\u000btwo\\n", "textStyle": {"italic": true}}}]}}, {"paragraph": {"elements": []}}]}},
+        "childTabs": [{"tabProperties": {"title": "B"}, "documentTab": {"body": {"content": [{"paragraph": {"elements": []}}, {"paragraph": {"elements": [{"textRun": {"content": "x"}}], "paragraphStyle": {"alignment": "END"}}}]}}}]}]}"""
+    flat = """{"title": "F", "body": {"content": [{"paragraph": {"elements": [{"textRun": {"content": "y"}}]}}, {"sectionBreak": {}}]}}"""
+    got = documents.structured_runs(spark.createDataFrame([(1, doc), (2, flat), (3, "{}"), (4, None), (5, "no json")], "doc_id long, json string"))
+    assert [(r.doc_id, r.tab, r.tab_name, r.block_no, r.run_no, r.text, r.i, r.align) for r in got.orderBy("doc_id", "tab", "block_no", "run_no").collect()] == [
+        (1, 0, "A", 0, 0, "one", True, "left"), (1, 0, "A", 0, 1, "two", True, "left"), (1, 1, "B", 0, 0, None, None, "left"), (1, 1, "B", 1, 0, "x", False, "right"), (2, 0, "F", 0, 0, "y", False, "left")
+    ]
+    assert column(spark, lambda t: S.symbol_sign(F.lit("Wingdings"), t), "\uf06c", "é", " ", "■", "") == ["●", "•", " ", "■", ""]
