@@ -36,7 +36,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that a file's few row groups would leave to fewer tasks than there are cores is dealt out again.
+
+    Large tables have more parts than cores, and stay as they are read.
+    """
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if name not in ("documents", "pages") or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
