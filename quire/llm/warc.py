@@ -9,7 +9,8 @@ is a response, and the others are revisits of it, without a body. Shorter ones a
 
 Null html is an empty payload, a null url is an empty target, a null page_id is written as none and is never revisited
 unless no record of that payload has an id (then all are responses). Repeated rows are written one by one; a row that
-has the page_id of the response is a response itself. No rows, no files: reading gives no rows.
+has the page_id of the response is a response itself. No rows, no files: reading gives no rows. Payloads of any length
+are written and read whole; other columns of pages, whatever their names, are left aside.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bitmap import bitmap, has_hash, of_hash
 from quire.llm.common import filesystem, new_folder, written
 
 INDEX = "path string, offset long, length long, url string, payload_digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _NAME = "urn:x-page:"
@@ -76,9 +80,26 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
     """Writes all pages (page_id, url, html) as archives into folder; returns their INDEX, written there too."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sum", F.sha1("payload"))
-    first = rows.groupBy("sum").agg(F.min("page_id").alias("first"))
+    # only payloads that occur twice are joined, and these are dealt by a salt too, so no payload's copies meet in one task
+    twice = rows.groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("sum", "first")
+    twice = written(twice.withColumn("key", F.xxhash64("sum")), "warc-copies")
+    held = pages.sparkSession.sparkContext.broadcast(bitmap(twice, of_hash("key")))
+
+    def part(maybe: bool) -> DataFrame:
+        def parted(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            bits = np.frombuffer(held.value, np.uint8)
+            for batch in batches:
+                yield batch.filter(pa.array(has_hash(bits, batch.column(4).to_numpy()) == maybe))
+
+        return rows.withColumn("key", F.xxhash64("sum")).mapInArrow(parted, "page_id long, url string, payload binary, sum string, key long")
+
+    salted = twice.select("sum", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = part(True).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sum", "salt"], "left")
     known = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")) & (F.octet_length("payload") >= least)
-    rows = rows.join(first, "sum").select("page_id", "url", "payload", F.when(known, F.col("first")).alias("refers_to"))
+    copies = copies.select("page_id", "url", "payload", F.when(known, F.col("first")).alias("refers_to"))
+    rows = part(False).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(copies)
 
     def archived(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -128,7 +149,7 @@ def ranges(spans: list[tuple[int, int]], gap: int, most: int) -> list[tuple[int,
     return out
 
 
-def read_records(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, payloads: bool = True) -> DataFrame:
+def read_records(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, payloads: bool = True, task_bytes: int = 4 << 20) -> DataFrame:
     """RECORD of each row of selected, which has path, offset and length of an index. payloads: False leaves them null."""
 
     def fetched(batches: Iterator) -> Iterator:
@@ -153,7 +174,9 @@ def read_records(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20,
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
                 at = to
 
-    order = selected.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    # dealt by bytes of archive, not of index: stretches of a file, as many tasks as there are `task_bytes`
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    order = selected.select("path", "offset", "length").repartition(max(1, -(-total // task_bytes)), "path", F.floor(F.col("offset") / task_bytes)).sortWithinPartitions("path", "offset")
     return order.mapInArrow(fetched, RECORD)
 
 
