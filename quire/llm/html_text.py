@@ -11,18 +11,23 @@ a block becomes one space, blocks are trimmed, and joined by one newline in page
 
 Null html is empty; pages without text get an empty one; null urls share one host. Repeated rows are read one by one.
 Markup may be broken: unclosed elements end with their parents, stray end tags are passed over, and an unclosed comment
-or script lasts to the page's end.
+or script lasts to the page's end. Pages may be of any length and depth: time and memory grow with the markup alone. Other
+columns of pages, whatever their names, are left aside; no pages give no rows. Of paths with as many votes the first wins.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import written
+
 FADE = 0.6
 
 #: Elements by their role in HTML.
@@ -54,11 +59,33 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "out", "good", "score", "container", "article")
+    """An element with its parent, and its path as a key: a digest of the parent's key and its own step, so that deep pages
+    take no more for each element than flat ones."""
+
+    __slots__ = ("tag", "step", "key", "parent", "out", "good", "near_good", "score", "container", "article", "box", "inside")
 
-    def __init__(self, tag: str, path: str, parent: Element | None, out: bool, good: bool, article: bool):
-        self.tag, self.path, self.parent, self.out, self.good, self.article = tag, path, parent, out, good, article
+    def __init__(self, tag: str, step: str, parent: Element | None, out: bool, good: bool, article: bool):
+        self.tag, self.step, self.parent, self.out, self.good, self.article = tag, step, parent, out, good, article
+        self.key = blake2b((parent.key if parent else b"") + step.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        self.near_good = good or parent is not None and parent.near_good
         self.score, self.container = 0.0, tag in CONTAINER
+        self.box = self if self.container or parent is None else parent.box  # the nearest container
+        self.inside: bool | None = None
+
+    @property
+    def path(self) -> str:
+        return "/".join([e.step for e in _up(self)][::-1])
+
+    def within(self, key: bytes) -> bool:
+        """Whether it or an element around it has this key; each element is asked once for one page."""
+        way, e = [], self
+        while e is not None and e.inside is None and e.key != key:
+            way.append(e)
+            e = e.parent
+        found = e is not None and (e.inside if e.inside is not None else True)
+        for x in way:
+            x.inside = found
+        return found
 
 
 def _open(tag: str, attributes: str, parent: Element | None) -> Element:
@@ -75,10 +102,10 @@ def _open(tag: str, attributes: str, parent: Element | None) -> Element:
     inside = parent is not None and parent.article
     article = inside or tag == "article" or found.get("itemprop") == "articleBody"
     out = parent is not None and parent.out or tag in LEFT_OUT or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    out = out or tag == "header" and not (article or any(e.good for e in _up(parent))) or bool(words & MARKS) and tag not in ("html", "body", "main") or bool(_HIDDEN.search(found.get("style", "")))
+    out = out or tag == "header" and not (article or parent is not None and parent.near_good) or bool(words & MARKS) and tag not in ("html", "body", "main") or bool(_HIDDEN.search(found.get("style", "")))
     classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").lower().split()}))
     step = f"{tag}.{classes}" if classes else tag
-    return Element(tag, f"{parent.path}/{step}" if parent else step, parent, out, bool(words & GOOD) or tag in ("article", "main"), article)
+    return Element(tag, step, parent, out, bool(words & GOOD) or tag in ("article", "main"), article)
 
 
 def blocks(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
@@ -88,30 +115,46 @@ def blocks(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     root = top = Element("html", "html", None, False, False, False)
     containers.append(root)
     text: list[str] = []
-    size = linked = links = at = 0
+    opened = Counter(["html"])  # how many elements of each kind are open
+    linked = at = 0
 
     def flush() -> None:
-        nonlocal text, size, linked
+        nonlocal text, linked
         block = " ".join("".join(text).split())
         if block:
-            e = top
-            while not e.container:
-                e = e.parent
+            e = top.box
             found.append((e, block))
             worth = float(max(len(block) - linked, 0))
-            while e is not None:
-                if e.container:
-                    e.score += worth * (1.25 if e.good else 1.0)
-                    worth *= FADE
-                e = e.parent
-        text, size, linked = [], 0, 0
+            while e is not None and worth > 1e-9:
+                e.score += worth * (1.25 if e.good else 1.0)
+                worth *= FADE
+                e = e.parent and e.parent.box
+        text, linked = [], 0
+
+    def end(e: Element) -> None:
+        """Ends all open elements down to e."""
+        nonlocal top
+        while top is not e:
+            opened[top.tag] -= 1
+            top = top.parent
+        opened[e.tag] -= 1
+        top = e.parent
+
+    def ended(tags: frozenset, walls: frozenset) -> None:
+        """Ends the innermost open element of tags, if no wall stands before it."""
+        if any(opened[t] for t in tags):
+            for e in _up(top):
+                if e.tag in tags and e.parent is not None:
+                    return end(e)
+                if e.tag in walls or e.parent is None:
+                    return None
 
     def add(piece: str) -> None:
         nonlocal linked
         if piece and not top.out:
             piece = unescape(piece) if "&" in piece else piece
             text.append(piece)
-            if links:
+            if opened["a"]:
                 linked += len(piece.strip())
 
     while m := _MARKUP.search(html, at):
@@ -124,31 +167,26 @@ def blocks(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
         elif tag in ("br", "td", "th"):
             add(" ")
         if m[1]:
-            e, end = top, 0
-            while e.parent is not None and e.tag != tag and not (tag in INLINE and e.tag not in INLINE):
-                e = e.parent
+            e = top
+            if opened[tag]:
+                while e.parent is not None and e.tag != tag and not (tag in INLINE and e.tag not in INLINE):
+                    e = e.parent
             if e.parent is not None and e.tag == tag:
                 if e.tag not in INLINE:
                     flush()
-                end = top
-                while True:
-                    links -= end.tag == "a"
-                    if end is e:
-                        break
-                    end = end.parent
-                top = e.parent
-        elif tag in ("html", "body") and any(e.tag == tag for e in _up(top)):
+                end(e)
+        elif tag in ("html", "body") and opened[tag]:
             continue
         elif tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = close.end() if close else len(html)
         elif tag not in VOID and not (m[3] or "").endswith("/") or tag not in VOID and tag in CONTAINER:
             if tag not in INLINE:  # a paragraph ends where a block begins
-                links, top = _ended(top, frozenset(("p",)), CONTAINER | {"li", "blockquote", "table", "button"}, links)
+                ended(frozenset(("p",)), CONTAINER | {"li", "blockquote", "table", "button"})
             if tag in CLOSED_BY:
-                links, top = _ended(top, CLOSED_BY[tag], WALLS[tag], links)
+                ended(CLOSED_BY[tag], WALLS[tag])
             top = _open(tag, m[3] or "", top)
-            links += tag == "a"
+            opened[tag] += 1
             if top.container and not top.out:
                 containers.append(top)
     add(html[at:])
@@ -162,36 +200,38 @@ def _up(e: Element | None) -> Iterator[Element]:
         e = e.parent
 
 
-def _ended(top: Element, tags: frozenset, walls: frozenset, links: int) -> tuple[int, Element]:
-    """(links, the open element) after the innermost open one of tags has ended, if no wall stands before it."""
-    inner = 0
-    for e in _up(top):
-        if e.tag in tags and e.parent is not None:
-            return links - inner, e.parent
-        if e.tag in walls or e.parent is None:
-            break
-        inner += e.tag == "a"
-    return links, top
+def _best(found: list, containers: list[Element]) -> Element:
+    """The container that scores best, the first of equals, widened to the outermost article around it."""
+    best = max(containers, key=lambda e: e.score)
+    wide = [e for e in _up(best) if e.tag == "article" or e.container and e.article]
+    return wide[-1] if wide else best
 
 
-def best_path(html: str) -> str:
-    """The path of the container that scores best, widened to the article around it; empty without text."""
+def best_path(html: str) -> tuple[str, bytes | None]:
+    """(the path of a page's best container, its key); empty and null without text."""
     found, containers = blocks(html)
     if not found:
-        return ""
-    best = max(containers, key=lambda e: e.score)  # the first of equals
-    wide = [e for e in _up(best) if e.tag == "article" or e.container and e.article]
-    return (wide[-1] if wide else best).path
+        return "", None
+    best = _best(found, containers)
+    return best.path, best.key
 
 
-def text_at(html: str, path: str | None) -> tuple[str, str]:
-    """(text, the path it comes from): what stands in containers at the path, or in the page's own best one."""
+def text_at(html: str, key: bytes | None) -> tuple[str, bytes | None]:
+    """(text, the key of where it stands): what stands in containers with this key, or in the page's own best one."""
     found, containers = blocks(html)
     if not found:
-        return "", ""
-    if not path or not any(e.path == path for b, _ in found for e in _up(b)):
-        path = best_path(html)
-    return "\n".join(t for b, t in found if any(e.path == path for e in _up(b))), path
+        return "", None
+    if key is not None:
+        held = [t for b, t in found if b.within(key)]
+        if held:
+            return "\n".join(held), key
+        for b, _ in found:
+            for e in _up(b):
+                if e.inside is None:
+                    break
+                e.inside = None
+    key = _best(found, containers).key
+    return "\n".join(t for b, t in found if b.within(key)), key
 
 
 def host_of(url: str = "url"):
@@ -206,28 +246,36 @@ def votes(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([best_path(h) for h in batch.column(1).to_pylist()], pa.string())], ["host", "path"])
+            got = [best_path(h) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in got], pa.string()), pa.array([k for _, k in got], pa.binary())], ["host", "path", "key"])
 
     rows = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInArrow(voted, "host string, path string").filter("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
+    return rows.mapInArrow(voted, "host string, path string, key binary").filter("path <> ''").groupBy("host", "path", "key").agg(F.count("*").alias("n"))
 
 
 def winners(counted: DataFrame) -> DataFrame:
-    """(host, path): each host's path with most votes, the first of equals."""
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("n", F.reverse("path"))).alias("path"))
+    """(host, path, key): each host's path with most votes, the first of equals."""
+    return counted.groupBy("host").agg(F.max_by(F.struct("path", "key"), F.struct("n", F.reverse("path"))).alias("won")).select("host", "won.path", "won.key")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, path of each row of pages (page_id, url, html)."""
+    """page_id, url, text, n_chars, from_host of each row of pages (page_id, url, html); from_host: whether the text stands at
+    the path that the page's host has voted for.
+
+    The few winners are written, so that Spark knows their size and sends them to the pages where that is small; where it
+    isn't, it sorts both sides by host, and splits hosts that are too large for one task.
+    """
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            got = [text_at(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([p for _, p in got], pa.string())], ["page_id", "url", "text", "n_chars", "path"])
+            keys = batch.column(3).to_pylist()
+            got = [text_at(h, k) for h, k in zip(batch.column(2).to_pylist(), keys)]
+            same = [k is not None and k == at for k, (_, at) in zip(keys, got)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array(same, pa.bool_())], ["page_id", "url", "text", "n_chars", "from_host"])
 
-    won = winners(votes(pages))
+    won = written(winners(votes(pages)), "host-paths").select("host", "key")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    rows = rows.join(won, "host", "left").select("page_id", "url", "html", "path")
-    return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long, path string")
+    rows = rows.join(won, "host", "left").select("page_id", "url", "html", "key")
+    return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long, from_host boolean")

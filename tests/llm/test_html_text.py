@@ -24,6 +24,12 @@ def test_text(page, text):
     assert text_at(page, None)[0] == text
 
 
+@pytest.mark.parametrize("page,text", [("<div>" * 30_000 + "deep", "deep"), ("<span>" * 30_000 + "<p>a</p></b></b>" * 3000, "\n".join(["a"] * 3000)), ("<p>x" * 30_000, "\n".join(["x"] * 30_000)), ("<b>" * 20_000 + "</i>" * 20_000 + "t", "t"), ("w " * 1_000_000, ("w " * 1_000_000).strip())])
+def test_deep_and_long(page, text):
+    path, key = best_path(page)
+    assert text_at(page, None)[0] == text_at(page, key)[0] == text_at(page, b"no such key")[0] == text and path.startswith("html")
+
+
 def test_consensus(spark):
     usual = "<html><body><div class='box'><p>%s</p></div><div class='talk9'><p>%s</p></div></body></html>"
     pages = [(i, f"http://www.h.org:80/{i}", usual % ("article text that is long " * 3, "short"), "x") for i in range(4)]
@@ -32,7 +38,8 @@ def test_consensus(spark):
     assert {(r.host, r.path) for r in winners(votes(df)).collect()} == {("h.org", "html/body/div.box"), ("", "html")}
     got = sorted((r.page_id, r.text, r.n_chars) for r in extract(df).collect())
     assert [g[1] for g in got if g[0] == 9] == ["brief", "brief"] and (10, "alone", 5) in got and (11, "", 0) in got
-    assert best_path(pages[4][2]) == "html/body/div.talk#"
+    assert best_path(pages[4][2])[0] == "html/body/div.talk#"
+    assert all(r.from_host for r in extract(df.filter("html is not null")).collect())
     assert extract(df.limit(0)).collect() == []
 
 
