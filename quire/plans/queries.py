@@ -274,12 +274,21 @@ def figure_numbers(spark, sf_dir):
     return flow.page_numbers(_figures(spark, sf_dir), F.col("box_id") % 2 == 0).select("doc_id", "page", "box_id", "number")
 
 
-@query()
+_AREA = lambda b: f"greatest(0, {b}.x1 - {b}.x0) * greatest(0, {b}.y1 - {b}.y0)"
+_SHARED = "greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0))"
+_WITH = lambda x: f"WITH RECURSIVE {LINES}, {_BOXES}, {x}"
+
+
+@query(_WITH(f"""o AS (SELECT doc_id, page, box_id, {{'x0': CAST(x0 AS DOUBLE), 'y0': CAST(y0 AS DOUBLE), 'x1': CAST(x1 AS DOUBLE), 'y1': CAST(y1 AS DOUBLE)}} AS o, row_number() OVER (PARTITION BY doc_id, page ORDER BY box_id * 7 % 11 DESC, box_id) AS i FROM figures),
+    f AS (SELECT doc_id, page, box_id, i, TRUE AS good, [o] AS kept FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.page, o.box_id, o.i, len(list_filter(kept, lambda k: {_SHARED.replace('o.', 'o.o.')} >= 0.5 * greatest(least({_AREA('k')}, {_AREA('o.o')}), 1e-9))) = 0, CASE WHEN len(list_filter(kept, lambda k: {_SHARED.replace('o.', 'o.o.')} >= 0.5 * greatest(least({_AREA('k')}, {_AREA('o.o')}), 1e-9))) = 0 THEN list_append(kept, o.o) ELSE kept END FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.i = f.i + 1)
+    SELECT doc_id, page, box_id FROM f WHERE good"""))
 def suppressed_boxes(spark, sf_dir):
     return B.suppressed(_figures(spark, sf_dir).withColumn("score", F.col("box_id") * 7 % 11 / 10.0))
 
 
-@query()
+@query(_WITH("""e AS (SELECT a.doc_id, a.page, a.box_id AS a, b.box_id AS b FROM figures a JOIN figures b ON a.doc_id = b.doc_id AND a.page = b.page AND a.x0 <= b.x1 + 2 AND a.x1 >= b.x0 - 2 AND a.y0 <= b.y1 + 2 AND a.y1 >= b.y0 - 2),
+    f AS (SELECT doc_id, page, box_id, box_id AS g FROM figures UNION SELECT f.doc_id, f.page, e.b, f.g FROM f JOIN e ON e.doc_id = f.doc_id AND e.page = f.page AND e.a = f.box_id AND e.b > f.g)
+    SELECT doc_id, page, box_id, min(g) AS group_id FROM f GROUP BY ALL"""))
 def touching_groups(spark, sf_dir):
     return B.touching_groups(_figures(spark, sf_dir))
 
@@ -289,13 +298,17 @@ def grown_boxes(spark, sf_dir):
     return B.grown_boxes(_figures(spark, sf_dir))
 
 
-@query()
+@query(_WITH("""w AS (SELECT doc_id, page, line_no, k * 40.0 + (line_no + k) % 3 AS x FROM boxes, LATERAL (SELECT unnest(range(0, 5)) AS k) q), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY x, line_no) AS i FROM w),
+    f AS (SELECT doc_id, page, line_no, i, CAST(x AS DOUBLE) AS m, 1 AS n, 0 AS g FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.page, o.line_no, o.i, CASE WHEN abs(o.x - m) <= 8 THEN m + (o.x - m) / (n + 1) ELSE o.x END, CASE WHEN abs(o.x - m) <= 8 THEN n + 1 ELSE 1 END, CASE WHEN abs(o.x - m) <= 8 THEN g ELSE g + 1 END FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.i = f.i + 1),
+    c AS (SELECT doc_id, page, g, arg_max(m, n) AS x, max(n) AS n FROM f GROUP BY ALL HAVING count(DISTINCT line_no) >= 3) SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY g) - 1 AS INT) AS "column", x, n FROM c"""))
 def gap_columns(spark, sf_dir):
     words = _boxes(spark, sf_dir).select("doc_id", "page", "line_no", F.explode(F.expr("transform(sequence(0, 4), k -> k * 40.0 + (line_no + k) % 3)")).alias("x0"), F.lit(10.0).alias("h"))
     return B.gap_columns(words)
 
 
-@query()
+@query(_WITH("""w AS (SELECT doc_id, page, line_no AS ci, oy + line_no * 3 % 7 - line_no % 4 * 9 AS oy FROM boxes), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY oy, ci) AS i FROM w),
+    f AS (SELECT doc_id, page, ci, i, oy AS a, 0 AS row_no FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.page, o.ci, o.i, CASE WHEN o.oy - a > 5 THEN o.oy ELSE a END, CASE WHEN o.oy - a > 5 THEN row_no + 1 ELSE row_no END FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.i = f.i + 1)
+    SELECT doc_id, page, CAST(ci AS BIGINT) AS ci, row_no FROM f"""))
 def anchored_rows(spark, sf_dir):
     return B.anchored_rows(_boxes(spark, sf_dir).select("doc_id", "page", F.col("line_no").cast("long").alias("ci"), (F.col("oy") + F.col("line_no") * 3 % 7 - F.col("line_no") % 4 * 9).alias("oy"), F.lit(10.0).alias("size")))
 
