@@ -11,6 +11,9 @@ that is fewer.
 Words are runs of letters and digits in lower case (A-Z), and single code points in scripts that write no spaces between
 words (Han, kana, Thai, Lao, Khmer, Myanmar); signs and white space of any script are passed over. Items of under `shortest` words and null or empty texts overlap with nothing.
 Repeated rows count as one document or item; rows without an id are left out. Without items or documents there are no rows.
+Of overlaps of one pair that agree in as many words, the one with more words counts, then the one further back. Texts of
+any length are read whole; other columns of both tables, whatever their names, are left aside. Texts are shuffled only
+where a bitmap of the documents with hits lets them through.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bitmap import bitmap, has_hash, of_hash, without
+from quire.llm.bitmap import bitmap, has_hash, has_id, of_hash, of_id, without
 from quire.llm.common import texts, written
 from quire.llm.textvec import WORD, Words, code_points, keep, lower_ascii, mix, runs
 
@@ -164,7 +167,16 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = 10, share: float =
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text]), pa.array(at - w.firsts[text])], ["seed", "doc_id", "doc_word"])
 
     hits = rows.mapInArrow(doc_seeds, "seed long, doc_id long, doc_word long").join(test_seeds, "seed")
-    pairs = hits.select("doc_id", "item_id", (F.col("doc_word") - F.col("item_word")).alias("shift")).groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts"))
+    shifts = hits.select("doc_id", "item_id", (F.col("doc_word") - F.col("item_word")).alias("shift")).distinct()
+    pairs = written(shifts.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list("shift")).alias("shifts")), "seed-hits")
+    met = spark.sparkContext.broadcast(bitmap(pairs, of_id("doc_id")))
+
+    def met_docs(batches):
+        import pyarrow as pa
+
+        bits = np.frombuffer(met.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(has_id(bits, batch.column(0).to_numpy())))
 
     def verified(batches):
         import pyarrow as pa
@@ -185,7 +197,7 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = 10, share: float =
             cols = [*zip(*out)] or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_same"])
 
-    mine = pairs.join(tests.withColumnRenamed("text", "item_text"), "item_id").join(rows, "doc_id").select("doc_id", "item_id", "text", "item_text", "shifts")
+    mine = pairs.join(tests.withColumnRenamed("text", "item_text"), "item_id").join(rows.mapInArrow(met_docs, "doc_id long, text string"), "doc_id").select("doc_id", "item_id", "text", "item_text", "shifts")
     found = mine.mapInArrow(verified, OVERLAP)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", "n_words", "doc_word", "item_word")).alias("x")).select("doc_id", "item_id", "x.doc_word", "x.item_word", "x.n_words", "x.n_same")
 
