@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import same_list_next
+from quire.sources.archives import rtf_text
+from quire.sources.text_formats import decoded, kind_of
 
 #: Signs that end a part of a text, and marks that begin an item.
 STOP = r"[.!?。？！…:：\"”』」)\]]\z"
@@ -183,3 +185,21 @@ def zipped(members: DataFrame, when: tuple = (1980, 1, 1, 0, 0, 0)) -> DataFrame
 def web_document(title: Column, body: Column) -> Column:
     """A page of its own around the HTML of a document."""
     return F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), title, F.lit("</title></head><body>"), body, F.lit("</body></html>"))
+
+
+def run_offsets(runs: DataFrame) -> DataFrame:
+    """runs (doc_id, block_no, run_no, text) with start and stop: their places in the text of their block, from 0."""
+    w = Window.partitionBy("doc_id", "block_no").orderBy("run_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
+    return runs.withColumn("start", start).withColumn("stop", F.col("start") + F.length("text"))
+
+
+def imported(files: DataFrame) -> DataFrame:
+    """(doc_id, name, kind, text): files (doc_id, name, content) by what their names say they are; texts of any encoding are
+    decoded, RTF becomes its text, and zip-based kinds, whose readers open them themselves, have none. Refused and unknown kinds
+    stay, so that a caller sees them."""
+    kind = kind_of(F.col("name"))
+    rows = files.withColumn("kind", kind).withColumn("text", F.when(kind.isin("text", "markdown", "csv", "html", "rtf"), decoded(F.col("content"))))
+    rich = rtf_text(rows.filter("kind = 'rtf'").select("doc_id", F.col("text").alias("content")))
+    plain = rows.filter("kind is null or kind <> 'rtf'").select("doc_id", "name", "kind", "text")
+    return plain.unionByName(rows.filter("kind = 'rtf'").select("doc_id", "name", "kind").join(rich, "doc_id"))

@@ -11,7 +11,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.scalars import box_area, digits_masked, half_up, overlap_area
+from quire.functions.scalars import box_area, digits_masked, escaped, half_up, overlap_area
 from quire.operators.lines import duplicate_pages
 from quire.operators.ranks import at_ranks
 
@@ -449,3 +449,40 @@ def gaps_between_regions(paras: DataFrame, most: int = 3) -> DataFrame:
     each = F.when(F.col("_pitch") > 0, F.col("_pitch")).otherwise(F.col("_lh") * 1.6)
     extra = (F.col("y0") - F.col("_before") - F.greatest(F.lit(0.0), each - F.col("_lh"))) / each
     return r.withColumn("blanks", F.coalesce(F.when(extra >= 0.75, F.least(half_up(extra), F.lit(most))), F.lit(0)).cast("int")).drop("_before", "_lh", "_pitch")
+
+
+# scans, columns beside columns, tables as HTML
+
+
+def scan_pages(pages: DataFrame, most: int = 48, share: float = 0.9) -> DataFrame:
+    """(doc_id, page, is_scan): pages (n_chars, n_areas, hit, total) to be read from their image: those with image areas and no
+    characters, and in documents that are scans by half of their pages, those with few characters that images cover."""
+    bare = (F.col("n_chars") <= most) & (F.col("hit") >= F.col("total") * share)
+    whole = pages.groupBy("doc_id").agg((F.count_if(bare) >= F.count("*") * 0.5).alias("scans"))
+    scan = (F.col("n_areas") > 0) & ((F.col("n_chars") == 0) | (bare & F.col("scans")))
+    return pages.join(whole, "doc_id").select(*PAGE, scan.alias("is_scan"))
+
+
+def side_notes(segments: DataFrame) -> DataFrame:
+    """(doc_id, page, line_no, host): segments (panel, col, oy, x0, x1, size) of narrow columns that belong to the rows of the
+    column on their left: no wider than five characters, and three of them and 60 % on the height of a row there; the host is
+    that row, the first of several. Columns with two panels count by panel as their rows do."""
+    col = Window.partitionBy(*PAGE, "col")
+    r = segments.withColumns({"usual": F.median("size").over(col), "n": F.count("*").over(col), "wide": F.max(F.col("x1") - F.col("x0")).over(col)})
+    mine = r.filter("wide <= usual * 5").select(*PAGE, "line_no", "panel", "oy", "usual", "n", "col", (F.col("col") - 1).alias("left_col"))
+    other = segments.select(*PAGE, "panel", F.col("col").alias("left_col"), F.col("line_no").alias("o_line"), F.col("oy").alias("o_oy"))
+    met = mine.join(other, [*PAGE, "panel", "left_col"]).filter(F.abs(F.col("o_oy") - F.col("oy")) < F.col("usual") * 0.35)
+    hosts = met.groupBy(*PAGE, "line_no", "col", "n").agg(F.min("o_line").alias("host"))
+    k = F.count("*").over(col)
+    return hosts.withColumn("k", k).filter("k >= 3 and k >= n * 0.6").select(*PAGE, "line_no", "host")
+
+
+def table_html(cells: DataFrame) -> DataFrame:
+    """(doc_id, page, html): tables of placed cells (row, col, colspan, rowspan, align, text) as HTML, empty cells with a break."""
+    attribute = lambda name: F.when(F.col(name) > 1, F.concat(F.lit(f' {name}="'), F.col(name), F.lit('"'))).otherwise("")
+    style = F.when(F.col("align").isin("center", "right"), F.concat(F.lit(' style="text-align:'), "align", F.lit('"'))).otherwise("")
+    cell = F.concat(F.lit("<td"), attribute("colspan"), attribute("rowspan"), style, F.lit(">"), F.when(F.col("text") == "", "<br>").otherwise(escaped("text", quotes=False)), F.lit("</td>"))
+    rows = cells.groupBy(*PAGE, "row").agg(F.array_sort(F.collect_list(F.struct("col", cell.alias("td")))).alias("tds"))
+    line = F.concat(F.lit("<tr>"), F.array_join(F.transform("tds", lambda t: t["td"]), ""), F.lit("</tr>"))
+    tables = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("row", line.alias("tr")))).alias("trs"))
+    return tables.select(*PAGE, F.concat(F.lit("<table>"), F.array_join(F.transform("trs", lambda t: t["tr"]), ""), F.lit("</table>")).alias("html"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
-from quire.operators import documents, flow, segments
+from quire.operators import documents, flow, pages, segments
 from quire.plans.page_queries import GEO, _figs, _geo
 from quire.plans.queries import LINES, _PAIRS, _SEAMS, _lines, query, table
 from quire.sources import archives
@@ -195,6 +195,51 @@ def web_documents(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", documents.web_document(S.escaped(F.coalesce("url", F.lit(""))), F.col("html")).alias("html"))
 
 
+# scans, side notes, tables, runs, imports
+
+
+@query(f"""WITH {GEO}, p AS (SELECT doc_id, page, sum(n) % 60 AS c, count(*) % 3 AS areas, sum(n) % 7 AS hit FROM geo GROUP BY ALL), s AS (SELECT doc_id, count(*) FILTER (c <= 48 AND hit >= 6 * 0.5) >= count(*) * 0.5 AS scans FROM p GROUP BY doc_id)
+    SELECT doc_id, page, areas > 0 AND (c = 0 OR (c <= 48 AND hit >= 6 * 0.5 AND scans)) AS is_scan FROM p JOIN s USING (doc_id)""")
+def scan_pages(spark, sf_dir):
+    rows = _geo(spark, sf_dir).groupBy("doc_id", "page").agg((F.sum("n") % 60).alias("n_chars"), (F.count("*") % 3).alias("n_areas"), (F.sum("n") % 7).alias("hit"), F.lit(6).alias("total"))
+    return pages.scan_pages(rows, share=0.5)
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, CAST(line_no // 40 AS INT) AS page, line_no, 0 AS panel, CAST(line_no % 2 AS INT) AS col, CAST(line_no % 40 // 2 * 14 + length(text) % 4 AS DOUBLE) AS oy, 0.0 AS x0, CASE WHEN line_no % 2 = 1 THEN length(text) % 6 * 10.0 ELSE 200.0 END AS x1, 10.0 AS size FROM lines),
+    c AS (SELECT *, median(size) OVER w AS u, count(*) OVER w AS n, max(x1 - x0) OVER w AS wide FROM s WINDOW w AS (PARTITION BY doc_id, page, col)), m AS (SELECT c.doc_id, c.page, c.line_no, c.col, c.n, min(o.line_no) AS host FROM c JOIN s o ON o.doc_id = c.doc_id AND o.page = c.page AND o.panel = c.panel AND o.col = c.col - 1 AND abs(o.oy - c.oy) < u * 0.35 WHERE wide <= u * 5 GROUP BY ALL),
+    k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, col) AS k FROM m) SELECT doc_id, page, line_no, host FROM k WHERE k >= 3 AND k >= n * 0.6""")
+def side_notes(spark, sf_dir):
+    at, n = F.col("line_no"), F.length("text")
+    rows = _lines(spark, sf_dir).select("doc_id", F.floor(at / 40).cast("int").alias("page"), "line_no", F.lit(0).alias("panel"), (at % 2).alias("col"), (F.floor(at % 40 / 2) * 14.0 + n % 4).alias("oy"), F.lit(0.0).alias("x0"), F.when(at % 2 == 1, n % 6 * 10.0).otherwise(200.0).alias("x1"), F.lit(10.0).alias("size"))
+    return pages.side_notes(rows)
+
+
+@query(f"""WITH {GEO}, c AS (SELECT doc_id, page, line_no // 2 AS r, line_no % 2 AS c, '<td' || CASE WHEN n % 5 = 0 THEN ' colspan="2"' ELSE '' END || CASE WHEN n % 7 = 0 THEN ' rowspan="3"' ELSE '' END || CASE n % 3 WHEN 0 THEN ' style="text-align:center"' WHEN 1 THEN ' style="text-align:right"' ELSE '' END || '>' || CASE WHEN text = '' THEN '<br>' ELSE replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END || '</td>' AS td FROM geo),
+    t AS (SELECT doc_id, page, r, '<tr>' || string_agg(td, '' ORDER BY c) || '</tr>' AS tr FROM c GROUP BY ALL) SELECT doc_id, page, '<table>' || string_agg(tr, '' ORDER BY r) || '</table>' AS html FROM t GROUP BY doc_id, page""")
+def table_html(spark, sf_dir):
+    n = F.col("n")
+    cells = _geo(spark, sf_dir).select("doc_id", "page", F.floor(F.col("line_no") / 2).alias("row"), (F.col("line_no") % 2).alias("col"), F.when(n % 5 == 0, 2).otherwise(1).alias("colspan"), F.when(n % 7 == 0, 3).otherwise(1).alias("rowspan"), F.when(n % 3 == 0, "center").when(n % 3 == 1, "right").otherwise("left").alias("align"), "text")
+    return pages.table_html(cells)
+
+
+@query("WITH r AS (SELECT conv_id AS doc_id, turn AS block_no, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS run_no FROM conversations), s AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id, block_no ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r) SELECT doc_id, block_no, CAST(run_no AS INT) AS run_no, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS stop FROM s")
+def run_offsets(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_no"), F.posexplode(F.split("text", " ")).alias("run_no", "text"))
+    return documents.run_offsets(rows).select("doc_id", "block_no", "run_no", "start", "stop")
+
+
+@query("""WITH f AS (SELECT doc_id, 'f' || doc_id || ['.txt', '.MD', '.csv', '.docx', '.doc', '', '.rtf'][doc_id % 7 + 1] AS name, [ 'text', 'markdown', 'csv', 'parts', 'old format', NULL, 'rtf'][doc_id % 7 + 1] AS kind, text FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, name, kind, CASE doc_id % 7 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN 'x' || chr(10) || doc_id ELSE text END AS text FROM f""")
+def imported_files(spark, sf_dir):
+    k = (F.col("doc_id") % 7).cast("int")
+    rows = table(spark, sf_dir, "documents").filter("text is not null")
+    name = F.concat(F.lit("f"), "doc_id", F.get(F.array(*map(F.lit, (".txt", ".MD", ".csv", ".docx", ".doc", "", ".rtf"))), k))
+    # every other text with a byte order mark, in one of two encodings
+    coded = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    rich = F.encode(F.concat(F.lit(r"{\rtf1{\fonttbl{\f0 A;}}x\par "), "doc_id", F.lit("}")), "UTF-8")
+    return documents.imported(rows.select("doc_id", name.alias("name"), F.when(k == 6, rich).otherwise(coded).alias("content")))
+
+
 # scalar rules
 
 
