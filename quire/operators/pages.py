@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import box_area, digits_masked, escaped, half_up, overlap_area
+from quire.operators.boxes import grown_boxes
 from quire.operators.lines import duplicate_pages
 from quire.operators.ranks import at_ranks
 
@@ -486,3 +487,43 @@ def table_html(cells: DataFrame) -> DataFrame:
     line = F.concat(F.lit("<tr>"), F.array_join(F.transform("tds", lambda t: t["td"]), ""), F.lit("</tr>"))
     tables = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("row", line.alias("tr")))).alias("trs"))
     return tables.select(*PAGE, F.concat(F.lit("<table>"), F.array_join(F.transform("trs", lambda t: t["tr"]), ""), F.lit("</table>")).alias("html"))
+
+
+def column_order(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, line_no, col, place): recognised lines (text, x0, y0, x1, y1) in reading order, from 1: lines over columns that
+    stand above them, the columns from left to right, then the other lines over columns; col is null for those.
+
+    Columns are parted by upright strips of 1.5 characters that hardly any narrow line reaches; pages of fewer than four
+    lines stay as they are. What narrow lines cover is counted point by point, so no pairs of lines are compared.
+    """
+    whole = Window.partitionBy(*PAGE)
+    chars = F.greatest(F.lit(1), F.length(F.regexp_replace("text", r"\s", "")))
+    r = lines.withColumns({"n": F.count("*").over(whole), "low": F.min("x0").over(whole), "wide": F.max("x1").over(whole) - F.min("x0").over(whole), "char": F.median((F.col("x1") - F.col("x0")) / chars).over(whole)})
+    narrow = r.filter((F.col("n") >= 4) & (F.col("x1") - F.col("x0") < F.col("wide") * 0.62)).withColumn("k", F.count("*").over(whole))
+    points = narrow.select(*PAGE, "low", "char", "k", F.explode(F.sequence(F.floor(F.col("x0") - F.col("low")), F.ceil(F.col("x1") - F.col("low")))).alias("x"))
+    covered = points.groupBy(*PAGE, "low", "char", "k", "x").agg(F.count("*").alias("c")).filter(F.col("c") >= F.greatest(F.lit(1), half_up(F.col("k") * 0.08)))
+    strips = covered.withColumn("before", F.lag("x").over(Window.partitionBy(*PAGE).orderBy("x"))).filter((F.col("k") >= 4) & (F.col("x") - F.col("before") - 1 >= F.col("char") * 1.5))
+    gutters = strips.select(*PAGE, (F.col("low") + F.col("before") + 1).alias("g0"), (F.col("low") + F.col("x")).alias("g1"))
+    over, behind = (F.col("x0") < F.col("g0")) & (F.col("x1") > F.col("g1")), (F.col("x0") + F.col("x1")) / 2 > F.col("g0")
+    placed = r.join(gutters, PAGE, "left").groupBy(*PAGE, "line_no", "n", "x0", "y0", "y1").agg(F.coalesce(F.bool_or(over), F.lit(False)).alias("over"), F.count_if(behind).alias("col"))
+    top = F.min(F.when(~F.col("over"), F.col("y0"))).over(whole)
+    part = F.when(~F.col("over"), 1).when(top.isNull() | (F.col("y1") <= top + 1), 0).otherwise(2)
+    few = F.col("n") < 4
+    keys = placed.withColumns({"col": F.when(~F.col("over"), F.col("col")), "part": F.when(few, 0).otherwise(part)}).withColumn("high", F.when(few, 0.0).when(F.col("part") == 1, F.col("y1")).otherwise(F.col("y0")))
+    order = Window.partitionBy(*PAGE).orderBy("part", F.when(F.col("part") == 1, F.col("col")), "high", F.when(F.col("part") == 1, F.col("x0")), "line_no")
+    return keys.select(*PAGE, "line_no", "col", F.row_number().over(order).alias("place"))
+
+
+def image_text_areas(images: DataFrame, pages: DataFrame, most: int = 48) -> DataFrame:
+    """(doc_id, page, x0, y0, x1, y1, n): where a page's images may hold text: images of a size for it (px_w, px_h too), those that
+    meet as one; the whole page where it has few characters and images over half of it, or one over 45 %. pages: n_chars,
+    page_w, page_h."""
+    at = {"x0": F.greatest(F.lit(0.0), "x0"), "y0": F.greatest(F.lit(0.0), "y0"), "x1": F.least("page_w", "x1"), "y1": F.least("page_h", "y1")}
+    rows = images.join(pages.select(*PAGE, "n_chars", "page_w", "page_h"), PAGE).withColumns(at)
+    w, h, page = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("page_w") * F.col("page_h")
+    some = rows.filter((w >= 40) & (h >= 20) & (w * h >= page * 0.01) & (F.col("px_w") >= 80) & (F.col("px_h") >= 30))
+    sizes = some.groupBy(*PAGE, "n_chars", "page_w", "page_h").agg(F.sum(w * h).alias("all"), F.max(w * h).alias("largest"))
+    scans = sizes.filter((F.col("n_chars") <= most) & ((F.col("all") >= page * 0.5) | (F.col("largest") >= page * 0.45)))
+    names = (*PAGE, "box_id", "x0", "y0", "x1", "y1")
+    full = scans.select(*PAGE, F.lit(-1).alias("box_id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("page_w").alias("x1"), F.col("page_h").alias("y1"))
+    return grown_boxes(some.join(scans.select(*PAGE), PAGE, "left_anti").select(*names).unionByName(full))

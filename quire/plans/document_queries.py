@@ -89,7 +89,7 @@ def listed_figures(spark, sf_dir):
 
 @query()
 def joined_fragments(spark, sf_dir):
-    rows = _geo(spark, sf_dir).select("doc_id", "page", "line_no", F.left("text", F.lit(12)).alias("text"), (F.col("line_no") % 3 * 80.0).alias("x0"), (F.col("line_no") % 3 * 80.0 + 50 + F.col("n") % 20).alias("x1"), (F.floor(F.col("line_no") % 6 / 3) * 20.0).alias("y0"), (F.floor(F.col("line_no") % 6 / 3) * 20.0 + 12).alias("y1"))
+    rows = _geo(spark, sf_dir).select("doc_id", "page", "line_no", "text", (F.col("line_no") % 3 * 80.0).alias("x0"), (F.col("line_no") % 3 * 80.0 + 50 + F.col("n") % 20).alias("x1"), (F.floor(F.col("line_no") % 6 / 3) * 20.0).alias("y0"), (F.floor(F.col("line_no") % 6 / 3) * 20.0 + 12).alias("y1"))
     return segments.joined_fragments(rows)
 
 
@@ -240,6 +240,28 @@ def imported_files(spark, sf_dir):
     return documents.imported(rows.select("doc_id", name.alias("name"), F.when(k == 6, rich).otherwise(coded).alias("content")))
 
 
+@query(rf"""WITH {LINES}, b AS (SELECT doc_id, CAST(line_no // 12 AS INT) AS page, line_no, text, CASE WHEN length(text) % 6 = 0 THEN 10.0 WHEN line_no % 2 = 0 THEN 10.0 ELSE 200.0 END AS x0, CASE WHEN length(text) % 6 = 0 THEN 360.0 WHEN line_no % 2 = 0 THEN 10 + length(text) % 31 * 5.0 ELSE 200 + length(text) % 31 * 5.0 END AS x1, line_no % 12 // 2 * 20.0 + length(text) % 3 AS y0 FROM lines),
+    r AS (SELECT *, y0 + 12 AS y1, count(*) OVER w AS n, min(x0) OVER w AS low, max(x1) OVER w - min(x0) OVER w AS wide, median(CAST(x1 - x0 AS DOUBLE) / greatest(1, length(regexp_replace(text, '\s', '', 'g')))) OVER w AS chr FROM b WINDOW w AS (PARTITION BY doc_id, page)),
+    nr AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS k FROM r WHERE n >= 4 AND x1 - x0 < wide * 0.62), pt AS (SELECT doc_id, page, low, chr, k, unnest(range(CAST(floor(x0 - low) AS BIGINT), CAST(ceil(x1 - low) AS BIGINT) + 1)) AS x FROM nr), cv AS (SELECT doc_id, page, low, chr, k, x FROM pt GROUP BY ALL HAVING count(*) >= greatest(1, floor(k * 0.08 + 0.5))),
+    g AS (SELECT doc_id, page, low + p + 1 AS g0, low + x AS g1 FROM (SELECT *, lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) AS p FROM cv) q WHERE k >= 4 AND x - p - 1 >= chr * 1.5),
+    c AS (SELECT r.*, EXISTS (SELECT 1 FROM g WHERE g.doc_id = r.doc_id AND g.page = r.page AND x0 < g0 AND x1 > g1) AS over_, (SELECT count(*) FROM g WHERE g.doc_id = r.doc_id AND g.page = r.page AND (x0 + x1) / 2 > g0) AS col FROM r),
+    t AS (SELECT *, min(CASE WHEN NOT over_ THEN y0 END) OVER (PARTITION BY doc_id, page) AS top FROM c), o AS (SELECT *, CASE WHEN n < 4 THEN 0 WHEN NOT over_ THEN 1 WHEN top IS NULL OR y1 <= top + 1 THEN 0 ELSE 2 END AS part FROM t)
+    SELECT doc_id, page, line_no, CASE WHEN NOT over_ THEN col END AS col, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY part, CASE WHEN part = 1 THEN col END, CASE WHEN n < 4 THEN 0 WHEN part = 1 THEN y1 ELSE y0 END, CASE WHEN part = 1 THEN x0 END, line_no) AS INT) AS place FROM o""")
+def column_order(spark, sf_dir):
+    at, n = F.col("line_no"), F.length("text")
+    left = F.when(F.col("line_no") % 2 == 0, 10.0).otherwise(200.0)
+    y0 = F.floor(at % 12 / 2) * 20.0 + n % 3
+    rows = _lines(spark, sf_dir).select("doc_id", F.floor(at / 12).cast("int").alias("page"), "line_no", "text", F.when(n % 6 == 0, 10.0).otherwise(left).alias("x0"), F.when(n % 6 == 0, 360.0).otherwise(left + n % 31 * 5).alias("x1"), y0.alias("y0"), (y0 + 12).alias("y1"))
+    return pages.column_order(rows)
+
+
+@query()
+def image_text_areas(spark, sf_dir):
+    images = _figs(spark, sf_dir).withColumns({"px_w": F.col("n") * 2, "px_h": F.col("n")})
+    chars = _geo(spark, sf_dir).groupBy("doc_id", "page", "page_w", "page_h").agg((F.sum("n") % 90).alias("n_chars"))
+    return pages.image_text_areas(images.drop("page_w", "page_h"), chars)
+
+
 # scalar rules
 
 
