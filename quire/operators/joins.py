@@ -115,3 +115,45 @@ def line_joins(lines: DataFrame) -> DataFrame:
         .when(known, result("none", 0.97, "known in one piece")).otherwise(evidence)
     )
     return rows.withColumn("o", out).select("doc_id", "line_no", "o.kind", "o.conf", "o.reason")
+
+
+#: Particles that begin no line by themselves, and endings that begin no word of their own.
+STRONG = ("을", "를", "는", "은", "의", "에", "와", "과", "로", "으로", "에서", "에게", "까지", "부터", "처럼", "께서")
+ENDINGS = ("니다", "습니다", "었다", "였다", "했다", "이다", "하다", "된다", "한다")
+
+
+def wrap_modes(lines: DataFrame) -> DataFrame:
+    """(doc_id, mode, n, word_only, roomy, mid_word): whether a document's lines break between words or between characters.
+
+    Of seams that nothing else explains: those where a character more had room, but the next word had none (word_only), those
+    where a character had room at all (roomy), and those where the next line begins with a particle or an ending.
+    """
+    c = F.col
+    rows = breaks(pairs(lines)).filter("break is null").withColumns({"char": (c("x1") - c("x0")) / F.greatest(F.length("text"), F.lit(1)), "head": F.substring_index("text", " ", 1)})
+    rows = rows.filter("char > 0").withColumn("slack", c("p_right") - c("p_x1"))
+    tol, core = c("p_size") * 0.1, word_core("head")
+    word_only = (c("slack") >= c("char") + c("space") + tol) & (c("slack") < F.length("head") * c("char") + c("space") + tol) & ~c("ended")
+    mid = core.isin(*STRONG) | core.rlike("^(?:" + "|".join(ENDINGS) + ")") | c("head").rlike("^[가-힣][.,!?]")
+    n = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(word_only).alias("word_only"), F.count_if(c("slack") >= c("char") * 0.95).alias("roomy"), F.count_if(mid).alias("mid_word"))
+    by_word = ((c("word_only") >= 2) & (c("word_only") >= c("n") * 0.08)) | (c("roomy") / c("n") > 0.45)
+    mode = F.when((c("mid_word") >= 2) & (c("mid_word") >= c("n") * 0.04), "char").when(by_word, "word").otherwise("char")
+    return n.select("doc_id", mode.alias("mode"), "n", "word_only", "roomy", "mid_word")
+
+
+def local_edges(lines: DataFrame, reach: int = 4) -> DataFrame:
+    """(doc_id, line_no, local_right): the right edge of the narrow block that a line stands in: of at least three lines in a row
+    that are alike (size, left edge, distance), up to `reach` on each side. It counts if 60 % of them end within a character
+    of it, it is well inside the column, and the block takes at least 35 % of the column's width.
+
+    A line is like the next by its own size and pitch; a run of alike lines is a block, cut to those around the line.
+    """
+    c = F.col
+    w = Window.partitionBy("doc_id", "page", "grp").orderBy("oy", "line_no")
+    p = {f"p_{x}": F.lag(x).over(w) for x in ("size", "x0", "oy", "pitch")}
+    like = (F.abs(c("p_size") - c("size")) < c("p_size") * 0.08) & (F.abs(c("p_x0") - c("x0")) < c("p_size") * 2.5) & (F.abs(c("oy") - c("p_oy")) < F.greatest(c("p_pitch"), c("p_size") * 1.2) * 1.6)
+    rows = lines.withColumns(p).withColumn("new", F.when(F.coalesce(like, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    near = Window.partitionBy("doc_id", "page", "grp", "run").orderBy("oy", "line_no").rowsBetween(-reach, reach)
+    block = rows.withColumns({"n": F.count("*").over(near), "edge": F.max("x1").over(near), "ends": F.collect_list(F.struct("x1", "size")).over(near)})
+    full = F.size(F.filter("ends", lambda e: e["x1"] >= c("edge") - e["size"]))
+    good = (c("n") >= 3) & (c("edge") <= c("right") - c("size") * 2) & (full >= 2) & (full >= c("n") * 0.6) & (c("edge") - c("left") >= (c("right") - c("left")) * 0.35)
+    return block.filter(good).select("doc_id", "line_no", c("edge").alias("local_right"))

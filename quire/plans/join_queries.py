@@ -36,15 +36,19 @@ def _rows(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(rf"""WITH {_SET}, tok AS (SELECT doc_id, len(p) AS n, i - 1 AS pos, p[i] AS raw FROM (SELECT doc_id, string_split(text, ' ') AS p FROM geo) q, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i) r), t AS (SELECT doc_id, {CORE} AS token, count(*) AS k FROM tok WHERE pos BETWEEN 1 AND n - 2 GROUP BY ALL),
-    words AS (SELECT doc_id, base, sum(k) AS n FROM (SELECT doc_id, token AS base, k FROM t WHERE token <> '' UNION ALL SELECT DISTINCT doc_id, left(token, length(token) - length(p)), k FROM t, (SELECT unnest([{', '.join(f"'{p}'" for p in S.PARTICLES)}]) AS p) s WHERE ends_with(token, p) AND length(token) > length(p)) u GROUP BY ALL),
-    pr AS (SELECT *, lag(text) OVER w AS pt, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(oy) OVER w AS poy, lag(size) OVER w AS ps, lag(weight) OVER w AS pw, lag(angle) OVER w AS pa, lag(page) OVER w AS pp, lag(grp) OVER w AS pg, lag(just) OVER w AS pj, lag(oy, 2) OVER w AS qoy, lag(size, 2) OVER w AS qs, lag(page, 2) OVER w AS qp, lag(grp, 2) OVER w AS qg, lead(x0) OVER w AS nx0, lead(oy) OVER w AS noy, lead(size) OVER w AS ns, lead(page) OVER w AS np, lead(grp) OVER w AS ng FROM geo WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+#: What breaks lines whatever the widths say.
+_BRK = rf"""pr AS (SELECT *, lag(text) OVER w AS pt, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(oy) OVER w AS poy, lag(size) OVER w AS ps, lag(weight) OVER w AS pw, lag(angle) OVER w AS pa, lag(page) OVER w AS pp, lag(grp) OVER w AS pg, lag(just) OVER w AS pj, lag(oy, 2) OVER w AS qoy, lag(size, 2) OVER w AS qs, lag(page, 2) OVER w AS qp, lag(grp, 2) OVER w AS qg, lead(x0) OVER w AS nx0, lead(oy) OVER w AS noy, lead(size) OVER w AS ns, lead(page) OVER w AS np, lead(grp) OVER w AS ng FROM geo WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
     b AS (SELECT *, page = pp AND grp = pg AS same, oy - poy AS step, regexp_matches(pt, '{_END}') AS ended, regexp_matches(text, '{_MARK}') AS item, greatest(size, ps) AS big, least(size, ps) AS small, split_part(text, ' ', 1) AS h, split_part(pt, ' ', 1) AS ph, x0 - l AS ind, CASE WHEN np = page AND ng = grp THEN nx0 - l ELSE 0 END AS nind,
         CASE WHEN abs(ps - size) < 0.5 AND abs(size - body) > body * 0.12 THEN pitch * size / body ELSE pitch END AS base, least(CASE WHEN qp = pp AND qg = pg AND abs(qs - ps) < 0.5 AND poy > qoy THEN poy - qoy END, CASE WHEN np = page AND ng = grp AND abs(ns - size) < 0.5 AND noy > oy THEN noy - oy END) AS around FROM pr WHERE pt IS NOT NULL),
     m AS (SELECT *, same AND step > 0 AND step <= pitch * 1.15 AND NOT ended AND NOT item AND x0 - CASE WHEN px0 - l > ps * 0.3 THEN px0 ELSE l END > size * 2.5 AND NOT (big > body * 1.5 AND small >= body * 0.8 AND big > small * 1.3) AS missing FROM b),
     k AS (SELECT *, CASE WHEN missing THEN NULL WHEN regexp_matches(pt, '([.·…‥・_][ ]*){{4,}}([0-9]{{1,4}}|[ivxlcIVXLC]{{1,6}})[ ]*$') THEN 'end of a contents entry' WHEN abs(angle) >= 0.3 OR abs(pa) >= 0.3 THEN 'turned text' WHEN NOT same AND page = pp AND step > big * 2.2 THEN 'gap between sections' WHEN abs(size - ps) > big * 0.12 THEN 'size' WHEN abs(weight - pw) >= 250 AND (ended OR r - px1 > ps) THEN 'weight'
         WHEN same AND step > coalesce(greatest(base, around), base) + greatest(size * 0.3, pitch * 0.15) THEN 'gap' WHEN same AND step < 0 THEN 'going back' WHEN ind > size * 0.6 AND NOT (same AND abs(x0 - px0) < size * 0.35 AND px0 - l > size * 0.3) AND NOT (nind > size * 0.6 AND abs(nind - ind) < size * 0.3) THEN 'indent'
-        WHEN regexp_matches(pt, '{_LABEL}') AND NOT regexp_matches(pt, '{_RATIO}') AND regexp_matches(text, '{_LABEL}') AND NOT regexp_matches(text, '{_RATIO}') THEN 'labels' WHEN same AND regexp_full_match(h, '[^\p{{L}}\p{{N}}\s]') AND h = ph AND contains(text, ' ') THEN 'same sign' WHEN item AND contains(text, ' ') AND (ended OR ends_with(pt, ':') OR r - px1 > size * 2) THEN 'list mark' END AS brk FROM m),
+        WHEN regexp_matches(pt, '{_LABEL}') AND NOT regexp_matches(pt, '{_RATIO}') AND regexp_matches(text, '{_LABEL}') AND NOT regexp_matches(text, '{_RATIO}') THEN 'labels' WHEN same AND regexp_full_match(h, '[^\p{{L}}\p{{N}}\s]') AND h = ph AND contains(text, ' ') THEN 'same sign' WHEN item AND contains(text, ' ') AND (ended OR ends_with(pt, ':') OR r - px1 > size * 2) THEN 'list mark' END AS brk FROM m)"""
+
+
+@query(rf"""WITH {_SET}, tok AS (SELECT doc_id, len(p) AS n, i - 1 AS pos, p[i] AS raw FROM (SELECT doc_id, string_split(text, ' ') AS p FROM geo) q, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i) r), t AS (SELECT doc_id, {CORE} AS token, count(*) AS k FROM tok WHERE pos BETWEEN 1 AND n - 2 GROUP BY ALL),
+    words AS (SELECT doc_id, base, sum(k) AS n FROM (SELECT doc_id, token AS base, k FROM t WHERE token <> '' UNION ALL SELECT DISTINCT doc_id, left(token, length(token) - length(p)), k FROM t, (SELECT unnest([{', '.join(f"'{p}'" for p in S.PARTICLES)}]) AS p) s WHERE ends_with(token, p) AND length(token) > length(p)) u GROUP BY ALL),
+    {_BRK},
     c AS (SELECT *, {_core("regexp_extract(pt, '([^ ]*)$', 1)")} AS a, {_core("h")} AS bb, (x1 - x0) / greatest(length(text), 1) AS chr, r - px1 AS slack, regexp_matches(pt, '[A-Za-zÀ-ɏ][-‐]$') AND regexp_matches(text, '^[A-Za-zÀ-ɏ]') AS hy FROM k),
     j AS (SELECT *, {_STEM("CASE WHEN hy THEN regexp_replace(a, '[-‐]$', '') ELSE a END || bb")} AS joined, regexp_replace(a, '[-‐]$', '') || '-' || bb AS hyphened, {_STEM("a")} AS sa, {_STEM("bb")} AS sb FROM c),
     e AS (SELECT j.*, coalesce(w1.n, 0) > 0 AS hj, coalesce(w2.n, 0) > 0 AS hh, 3.0 - CASE WHEN regexp_matches(pt, '[一-鿿぀-ヿ㐀-䶿]$') AND regexp_matches(text, '^[一-鿿぀-ヿ㐀-䶿]') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(text, '^[.,!?;:)\]}}」』》〉”’…]') THEN -6 WHEN regexp_matches(pt, '[.!?…。！？]$') AND regexp_matches(text, '^\p{{L}}') THEN 3 ELSE 0 END + CASE WHEN length(a) > 1 AND length(bb) > 1 AND w3.n > 0 AND w4.n > 0 THEN 1.5 ELSE 0 END AS score,
@@ -56,3 +60,21 @@ def _rows(spark, sf_dir) -> DataFrame:
         CASE rule WHEN 1 THEN 'characters may be missing' WHEN 2 THEN brk WHEN 3 THEN 'short line of a justified column' WHEN 4 THEN 'the next word had room' WHEN 5 THEN 'known without its hyphen' WHEN 6 THEN 'known with its hyphen' WHEN 7 THEN 'hyphen' WHEN 8 THEN 'known in one piece' ELSE 'evidence' END AS reason FROM o""")
 def line_joins(spark, sf_dir):
     return joins.line_joins(_rows(spark, sf_dir))
+
+
+@query(f"""WITH {_SET}, w AS (SELECT *, lag(size) OVER p AS ps, lag(x0) OVER p AS px0, lag(oy) OVER p AS poy, lag(pitch) OVER p AS pp FROM geo WINDOW p AS (PARTITION BY doc_id, page, grp ORDER BY oy, line_no)),
+    r AS (SELECT *, sum(CASE WHEN coalesce(abs(ps - size) < ps * 0.08 AND abs(px0 - x0) < ps * 2.5 AND abs(oy - poy) < greatest(pp, ps * 1.2) * 1.6, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page, grp ORDER BY oy, line_no) AS run FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, grp, run ORDER BY oy, line_no) AS i FROM r),
+    b AS (SELECT a.doc_id, a.line_no, a.size, a.r, a.l, count(*) AS n, max(q.x1) AS edge, list([q.x1, q.size]) AS ends FROM o a JOIN o q ON q.doc_id = a.doc_id AND q.page = a.page AND q.grp = a.grp AND q.run = a.run AND abs(q.i - a.i) <= 4 GROUP BY ALL), f AS (SELECT *, len(list_filter(ends, lambda e: e[1] >= edge - e[2])) AS k FROM b)
+    SELECT doc_id, line_no, CAST(edge AS DOUBLE) AS local_right FROM f WHERE n >= 3 AND edge <= r - size * 2 AND k >= 2 AND k >= n * 0.6 AND edge - l >= (r - l) * 0.35""")
+def local_edges(spark, sf_dir):
+    return joins.local_edges(_rows(spark, sf_dir))
+
+
+_MID = "'" + "', '".join(joins.STRONG) + "'"
+
+
+@query(rf"""WITH {_SET}, {_BRK}, p AS (SELECT *, (x1 - x0) / greatest(length(text), 1) AS chr, r - px1 AS slack, {_core("h")} AS core FROM k WHERE brk IS NULL),
+    n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (slack >= chr + space + ps * 0.1 AND slack < length(h) * chr + space + ps * 0.1 AND NOT ended) AS word_only, count(*) FILTER (slack >= chr * 0.95) AS roomy, count(*) FILTER (core IN ({_MID}) OR regexp_matches(core, '^({'|'.join(joins.ENDINGS)})') OR regexp_matches(h, '^[가-힣][.,!?]')) AS mid_word FROM p WHERE chr > 0 GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN mid_word >= 2 AND mid_word >= n * 0.04 THEN 'char' WHEN (word_only >= 2 AND word_only >= n * 0.08) OR roomy / n > 0.45 THEN 'word' ELSE 'char' END AS mode, n, word_only, roomy, mid_word FROM n""")
+def wrap_modes(spark, sf_dir):
+    return joins.wrap_modes(_rows(spark, sf_dir))
