@@ -26,9 +26,9 @@ def _small(links: DataFrame) -> DataFrame:
 
 def _settled(links: DataFrame) -> bool:
     """Whether every node hangs on one other that hangs on none."""
-    twice = links.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-    inner = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
-    return not twice.unionByName(inner).take(1)
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not nodes.filter("hangs > 1 or (hangs = 1 and holds = 1)").take(1)
 
 
 def components(links: DataFrame, most: int = 50) -> DataFrame:

@@ -22,7 +22,9 @@ one class has in its prefix are dropped in the shuffle that brings them together
 
 Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z in lower case. Null and empty texts, and those of white space alone,
 have an empty set: they link with nothing, and are their own component. Rows with the same id are one node, and each
-gives a row; a row without an id links with nothing and has no component. No documents, no rows.
+gives a row; a row without an id links with nothing and has no component. No documents, no rows. Texts of any length are
+worked on whole, each as a run of its own; a similarity of just `percent` links. Other columns of docs, whatever their
+names, are left aside, or kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ CELLS = 22
 MORE = 0.03
 BLOCK = 1 << 15
 LEVELS = (1, 2, 4, 8)
+#: What the codes of list lengths stand for: 0, then 1 and a tenth more with each.
+COSTS = np.append(0.0, 1.1 ** np.arange(255))
 _U = np.uint64
 
 
@@ -112,10 +116,13 @@ def surveyed(rows: DataFrame, n: int) -> DataFrame:
 
 
 def list_lengths(survey: DataFrame) -> np.ndarray:
-    """For each cell of shingles, how far it is above the usual count; 0 within what chance makes of it.
+    """For each cell of shingles a code of how far it is above the usual count; 0 within what chance makes of it.
 
-    Tasks' counts are added up block by block; 2^CELLS numbers come to the driver, however large the corpus.
+    Tasks' counts are added up block by block, and coded where they are added: COSTS says what a code stands for, in steps
+    of a tenth. 2^CELLS bytes come to the driver, however large the corpus.
     """
+    shingles = survey.filter("is_doc").agg(F.sum("n_shingles")).first()[0] or 0
+    usual = shingles / (1 << CELLS)
 
     def added(batches):
         import pyarrow as pa
@@ -124,15 +131,14 @@ def list_lengths(survey: DataFrame) -> np.ndarray:
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array([np.minimum(s, 2**32 - 1).astype("<u4").tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
+        codes = [np.where(s > usual + 3 * np.sqrt(usual) + 3, np.searchsorted(COSTS[1:], np.maximum(s - usual, 1), "right").clip(1, 255), 0).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array(codes, pa.binary())], ["block", "codes"])
 
-    got = survey.filter("not is_doc").select("block", "counts").repartition("block").mapInArrow(added, "block long, counts binary").toArrow()
-    total = np.zeros(((1 << CELLS) // BLOCK, BLOCK), np.uint32)
-    for block, counts in zip(got.column("block").to_pylist(), got.column("counts").to_pylist()):
-        total[block] = np.frombuffer(counts, "<u4")
-    total = total.reshape(-1)
-    usual = total.mean()
-    return np.where(total > usual + 3 * np.sqrt(usual) + 3, np.minimum(total, 2**31 - 1) - np.uint32(usual), 0).astype(np.int32)
+    got = survey.filter("not is_doc").select("block", "counts").repartition("block").mapInArrow(added, "block long, codes binary").toArrow()
+    out = np.zeros(((1 << CELLS) // BLOCK, BLOCK), np.uint8)
+    for block, codes in zip(got.column("block"), got.column("codes")):
+        out[block.as_py()] = np.frombuffer(codes.as_buffer(), np.uint8)
+    return out.reshape(-1)
 
 
 def level(costs: np.ndarray, n: int, percent: int, scan: float, verify: float) -> int:
@@ -160,18 +166,18 @@ def prefixes(rows: DataFrame, n: int, percent: int, often: np.ndarray, scan: flo
         for _, i, j, h, cut in sets(batches, n):
             ends = lambda x: np.diff(np.append(_U(0), np.cumsum(x, dtype=_U))[cut])
             d1, d2 = ends(mix(h + _U(1))).view(np.int64), (ends(mix(h + _U(2))) >> _U(8)).view(np.int64)
-            cost = lists[h >> _U(64 - CELLS)]
+            code = lists[h >> _U(64 - CELLS)]
             tokens, which, levels, ranks = [], [], [], []
             for t in range(j - i):
                 a, b = cut[t], cut[t + 1]
                 size = int(b - a)
                 if not size:
                     continue
-                x, c, l = h[a:b], cost[a:b], 1
+                x, c, l = h[a:b], code[a:b], 1
                 if c.any():
                     order = np.argsort(c, kind="stable")
                     x, c = x[order], c[order]
-                    l = level(c, size, percent, scan, verify)
+                    l = level(COSTS[c], size, percent, scan, verify)
                 base = size - int(least_of(size, percent))
                 tokens.append(x[: base + l])
                 which.append(np.full(base + l, t))
