@@ -64,7 +64,7 @@ def test_seams_and_paragraphs(spark):
 
 def test_lists(spark):
     d = doc(spark, "1. a", "text", "2. b", "9. far", "• x", "• y", "3. c", "(1) alone")
-    assert [(r.line_no, r.key, r.starts) for r in flow.list_items(d).orderBy("line_no").collect()] == [(0, "n9.", True), (2, "n9.", False), (4, "b•", True), (5, "b•", False)]
+    assert [(r.line_no, r.key, r.starts) for r in flow.list_items(d).orderBy("line_no").collect()] == [(0, "n0.", True), (2, "n0.", False), (4, "b•", True), (5, "b•", False)]
 
 
 def test_runs_chapters_tabs(spark):
