@@ -1,7 +1,9 @@
 """Token counts by byte-pair merging over a linked list, with a heap of the pairs that could merge next.
 
 Only the count is kept: a word starts as its bytes, every merge takes one symbol away, and no identifier is ever formed.
-Null and empty texts count 0 tokens; repeated rows are counted one by one; a text of any length is counted whole.
+Null and empty texts count 0 tokens; repeated rows are counted one by one, a null doc_id stays null; a text of any length
+is counted whole. Of pairs with one rank the leftmost merges first. Other columns of docs, whatever their names, are left
+aside; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ these over k.
 
 The model is fitted on up to `per_class` labelled rows of each class; every row of docs is graded. Null and empty texts
 have no features and get the severity that the thresholds alone give; without rows of both classes every severity is 0
-and nothing is toxic. Repeated rows are graded one by one, and a null doc_id stays null.
+and nothing is toxic. Repeated rows are graded one by one, and a null doc_id stays null. Of two grades that are as likely
+the lower one counts; a chance of just `reject_at` is toxic. Texts of any length are graded whole, by the counts of their
+kept features. Other columns of docs and labels, whatever their names, are left aside, or kept by `keep_clean`.
 """
 
 from __future__ import annotations

@@ -56,3 +56,14 @@ def test_clashing_columns(spark, column):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, SF)
         assert column in docs.columns
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert column not in packed.columns and {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_empty_tables(spark, tmp_path, empty):
+    for name in ("documents", "labels", "benchmark"):
+        df = table(spark, SF, name)
+        (df.limit(0) if name == empty else df.limit(60)).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()  # whatever so few rows teach the classifiers, nothing breaks
+    assert empty != "documents" or rows == []

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quire.llm.token_counts import Counter
+from quire.llm.token_counts import Counter, count_tokens
 from quire.llm.tokens import Encoder
 
 ODD = ["", " ", "  a  b ", "x\n\n  y", " lead", "trail ", "a b", "don't we'll  <|endoftext|> x <|endoftext|>", "日本語 テキスト ΣΑΣ Σ", "12345 67 3.14", "İstanbul ß ẞ", "é ́a", "a\x1c b \x1fc",
@@ -55,6 +55,17 @@ def test_any_texts(encoders, name, spaced, texts):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_count_rows(spark):
+    """Nulls, repeated rows, clashing names, a long text, an empty table, and a bound that is just reached."""
+    texts = [(1, "a b"), (1, "a b"), (None, "x"), (3, None), (4, ""), (5, "word " * 200_000), (6, "é" * 700)]
+    df = spark.createDataFrame([(d, t, 7, "z") for d, t in texts], "doc_id long, text string, n_tokens int, n_bytes string").repartition(3)
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(file)
+    expected = sorted(((d or -1), len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2) for d, t in texts)
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(df, file, limit=2).collect()) == expected
+    assert count_tokens(df.limit(0), file).collect() == []
+
+
 def test_counts(corpus):
     file = public_tokenizers.path("byte_bpe_50k.json")
     library, ours = Tokenizer.from_file(file), Counter(file)
