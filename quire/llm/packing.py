@@ -7,7 +7,9 @@ is smallest, of equal ones to the smallest gap, and to a new bin where none has
 as for pieces that come one by one, took 3 % more sequences in this order.) A shard holds about `shard_docs` first pieces, which
 are all that can be shorter than a sequence, so a task's memory doesn't grow with the corpus.
 
-Null and empty texts give a piece of the end id alone; repeated rows are packed one by one; a null doc_id stays null.
+Null and empty texts give a piece of the end id alone; repeated rows are packed one by one, and dealt to shards by the
+thousand; a null doc_id stays null. Pieces of one length go by doc_id and piece. Texts of any length are cut whole; other
+columns of docs, whatever their names, are left aside. No rows, no pieces.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import kept, texts
+from quire.llm.common import kept, texts, tidy
 from quire.llm.tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -33,21 +36,20 @@ def pieces(docs: DataFrame, file: str, end_id: int, size: int, spaced: bool = Tr
         encoder, end = kept(Encoder, file, spaced), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), map(encoder.of, batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.all(batch.column(1).to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 ends = [*range(n % size or size, n + 1, size)]
                 rows += [(doc, i, e - (e if not i else size), e if not i else size, zlib.crc32(ids[4 * (e - size if i else 0) : 4 * e])) for i, e in enumerate(ends)]
             cols = [*zip(*rows)] or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     return docs.mapInArrow(cut, PIECES)
 
 
 def sum_of_squares(lengths, size: int):
     """(bin, offset) of each length, in the order given."""
-    import numpy as np
-
     counts = np.zeros(size + 1, np.int64)  # open bins by gap; 0 stays out of the sum
     open_bins: list[list[int]] = [[] for _ in range(size + 1)]
     bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
@@ -79,7 +81,6 @@ def pack(docs: DataFrame, file: str, end_id: int = 2, size: int = 1024, shard_do
     """PIECES and sequence_id, offset: every piece of every document, placed without gaps in a sequence of at most `size` ids."""
 
     def packed(key, rows):
-        import numpy as np
         import pyarrow as pa
 
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -89,5 +90,9 @@ def pack(docs: DataFrame, file: str, end_id: int = 2, size: int = 1024, shard_do
 
     shards = max(1, -(-docs.count() // shard_docs))
     cut = pieces(texts(docs, id_col, text_col), file, end_id, size, spaced)
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # equal pieces are counted first and dealt out by the thousand, so that repeated rows don't meet in one shard
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    counted = cut.groupBy(*names).agg(F.count("*").alias("n")).withColumn("lot", F.explode(F.expr("sequence(0L, (n - 1) div 1024)")))
+    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "lot"), F.lit(shards)))
+    dealt = dealt.withColumn("copy", F.explode(F.expr("sequence(lot * 1024, least(n, (lot + 1) * 1024) - 1)"))).select(*names, "shard")
     return dealt.groupBy("shard").applyInArrow(packed, PIECES + ", sequence_id long, offset long")
