@@ -8,12 +8,15 @@ and a text of fewer than `w` runs one window. A null text is empty; a text witho
 run.
 
 An entry is one long: 40 bits of the run's hash above 24 bits of its position, written so that the smaller of two equal
-hashes stands further right. Long texts are worked on in segments of windows, so what one step makes doesn't grow.
+hashes stands further right. Positions count tokens, and start anew after every 16,777,216 of them. A run's hash is made of
+its tokens' hashes, as a rolling hash is, but with `k` small it is taken from them anew: built-in functions carry no state
+from one element to the next without copying it. Long texts are worked on in segments of windows, so what one step makes doesn't grow.
 Likeness is the Jaccard similarity of two fingerprints' hashes, positions left aside.
 
 Order: rows go by descending doc_id, null ids last; rows with the same id by descending text; the row after the last is
 the first. Each row's next is found within blocks of neighbouring ids, each of which also gets the last row of the block
-that follows it, so that no task holds all rows.
+that follows it, so that no task holds all rows. Other columns of docs, whatever their names, are left aside; no rows give
+no rows, and a single row follows itself.
 """
 
 from __future__ import annotations
@@ -59,15 +62,26 @@ def as_text(entries: str) -> Column:
     return F.expr(f"array_join(transform({entries}, x -> hex(x ^ {_LOW}L)), ' ')")
 
 
-def with_next(rows: DataFrame, marks: Column, block_bits: int = 11) -> DataFrame:
-    """doc_id, text, marks of each row, and next_text, next_marks of the row that follows by descending doc_id."""
+def with_next(rows: DataFrame, marks: Column, block_bits: int | None = None) -> DataFrame:
+    """doc_id, text, marks of each row, and next_text, next_marks of the row that follows by descending doc_id.
+
+    block_bits: ids that differ in these lower bits alone share a block; None for as many as give blocks of some 2,048 rows
+    on the average, however far apart the ids are.
+    """
     none = -(1 << 62)
+    if block_bits is None:
+        n, low, high = rows.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+        block_bits = min(max(11, (high - low).bit_length() - (n >> 11).bit_length()), 63) if n else 11
     rows = rows.withColumn("block", F.coalesce(F.shiftright("doc_id", block_bits), F.lit(none)))
     tops = rows.groupBy("block").agg(F.max("doc_id").alias("top"))
-    circle = Window.orderBy("block")
-    after = tops.select("block", "top", F.lead("block").over(circle).alias("after"), F.min("block").over(circle).alias("first"))
+    # each block's next: within runs of 4,096 blocks, and from run to run, so that one task sees one row for some 8 million
+    tops = tops.withColumn("run", F.shiftright("block", 12))
+    runs = tops.groupBy("run").agg(F.min("block").alias("first"))
+    circle = Window.orderBy("run")
+    runs = runs.select("run", F.coalesce(F.lead("first").over(circle), F.min("first").over(circle)).alias("then"))
+    after = tops.withColumn("after", F.lead("block").over(Window.partitionBy("run").orderBy("block"))).join(runs, "run")
     # a few rows for many documents: written, so that Spark knows their size and can choose the join by it
-    after = written(after.select(F.col("block").alias("of"), "top", F.coalesce("after", "first").alias("after")), "block-ends")
+    after = written(after.select(F.col("block").alias("of"), "top", F.coalesce("after", "then").alias("after")), "block-ends")
     last = rows.join(after, (F.col("block") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
     last = last.groupBy("after").agg(F.max("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("after").alias("block"), F.lit(True).alias("lent"))
     both = rows.withColumn("lent", F.lit(False)).unionByName(last).withColumn("marks", marks)
