@@ -3,6 +3,11 @@
 quality: documents below a score of 0.5 go. toxicity: documents that are toxic go. near duplicates: of each component the
 document with the smallest id stays. decontamination: documents that overlap with a benchmark item go. packing: what is
 left is cut into pieces, each with its place in a sequence.
+
+Rows with the same id and text are judged one by one by quality and toxicity; of each id one row comes out of the Jaccard
+stage; rows without an id pass it. Null texts are empty. Without labels of both classes quality keeps all (a score of
+0.5) and toxicity rejects none; without benchmark items nothing is contaminated; without documents there are no pieces.
+Stages pass all columns on, whatever their names, but for packing, which returns its own.
 """
 
 from __future__ import annotations
