@@ -20,9 +20,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors share; one of its own where that is unset."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors share.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster others could not read it, so that is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("quire.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = Path(tempfile.mkdtemp(prefix="quire-")).as_uri()
         spark.conf.set("quire.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -72,4 +77,18 @@ def kept(kind: type, *args):
 
 def forget() -> None:
     """Gives up what this worker has kept, when it turns to work that needs none of it."""
-    _KEPT.clear()
+    if _KEPT:
+        _KEPT.clear()
+        tidy()
+
+
+def tidy() -> None:
+    """Gives free memory back to the system. Workers live on between tasks, and an executor has several of them."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import filesystem, forget, kept, new_folder, put_file, texts, written
+from quire.llm.common import filesystem, forget, kept, new_folder, put_file, texts, tidy, written
 from quire.llm.tokens import Encoder
 
 MAGIC = b"RPAIRIDS"
@@ -203,6 +203,7 @@ def write_shards(docs: DataFrame, folder: str, file: str, end_id: int, spaced: b
                     yield flush()
         if docs:
             yield flush()
+        tidy()
 
     rows = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return written(rows.mapInArrow(encoded, "part int, shard int, path string, n_docs long, n_ids long, n_bytes long"), "shards")

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from quire.llm.common import forget
+from quire.llm.common import forget, tidy
 
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -179,6 +179,8 @@ def runs(column, classes: np.ndarray, fold: np.ndarray, most: int = 1 << 19) ->
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, j, split(data[at[i] : at[j]], at[i : j + 1] - at[i], classes, fold)
         i = j
+    if len(column) > 1:
+        tidy()
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
