@@ -75,6 +75,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2, size=1024)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.vector_codes import codes
+
+    return codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), most=4, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_id_shards": op1_token_id_shards,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -86,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
 }
 
 _BITS = ", ".join(f"'{i:04b}'" for i in range(16))
