@@ -11,13 +11,15 @@ a block becomes one space, blocks are trimmed, and joined by one newline in page
 
 Null html is empty; pages without text get an empty one; null urls share one host. Repeated rows are read one by one.
 Markup may be broken: unclosed elements end with their parents, stray end tags are passed over, and an unclosed comment
-or script lasts to the page's end. Pages may be of any length and depth: time and memory grow with the markup alone. Other
+or script lasts to the page's end; a tag whose quotes never close ends at its first >, and one without any is text. Pages may be of any length and depth:
+time and memory grow with the markup alone, however broken. Other
 columns of pages, whatever their names, are left aside; no pages give no rows. Of paths with as many votes the first wins.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -52,17 +54,54 @@ GOOD = frozenset("article content post entry story main text body".split())
 CLOSED_BY = {t: frozenset([t]) for t in ("li", "tr", "option")} | {"dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th"))}
 WALLS = {"li": frozenset(("ul", "ol", "menu")), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "option": frozenset(("select",))}
 
-_MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?=[\s=/>]|\Z)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: For each kind of element that ends without an end tag: what ends it, and what that can't reach through.
+ENDS = {"p": (frozenset(("p",)), CONTAINER | {"li", "blockquote", "table", "button"})} | {t: (CLOSED_BY[t], WALLS[t]) for t in CLOSED_BY}
+_STOPS = frozenset().union(*(a | b for a, b in ENDS.values()))
+
+
+class Tags:
+    """Where the tags of a page end: at the first > outside quotes, or, where quotes never close, at the first one at all.
+
+    Places of quotes and brackets are listed once, and quotes and brackets from which no end was found are kept, so that a
+    page's broken tags together are gone through once.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.places: dict[str, list[int]] = {">": [], '"': [], "'": []}
+        for m in re.finditer("[>\"']", html):
+            self.places[m[0]].append(m.start())
+        self.all = sorted(x for of in self.places.values() for x in of)
+        self.dead: set[int] = set()
+
+    def next(self, kind: list[int], at: int) -> int:
+        k = bisect_left(kind, at)
+        return kind[k] if k < len(kind) else -1
+
+    def end(self, at: int) -> int:
+        """The > that ends a tag whose attributes begin here; -1 without one."""
+        went, y = [], self.next(self.all, at)
+        while y >= 0 and y not in self.dead:
+            if self.html[y] == ">":
+                return y
+            went.append(y)
+            close = self.next(self.places[self.html[y]], y + 1)
+            y = self.next(self.all, close + 1) if close >= 0 else -1
+        self.dead.update(went)
+        return self.next(self.places[">"], at)
+
+
 class Element:
     """An element with its parent, and its path as a key: a digest of the parent's key and its own step, so that deep pages
     take no more for each element than flat ones."""
 
-    __slots__ = ("tag", "step", "key", "parent", "out", "good", "near_good", "score", "container", "article", "box", "inside")
+    __slots__ = ("tag", "step", "key", "parent", "out", "good", "near_good", "score", "container", "article", "box", "inside", "stops", "block", "inlines")
 
     def __init__(self, tag: str, step: str, parent: Element | None, out: bool, good: bool, article: bool):
         self.tag, self.step, self.parent, self.out, self.good, self.article = tag, step, parent, out, good, article
@@ -71,6 +110,12 @@ class Element:
         self.score, self.container = 0.0, tag in CONTAINER
         self.box = self if self.container or parent is None else parent.box  # the nearest container
         self.inside: bool | None = None
+        # for each of ENDS the nearest element, itself included, that it ends or can't reach through
+        self.stops: dict[str, Element] = parent.stops if parent else {}
+        if tag in _STOPS:
+            self.stops = self.stops | {kind: self for kind, (ends, walls) in ENDS.items() if tag in ends or tag in walls}
+        self.block = self if tag not in INLINE or parent is None else parent.block  # the nearest element that isn't inline
+        self.inlines: Counter = Counter() if self.block is self else self.block.inlines  # the open inline ones right within it
 
     @property
     def path(self) -> str:
@@ -134,20 +179,17 @@ def blocks(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     def end(e: Element) -> None:
         """Ends all open elements down to e."""
         nonlocal top
-        while top is not e:
+        while top is not e.parent:
             opened[top.tag] -= 1
+            if top.block is not top:
+                top.inlines[top.tag] -= 1
             top = top.parent
-        opened[e.tag] -= 1
-        top = e.parent
-
-    def ended(tags: frozenset, walls: frozenset) -> None:
-        """Ends the innermost open element of tags, if no wall stands before it."""
-        if any(opened[t] for t in tags):
-            for e in _up(top):
-                if e.tag in tags and e.parent is not None:
-                    return end(e)
-                if e.tag in walls or e.parent is None:
-                    return None
+
+    def ended(kind: str) -> None:
+        """Ends the innermost open element that one of this kind ends, if no wall stands before it."""
+        e = top.stops.get(kind)
+        if e is not None and e.tag in ENDS[kind][0] and e.parent is not None:
+            end(e)
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -157,19 +199,25 @@ def blocks(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             if opened["a"]:
                 linked += len(piece.strip())
 
+    tags, attributes = Tags(html), ""
     while m := _MARKUP.search(html, at):
         add(html[at : m.start()])
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
+        close = tags.end(at)
+        if close < 0:  # no tag: its sign and name are text
+            add(m[0])
+            continue
+        at, attributes = close + 1, html[at:close]
         if tag not in INLINE and tag != "html":
             flush()
         elif tag in ("br", "td", "th"):
             add(" ")
         if m[1]:
             e = top
-            if opened[tag]:
-                while e.parent is not None and e.tag != tag and not (tag in INLINE and e.tag not in INLINE):
+            if top.inlines[tag] if tag in INLINE else opened[tag]:
+                while e.parent is not None and e.tag != tag:
                     e = e.parent
             if e.parent is not None and e.tag == tag:
                 if e.tag not in INLINE:
@@ -178,15 +226,18 @@ def blocks(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
         elif tag in ("html", "body") and opened[tag]:
             continue
         elif tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = close.end() if close else len(html)
-        elif tag not in VOID and not (m[3] or "").endswith("/") or tag not in VOID and tag in CONTAINER:
+            last = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            close = tags.next(tags.places[">"], last.end()) if last else -1
+            at = close + 1 if close >= 0 else len(html)
+        elif tag not in VOID and not attributes.endswith("/") or tag not in VOID and tag in CONTAINER:
             if tag not in INLINE:  # a paragraph ends where a block begins
-                ended(frozenset(("p",)), CONTAINER | {"li", "blockquote", "table", "button"})
+                ended("p")
             if tag in CLOSED_BY:
-                ended(CLOSED_BY[tag], WALLS[tag])
-            top = _open(tag, m[3] or "", top)
+                ended(tag)
+            top = _open(tag, attributes, top)
             opened[tag] += 1
+            if top.block is not top:
+                top.inlines[tag] += 1
             if top.container and not top.out:
                 containers.append(top)
     add(html[at:])

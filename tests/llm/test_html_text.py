@@ -1,11 +1,14 @@
 """Text of pages: odd markup, boilerplate, and hosts' votes."""
 
 import html
+import random
 import re
+import time
+from collections import Counter
 
 import pytest
 
-from quire.llm.html_text import best_path, extract, text_at, votes, winners
+from quire.llm.html_text import best_path, blocks, extract, text_at, votes, winners
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,3 +55,80 @@ def test_tables_pages(spark):
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inside))
         assert got[r.page_id].text == "\n".join(b for b in blocks if b)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+@pytest.mark.parametrize(
+    "unit", ["<p", "<a ", '<a "', "<a '", '<a href="x', "<!--", "</script ", "<script ", '<b ">"', "<b \">'<i '", "<", "</", "<!", "<div class=\"", "<p>x</i>", "<i><div><b>", "&amp", "<b></i></b><li>"]
+)
+def test_broken_markup_is_linear(unit):
+    page = (unit * (1_000_000 // len(unit)))[:1_000_000]
+    for html_ in (page, page + ">", "<script>" + page, "<p>" + page + '">'):
+        began = time.process_time()
+        blocks(html_)
+        assert time.process_time() - began < 8, unit
+
+
+@pytest.mark.parametrize("page", ["<i><div>" + "<b>" * 20_000 + "</i>" * 20_000 + "t", "<p><button>" + "<span>" * 20_000 + "<div></div>" * 20_000, "<tr><table>" + "<span>" * 20_000 + "<ol></ol>" * 20_000, "<li><ul>" + "<b>" * 20_000 + "<u></li></u>" * 20_000])
+def test_deep_markup_is_linear(page):
+    began = time.process_time()
+    blocks(page)
+    assert time.process_time() - began < 4
+
+
+@pytest.mark.parametrize("page,text", [("x <p y", "x <p y"), ('<a "t>u', "u"), ('<a "t>u "v>w', "w"), ("<p class='x>y</p>z", "y\nz"), ("a <b\nc", "a <b c"), ("<p<b>x", "x")])
+def test_broken_tags(page, text):
+    assert text_at(page, None)[0] == text
+
+
+def tree(rng, depth):
+    """(tag, class, children): children are texts or trees."""
+    kids = []
+    for _ in range(rng.randint(1, 4)):
+        kids.append(tree(rng, depth - 1) if depth and rng.random() < 0.6 else "w" * rng.randint(1, 60))
+    return rng.choice(["div", "section", "p"]) if depth else "p", rng.choice(["", "box", "body", "c1", "c2"]), kids
+
+
+def shown(t):
+    tag, name, kids = t
+    inside = "".join(k if isinstance(k, str) else shown(k) for k in kids)
+    return f"<{tag} class='{name}'>{inside}</{tag}>" if tag != "p" else "".join(f"<p>{k}</p>" if isinstance(k, str) else shown(k) for k in kids)
+
+
+def scores(t, path, above, out):
+    """Every container's path and score by plain recursion: a block counts for all containers around it, fading outwards."""
+    tag, name, kids = t
+    if tag != "p":
+        step = f"{tag}.{re.sub('[0-9]+', '#', name)}" if name else tag
+        path = f"{path}/{step}"
+        above = [len(out), *above]
+        out.append([path, 0.0, 1.25 if name == "body" else 1.0])
+    joined = []
+    for k in kids:
+        if isinstance(k, str):
+            if tag != "p" and joined and joined[-1] is not None:
+                joined[-1] += k
+            else:
+                joined.append(k)
+        else:
+            joined.append(None)
+            scores(k, path, above, out)
+    for text in joined:
+        if text is not None:
+            for i, c in enumerate(above):
+                out[c][1] += len(text) * 0.6**i * out[c][2]
+
+
+def test_votes_by_plain_search(spark):
+    rng, rows, want = random.Random(3), [], Counter()
+    for i in range(120):
+        t = tree(rng, 3)
+        host = f"h{i % 4}.org"
+        found = [["html", 0.0, 1.0]]
+        scores(t, "html", [0], found)
+        best = max(range(len(found)), key=lambda c: (round(found[c][1], 6), -c))
+        rows.append((i, f"http://{host}/{i}", shown(t)))
+        want[host, found[best][0]] += 1
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {(r.host, r.path): r.n for r in votes(df).collect()} == dict(want)
+    top = {h: max(((n, p[::-1]) for (g, p), n in want.items() if g == h))[1][::-1] for h in {h for h, _ in want}}
+    assert {r.host: r.path for r in winners(votes(df)).collect()} == top
