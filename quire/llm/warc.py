@@ -7,7 +7,7 @@ joins ranges that touch or nearly touch into one read, and parses the records fr
 Payloads of at least `least` bytes are stored once: of the records with equal payloads the one with the smallest page_id
 is a response, and the others are revisits of it, without a body. Shorter ones are all responses.
 
-Null html is an empty payload, a null url is an empty target, a null page_id is written as none and is never revisited
+Null html is an empty payload, a null url is an empty target, line breaks go out of urls, a null page_id is written as none and is never revisited
 unless no record of that payload has an id (then all are responses). Repeated rows are written one by one; a row that
 has the page_id of the response is a response itself. No rows, no files: reading gives no rows. Payloads of any length
 are written and read whole; other columns of pages, whatever their names, are left aside.
@@ -107,7 +107,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
 
         system, top = filesystem(folder)
         system.create_dir(top, recursive=True)
-        part, made, out, index, at, name, draft = TaskContext.get().partitionId(), 0, None, [], 0, "", ""
+        # attempts of one task may meet rows in another order: each writes files of its own, and the index tells which ones count
+        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
+        made, out, index, at, name, draft = 0, None, [], 0, "", ""
 
         def finish() -> pa.RecordBatch:
             nonlocal out, index, at, made
@@ -120,8 +122,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    name = f"part-{part:06d}-{made:06d}.warc.gz"
-                    draft = f"{top}/_{name}.{uuid.uuid4().hex}"
+                    name = f"part-{part:06d}-{made:06d}-{attempt}.warc.gz"
+                    draft = f"{top}/_{name}"
                     out = system.open_output_stream(draft, compression=None)
                 z = zlib.compressobj(level, zlib.DEFLATED, 31)
                 raw = record(page_id, url, payload, refers_to)

@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+
 from quire.llm.common import filesystem, new_folder
 from quire.llm.warc import parse, ranges, read_records, record, round_trip, write_archives
 
@@ -48,3 +50,19 @@ def test_index(spark):
             assert parse(gzip.decompress(f.read_at(r.length, r.offset)))[0] == r.page_id
     some = read_records(index.filter("page_id = 5")).collect()
     assert len(some) == 1 and bytes(some[0].payload).decode() == "é" * 5000
+
+
+def test_attempts_do_not_share_files(spark):
+    """A second attempt that meets the rows in another order leaves the files alone that an index describes."""
+    folder = new_folder(spark, "warc-test")
+    one = write_archives(frame(spark).coalesce(1).orderBy("page_id"), folder)
+    want = sorted(map(str, read_records(one).collect()))
+    two = write_archives(frame(spark).coalesce(1).orderBy(F.desc("page_id")), folder)
+    assert sorted(map(str, read_records(one).collect())) == want == sorted(map(str, read_records(two).collect()))
+    assert not {r.path for r in one.collect()} & {r.path for r in two.collect()}
+
+
+def test_long_payload(spark):
+    df = spark.createDataFrame([(1, "u", "<p>é</p>" * 300_000), (2, "v", "x")], "page_id long, url string, html string")
+    got = {r.page_id: r.payload_bytes for r in round_trip(df).collect()}
+    assert got == {1: 9 * 300_000, 2: 1}
