@@ -9,7 +9,8 @@ substitution worth -`penalty`. It counts if it agrees in at least `least` words,
 that is fewer.
 
 Words are runs of letters and digits in lower case (A-Z), and single code points in scripts that write no spaces between
-words (Han, kana, Thai, Lao, Khmer, Myanmar); signs and white space of any script are passed over. Items of under `shortest` words and null or empty texts overlap with nothing.
+words (Han, kana, Thai, Lao, Khmer, Myanmar); signs and white space of any script are passed over. Null and empty texts overlap with nothing, and items of under `shortest` words, if that is set, don't either: by the
+rule an item of one word is found wherever that word stands.
 Repeated rows count as one document or item; rows without an id are left out. Without items or documents there are no rows.
 Of overlaps of one pair that agree in as many words, the one with more words counts, then the one further back. Texts of
 any length are read whole; other columns of both tables, whatever their names, are left aside. Texts are shuffled only
@@ -33,6 +34,8 @@ from quire.llm.textvec import WORD, Words, code_points, keep, lower_ascii, mix,
 
 #: Agreeing words of an overlap's end that masks are made from at most, words of a mask, and stretches that are listed.
 DEEP, WEIGHT, LISTED = 10, 6, 2000
+#: Parts into which the places of each seed are dealt.
+SALTS = 8
 OVERLAP = "doc_id long, item_id long, doc_word long, item_word int, n_words int, n_same int"
 
 
@@ -115,7 +118,7 @@ def seeds(w: Words, mask: str, chosen: np.ndarray | None = None) -> tuple[np.nda
 
 
 #: The masks for items of any length, with overlaps' own bounds.
-MASKS = (*lengths_of(10, 0.75, 2.0, 4),)
+MASKS = (*lengths_of(10, 0.75, 2.0, 1),)
 
 
 def best_overlap(same: np.ndarray, penalty: float) -> tuple[int, int, int]:
@@ -127,7 +130,7 @@ def best_overlap(same: np.ndarray, penalty: float) -> tuple[int, int, int]:
     return start, to, int(same[start:to].sum())
 
 
-def overlaps(docs: DataFrame, items: DataFrame, least: int = 10, share: float = 0.75, penalty: float = 2.0, shortest: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, least: int = 10, share: float = 0.75, penalty: float = 2.0, shortest: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """OVERLAP: for each document and item that overlap, the overlap that agrees in most words."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).dropna(subset=["doc_id"])
@@ -166,7 +169,9 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = 10, share: float =
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text]), pa.array(at - w.firsts[text])], ["seed", "doc_id", "doc_word"])
 
-    hits = rows.mapInArrow(doc_seeds, "seed long, doc_id long, doc_word long").join(test_seeds, "seed")
+    # a seed of few and common words stands in very many documents: these are dealt by a salt, too
+    salted = test_seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = rows.mapInArrow(doc_seeds, "seed long, doc_id long, doc_word long").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
     shifts = hits.select("doc_id", "item_id", (F.col("doc_word") - F.col("item_word")).alias("shift")).distinct()
     pairs = written(shifts.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list("shift")).alias("shifts")), "seed-hits")
     met = spark.sparkContext.broadcast(bitmap(pairs, of_id("doc_id")))

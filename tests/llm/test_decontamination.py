@@ -10,7 +10,7 @@ def words(t):
     return re.findall(r"[^\W_]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-def brute(doc, item, least=10, share=0.75, penalty=2.0, shortest=4):
+def brute(doc, item, least=10, share=0.75, penalty=2.0, shortest=1):
     """The most agreeing words along any alignment that has a seed; 0 if none counts."""
     a, b = words(doc), words(item)
     if len(b) < shortest:
@@ -141,3 +141,10 @@ def test_words_of_code_points():
     w = split(np.frombuffer(data, np.uint8), bounds, code_points(), lower_ascii())
     got = [[data[w.starts[k] : w.ends[k]].decode() for k in range(a, b) if w.kinds[k] == WORD] for a, b in zip(w.firsts[:-1], w.firsts[1:])]
     assert got == [["a", "日", "本", "b", "1"], ["é", "É", "x"], [], ["𠀀", "𠀁", "z", "y"], ["x‍y", "ไ", "ท", "ย"], ["日"]]
+
+
+def test_items_of_few_words(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a cat"), (3, "no match"), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "cat"), (11, "The mat!"), (12, "cat sat on"), (13, ""), (14, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in overlaps(docs, items).collect()} == {(1, 10), (2, 10), (1, 11), (1, 12)}
+    assert {(r.doc_id, r.item_id) for r in overlaps(docs, items, shortest=3).collect()} == {(1, 12)}
