@@ -14,8 +14,8 @@ from one element to the next without copying it. Long texts are worked on in seg
 Likeness is the Jaccard similarity of two fingerprints' hashes, positions left aside.
 
 Order: rows go by descending doc_id, null ids last; rows with the same id by descending text; the row after the last is
-the first. Each row's next is found within blocks of neighbouring ids, each of which also gets the last row of the block
-that follows it, so that no task holds all rows. Other columns of docs, whatever their names, are left aside; no rows give
+the first. Each row's next is found within blocks of neighbouring rows, each of which also gets the last row of the block
+that follows it, so that no task holds all rows; rows with the same id and text stay in one block, which streams them. Other columns of docs, whatever their names, are left aside; no rows give
 no rows, and a single row follows itself.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import texts, written
 
 SEGMENT = 4096
+MOST_BLOCKS = 1 << 14
 _LOW = (1 << 24) - 1
 #: Fixed value: scripts whose code points are tokens of their own.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -62,39 +63,59 @@ def as_text(entries: str) -> Column:
     return F.expr(f"array_join(transform({entries}, x -> hex(x ^ {_LOW}L)), ' ')")
 
 
-def with_next(rows: DataFrame, marks: Column, block_bits: int | None = None) -> DataFrame:
+def _block(bounds: list[int], key: Column) -> Column:
+    """How many of the sorted bounds are below the key, by halving."""
+    steps = len(bounds).bit_length()
+    if not bounds:
+        return F.lit(0).cast("long")
+    held = F.lit([*bounds, *[(1 << 63) - 1] * ((1 << steps) - 1 - len(bounds))]).cast("array<long>")
+    further = lambda at, step: at + F.when(F.get(held, at + step - 1) < key, step).otherwise(0)
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(steps)))), F.lit(0), further).cast("long")
+
+
+def _bounds(rows: DataFrame, key: Column, blocks: int) -> list[int]:
+    """Values of key that part rows into that many blocks of like size, nearly; equal ones where a value fills several."""
+    if blocks < 2:
+        return []
+    return rows.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks)).alias("b")).first().b or []
+
+
+def with_next(rows: DataFrame, marks: Column, block_rows: int = 65_536) -> DataFrame:
     """doc_id, text, marks of each row, and next_text, next_marks of the row that follows by descending doc_id.
 
-    block_bits: ids that differ in these lower bits alone share a block; None for as many as give blocks of some 2,048 rows
-    on the average, however far apart the ids are.
+    Blocks are ranges of ids with some `block_rows` rows, MOST_BLOCKS at most, parted by the ids' quantiles, so ids may lie as they like. Rows
+    without an id, and ids with more rows than a block, are parted by their texts' first bytes as well.
     """
-    none = -(1 << 62)
-    if block_bits is None:
-        n, low, high = rows.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-        block_bits = min(max(11, (high - low).bit_length() - (n >> 11).bit_length()), 63) if n else 11
-    rows = rows.withColumn("block", F.coalesce(F.shiftright("doc_id", block_bits), F.lit(none)))
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    blocks = min(max(n // block_rows, 1), MOST_BLOCKS)
+    bounds = _bounds(rows, F.col("doc_id"), blocks)
+    often = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
+    bounds = sorted({*bounds, *(a - 1 for a in often if a > -(1 << 63))})  # an id that fills blocks has one of its own
+    many = F.lit(False) if not often else F.coalesce(F.array_contains(F.lit(often).cast("array<long>"), F.col("doc_id")), F.lit(False))
+    many = many | F.col("doc_id").isNull() if nulls > block_rows else many
+    first = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    inner = _bounds(rows.filter(many), first, blocks) if often or nulls > block_rows else []
+    place = F.when(F.col("doc_id").isNull(), F.lit(0).cast("long")).otherwise(1 + _block(bounds, F.col("doc_id")))
+    rows = rows.withColumn("block", place * (len(inner) + 1) + (F.when(many, _block(inner, first)).otherwise(F.lit(0).cast("long")) if inner else 0))
+
+    circle = Window.orderBy("block")  # of a bounded number of blocks
     tops = rows.groupBy("block").agg(F.max("doc_id").alias("top"))
-    # each block's next: within runs of 4,096 blocks, and from run to run, so that one task sees one row for some 8 million
-    tops = tops.withColumn("run", F.shiftright("block", 12))
-    runs = tops.groupBy("run").agg(F.min("block").alias("first"))
-    circle = Window.orderBy("run")
-    runs = runs.select("run", F.coalesce(F.lead("first").over(circle), F.min("first").over(circle)).alias("then"))
-    after = tops.withColumn("after", F.lead("block").over(Window.partitionBy("run").orderBy("block"))).join(runs, "run")
+    after = tops.select(F.col("block").alias("of"), "top", F.coalesce(F.lead("block").over(circle), F.min("block").over(circle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     # a few rows for many documents: written, so that Spark knows their size and can choose the join by it
-    after = written(after.select(F.col("block").alias("of"), "top", F.coalesce("after", "then").alias("after")), "block-ends")
+    after = written(after, "block-ends")
     last = rows.join(after, (F.col("block") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
     last = last.groupBy("after").agg(F.max("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("after").alias("block"), F.lit(True).alias("lent"))
-    both = rows.withColumn("lent", F.lit(False)).unionByName(last).withColumn("marks", marks)
+    both = rows.withColumn("lent", F.lit(False)).unionByName(last).repartition("block").withColumn("marks", marks)
     order = Window.partitionBy("block").orderBy(F.desc("lent"), F.asc_nulls_first("doc_id"), "text")
     return both.withColumn("next_text", F.lag("text").over(order)).withColumn("next_marks", F.lag("marks").over(order)).filter(~F.col("lent")).drop("block", "lent")
 
 
-def compare_edits(docs: DataFrame, k: int = 4, w: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_edits(docs: DataFrame, k: int = 4, w: int = 4, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 65_536) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs.
 
     The edited text has its last floor(n_chars / 3) code points replaced by as many of the next row's first ones, or all.
     """
-    rows = with_next(texts(docs, id_col, text_col), fingerprint("text", k, w))
+    rows = with_next(texts(docs, id_col, text_col), fingerprint("text", k, w), block_rows)
     rows = rows.withColumn("edited", F.expr("concat(left(text, length(text) - length(text) div 3), left(next_text, length(text) div 3))"))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "marks", fingerprint("edited", k, w).alias("edited_marks"), hashes("next_marks").alias("next"))
     rows = rows.withColumns({"own": hashes("marks"), "changed": hashes("edited_marks")})

@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quire.llm.winnowing import SEGMENT, compare_edits, fingerprint
+from quire.llm.winnowing import SEGMENT, compare_edits, fingerprint, with_next
 
 TOKEN = regex.compile(r"[^ \t\n\x0b\f\r\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{1,24}|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 LOW = (1 << 24) - 1
@@ -70,3 +70,18 @@ def test_repeated_rows_and_null_ids(spark):
     rows = compare_edits(df).collect()
     assert len(rows) == 4 and sum(r.doc_id is None for r in rows) == 1
     assert sorted(r.near_next for r in rows if r.doc_id == 4) == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("shape", ["stray", "nulls", "one id", "mixed"])
+def test_blocks_by_ranks(spark, shape):
+    """Whatever the ids are, blocks are of like size and every row is followed by the next one."""
+    rng = random.Random(shape)
+    word = lambda: "".join(rng.choice("abcdé日") for _ in range(rng.randint(0, 9)))
+    ids = {"stray": [*range(1999), 1 << 40], "nulls": [None] * 1000 + [*range(1000)], "one id": [7] * 1000 + [-(1 << 63), (1 << 63) - 1], "mixed": [None] * 300 + [3] * 300 + [4] * 5 + [rng.randrange(-(1 << 60), 1 << 60) for _ in range(400)]}[shape]
+    docs = [(d, f"{word()} {word()} {i}") for i, d in enumerate(ids)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()), reverse=True)
+    want = {r: order[(i + 1) % len(order)][1] for i, r in enumerate(order)}
+    got = with_next(df, F.lit(1), block_rows=100).collect()
+    assert len(got) == len(docs) and {(r.doc_id, r.text): r.next_text for r in got} == want
