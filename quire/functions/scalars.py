@@ -88,7 +88,7 @@ def mark_order(mark: Column | str) -> Column:
     starts = (("①", 20), ("⑴", 20), ("ⓐ", 26), ("Ⓐ", 26))
     code = F.ascii(core)
     single = F.length(core) == 1
-    out = F.when(core.rlike("^[0-9]+\\z"), core.cast("int"))
+    out = F.when(core.rlike("^[0-9]+\\z"), core.try_cast("int"))
     for row in rows:
         out = out.when(single & F.lit(row).contains(core), _place(row, core))
     for first, n in starts:
@@ -156,8 +156,8 @@ def list_mark(text: Column | str) -> Column:
     return let(F.regexp_extract(_c(text), _LIST_MARK, 0), of)
 
 
-#: Dot leaders, then a page number.
-TOC = r"(?<![.·…‥・_][ ]{0,9})(?:[.·…‥・_][ ]*+){4,}+([0-9]{1,4}|[ivxlcIVXLC]{1,6})[ ]*$"
+#: Four dot leaders or more, blanks between them or not, then a page number. Each run of leaders and blanks is looked at once.
+TOC = r"(?<![.·…‥・_ ])(?=(?:[ ]*+[.·…‥・_]){4})[.·…‥・_ ]++([0-9]{1,4}|[ivxlcIVXLC]{1,6})[ ]*+$"
 
 
 def is_toc_line(text: Column | str) -> Column:
@@ -237,18 +237,20 @@ def duration_text(ms: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
 
 
-def page_list(raw: Column | str) -> Column:
-    """"1-3, 5" as sorted distinct page numbers from 0; turned-round ranges are turned back, null if a part is no range."""
+def page_list(raw: Column | str, last: Column) -> Column:
+    """"1-3, 5" as sorted distinct page numbers from 0; turned-round ranges are turned back. Null if a part is no range, or
+    has a page that isn't between 1 and `last`, the document's number of pages."""
     parts = F.filter(F.transform(F.split(_c(raw), ","), lambda p: F.trim(p)), lambda p: p != "")
     pattern = r"^([0-9]+)(?:\s*-\s*([0-9]+))?$"
     bad = F.exists(parts, lambda p: ~p.rlike(pattern)) | (F.size(parts) == 0)
 
     def pages(p: Column) -> Column:
-        a = F.regexp_extract(p, pattern, 1).cast("int")
+        a = F.regexp_extract(p, pattern, 1).try_cast("int")
         b = F.when(F.regexp_extract(p, pattern, 2) == "", a).otherwise(F.regexp_extract(p, pattern, 2).try_cast("int"))
-        return F.sequence(F.least(a, b) - 1, F.greatest(a, b) - 1)
+        return F.when((F.least(a, b) >= 1) & (F.greatest(a, b) <= last) & a.isNotNull() & b.isNotNull(), F.sequence(F.least(a, b) - 1, F.greatest(a, b) - 1))
 
-    return F.when(~bad, F.array_sort(F.array_distinct(F.flatten(F.transform(parts, pages)))))
+    listed = F.transform(parts, pages)
+    return F.when(~bad & ~F.exists(listed, lambda x: x.isNull()), F.array_sort(F.array_distinct(F.flatten(listed))))
 
 
 def is_good_url(url: Column | str) -> Column:

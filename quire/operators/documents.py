@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import same_list_next
+from quire.operators.rounds import settled
 from quire.sources.archives import rtf_text
 from quire.sources.text_formats import decoded, kind_of
 
@@ -79,20 +81,24 @@ def flow_order(lines: DataFrame, inserts: DataFrame) -> DataFrame:
 
 
 def first_occurrences(rows: DataFrame, keys: list[str], same: list[str], order: list[str]) -> DataFrame:
-    """rows with number: within keys, which of the distinct values of `same` each has, numbered from 1 as they first occur."""
+    """rows with number: within keys, which of the distinct values of `same` each has, numbered from 1 as they first occur.
+    Values that first occur at one place go by the values themselves."""
     first = rows.groupBy(*keys, *same).agg(F.min(F.struct(*order)).alias("_first"))
-    numbered = first.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))).drop("_first")
+    numbered = first.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("_first", *same))).drop("_first")
     return rows.join(numbered, [*keys, *same])
 
 
-def clean_highlights(marks: DataFrame, longest: int = 5000, far: float = 100_000.0, usual: str = "#ffe066") -> DataFrame:
-    """marks (doc_id, id, page, color, text, rects) as they may be stored: places and sizes from 0 to `far`, pages from 0, colours
-    of six digits, text of `longest` characters; marks without any extent are left out."""
-    within = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(far), F.coalesce(x.cast("double"), F.lit(0.0))))
+def clean_highlights(marks: DataFrame, longest: int | None = None, far: float | None = None, usual: str = "#ffe066") -> DataFrame:
+    """marks (doc_id, id, page, color, text, rects) as they may be stored: places and sizes from 0, pages from 0, colours of six
+    digits; marks without any extent are left out. Where limits are asked for, places and sizes go up to `far`, and texts have
+    `longest` characters at most."""
+    above = lambda x: F.greatest(F.lit(0.0), F.coalesce(x.cast("double"), F.lit(0.0)))
+    within = lambda x: above(x) if far is None else F.least(F.lit(far), above(x))
+    whole = F.coalesce("text", F.lit(""))
     rects = F.transform("rects", lambda r: F.struct(*(within(r[c]).alias(c) for c in ("x", "y", "w", "h"))))
     page = F.greatest(F.lit(0), F.floor(F.coalesce("page", F.lit(0)))).cast("int")
     color = F.when(F.col("color").rlike("^#[0-9a-fA-F]{6}\\z"), F.col("color")).otherwise(usual)
-    out = marks.select("doc_id", "id", page.alias("page"), color.alias("color"), F.left(F.coalesce("text", F.lit("")), F.lit(longest)).alias("text"), rects.alias("rects"))
+    out = marks.select("doc_id", "id", page.alias("page"), color.alias("color"), (whole if longest is None else F.left(whole, F.lit(longest))).alias("text"), rects.alias("rects"))
     return out.filter(F.exists("rects", lambda r: (r["w"] > 0) & (r["h"] > 0)))
 
 
@@ -110,8 +116,9 @@ _COLOR = "struct<color:struct<rgbColor:struct<red:double,green:double,blue:doubl
 _RUN = f"struct<content:string,textStyle:struct<bold:boolean,italic:boolean,underline:boolean,strikethrough:boolean,foregroundColor:{_COLOR},fontSize:struct<magnitude:double>,weightedFontFamily:struct<fontFamily:string>,link:struct<url:string>>>"
 _PARAGRAPH = f"struct<elements:array<struct<textRun:{_RUN}>>,paragraphStyle:struct<namedStyleType:string,alignment:string>>"
 _TAB = f"tabProperties:struct<title:string>,documentTab:struct<body:struct<content:array<struct<paragraph:{_PARAGRAPH}>>>>"
-#: Tabs may hold tabs, three deep.
-DOCUMENT = f"struct<title:string,tabs:array<struct<{_TAB},childTabs:array<struct<{_TAB},childTabs:array<struct<{_TAB}>>>>>>,body:struct<content:array<struct<paragraph:{_PARAGRAPH}>>>>"
+#: Tabs may hold tabs, as deep as they like: those are read from their own text, level by level.
+DOCUMENT = f"struct<title:string,tabs:array<string>,body:struct<content:array<struct<paragraph:{_PARAGRAPH}>>>>"
+TAB = f"struct<{_TAB},childTabs:array<string>>"
 #: Named styles and alignments.
 HEADINGS = {"TITLE": 1, "HEADING_1": 1, "HEADING_2": 2, "HEADING_3": 3, "HEADING_4": 4, "HEADING_5": 5, "HEADING_6": 6}
 ALIGNS = {"CENTER": "center", "END": "right", "JUSTIFIED": "justify"}
@@ -125,13 +132,20 @@ def structured_runs(docs: DataFrame, column: str = "json") -> DataFrame:
     """(doc_id, tab, tab_name, block_no, heading, align, run_no, text, b, i, u, s, size, color): the runs of documents in the JSON
     of an editor's service: tabs in the order of their tree, paragraphs, and their runs; line breaks inside a run end it.
     Empty paragraphs at a tab's end are left out; others have one run of null text."""
-    one = lambda t: F.struct(t["tabProperties"]["title"].alias("name"), t["documentTab"]["body"]["content"].alias("content"))
-    second = lambda t: F.concat(F.array(one(t)), F.coalesce(F.transform(t["childTabs"], one), F.array()))
-    tree = lambda t: F.concat(F.array(one(t)), F.coalesce(F.flatten(F.transform(t["childTabs"], second)), F.array()))
     d = docs.select("doc_id", F.from_json(F.col(column), DOCUMENT).alias("d")).filter("d is not null")
-    flat = F.flatten(F.transform("d.tabs", tree))
-    alone = F.array(F.struct(F.col("d.title").alias("name"), F.col("d.body.content").alias("content")))
-    tabs = d.select("doc_id", F.posexplode(F.when(F.size("d.tabs") > 0, flat).otherwise(alone)).alias("tab", "t"))
+    part = lambda name, content: F.struct(F.col(name).alias("name"), F.col(content).alias("content")).alias("t")
+    found = [d.filter("coalesce(size(d.tabs), 0) <= 0").select("doc_id", F.array(F.lit(0)).alias("path"), part("d.title", "d.body.content"))]
+    level = d.select("doc_id", F.array().cast("array<int>").alias("path"), F.col("d.tabs").alias("inner"))
+    while True:  # as often as tabs stand in tabs
+        below = level.select("doc_id", "path", F.posexplode("inner").alias("k", "text"))
+        read = below.select("doc_id", F.concat("path", F.array("k")).alias("path"), F.from_json("text", TAB).alias("s"))
+        found.append(read.select("doc_id", "path", part("s.tabProperties.title", "s.documentTab.body.content")))
+        level = settled(read.filter("size(s.childTabs) > 0").select("doc_id", "path", F.col("s.childTabs").alias("inner")), "tabs")
+        if level.isEmpty():
+            break
+    # arrays compare as their first unlike elements do, so a tab comes right before those that it holds
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1
+    tabs = reduce(DataFrame.unionByName, found).select("doc_id", number.alias("tab"), "t")
     content = F.filter("t.content", lambda c: c["paragraph"].isNotNull())
     blocks = tabs.select("doc_id", "tab", F.col("t.name").alias("tab_name"), F.posexplode(F.transform(content, lambda c: c["paragraph"])).alias("block_no", "p"))
 
@@ -170,13 +184,13 @@ def markdown_runs(runs: DataFrame) -> DataFrame:
 
 
 def zipped(members: DataFrame, when: tuple = (1980, 1, 1, 0, 0, 0)) -> DataFrame:
-    """(doc_id, content): members (doc_id, name, data) of each document as a zip file, by name; one document is one small group."""
+    """(doc_id, content): members (doc_id, name, data) of each document as a zip file, by name; null data is empty. One document is one small group."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for name, data in sorted(zip(rows["name"], rows["data"])):
-                z.writestr(zipfile.ZipInfo(name, when), bytes(data), zipfile.ZIP_DEFLATED)
+                z.writestr(zipfile.ZipInfo(name, when), bytes(data or b""), zipfile.ZIP_DEFLATED)
         return pd.DataFrame([(rows["doc_id"].iloc[0], out.getvalue())], columns=["doc_id", "content"])
 
     return members.select("doc_id", "name", "data").groupBy("doc_id").applyInPandas(work, "doc_id long, content binary")

@@ -68,15 +68,17 @@ def paragraphs(lines: DataFrame, joins: DataFrame) -> DataFrame:
 
 
 def kept_whole(lines: DataFrame, paras: DataFrame) -> DataFrame:
-    """(doc_id, same): whether a document's paragraphs have just its lines' characters, in order, spaces and seam hyphens aside."""
+    """(doc_id, same, n_chars): whether a document's paragraphs have just its lines' characters, in order, spaces and seam hyphens
+    aside, and how many these paragraphs have."""
     bare = lambda c: F.regexp_replace(c, r"[\s-]", "")
     whole = lambda df, at: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, bare("text").alias("t")))), lambda r: r["t"]), "").alias("t"))
-    return whole(lines, "line_no").alias("a").join(whole(paras, "para_no").alias("b"), "doc_id").select("doc_id", (F.col("a.t") == F.col("b.t")).alias("same"))
+    return whole(lines, "line_no").alias("a").join(whole(paras, "para_no").alias("b"), "doc_id").select("doc_id", (F.col("a.t") == F.col("b.t")).alias("same"), F.length("b.t").alias("n_chars"))
 
 
 def blank_lines(lines: DataFrame, pitch: str = "pitch", most: int = 3) -> DataFrame:
-    """lines (doc_id, line_no, oy, pitch) with blanks: how many empty lines the gap above would hold, `most` at most."""
-    gap = (F.col("oy") - F.lag("oy").over(_order())) / F.col(pitch) - 1
+    """lines (doc_id, line_no, oy, pitch) with blanks: how many empty lines the gap above would hold, `most` at most; none where
+    the pitch is 0 or unknown."""
+    gap = F.try_divide(F.col("oy") - F.lag("oy").over(_order()), F.col(pitch)) - 1
     return lines.withColumn("blanks", F.when(gap >= 0.75, F.least(F.floor(gap + 0.5), F.lit(most))).otherwise(0).cast("int"))
 
 

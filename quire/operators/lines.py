@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import digits_masked, has_ink
@@ -67,8 +67,14 @@ def duplicate_pages(lines: DataFrame, least: int = 3, shortest: int = 4, apart:
     page b has too, less than `apart` higher or lower. lines: doc_id, page, line_no, text, oy, page_h; body lines stand
     outside both margins."""
     body = lines.filter((F.length("text") >= shortest) & F.col("oy").between(F.col("page_h") * margin, F.col("page_h") * (1 - margin)))
-    side = lambda s: body.select("doc_id", "text", *(F.col(c).alias(f"{c}_{s}") for c in ("page", "line_no", "oy")))
-    twins = side("a").join(side("b"), ["doc_id", "text"]).filter((F.col("page_a") < F.col("page_b")) & (F.abs(F.col("oy_a") - F.col("oy_b")) < apart))
+    side = lambda df, s: df.select("doc_id", "text", *(F.col(c).alias(f"{c}_{s}") for c in ("page", "line_no", "oy")))
+    level = F.abs(F.col("oy_a") - F.col("oy_b")) < apart
+    # a page has one of any `least` lines among those that are left without its least - 1 most frequent ones: pages that only share
+    # what many others have, too, never meet
+    often = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("k"), "text", "line_no"))
+    rare = body.withColumn("k", F.count("*").over(Window.partitionBy("doc_id", "text"))).withColumn("often", often).filter(F.col("often") >= least).filter("k > 1")
+    pairs = side(rare, "a").join(side(body, "b"), ["doc_id", "text"]).filter((F.col("page_a") < F.col("page_b")) & level).select("doc_id", "page_a", "page_b").distinct()
+    twins = pairs.join(side(body, "a"), ["doc_id", "page_a"]).join(side(body, "b"), ["doc_id", "page_b", "text"]).filter(level)
     met = twins.groupBy("doc_id", "page_a", "page_b").agg(F.count_distinct("line_no_a").alias("n"))
     return met.filter(F.col("n") >= least).select("doc_id", "page_a", "page_b")
 
@@ -78,13 +84,16 @@ def repeated_at_place(paras: DataFrame, longest: int = 40, near: float = 0.03) -
     its mirror image in x. paras: doc_id, page, para, text, cx, cy (centre by page size, 0 to 1). Numbers of up to four
     digits are alike; white space is left aside.
 
-    Places are joined by cells as wide as the reach, each with its neighbours, and by text, so only near ones meet.
+    What stands at one place on many pages is one row, with the first and the last page; such places are joined by cells as
+    wide as the reach, each with its neighbours, and by text, so only near ones meet.
     """
     bare = F.regexp_replace("text", r"\s+", "")
     digits = bare.rlike(r"^[0-9]{1,4}\z")
     rows = paras.select("doc_id", "page", "para", "cx", "cy", F.when(digits, "0").otherwise(bare).alias("key")).filter(F.length("key").between(1, longest))
+    places = rows.groupBy("doc_id", "key", "cx", "cy").agg(F.min("page").alias("low"), F.max("page").alias("high"))
     cell = F.floor(F.col("cy") / near)
-    mine = rows.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    other = rows.select("doc_id", "key", cell.alias("cell"), F.col("page").alias("q"), F.col("cx").alias("qx"), F.col("cy").alias("qy"))
+    mine = places.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    other = places.select("doc_id", "key", cell.alias("cell"), F.col("low").alias("q_low"), F.col("high").alias("q_high"), F.col("cx").alias("qx"), F.col("cy").alias("qy"))
     close = (F.abs(F.col("cy") - F.col("qy")) < near) & ((F.abs(F.col("cx") - F.col("qx")) < near) | (F.abs(F.col("cx") - 1 + F.col("qx")) < near))
-    return mine.join(other, ["doc_id", "key", "cell"]).filter((F.col("page") != F.col("q")) & close).select("doc_id", "page", "para").distinct()
+    met = mine.join(other, ["doc_id", "key", "cell"]).filter(close).groupBy("doc_id", "key", "cx", "cy").agg(F.min("q_low").alias("q_low"), F.max("q_high").alias("q_high"))
+    return rows.join(met, ["doc_id", "key", "cx", "cy"]).filter((F.col("q_low") != F.col("page")) | (F.col("q_high") != F.col("page"))).select("doc_id", "page", "para").distinct()

@@ -15,8 +15,11 @@ from quire.functions.scalars import box_area, digits_masked, escaped, half_up, o
 from quire.operators.boxes import grown_boxes
 from quire.operators.lines import duplicate_pages
 from quire.operators.ranks import at_ranks
+from quire.operators.rounds import settled
 
 PAGE = ["doc_id", "page"]
+#: Less than 8 points.
+APART = 8 - 1e-9
 
 
 def _boxes(boxes: DataFrame, p: str, *more: str) -> DataFrame:
@@ -65,23 +68,30 @@ def furniture(lines: DataFrame, body: DataFrame) -> DataFrame:
     """(doc_id, page, line_no): lines in the upper or lower 12 % of a page that are headers, footers or page numbers.
 
     body: (doc_id, body). Page numbers by their form; lines that another page has at nearly the same height, digits left
-    aside, unless both pages are copies of each other; small print at the top. A larger line that stands alone at the top
+    aside, unless both pages are copies of each other; small print at the top. Null texts are none of these. A larger line that stands alone at the top
     is a title, unless its number counts pages or one of the eight pages around has the very same text.
     """
-    number = F.element_at(F.regexp_extract_all("text", F.lit("([0-9]{1,9})"), 1), -1).try_cast("int")
+    number = F.regexp_extract("text", r"(?<![0-9])([0-9]++)[^0-9]*+\z", 1).try_cast("int")
     top, bottom = F.col("oy") < F.col("page_h") * 0.12, F.col("oy") > F.col("page_h") * 0.88
-    edge = lines.filter(top | bottom).join(body, "doc_id", "left").withColumns({"norm": digits_masked("text"), "number": number, "top": top, "bare": F.trim("text")})
+    edge = lines.filter(top | bottom).join(body, "doc_id", "left").withColumns({"norm": digits_masked("text"), "number": number, "top": F.coalesce(top, F.lit(False)), "bare": F.trim("text")})
     alone = F.count_if("top").over(Window.partitionBy(*PAGE)) == 1
-    edge = edge.withColumn("alone", alone)
-    other = edge.select("doc_id", "norm", *(F.col(c).alias(f"{c}_b") for c in ("page", "oy", "number", "bare")))
-    met = edge.join(other, ["doc_id", "norm"]).filter((F.col("page") != F.col("page_b")) & (F.abs(F.col("oy") - F.col("oy_b")) < 8))
+    edge = edge.withColumns({"alone": alone, "ahead": F.col("number") - F.col("page"), "oy": F.col("oy").cast("double")})
+    near = lambda *keys: F.expr(f"count(*) OVER (PARTITION BY {', '.join(('doc_id', 'norm', *keys))} ORDER BY oy RANGE BETWEEN {APART}D PRECEDING AND {APART}D FOLLOWING)")
+    edge = edge.withColumns({"twins": near() - near("page"), "alike": near("ahead") - near("ahead", "page")})
+    # how many of these stand on copies of the page, and whether one of the pages around has the very same text: few pairs each
     copies = duplicate_pages(lines)
-    met = met.withColumns({"page_l": F.least("page", "page_b"), "page_r": F.greatest("page", "page_b")})
-    met = met.join(copies.select("doc_id", F.col("page_a").alias("page_l"), F.col("page_b").alias("page_r")), ["doc_id", "page_l", "page_r"], "left_anti")
-    counts = F.coalesce(F.col("number_b") - F.col("number") == F.col("page_b") - F.col("page"), F.lit(False))
-    near = (F.abs(F.col("page_b") - F.col("page")) <= 8) & (F.col("bare") == F.col("bare_b"))
-    twins = met.groupBy(*PAGE, "line_no").agg(F.bool_and(counts).alias("counter"), F.bool_or(near).alias("again"))
-    known = edge.join(twins, [*PAGE, "line_no"], "left")
+    copied = copies.select("doc_id", F.col("page_a").alias("page"), F.col("page_b").alias("q")).unionByName(copies.select("doc_id", F.col("page_b").alias("page"), F.col("page_a").alias("q")))
+    other = edge.select("doc_id", "norm", F.col("page").alias("q"), F.col("oy").alias("q_oy"), F.col("ahead").alias("q_ahead"))
+    level = F.abs(F.col("oy") - F.col("q_oy")) < 8
+    on_copies = edge.join(copied, PAGE).join(other, ["doc_id", "norm", "q"]).filter(level).groupBy(*PAGE, "line_no").agg(F.count("*").alias("c_twins"), F.count_if(F.col("ahead") == F.col("q_ahead")).alias("c_alike"))
+    block = F.floor(F.col("page") / 8)
+    around = edge.select("doc_id", "bare", block.alias("block"), F.col("page").alias("q"), F.col("oy").alias("q_oy"))
+    again = edge.withColumn("block", F.explode(F.array(block - 1, block, block + 1))).join(around, ["doc_id", "bare", "block"])
+    again = again.filter((F.col("page") != F.col("q")) & (F.abs(F.col("page") - F.col("q")) <= 8) & level).join(copied, [*PAGE, "q"], "left_anti").select(*PAGE, "line_no").distinct()
+    known = edge.join(on_copies, [*PAGE, "line_no"], "left").join(again.withColumn("again", F.lit(True)), [*PAGE, "line_no"], "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    twins, alike = F.col("twins") - none("c_twins"), F.when(F.col("ahead").isNotNull(), F.col("alike") - none("c_alike")).otherwise(0)
+    known = known.withColumns({"counter": F.when(twins > 0, alike == twins), "again": F.coalesce("again", F.lit(False))})
     title = F.col("top") & F.col("alone") & (F.col("size") >= F.col("body") * 1.1) & ~F.col("counter") & ~F.col("again")
     is_number = F.col("norm").rlike(r"^[#\s\-–—/|.·()]*\z") | F.col("bare").rlike(r"^(?i)[ivxlcdm]+\z")
     repeated = F.coalesce(F.col("counter").isNotNull() & ~title, F.lit(False))
@@ -144,15 +154,20 @@ def image_areas(boxes: DataFrame, sure: float = 0.45) -> DataFrame:
 
 def running_bands(images: DataFrame) -> DataFrame:
     """(doc_id, page, box_id): thin images at a page's upper or lower 12 % that two other pages have at the same height,
-    to within 3 points; joined by cells of that width."""
+    to within 3 points."""
     end = F.least("y1", "page_h")
     rows = images.select(*PAGE, "box_id", "y0", "y1", end.alias("end"), "page_h")
     thin = (F.col("y1") - F.col("y0") <= F.col("page_h") * 0.1) & ((F.col("y1") <= F.col("page_h") * 0.12) | (F.col("y0") >= F.col("page_h") * 0.88))
+    # what stands at one place on many pages is one row with three of these: with its own page, two others are left
+    level = ["doc_id", "y0", "end"]
+    nth = F.row_number().over(Window.partitionBy(*level).orderBy("page"))
+    places = rows.select(*level, "page").distinct().withColumn("nth", nth).filter("nth <= 3").groupBy(*level).agg(F.collect_list("page").alias("some"))
     cell = F.floor(F.col("y0") / 3)
-    mine = rows.filter(thin).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    other = rows.select("doc_id", cell.alias("cell"), F.col("page").alias("q"), F.col("y0").alias("qy0"), F.col("end").alias("qend"))
-    met = mine.join(other, ["doc_id", "cell"]).filter((F.col("page") != F.col("q")) & (F.abs(F.col("y0") - F.col("qy0")) <= 3) & (F.abs(F.col("qend") - F.col("y1")) <= 3))
-    return met.groupBy(*PAGE, "box_id").agg(F.count_distinct("q").alias("n")).filter("n >= 2").select(*PAGE, "box_id")
+    mine = rows.filter(thin).select("doc_id", "y0", "y1").distinct().withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    other = places.select("doc_id", cell.alias("cell"), F.col("y0").alias("qy0"), F.col("end").alias("qend"), "some")
+    met = mine.join(other, ["doc_id", "cell"]).filter((F.abs(F.col("y0") - F.col("qy0")) <= 3) & (F.abs(F.col("qend") - F.col("y1")) <= 3))
+    known = met.groupBy("doc_id", "y0", "y1").agg(F.array_distinct(F.flatten(F.collect_list("some"))).alias("some"))
+    return rows.filter(thin).join(known, ["doc_id", "y0", "y1"]).filter(F.size(F.array_remove("some", F.col("page"))) >= 2).select(*PAGE, "box_id")
 
 
 # joins of lines and boxes
@@ -229,16 +244,24 @@ def in_page_order(parts: DataFrame, others: DataFrame) -> DataFrame:
 
 def style_chains(styles: DataFrame, most: int = 20) -> DataFrame:
     """(doc_id, style, bold, size): each style (doc_id, style, based_on, bold, size) with what it leaves open taken from the
-    styles it is based on, up to `most` of them, the nearest first. Circles end there too."""
-    own = ("style", "based_on", "bold", "size")
-    behind = lambda df: df.select(F.col("doc_id").alias("_doc"), *(F.col(c).alias("_" + c) for c in own))
-    now = styles.select("doc_id", *own)
-    steps = 1
-    while steps < most:  # each turn doubles how far every style has looked: it goes on from where the style it looks at has come
-        met = now.join(behind(now), (F.col("doc_id") == F.col("_doc")) & (F.col("based_on") == F.col("_style")), "left")
-        now = met.select("doc_id", "style", F.col("_based_on").alias("based_on"), F.coalesce("bold", "_bold").alias("bold"), F.coalesce("size", "_size").alias("size"))
-        steps *= 2
-    return now.select("doc_id", "style", "bold", "size")
+    styles that it is based on, the nearest first, `most` styles in all; circles are walked as far, too.
+
+    Chains of 1, 2, 4 and so on styles are made of two of the last ones each, and those that `most` is the sum of are put
+    one behind another: some 2 log2(most) joins, each of written tables.
+    """
+    def behind(chain: DataFrame, next_: DataFrame) -> DataFrame:
+        then = next_.select(F.col("doc_id").alias("_doc"), *(F.col(c).alias("_" + c) for c in ("style", "based_on", "bold", "size")))
+        met = chain.join(then, (F.col("doc_id") == F.col("_doc")) & (F.col("based_on") == F.col("_style")), "left")
+        return settled(met.select("doc_id", "style", F.col("_based_on").alias("based_on"), F.coalesce("bold", "_bold").alias("bold"), F.coalesce("size", "_size").alias("size")), "styles")
+
+    power, out, left = settled(styles.select("doc_id", "style", "based_on", "bold", "size"), "styles"), None, most
+    while left:
+        if left & 1:
+            out = power if out is None else behind(out, power)
+        left >>= 1
+        if left:
+            power = behind(power, power)
+    return out.select("doc_id", "style", "bold", "size")
 
 
 # aggregates
@@ -443,12 +466,12 @@ def read_paragraphs(rows: DataFrame) -> DataFrame:
 
 def gaps_between_regions(paras: DataFrame, most: int = 3) -> DataFrame:
     """paras (doc_id, page, col, y0, y1, lh, pitch) with blanks: empty lines above, by the distance from the paragraph before
-    it in its column, in pitches (1.6 line heights where the pitch is unknown); 0.75 or more counts."""
+    it in its column, in pitches (1.6 line heights where the pitch is unknown, none where those are 0); 0.75 or more counts."""
     w = Window.partitionBy(*PAGE, "col").orderBy("y0")
     lh, pitch = F.greatest(F.col("lh"), F.lag("lh").over(w)), F.greatest(F.coalesce("pitch", F.lit(0.0)), F.coalesce(F.lag("pitch").over(w), F.lit(0.0)))
     r = paras.withColumns({"_before": F.lag("y1").over(w), "_lh": lh, "_pitch": pitch})
     each = F.when(F.col("_pitch") > 0, F.col("_pitch")).otherwise(F.col("_lh") * 1.6)
-    extra = (F.col("y0") - F.col("_before") - F.greatest(F.lit(0.0), each - F.col("_lh"))) / each
+    extra = F.try_divide(F.col("y0") - F.col("_before") - F.greatest(F.lit(0.0), each - F.col("_lh")), each)
     return r.withColumn("blanks", F.coalesce(F.when(extra >= 0.75, F.least(half_up(extra), F.lit(most))), F.lit(0)).cast("int")).drop("_before", "_lh", "_pitch")
 
 

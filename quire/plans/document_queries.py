@@ -33,13 +33,13 @@ def row_covers(spark, sf_dir):
     return segments.row_covers(_pieces(spark, sf_dir), cuts)
 
 
-@query(f"""WITH {PIECES}, t AS (SELECT doc_id, page, line_no AS table_id, 60.0 + n % 7 * 20 AS edge, oy AS t0, oy + 120 AS t1 FROM geo WHERE n % 5 = 0),
+@query(f"""WITH {PIECES}, t AS (SELECT doc_id, page, line_no AS table_id, 60.0 + n % 7 * 20 AS edge, oy AS t0, oy + 120 AS t1 FROM geo),
     j AS (SELECT p.*, table_id, edge, x1 <= edge + 1 AS l FROM pieces p JOIN t ON p.doc_id = t.doc_id AND p.page = t.page AND oy >= t0 - 80 AND oy <= t1),
     a AS (SELECT doc_id, page, line_no, table_id, count(*) FILTER (l) AS n_left, count(*) FILTER (NOT l) AS n_right, arg_max(x1, ci) FILTER (l) AS lx, arg_min(x0, ci) FILTER (NOT l) AS rx, arg_min(size, ci) FILTER (l) AS s FROM j GROUP BY ALL)
     SELECT doc_id, page, line_no, table_id, n_left, n_right FROM a WHERE n_left > 0 AND n_right > 0 AND rx - lx >= s""")
 def split_at_edges(spark, sf_dir):
     rows, n = _geo(spark, sf_dir), F.col("n")
-    tables = rows.filter(n % 5 == 0).select("doc_id", "page", F.col("line_no").alias("table_id"), (60.0 + n % 7 * 20).alias("x0"), F.col("oy").alias("y0"), (F.col("oy") + 120).alias("y1"))
+    tables = rows.select("doc_id", "page", F.col("line_no").alias("table_id"), (60.0 + n % 7 * 20).alias("x0"), F.col("oy").alias("y0"), (F.col("oy") + 120).alias("y1"))
     return segments.split_at_edges(rows, _pieces(spark, sf_dir).select("doc_id", "page", "line_no", "ci", "x0", "x1", "size"), tables)
 
 
@@ -63,12 +63,12 @@ def spanning_titles(spark, sf_dir):
     return segments.spanning_titles(segs, spans)
 
 
-@query(f"""WITH {PIECES}, r AS (SELECT doc_id, page, ci, left(w, 1) AS c, size, round(CAST(x0 * cos(0.5::DOUBLE) - oy * sin(0.5::DOUBLE) AS DOUBLE), 6) AS u, CAST(floor(0.5 * 20 + 0.5) AS BIGINT) AS turn, CAST(floor((x0 * sin(0.5::DOUBLE) + oy * cos(0.5::DOUBLE)) / 5 + 0.5) AS BIGINT) AS track FROM pieces WHERE trim(left(w, 1)) <> ''),
+@query(f"""WITH {PIECES}, r AS (SELECT doc_id, page, ci, w AS c, size, round(CAST(x0 * cos(0.5::DOUBLE) - oy * sin(0.5::DOUBLE) AS DOUBLE), 6) AS u, CAST(floor(0.5 * 20 + 0.5) AS BIGINT) AS turn, CAST(floor((x0 * sin(0.5::DOUBLE) + oy * cos(0.5::DOUBLE)) / 5 + 0.5) AS BIGINT) AS track FROM pieces WHERE trim(w) <> ''),
     s AS (SELECT *, u - lag(u) OVER (PARTITION BY doc_id, page, turn, track ORDER BY u, ci) AS step FROM r), k AS (SELECT doc_id, page, turn, track, list_sort(list(step)) AS a FROM s WHERE step > 0 GROUP BY ALL),
     t AS (SELECT s.*, CASE WHEN step > a[CAST(floor((len(a) - 1) * 0.3 + 0.5) AS BIGINT) + 1] * 1.2 + size * 0.1 THEN ' ' ELSE '' END || c AS t FROM s LEFT JOIN k USING (doc_id, page, turn, track))
     SELECT doc_id, page, turn, track, string_agg(t, '' ORDER BY u, ci, t) AS text FROM t GROUP BY ALL""")
 def turned_lines(spark, sf_dir):
-    rows = _pieces(spark, sf_dir).select("doc_id", "page", "ci", F.left("w", F.lit(1)).alias("c"), F.col("x0").alias("ox"), F.col("oy").alias("oy"), F.lit(0.5).alias("angle"), "size")
+    rows = _pieces(spark, sf_dir).select("doc_id", "page", "ci", F.col("w").alias("c"), F.col("x0").alias("ox"), F.col("oy").alias("oy"), F.lit(0.5).alias("angle"), "size")
     return segments.turned_lines(rows)
 
 
@@ -125,11 +125,11 @@ def chosen_parts(spark, sf_dir):
     return documents.chosen_parts(rows.select("doc_id", F.floor(F.col("line_no") / 7).alias("para"), "line_no", "page"), rows.filter("page % 3 <> 1"))
 
 
-@query(f"""WITH {LINES}, {_PAIRS}, {_SEAMS}, c AS (SELECT l.doc_id, l.line_no, l.text, kind FROM lines l LEFT JOIN seams s ON l.doc_id = s.doc_id AND l.line_no = s.line_no WHERE l.line_no BETWEEN 1 AND 40), a AS (SELECT *, lead(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS after FROM c)
+@query(f"""WITH {LINES}, {_PAIRS}, {_SEAMS}, c AS (SELECT l.doc_id, l.line_no, l.text, kind FROM lines l LEFT JOIN seams s ON l.doc_id = s.doc_id AND l.line_no = s.line_no WHERE l.line_no >= 1), a AS (SELECT *, lead(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS after FROM c)
     SELECT doc_id, string_agg(CASE WHEN after = 'hyphen-drop' THEN regexp_replace(text, '-$', '') WHEN after = 'space' THEN text || ' ' WHEN after = 'para' THEN text || chr(10) ELSE text END, '' ORDER BY line_no) AS text FROM a GROUP BY doc_id""")
 def selected_text(spark, sf_dir):
     rows = _lines(spark, sf_dir)
-    return documents.selected_text(rows.filter("line_no between 1 and 40"), flow.seams(rows))
+    return documents.selected_text(rows.filter("line_no >= 1"), flow.seams(rows))
 
 
 @query(f"""WITH {GEO}, i AS (SELECT doc_id, box_id, CASE WHEN n % 11 <> 0 THEN box_id + n % 4 END AS b FROM figs), u AS (SELECT doc_id, line_no AS anchor, 1 AS kind, line_no, CAST(NULL AS INT) AS box_id FROM geo UNION ALL SELECT doc_id, coalesce(b, 2147483647), 0, NULL, box_id FROM i)
@@ -139,13 +139,13 @@ def flow_order(spark, sf_dir):
     return documents.flow_order(_lines(spark, sf_dir), inserts)
 
 
-@query("""WITH f AS (SELECT l_partkey, l_quantity, min((l_orderkey, l_linenumber)) AS f FROM lineitem GROUP BY ALL), n AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY f) AS number FROM f) SELECT l_orderkey, l_linenumber, l_partkey, CAST(number AS INT) AS number FROM lineitem JOIN n USING (l_partkey, l_quantity)""")
+@query("""WITH f AS (SELECT l_partkey, l_quantity, min((l_orderkey, l_linenumber)) AS f FROM lineitem GROUP BY ALL), n AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY f, l_quantity) AS number FROM f) SELECT l_orderkey, l_linenumber, l_partkey, CAST(number AS INT) AS number FROM lineitem JOIN n USING (l_partkey, l_quantity)""")
 def first_occurrences(spark, sf_dir):
     return documents.first_occurrences(table(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_quantity"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey", "number")
 
 
 @query("""WITH m AS (SELECT l_orderkey AS doc_id, l_linenumber AS id, CASE WHEN l_tax > 0.04 THEN CAST(l_suppkey % 9 AS INT) - 3 END AS page, CASE WHEN l_quantity > 25 THEN '#a0B1c2' ELSE 'red' END AS color, CASE WHEN l_discount > 0.05 THEN repeat(l_returnflag, 6000) END AS text, [l_quantity - 20, l_discount * 3e6] AS p, [CASE WHEN l_quantity > 40 THEN 0 ELSE l_quantity - 10 END, 5.0] AS s FROM lineitem)
-    SELECT doc_id, id, greatest(0, coalesce(page, 0)) AS page, CASE WHEN color = 'red' THEN '#ffe066' ELSE color END AS color, left(coalesce(text, ''), 5000) AS text, greatest(0, least(100000, p[1])) AS x, greatest(0, least(100000, p[2])) AS y, greatest(0, least(100000, s[1])) AS w FROM m WHERE s[1] > 0""")
+    SELECT doc_id, id, greatest(0, coalesce(page, 0)) AS page, CASE WHEN color = 'red' THEN '#ffe066' ELSE color END AS color, coalesce(text, '') AS text, greatest(0, p[1]) AS x, greatest(0, p[2]) AS y, greatest(0, s[1]) AS w FROM m WHERE s[1] > 0""")
 def clean_highlights(spark, sf_dir):
     q, d = F.col("l_quantity"), F.col("l_discount")
     rect = F.struct((q - 20).alias("x"), (d * 3e6).alias("y"), F.when(q > 40, 0.0).otherwise(q - 10).alias("w"), F.lit(5.0).alias("h"))

@@ -5,7 +5,7 @@ Lines stand on pages of six; sizes, edges, weights and angles follow from the li
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
@@ -14,7 +14,7 @@ from quire.plans.queries import LINES, NORM, _lines, query, table
 
 GEO = f"""{LINES}, geo AS (SELECT doc_id, CAST(line_no // 6 AS INT) AS page, line_no, text, n, CAST(8 + n % 4 AS DOUBLE) AS size, CAST(36 + n % 3 * 12 AS DOUBLE) AS x0, CAST(36 + n % 3 * 12 AS DOUBLE) + n * CAST(8 + n % 4 AS DOUBLE) / 2 AS x1, CAST(20 + line_no % 6 * 53 + n % 5 AS DOUBLE) AS oy,
     CAST(480 AS DOUBLE) AS page_w, CAST(320 AS DOUBLE) AS page_h, CASE WHEN n % 7 = 0 THEN 700 ELSE 400 END AS weight, CAST(CASE WHEN n % 11 = 0 THEN 0.5 WHEN n % 13 = 0 THEN 0.1 ELSE 0 END AS DOUBLE) AS angle FROM (SELECT *, length(text) AS n FROM lines) l),
-    figs AS (SELECT doc_id, page, line_no AS box_id, line_no AS seq, CAST(20 + n % 5 * 30 AS DOUBLE) AS x0, oy - 30 AS y0, CAST(20 + n % 5 * 30 + n * 2 AS DOUBLE) AS x1, oy + 10 + n % 40 AS y1, n % 3 = 0 AS has_alpha, page_w, page_h, n, CASE n % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'chart' WHEN 2 THEN 'header' ELSE 'footer' END AS label, n % 10 / 10.0 AS score FROM geo WHERE n > 40)"""
+    figs AS (SELECT doc_id, page, line_no AS box_id, line_no AS seq, CAST(20 + n % 5 * 30 AS DOUBLE) AS x0, oy - 30 AS y0, CAST(20 + n % 5 * 30 + n * 2 AS DOUBLE) AS x1, oy + 10 + n % 40 AS y1, n % 3 = 0 AS has_alpha, page_w, page_h, n, CASE n % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'chart' WHEN 2 THEN 'header' ELSE 'footer' END AS label, n % 10 / 10.0 AS score FROM geo)"""
 
 
 def _geo(spark, sf_dir) -> DataFrame:
@@ -29,7 +29,7 @@ def _geo(spark, sf_dir) -> DataFrame:
 def _figs(spark, sf_dir) -> DataFrame:
     n, x0 = F.col("n"), 20.0 + F.col("n") % 5 * 30
     label = F.get(F.array(*map(F.lit, ("image", "chart", "header", "footer"))), n % 4)
-    return _geo(spark, sf_dir).filter(n > 40).select("doc_id", "page", F.col("line_no").alias("box_id"), F.col("line_no").alias("seq"), x0.alias("x0"), (F.col("oy") - 30).alias("y0"), (x0 + n * 2).alias("x1"), (F.col("oy") + 10 + n % 40).alias("y1"), (n % 3 == 0).alias("has_alpha"), "page_w", "page_h", "n", label.alias("label"), (n % 10 / 10.0).alias("score"))
+    return _geo(spark, sf_dir).select("doc_id", "page", F.col("line_no").alias("box_id"), F.col("line_no").alias("seq"), x0.alias("x0"), (F.col("oy") - 30).alias("y0"), (x0 + n * 2).alias("x1"), (F.col("oy") + 10 + n % 40).alias("y1"), (n % 3 == 0).alias("has_alpha"), "page_w", "page_h", "n", label.alias("label"), (n % 10 / 10.0).alias("score"))
 
 
 # filters
@@ -57,13 +57,16 @@ def raster_documents(spark, sf_dir):
     return pages.raster_documents(chars.join(area, ["doc_id", "page"], "left").fillna(0.0, ["raster_area"]), share=0.2)
 
 
-_NOTED = """noted AS (SELECT * REPLACE (substring(text, 1, 1) || ' note ' || (line_no // 6 % 3) AS text), line_no // 6 % 5 AS k FROM geo),
+#: Every second page begins with the document's first line and a number; every third page's lines are those of the page two before it.
+_NOTED = """noted AS (SELECT * REPLACE (CASE WHEN line_no % 6 = 0 AND page % 2 = 0 THEN first_value(text) OVER (PARTITION BY doc_id ORDER BY line_no) || ' ' || page WHEN page % 3 = 2 THEN lag(text, 12) OVER (PARTITION BY doc_id ORDER BY line_no) ELSE text END AS text) FROM geo),
     body_l AS (SELECT * FROM noted WHERE length(text) >= 4 AND oy BETWEEN page_h * 0.12 AND page_h * 0.88),
     dups AS (SELECT a.doc_id, a.page AS page_a, b.page AS page_b FROM body_l a JOIN body_l b ON a.doc_id = b.doc_id AND a.text = b.text AND a.page < b.page AND abs(a.oy - b.oy) < 8 GROUP BY ALL HAVING count(DISTINCT a.line_no) >= 3)"""
 
 
 def _noted(spark, sf_dir) -> DataFrame:
-    return _geo(spark, sf_dir).withColumn("text", F.concat(F.substring("text", 1, 1), F.lit(" note "), F.floor(F.col("line_no") / 6) % 3))
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    head = (F.col("line_no") % 6 == 0) & (F.col("page") % 2 == 0)
+    return _geo(spark, sf_dir).withColumn("text", F.when(head, F.concat(F.first("text").over(w), F.lit(" "), "page")).when(F.col("page") % 3 == 2, F.lag("text", 12).over(w)).otherwise(F.col("text")))
 
 
 @query(f"WITH {GEO}, {_NOTED} SELECT * FROM dups")
@@ -73,21 +76,21 @@ def duplicate_pages(spark, sf_dir):
 
 @query(f"""WITH {GEO}, {_NOTED}, e AS (SELECT *, {NORM} AS norm, TRY_CAST(regexp_extract(text, '([0-9]+)[^0-9]*$', 1) AS INT) AS num, oy < page_h * 0.12 AS top FROM noted WHERE oy < page_h * 0.12 OR oy > page_h * 0.88),
     al AS (SELECT *, count(*) FILTER (top) OVER (PARTITION BY doc_id, page) = 1 AS alone FROM e),
-    tw AS (SELECT l.doc_id, l.line_no, bool_and(coalesce(m.num - l.num = m.page - l.page, FALSE)) AS counter, bool_or(abs(m.page - l.page) <= 8 AND m.text = l.text) AS again FROM e l JOIN e m ON l.doc_id = m.doc_id AND l.page <> m.page AND l.norm = m.norm AND abs(l.oy - m.oy) < 8
+    tw AS (SELECT l.doc_id, l.line_no, bool_and(coalesce(m.num - l.num = m.page - l.page, FALSE)) AS counter, bool_or(abs(m.page - l.page) <= 8 AND trim(m.text, ' ') = trim(l.text, ' ')) AS again FROM e l JOIN e m ON l.doc_id = m.doc_id AND l.page <> m.page AND l.norm = m.norm AND abs(l.oy - m.oy) < 8
         AND NOT EXISTS (SELECT 1 FROM dups d WHERE d.doc_id = l.doc_id AND d.page_a = least(l.page, m.page) AND d.page_b = greatest(l.page, m.page)) GROUP BY ALL)
-    SELECT al.doc_id, al.page, al.line_no FROM al LEFT JOIN tw ON al.doc_id = tw.doc_id AND al.line_no = tw.line_no WHERE regexp_full_match(norm, '[#\\s\\-–—/|.·()]*') OR regexp_full_match(text, '(?i)[ivxlcdm]+') OR (counter IS NOT NULL AND NOT (top AND alone AND size >= 9.5 * 1.1 AND NOT counter AND NOT again)) OR (top AND size < 9.5 * 0.8)""")
+    SELECT al.doc_id, al.page, al.line_no FROM al LEFT JOIN tw ON al.doc_id = tw.doc_id AND al.line_no = tw.line_no WHERE regexp_full_match(norm, '[#\\s\\-–—/|.·()]*') OR regexp_full_match(trim(text, ' '), '(?i)[ivxlcdm]+') OR (counter IS NOT NULL AND NOT (top AND alone AND size >= 9.5 * 1.1 AND NOT counter AND NOT again)) OR (top AND size < 9.5 * 0.8)""")
 def page_furniture(spark, sf_dir):
     rows = _noted(spark, sf_dir)
     return pages.furniture(rows, rows.select("doc_id").distinct().withColumn("body", F.lit(9.5)))
 
 
-_PLACED = "placed AS (SELECT doc_id, page, line_no AS para, substring(text, 1, 2) AS text, (n % 25) / 25.0::DOUBLE AS cx, (line_no % 6 * 10 + n % 2) / 60.0::DOUBLE AS cy FROM geo), p AS (SELECT *, CASE WHEN regexp_full_match(regexp_replace(text, '\\s+', '', 'g'), '[0-9]{1,4}') THEN '0' ELSE regexp_replace(text, '\\s+', '', 'g') END AS key FROM placed)"
+_PLACED = "placed AS (SELECT doc_id, page, line_no AS para, text, (n % 25) / 25.0::DOUBLE AS cx, (line_no % 6 * 10 + n % 2) / 60.0::DOUBLE AS cy FROM noted), p AS (SELECT *, CASE WHEN regexp_full_match(regexp_replace(text, '\\s+', '', 'g'), '[0-9]{1,4}') THEN '0' ELSE regexp_replace(text, '\\s+', '', 'g') END AS key FROM placed)"
 
 
-@query(f"""WITH {GEO}, {_PLACED} SELECT doc_id, page, para FROM p WHERE length(key) BETWEEN 1 AND 40 AND EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.key = p.key AND q.page <> p.page AND abs(q.cy - p.cy) < 0.03 AND (abs(q.cx - p.cx) < 0.03 OR abs(p.cx - 1 + q.cx) < 0.03))""")
+@query(f"""WITH {GEO}, {_NOTED}, {_PLACED} SELECT doc_id, page, para FROM p WHERE length(key) BETWEEN 1 AND 40 AND EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.key = p.key AND q.page <> p.page AND abs(q.cy - p.cy) < 0.03 AND (abs(q.cx - p.cx) < 0.03 OR abs(p.cx - 1 + q.cx) < 0.03))""")
 def repeated_at_place(spark, sf_dir):
     n = F.col("n")
-    return lines.repeated_at_place(_geo(spark, sf_dir).select("doc_id", "page", F.col("line_no").alias("para"), F.substring("text", 1, 2).alias("text"), (n % 25 / 25.0).alias("cx"), ((F.col("line_no") % 6 * 10 + n % 2) / 60.0).alias("cy")))
+    return lines.repeated_at_place(_noted(spark, sf_dir).select("doc_id", "page", F.col("line_no").alias("para"), "text", (n % 25 / 25.0).alias("cx"), ((F.col("line_no") % 6 * 10 + n % 2) / 60.0).alias("cy")))
 
 
 _GOOD = r"conf >= 60 AND regexp_matches(text, '\p{L}.*\p{L}|\p{N}.*\p{N}') AND NOT regexp_matches(text, '[{}|<>\\]')"
@@ -126,10 +129,10 @@ def image_areas(spark, sf_dir):
     return pages.image_areas(_figs(spark, sf_dir)).select("doc_id", "page", "box_id")
 
 
-@query(f"""WITH {GEO}, i AS (SELECT doc_id, page, line_no AS box_id, oy - 16 AS y0, oy - 6 + n % 3 AS y1, page_h FROM geo WHERE line_no % 6 IN (0, 5)), t AS (SELECT * FROM i WHERE y1 - y0 <= page_h * 0.1 AND (y1 <= page_h * 0.12 OR y0 >= page_h * 0.88))
+@query(f"""WITH {GEO}, i AS (SELECT doc_id, page, line_no AS box_id, oy - 16 AS y0, oy - 6 + n % 3 AS y1, page_h FROM geo), t AS (SELECT * FROM i WHERE y1 - y0 <= page_h * 0.1 AND (y1 <= page_h * 0.12 OR y0 >= page_h * 0.88))
     SELECT t.doc_id, t.page, t.box_id FROM t JOIN i ON t.doc_id = i.doc_id AND t.page <> i.page AND abs(t.y0 - i.y0) <= 3 AND abs(least(i.y1, i.page_h) - t.y1) <= 3 GROUP BY ALL HAVING count(DISTINCT i.page) >= 2""")
 def running_bands(spark, sf_dir):
-    rows = _geo(spark, sf_dir).filter((F.col("line_no") % 6).isin(0, 5))
+    rows = _geo(spark, sf_dir)
     return pages.running_bands(rows.select("doc_id", "page", F.col("line_no").alias("box_id"), (F.col("oy") - 16).alias("y0"), (F.col("oy") - 6 + F.col("n") % 3).alias("y1"), "page_h"))
 
 
@@ -145,13 +148,13 @@ def region_cover(spark, sf_dir):
     return pages.region_cover(_figs(spark, sf_dir), glyphs)
 
 
-@query(f"""WITH {GEO}, m AS (SELECT doc_id, page, line_no AS box_id, x0 - 2 + n % 3 * 20 AS a, x1 - n % 4 * 30 AS b, oy - size AS y0, oy + 1 AS y1 FROM geo WHERE n % 2 = 0), l AS (SELECT *, oy - size * 0.35 AS y, (x0 + x1) / 2 AS x FROM geo),
+@query(f"""WITH {GEO}, m AS (SELECT doc_id, page, line_no AS box_id, x0 - 2 + n % 3 * 20 AS a, x1 - n % 4 * 30 AS b, oy - size AS y0, oy + 1 AS y1 FROM geo), l AS (SELECT *, oy - size * 0.35 AS y, (x0 + x1) / 2 AS x FROM geo),
     j AS (SELECT l.doc_id, l.page, l.line_no, l.x0, l.x1, x, m.box_id, a, b, b > l.x0 AND a < l.x1 AS band FROM l JOIN m ON l.doc_id = m.doc_id AND l.page = m.page AND y > m.y0 - 1 AND y < m.y1 + 1),
     k AS (SELECT *, max(CASE WHEN band THEN least(x1, b) END) OVER (PARTITION BY doc_id, page, line_no ORDER BY a, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM j)
     SELECT doc_id, page, line_no, bool_or(band) AS touched, bool_or(x > a - 1 AND x < b + 1) AND sum(CASE WHEN band THEN greatest(0, least(x1, b) - greatest(greatest(x0, a), coalesce(before, greatest(x0, a)))) ELSE 0 END) >= (x1 - x0) * 0.9 AS highlighted FROM k GROUP BY doc_id, page, line_no, x0, x1""")
 def highlighted_lines(spark, sf_dir):
     n, rows = F.col("n"), _geo(spark, sf_dir)
-    marks = rows.filter(n % 2 == 0).select("doc_id", "page", F.col("line_no").alias("box_id"), (F.col("x0") - 2 + n % 3 * 20).alias("x0"), (F.col("x1") - n % 4 * 30).alias("x1"), (F.col("oy") - F.col("size")).alias("y0"), (F.col("oy") + 1).alias("y1"))
+    marks = rows.select("doc_id", "page", F.col("line_no").alias("box_id"), (F.col("x0") - 2 + n % 3 * 20).alias("x0"), (F.col("x1") - n % 4 * 30).alias("x1"), (F.col("oy") - F.col("size")).alias("y0"), (F.col("oy") + 1).alias("y1"))
     return pages.highlighted(rows, marks)
 
 
@@ -181,14 +184,14 @@ def parts_in_order(spark, sf_dir):
     return pages.in_page_order(parts, _figs(spark, sf_dir).select("doc_id", "page", F.col("y0").alias("y"), F.col("box_id").alias("item")))
 
 
-@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS doc_id, l_linenumber AS style, CASE WHEN l_linenumber > 1 THEN l_linenumber - 1 ELSE 3 END AS up, CASE l_returnflag WHEN 'A' THEN TRUE WHEN 'R' THEN FALSE END AS bold, CASE WHEN l_quantity > 30 THEN l_quantity END AS size FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = count(DISTINCT l_linenumber))),
+@query("""WITH RECURSIVE s AS (SELECT o_custkey AS doc_id, k AS style, CASE WHEN k > 1 THEN k - 1 ELSE 3 END AS up, CASE WHEN o_orderkey % 31 = 0 THEN TRUE WHEN o_orderkey % 37 = 0 THEN FALSE END AS bold, CASE WHEN o_orderkey % 23 = 0 THEN o_totalprice END AS size FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) o),
     c AS (SELECT doc_id, style, up, bold, size, 1 AS d FROM s UNION ALL SELECT c.doc_id, c.style, s.up, coalesce(c.bold, s.bold), coalesce(c.size, s.size), d + 1 FROM c JOIN s ON s.doc_id = c.doc_id AND s.style = c.up WHERE d < 20)
-    SELECT doc_id, style, arg_max(bold, d) AS bold, arg_max(size, d) AS size FROM (SELECT doc_id, style, bold, size, d FROM c QUALIFY d = max(d) OVER (PARTITION BY doc_id, style)) GROUP BY ALL""")
+    SELECT doc_id, CAST(style AS INT) AS style, arg_max(bold, d) AS bold, arg_max(size, d) AS size FROM (SELECT doc_id, style, bold, size, d FROM c QUALIFY d = max(d) OVER (PARTITION BY doc_id, style)) GROUP BY ALL""")
 def style_chains(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
-    single = items.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_linenumber").alias("k")).filter("n = k").select("l_orderkey")
-    n = F.col("l_linenumber")
-    rows = items.join(single, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("doc_id"), n.alias("style"), F.when(n > 1, n - 1).otherwise(3).alias("based_on"), F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False).alias("bold"), F.when(F.col("l_quantity") > 30, F.col("l_quantity")).alias("size"))
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    order = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("style"), F.when(order % 31 == 0, True).when(order % 37 == 0, False).alias("bold"), F.when(order % 23 == 0, F.col("o_totalprice")).alias("size"))
+    rows = rows.withColumn("based_on", F.when(F.col("style") > 1, F.col("style") - 1).otherwise(3))
     return pages.style_chains(rows)
 
 

@@ -230,14 +230,14 @@ def mostly_inside(spark, sf_dir):
     return geometry.mostly_inside(points, _figures(spark, sf_dir))
 
 
-@query(f"""WITH {LINES}, {_BOXES}, figs AS (SELECT * FROM figures WHERE page % 2 = 1 OR seq % 50 > 3), texts AS (SELECT * FROM boxes WHERE page % 2 = 1 OR length(text) > 60),
+@query(f"""WITH {LINES}, {_BOXES}, figs AS (SELECT * REPLACE (CAST(page + CASE WHEN box_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS page) FROM figures), texts AS (SELECT * FROM boxes),
     d AS (SELECT f.doc_id, box_id, min(b.line_no) AS direct FROM figs f JOIN texts b ON f.doc_id = b.doc_id AND f.page = b.page AND oy - 10.0 > f.y0 AND b.x0 < f.x1 AND b.x1 > f.x0 GROUP BY ALL)
     SELECT f.doc_id, f.box_id, coalesce(direct, (SELECT max(line_no) + 1 FROM texts t WHERE t.doc_id = f.doc_id AND t.page = f.page), (SELECT min(line_no) FROM texts t WHERE t.doc_id = f.doc_id AND t.page > f.page), (SELECT max(line_no) + 1 FROM texts t WHERE t.doc_id = f.doc_id)) AS before_line
     FROM figs f LEFT JOIN d ON f.doc_id = d.doc_id AND f.box_id = d.box_id""")
 def following_line(spark, sf_dir):
-    # even pages have texts at their longer lines alone, so that some pages have none
-    figures = _figures(spark, sf_dir).filter("page % 2 = 1 or seq % 50 > 3")
-    return geometry.following_line(figures, _boxes(spark, sf_dir).filter("page % 2 = 1 or length(text) > 60"))
+    # every third figure stands a page further on, so that some stand on pages without lines
+    figures = _figures(spark, sf_dir).withColumn("page", F.col("page") + F.when(F.col("box_id") % 3 == 0, 1).otherwise(0))
+    return geometry.following_line(figures, _boxes(spark, sf_dir))
 
 
 @query(f"""WITH {LINES}, {_BOXES}, c AS (SELECT doc_id, page, box_id AS cell, x1 AS cx, y0 + 16 AS coy FROM figures)
@@ -340,7 +340,8 @@ def paragraphs(spark, sf_dir):
     return flow.paragraphs(rows, flow.seams(rows))
 
 
-@query("SELECT doc_id, TRUE AS same FROM documents WHERE text IS NOT NULL")
+@query(rf"""WITH {LINES}, {_PAIRS}, {_SEAMS}, {_PARAS}, a AS (SELECT doc_id, string_agg(regexp_replace(text, '[\s-]', '', 'g'), '' ORDER BY line_no) AS t FROM lines GROUP BY doc_id), b AS (SELECT doc_id, string_agg(regexp_replace(text, '[\s-]', '', 'g'), '' ORDER BY para_no) AS t FROM paras GROUP BY doc_id)
+    SELECT doc_id, a.t = b.t AS same, length(a.t) AS n_chars FROM a JOIN b USING (doc_id)""")
 def kept_whole(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     return flow.kept_whole(rows, flow.paragraphs(rows, flow.seams(rows)))
@@ -480,10 +481,10 @@ def colours(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.hex_colour(r, g, b).alias("colour"), F.round(S.luminance(r, g, b), 4).alias("light"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 30 + 1 AS a, o_custkey % 30 + 1 AS b, o_orderkey % 7 + 1 AS c FROM orders) SELECT o_orderkey, list_transform(list_sort(list_distinct(list_concat(range(least(a, b) - 1, greatest(a, b)), [c - 1]))), lambda x: CAST(x AS INT)) AS pages FROM r""")
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 30 + 1 AS a, o_custkey % 30 + 1 AS b, o_orderkey % 7 + 1 AS c, o_custkey % 5 + 27 AS last FROM orders) SELECT o_orderkey, CASE WHEN greatest(a, b) <= last THEN list_transform(list_sort(list_distinct(list_concat(range(least(a, b) - 1, greatest(a, b)), [c - 1]))), lambda x: CAST(x AS INT)) END AS pages FROM r""")
 def page_lists(spark, sf_dir):
     raw = F.concat(F.col("o_orderkey") % 30 + 1, F.lit("-"), F.col("o_custkey") % 30 + 1, F.lit(", "), F.col("o_orderkey") % 7 + 1, F.lit(","))
-    return table(spark, sf_dir, "orders").select("o_orderkey", S.page_list(raw).alias("pages"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.page_list(raw, F.col("o_custkey") % 5 + 27).alias("pages"))
 
 
 @query("SELECT page_id, regexp_matches(url, '^https?://[^\\s/?#]+\\.[^\\s]+$') AS good FROM pages")

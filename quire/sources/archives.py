@@ -175,7 +175,7 @@ def epub_chapters(files: DataFrame) -> DataFrame:
 RTF_ASIDE = frozenset(
     "fonttbl colortbl stylesheet info pict object header footer headerl headerr footerl footerr listtable listoverridetable rsidtbl generator xmlnstbl themedata colorschememapping datastore latentstyles fldinst".split()
 )
-RTF_WORDS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "cell": "\t", "tab": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
+RTF_CONTROLS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "cell": "\t", "tab": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
 _RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?[0-9]+)? ?|\\(.)|([{}])|([^\\{}\r\n]+)", re.S)
 
 
@@ -196,7 +196,7 @@ def _rtf(text: str | None) -> str | None:
             held.clear()
 
     for m in _RTF.finditer(text):
-        byte, word, number, sign, brace, plain = m.groups()
+        byte, control, number, sign, brace, plain = m.groups()
         if byte:
             if skip:
                 skip -= 1
@@ -213,15 +213,15 @@ def _rtf(text: str | None) -> str | None:
                 aside = True
             elif sign in "\\{}~" and not aside:
                 out.append("\u00a0" if sign == "~" else sign)
-        elif word:
-            aside = aside or word in RTF_ASIDE
-            if word == "uc":
+        elif control:
+            aside = aside or control in RTF_ASIDE
+            if control == "uc":
                 width = int(number or 1)
-            elif word == "u" and number and not aside:
+            elif control == "u" and number and not aside:
                 out.append(chr(int(number) % 65536))
                 skip = width
             elif not aside:
-                out.append(RTF_WORDS.get(word, ""))
+                out.append(RTF_CONTROLS.get(control, ""))
         elif plain:
             out.append("" if aside else plain[skip:])
             skip = max(0, skip - len(plain))

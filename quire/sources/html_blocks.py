@@ -73,11 +73,12 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 
 
 def plain_text(html: str = "html"):
-    """HTML as text by patterns alone: scripts, styles and comments dropped, block ends as line ends, cells as tabs."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1>|<!--.*?-->", "")
+    """HTML as text by patterns alone: scripts, styles and comments dropped (to the end where they
+    aren't closed), block ends as line ends, cells as tabs."""
+    t = F.regexp_replace(html, r"(?is)<(script|style|head)\b(?:(?!</\1>).)*+(?:</\1>|\z)|<!--(?:(?!-->).)*+(?:-->|\z)", "")
     t = F.regexp_replace(t, r"[ \t\r\n]+", " ")
     t = F.regexp_replace(t, r"(?i)</t[dh]>\s*(?=<t[dh])", "\t")
     t = F.regexp_replace(t, r"(?i)</(p|div|li|tr|h[1-6]|article|nav|footer|ul|ol|table)>|<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    t = F.regexp_replace(t, r" *\n *", "\n")
-    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+    t = F.regexp_replace(t, r"<[^<>]*+>", "")
+    t = F.regexp_replace(t, r"(?<! ) *+\n *+", "\n")
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|(?<!\s)\s++\z", "")
