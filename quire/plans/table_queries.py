@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import tables
+from quire.operators import gutters, tables
 from quire.plans.queries import LINES, _lines, query
 
 _ROWS = f"""{LINES}, ln AS (SELECT doc_id, line_no, text, length(text) AS n, CAST(line_no // 6 AS INT) AS page, 20.0::DOUBLE + line_no % 6 * 40 AS top FROM lines),
@@ -126,3 +126,60 @@ def line_box_tables(spark, sf_dir):
     backgrounds = tables.line_backgrounds(paths, glyphs)
     found, _ = tables.ruled_tables(tables.rule_groups(tables.rule_segments(paths, backgrounds, pages)), glyphs, pages)
     return tables.line_box_tables(paths, backgrounds, found, glyphs)
+
+
+# columns
+
+#: Twelve lines a page. A line's first half stands in the left column, the rest in the right one, which begins later or sooner; some lines go across.
+_COLS = f"""{LINES}, lw AS (SELECT doc_id, line_no, length(text) AS n, k - 1 AS ci, w[k] AS w, len(w) AS nw FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM lines) q, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k) r),
+    hw AS (SELECT *, CASE WHEN n % 7 = 0 OR ci * 2 < nw THEN 0 ELSE 1 END AS half FROM lw), ow AS (SELECT *, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id, line_no, half ORDER BY ci) AS BIGINT) - length(w) - 1 AS off, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id, line_no, half) AS BIGINT) AS total FROM hw),
+    sc AS (SELECT *, CASE WHEN n % 7 = 0 THEN 420.0::DOUBLE ELSE 190.0::DOUBLE + n % 3 * 5 + CASE WHEN (line_no // 12 + doc_id) % 3 = 2 THEN n * 7 % 30 ELSE 0 END END / total AS s, CASE WHEN half = 0 THEN 40.0::DOUBLE ELSE 262.0::DOUBLE + CASE WHEN (line_no // 12 + doc_id) % 3 = 2 THEN n * 7 % 30 ELSE n % 4 * 3 END END AS origin, CASE WHEN n % 13 = 0 THEN 15.0::DOUBLE ELSE 10.0::DOUBLE END AS size FROM ow),
+    gl AS (SELECT doc_id, CAST(line_no // 12 AS INT) AS page, line_no AS "row", ci, origin + off * s AS x0, origin + (off + length(w)) * s AS x1, size FROM sc), rr AS (SELECT doc_id, CAST(line_no // 12 AS INT) AS page, line_no AS "row", 12.0::DOUBLE + line_no % 12 * 18 AS oy, CASE WHEN length(text) % 13 = 0 THEN 15.0::DOUBLE ELSE 10.0::DOUBLE END AS size FROM lines WHERE trim(text, ' ') <> '')"""
+
+
+def _columned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    n, at = F.col("n"), F.col("line_no")
+    lines = _lines(spark, sf_dir).withColumn("n", F.length("text")).withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
+    size, page = F.when(n % 13 == 0, 15.0).otherwise(10.0), F.floor(at / 12).cast("int")
+    words = lines.select("doc_id", "line_no", "n", F.size("w").alias("nw"), F.posexplode("w").alias("ci", "w")).withColumn("half", F.when((n % 7 == 0) | (F.col("ci") * 2 < F.col("nw")), 0).otherwise(1))
+    half = Window.partitionBy("doc_id", "line_no", "half")
+    words = words.withColumn("off", F.sum(F.length("w") + 1).over(half.orderBy("ci")) - F.length("w") - 1).withColumn("total", F.sum(F.length("w") + 1).over(half))
+    s = F.when(n % 7 == 0, 420.0).otherwise(190.0 + n % 3 * 5 + F.when((F.floor(at / 12) + F.col("doc_id")) % 3 == 2, n * 7 % 30).otherwise(0)) / F.col("total")
+    origin = F.when(F.col("half") == 0, 40.0).otherwise(262.0 + F.when((F.floor(at / 12) + F.col("doc_id")) % 3 == 2, n * 7 % 30).otherwise(n % 4 * 3))
+    glyphs = words.select("doc_id", page.alias("page"), at.alias("row"), "ci", (origin + F.col("off") * s).alias("x0"), (origin + (F.col("off") + F.length("w")) * s).alias("x1"), size.alias("size"))
+    rows = lines.filter(F.size("w") > 0).select("doc_id", page.alias("page"), at.alias("row"), (12.0 + at % 12 * 18).alias("oy"), size.alias("size"))
+    return glyphs, rows, rows.select("doc_id", "page").distinct().withColumns({"page_w": F.lit(500.0), "page_h": F.lit(230.0)})
+
+
+_GUTTERS = f"""{_COLS}, bs AS (SELECT doc_id, page, median(size) AS body FROM rr GROUP BY ALL), kr AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS n_rows FROM rr JOIN bs USING (doc_id, page) WHERE NOT ((oy < 230 * 0.07 OR oy > 230 * 0.93) AND size < body * 1.2) AND size >= body * 0.75), kp AS (SELECT * FROM kr WHERE n_rows >= 6),
+    kg AS (SELECT g.*, body, n_rows, lead(x0) OVER w AS nx, lag(x1) OVER w AS px FROM gl g JOIN (SELECT doc_id, page, "row", body, n_rows FROM kp) k USING (doc_id, page, "row") WINDOW w AS (PARTITION BY doc_id, page, "row" ORDER BY ci)),
+    mk AS (SELECT DISTINCT doc_id, page, "row", x FROM (SELECT doc_id, page, "row", unnest(range(greatest(0, CAST(floor(x0) AS BIGINT)), least(500, CAST(ceil(CASE WHEN nx - x1 < size THEN nx ELSE x1 END) AS BIGINT)) + 1)) AS x FROM kg) q), oc AS (SELECT doc_id, page, x, count(*) AS n FROM mk GROUP BY ALL),
+    ext AS (SELECT doc_id, page, "row", arg_min(x0, ci) AS f, arg_max(x1, ci) AS l FROM kg GROUP BY ALL), ink AS (SELECT doc_id, page, CAST(ceil(min(f)) AS BIGINT) AS il, CAST(floor(max(l)) AS BIGINT) AS ir FROM ext GROUP BY ALL), pp AS (SELECT doc_id, page, any_value(body) AS body, any_value(n_rows) AS n_rows, median(size) * 0.8 AS least FROM kp GROUP BY ALL),
+    xs AS (SELECT q.doc_id, q.page, q.x, coalesce(n, 0) AS n, n_rows, least FROM (SELECT *, unnest(range(il, ir + 1)) AS x FROM ink JOIN pp USING (doc_id, page)) q LEFT JOIN oc USING (doc_id, page, x)), lo AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, page ORDER BY x) AS isle FROM xs WHERE n <= greatest(3, n_rows * 0.1)),
+    bd AS (SELECT doc_id, page, min(x) AS low, max(x) + 1 AS high, arg_min(x, (n * 1000 + abs(x - m), x)) AS cut FROM (SELECT *, (min(x) OVER i + max(x) OVER i + 1) / 2.0 AS m FROM lo WINDOW i AS (PARTITION BY doc_id, page, isle)) q GROUP BY doc_id, page, isle, m HAVING max(x) + 1 - min(x) >= any_value(least)),
+    ck AS (SELECT b.doc_id, b.page, low, high, cut, EXISTS (SELECT 1 FROM mk m WHERE m.doc_id = b.doc_id AND m.page = b.page AND m."row" = e."row" AND m.x = b.cut) AS crs, f < low AS hl, l > high AS hr FROM bd b JOIN ext e ON b.doc_id = e.doc_id AND b.page = e.page),
+    va AS (SELECT doc_id, page, low, high, cut, count(*) FILTER (NOT crs AND hl AND hr) AS n_split, count(*) FILTER (crs) AS n_cross FROM ck GROUP BY ALL HAVING (count(*) FILTER (NOT crs AND hl AND hr) >= 3 OR (count(*) FILTER (NOT crs AND hl AND NOT hr) >= 3 AND count(*) FILTER (NOT crs AND NOT hl AND hr) >= 3)) AND count(*) FILTER (crs) <= greatest(2, (count(*) FILTER (NOT crs AND hl AND hr) + least(count(*) FILTER (NOT crs AND hl AND NOT hr), count(*) FILTER (NOT crs AND NOT hl AND hr))) * 0.5)),
+    ch AS (SELECT *, sum(CASE WHEN x0 - px >= body * 1.8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, "row" ORDER BY ci) AS chunk FROM kg), cx AS (SELECT *, arg_min(x0, ci) OVER c AS c0, arg_max(x1, ci) OVER c AS c1 FROM ch WINDOW c AS (PARTITION BY doc_id, page, "row", chunk)),
+    gp AS (SELECT q.*, px AS gleft, x0 AS gright, (px + x0) / 2 AS mid, px - pc0 AS wl, c1 - x0 AS wr, row_number() OVER (PARTITION BY doc_id, page ORDER BY (px + x0) / 2, "row", ci) AS i FROM (SELECT *, lag(c0) OVER (PARTITION BY doc_id, page, "row" ORDER BY ci) AS pc0 FROM cx) q JOIN (SELECT doc_id, page, least FROM pp) p USING (doc_id, page) WHERE x0 - px >= greatest(least, body * 1.8)),
+    fo AS (SELECT doc_id, page, i, mid, [mid] AS held, 1 AS g FROM gp WHERE i = 1 UNION ALL SELECT p.doc_id, p.page, p.i, p.mid, CASE WHEN p.mid - list_median(f.held) <= p.body THEN list_append(f.held, p.mid) ELSE [p.mid] END, f.g + CASE WHEN p.mid - list_median(f.held) <= p.body THEN 0 ELSE 1 END FROM fo f JOIN gp p ON p.doc_id = f.doc_id AND p.page = f.page AND p.i = f.i + 1),
+    gg AS (SELECT doc_id, page, g, any_value(body) AS body, median(gp.mid) AS cut, median(gleft) AS low, median(gright) AS high, median(wl) AS wl, median(wr) AS wr, count(DISTINCT "row") AS n FROM gp JOIN fo USING (doc_id, page, i) GROUP BY doc_id, page, g),
+    en AS (SELECT doc_id, page, "row", min(x0) AS a0, max(x0) AS a1, min(x1) AS b0, max(x1) AS b1 FROM kg GROUP BY ALL),
+    ok AS (SELECT g.doc_id, g.page, cut, low, high, body, row_number() OVER (PARTITION BY g.doc_id, g.page ORDER BY cut) AS i FROM gg g JOIN en e ON e.doc_id = g.doc_id AND e.page = g.page WHERE n >= 3 AND wl >= body * 12 AND wr >= body * 12 AND NOT EXISTS (SELECT 1 FROM va WHERE va.doc_id = g.doc_id AND va.page = g.page AND abs(va.cut - g.cut) < g.body * 2) GROUP BY g.doc_id, g.page, cut, low, high, body, n HAVING count(*) FILTER (b0 < cut) >= 3 AND count(*) FILTER (a1 > cut) >= 3 AND n >= count(*) FILTER (a0 < cut AND b1 > cut) * 0.6),
+    tk AS (SELECT doc_id, page, i, cut, low, high, TRUE AS good, [cut] AS held FROM ok WHERE i = 1 UNION ALL SELECT o.doc_id, o.page, o.i, o.cut, o.low, o.high, len(list_filter(t.held, lambda c: abs(c - o.cut) < o.body * 2)) = 0, CASE WHEN len(list_filter(t.held, lambda c: abs(c - o.cut) < o.body * 2)) = 0 THEN list_append(t.held, o.cut) ELSE t.held END FROM tk t JOIN ok o ON o.doc_id = t.doc_id AND o.page = t.page AND o.i = t.i + 1),
+    gu AS (SELECT doc_id, page, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CAST(cut AS DOUBLE) AS cut, n_split, n_cross FROM va UNION ALL SELECT doc_id, page, least(low, cut), greatest(high, cut), cut, NULL, NULL FROM tk WHERE good)"""
+
+
+@query(f"WITH RECURSIVE {_GUTTERS} SELECT * FROM gu")
+def page_gutters(spark, sf_dir):
+    return gutters.find_gutters(*_columned(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_GUTTERS}, ms AS (SELECT doc_id, page, (min(x0) + max(x1)) / 2 AS middle FROM gl GROUP BY ALL), al AS (SELECT g.*, lead(x0) OVER (PARTITION BY g.doc_id, g.page, "row" ORDER BY ci) AS nx, body, middle, size >= body * 1.4 AS big FROM gl g JOIN bs USING (doc_id, page) JOIN ms USING (doc_id, page)),
+    me AS (SELECT a.doc_id, a.page, "row", u.cut, middle, bool_or((x0 <= u.cut AND x1 >= u.cut) OR coalesce(x1 <= u.cut AND nx >= u.cut AND nx - x1 < size * 0.5, FALSE)) AS hit, bool_or(big AND x1 > u.low + 1 AND x0 < u.high - 1) AS band, bool_or(big AND (x0 + x1) / 2 < u.cut) AS l, bool_or(big AND (x0 + x1) / 2 >= u.cut) AS r,
+        arg_min(x0, ci) FILTER (big) AS b0, arg_max(x1, ci) FILTER (big) AS b1, arg_min(size, ci) FILTER (big) AS bsz FROM al a JOIN gu u ON a.doc_id = u.doc_id AND a.page = u.page GROUP BY ALL)
+    SELECT doc_id, page, "row", cut FROM me WHERE hit OR (band AND (coalesce(abs((b0 + b1) / 2 - middle) < bsz * 1.5, FALSE) OR (l AND r)))""")
+def rows_across(spark, sf_dir):
+    glyphs, rows, pages = _columned(spark, sf_dir)
+    return gutters.rows_across(glyphs, rows, gutters.find_gutters(glyphs, rows, pages))
