@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quire.plans import document_queries, join_queries, page_queries, table_queries, text_queries  # noqa: F401  they add their queries
+from quire.plans import document_queries, join_queries, page_queries, region_queries, table_queries, text_queries  # noqa: F401  they add their queries
 from quire.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
