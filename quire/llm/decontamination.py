@@ -34,8 +34,6 @@ from quire.llm.textvec import WORD, Words, code_points, keep, lower_ascii, mix,
 
 #: Agreeing words of an overlap's end that masks are made from at most, words of a mask, and stretches that are listed.
 DEEP, WEIGHT, LISTED = 10, 6, 2000
-#: Parts into which the places of each seed are dealt.
-SALTS = 8
 OVERLAP = "doc_id long, item_id long, doc_word long, item_word int, n_words int, n_same int"
 
 
@@ -169,9 +167,9 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = 10, share: float =
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text]), pa.array(at - w.firsts[text])], ["seed", "doc_id", "doc_word"])
 
-    # a seed of few and common words stands in very many documents: these are dealt by a salt, too
-    salted = test_seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = rows.mapInArrow(doc_seeds, "seed long, doc_id long, doc_word long").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
+    # a seed of few and common words stands in very many documents: their side of the join is the large one, and Spark splits its
+    # skewed partitions, giving each part the items' few seeds; what comes out is made distinct before it is shuffled again
+    hits = rows.mapInArrow(doc_seeds, "seed long, doc_id long, doc_word long").join(test_seeds, "seed")
     shifts = hits.select("doc_id", "item_id", (F.col("doc_word") - F.col("item_word")).alias("shift")).distinct()
     pairs = written(shifts.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list("shift")).alias("shifts")), "seed-hits")
     met = spark.sparkContext.broadcast(bitmap(pairs, of_id("doc_id")))
