@@ -42,6 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: computed once, and no executor's loss undoes them."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    tidy()
     return spark.read.schema(df.schema).parquet(path)
 
 
