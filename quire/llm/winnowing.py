@@ -80,7 +80,7 @@ def _bounds(rows: DataFrame, key: Column, blocks: int) -> list[int]:
     return rows.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks)).alias("b")).first().b or []
 
 
-def with_next(rows: DataFrame, marks: Column, block_rows: int = 65_536) -> DataFrame:
+def with_next(rows: DataFrame, marks: Column, block_rows: int = 2_048) -> DataFrame:
     """doc_id, text, marks of each row, and next_text, next_marks of the row that follows by descending doc_id.
 
     Blocks are ranges of ids with some `block_rows` rows, MOST_BLOCKS at most, parted by the ids' quantiles, so ids may lie as they like. Rows
@@ -110,7 +110,7 @@ def with_next(rows: DataFrame, marks: Column, block_rows: int = 65_536) -> DataF
     return both.withColumn("next_text", F.lag("text").over(order)).withColumn("next_marks", F.lag("marks").over(order)).filter(~F.col("lent")).drop("block", "lent")
 
 
-def compare_edits(docs: DataFrame, k: int = 4, w: int = 4, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 65_536) -> DataFrame:
+def compare_edits(docs: DataFrame, k: int = 4, w: int = 4, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 2_048) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs.
 
     The edited text has its last floor(n_chars / 3) code points replaced by as many of the next row's first ones, or all.
