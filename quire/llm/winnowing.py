@@ -68,7 +68,7 @@ def _block(bounds: list[int], key: Column) -> Column:
     steps = len(bounds).bit_length()
     if not bounds:
         return F.lit(0).cast("long")
-    held = F.lit([*bounds, *[(1 << 63) - 1] * ((1 << steps) - 1 - len(bounds))]).cast("array<long>")
+    held = F.split(F.lit(",".join(map(str, [*bounds, *[(1 << 63) - 1] * ((1 << steps) - 1 - len(bounds))]))), ",").cast("array<long>")  # one literal
     further = lambda at, step: at + F.when(F.get(held, at + step - 1) < key, step).otherwise(0)
     return F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(steps)))), F.lit(0), further).cast("long")
 
