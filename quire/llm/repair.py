@@ -45,15 +45,14 @@ def _sorted(high: np.ndarray, low: np.ndarray, low_max: int) -> tuple[np.ndarray
     return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _frequent(x: np.ndarray, places: np.ndarray | None, least: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(x: np.ndarray, after: np.ndarray, top: int, places: np.ndarray, least: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(up to `step` pairs that occur `least` times or more, as left << 32 | right, the most frequent first; the places
     where they occur, in order; which one does; the places of all pairs that occur so often).
 
-    places: where such pairs can be; None for anywhere.
+    after: where the symbol behind each one stands; top: above all symbols; places: where such pairs can be.
     """
-    places = np.arange(len(x) - 1) if places is None else places
-    bits = np.uint64(int(x.max()).bit_length())
-    keys, places = _sorted((x[places].astype(np.uint64) << bits) | x[places + 1], places, len(x))
+    bits = np.uint64(top.bit_length())
+    keys, places = _sorted((x[places].astype(np.uint64) << bits) | x[after[places]], places, len(x))
     new = np.ones(len(keys), bool)
     np.not_equal(keys[1:], keys[:-1], out=new[1:])
     first = np.flatnonzero(new)
@@ -75,15 +74,18 @@ def _frequent(x: np.ndarray, places: np.ndarray | None, least: int, step: int) -
 def compress(ids: np.ndarray, least: int = 2, step: int = 65_536, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, rules' lefts, rights, expansion lengths, the first rule's symbol). With `most` symbols no more are made; a shard
     of the usual 1,000,000 ids makes less than half a million."""
-    x = ids.astype(np.uint32)
+    x, n = ids.astype(np.uint32), len(ids)
     base = top = int(x.max(initial=0)) + 1
-    lefts, rights, sizes, places = [], [], [np.ones(base, np.uint32)], None
-    while len(x) > 1:
-        pairs, at, got, often = _frequent(x, places, least, min(step, most - top))
+    lefts, rights, size = [], [], np.ones(2 * base, np.uint32)
+    # symbols stay where they are, linked to the ones before and behind them, so a round costs what it replaces
+    after, before, there = np.arange(1, n + 1), np.arange(-1, n), np.ones(n, bool)
+    places = np.arange(max(n - 1, 0))
+    while len(places):
+        pairs, at, got, often = _frequent(x, after, top, places, least, min(step, most - top))
         if not len(pairs):
             break
         # of overlapping occurrences the more frequent pair's stays; in a run of one pair, the first
-        near = np.r_[False, at[1:] == at[:-1] + 1]
+        near = np.r_[False, at[1:] == after[at[:-1]]]
         loses = near & (np.r_[0, got[:-1]] <= got)
         loses |= np.r_[near[1:], False] & (np.r_[got[1:], 0] < got)
         at, got = at[~loses], got[~loses]
@@ -91,23 +93,26 @@ def compress(ids: np.ndarray, least: int = 2, step: int = 65_536, most: int = 1
         symbol = np.cumsum(used) - 1 + top
         pair = pairs[used]
         left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
-        size = np.concatenate(sizes) if len(sizes) > 1 else sizes[0]
         lefts.append(left)
         rights.append(right)
-        sizes = [size, size[left] + size[right]]
+        if top + len(left) > len(size):
+            size = np.concatenate([size, np.zeros(max(len(size), len(left)), np.uint32)])
+        size[top : top + len(left)] = size[left] + size[right]
         top += len(left)
         x[at] = symbol[got]
-        stays = np.ones(len(x), bool)
-        stays[at + 1] = False
+        gone = after[at]
+        there[gone] = False
+        after[at] = after[gone]
+        before[after[gone]] = at
         # counts of other pairs only fall, so from here on look at those that are still frequent, and around new symbols
-        places = np.concatenate([often, at, at[at > 0] - 1])
+        ahead = before[at]
+        places = np.concatenate([often, at, ahead[ahead >= 0]])
         places.sort()
-        places = places[stays[places] & np.append(True, places[1:] != places[:-1])]
-        places -= np.searchsorted(at, places)  # a removed symbol before it for each replacement before it
-        x = x[stays]
-        places = places[places < len(x) - 1]
+        places = places[np.append(True, places[1:] != places[:-1])]
+        places = places[there[places] & (after[places] < n)]
+    x = x[there]
     none = np.zeros(0, np.uint32)
-    return x, np.concatenate(lefts or [none]), np.concatenate(rights or [none]), np.concatenate(sizes)[base:], base
+    return x, np.concatenate(lefts or [none]), np.concatenate(rights or [none]), size[base:top].copy(), base
 
 
 def expand(symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
