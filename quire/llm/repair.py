@@ -31,6 +31,8 @@ from quire.llm.tokens import Encoder
 MAGIC = b"RPAIRIDS"
 BLOCK = 256
 NULL_ID = -(2**63)
+#: From one place in so many on, places are marked rather than sorted.
+MANY = 32
 
 
 def _sorted(high: np.ndarray, low: np.ndarray, low_max: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +68,13 @@ def _frequent(x: np.ndarray, after: np.ndarray, top: int, places: np.ndarray, le
     number[chosen] = np.arange(len(chosen), dtype=np.int32)
     number = np.repeat(number, counts)
     hit = np.flatnonzero(number >= 0)
-    at, got = _sorted(places[hit].astype(np.uint64), number[hit], max(len(chosen), 1))
+    if len(hit) > len(x) // MANY:  # by place without sorting
+        which = np.full(len(x), -1, np.int32)
+        which[places[hit]] = number[hit]
+        at = np.flatnonzero(which >= 0)
+        got = which[at]
+    else:
+        at, got = _sorted(places[hit].astype(np.uint64), number[hit], max(len(chosen), 1))
     pairs = keys[first[chosen]]
     return pairs >> bits << np.uint64(32) | pairs & np.uint64((1 << int(bits)) - 1), at.astype(np.int64), got, places[number > -2]
 
@@ -106,10 +114,17 @@ def compress(ids: np.ndarray, least: int = 2, step: int = 65_536, most: int = 1
         before[after[gone]] = at
         # counts of other pairs only fall, so from here on look at those that are still frequent, and around new symbols
         ahead = before[at]
-        places = np.concatenate([often, at, ahead[ahead >= 0]])
-        places.sort()
-        places = places[np.append(True, places[1:] != places[:-1])]
-        places = places[there[places] & (after[places] < n)]
+        ahead = ahead[ahead >= 0]
+        if len(often) + len(at) > n // MANY:
+            some = np.zeros(n, bool)
+            some[often] = some[at] = some[ahead] = True
+            places = np.flatnonzero(some & there)
+        else:
+            places = np.concatenate([often, at, ahead])
+            places.sort()
+            places = places[np.append(True, places[1:] != places[:-1])]
+            places = places[there[places]]
+        places = places[after[places] < n]
     x = x[there]
     none = np.zeros(0, np.uint32)
     return x, np.concatenate(lefts or [none]), np.concatenate(rights or [none]), size[base:top].copy(), base
