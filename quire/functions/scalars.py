@@ -237,9 +237,9 @@ def duration_text(ms: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
 
 
-def page_list(raw: Column | str, last: Column) -> Column:
+def page_list(raw: Column | str, last: Column | None = None) -> Column:
     """"1-3, 5" as sorted distinct page numbers from 0; turned-round ranges are turned back. Null if a part is no range, or
-    has a page that isn't between 1 and `last`, the document's number of pages."""
+    has a page that isn't between 1 and `last`, the document's number of pages; without it, pages are numbers of up to nine digits."""
     parts = F.filter(F.transform(F.split(_c(raw), ","), lambda p: F.trim(p)), lambda p: p != "")
     pattern = r"^([0-9]+)(?:\s*-\s*([0-9]+))?$"
     bad = F.exists(parts, lambda p: ~p.rlike(pattern)) | (F.size(parts) == 0)
@@ -247,7 +247,7 @@ def page_list(raw: Column | str, last: Column) -> Column:
     def pages(p: Column) -> Column:
         a = F.regexp_extract(p, pattern, 1).try_cast("int")
         b = F.when(F.regexp_extract(p, pattern, 2) == "", a).otherwise(F.regexp_extract(p, pattern, 2).try_cast("int"))
-        return F.when((F.least(a, b) >= 1) & (F.greatest(a, b) <= last) & a.isNotNull() & b.isNotNull(), F.sequence(F.least(a, b) - 1, F.greatest(a, b) - 1))
+        return F.when((F.least(a, b) >= 1) & (F.greatest(a, b) <= (F.lit(999_999_999) if last is None else last)) & a.isNotNull() & b.isNotNull(), F.sequence(F.least(a, b) - 1, F.greatest(a, b) - 1))
 
     listed = F.transform(parts, pages)
     return F.when(~bad & ~F.exists(listed, lambda x: x.isNull()), F.array_sort(F.array_distinct(F.flatten(listed))))

@@ -341,7 +341,7 @@ def paragraphs(spark, sf_dir):
 
 
 @query(rf"""WITH {LINES}, {_PAIRS}, {_SEAMS}, {_PARAS}, a AS (SELECT doc_id, string_agg(regexp_replace(text, '[\s-]', '', 'g'), '' ORDER BY line_no) AS t FROM lines GROUP BY doc_id), b AS (SELECT doc_id, string_agg(regexp_replace(text, '[\s-]', '', 'g'), '' ORDER BY para_no) AS t FROM paras GROUP BY doc_id)
-    SELECT doc_id, a.t = b.t AS same, length(a.t) AS n_chars FROM a JOIN b USING (doc_id)""")
+    SELECT doc_id, a.t = b.t AS same FROM a JOIN b USING (doc_id)""")
 def kept_whole(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     return flow.kept_whole(rows, flow.paragraphs(rows, flow.seams(rows)))
