@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.scalars import box_area, half_up, nearest_rank, overlap_area
+from quire.functions.scalars import box_area, half_up, let, nearest_rank, overlap_area
+from quire.operators.lines import gathered
 from quire.operators.ranks import at_ranks
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -98,9 +99,11 @@ def column_measures(lines: DataFrame, body: float = 10.0) -> DataFrame:
 
 
 def gutters(chars: DataFrame, step: float = 6.0) -> DataFrame:
-    """(doc_id, cell, n_rows): in how many of a document's lines a cell of the column grid is inked; gutters have few."""
-    inked = chars.filter("c <> ' '").select("doc_id", F.floor(F.col("x0") / step).alias("cell"), "line_no")
-    return inked.distinct().groupBy("doc_id", "cell").agg(F.count("*").alias("n_rows"))
+    """(doc_id, cell, n_rows): in how many of a document's lines a cell of the column grid is inked; gutters have few. chars: glyphs
+    as rows, or a line's as one array (lines.line_glyphs); each line tells its cells once, so counts are summed before they are shuffled."""
+    cells = F.array_distinct(F.transform(F.filter("glyphs", lambda g: g["c"] != " "), lambda g: F.floor(g["x0"] / step)))
+    inked = gathered(chars, "c", "x0").select("doc_id", F.explode(cells).alias("cell"))
+    return inked.groupBy("doc_id", "cell").agg(F.count("*").alias("n_rows"))
 
 
 def clear_runs(occupied: DataFrame) -> DataFrame:
@@ -111,10 +114,17 @@ def clear_runs(occupied: DataFrame) -> DataFrame:
 
 
 def line_gaps(chars: DataFrame) -> DataFrame:
-    """(doc_id, line_no, n_chars, n_spaces, width, widest): inked characters of a line, the gaps between them, and the widest."""
-    w = Window.partitionBy("doc_id", "line_no").orderBy("ci")
-    gaps = chars.filter("c <> ' '").withColumn("gap", F.col("x0") - F.lag("x1").over(w))
-    return gaps.groupBy("doc_id", "line_no").agg(F.count("*").alias("n_chars"), F.count_if(F.col("gap") > 0).alias("n_spaces"), (F.max("x1") - F.min("x0")).alias("width"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("widest"))
+    """(doc_id, line_no, n_chars, n_spaces, width, widest): inked characters of a line, the gaps between them, and the widest. chars:
+    glyphs as rows, or a line's as one array (lines.line_glyphs)."""
+    def measured(x0: Column, x1: Column) -> Column:
+        gaps = F.zip_with(F.slice(x0, F.lit(2), F.size(x0)), F.slice(x1, F.lit(1), F.size(x1) - 1), lambda after, before: after - before)
+        counts = F.struct(F.size(x0).cast("long").alias("n_chars"), (F.array_max(x1) - F.array_min(x0)).alias("width"))
+        return F.when(F.size(x0) > 0, let(gaps, lambda g: F.struct(counts.alias("c"), F.size(F.filter(g, lambda x: x > 0)).cast("long").alias("n_spaces"), F.coalesce(F.array_max(g), F.lit(0.0)).alias("widest"))))
+
+    # let: the arrays are bound once, not worked out anew wherever they are used
+    of = let(F.filter("glyphs", lambda g: g["c"] != " "), lambda g: let(F.struct(g["x0"].alias("x0"), g["x1"].alias("x1")), lambda s: measured(s["x0"], s["x1"])))
+    rows = gathered(chars, "c", "x0", "x1").select("doc_id", "line_no", F.explode(F.array_compact(F.array(of))).alias("m"))
+    return rows.select("doc_id", "line_no", "m.c.n_chars", "m.n_spaces", "m.c.width", "m.widest")
 
 
 def space_width(gaps: DataFrame, loose: str = "loose", body: float = 10.0) -> DataFrame:
