@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import half_up
+from quire.operators.boxes import BOX, per_page
 
 PAGE = ["doc_id", "page"]
 ROW = [*PAGE, "line_no"]
@@ -109,22 +109,24 @@ def joined_fragments(lines: DataFrame, reach: float = 2.5) -> DataFrame:
     """(doc_id, page, line_no, text, x0, y0, x1, y1, n): pieces of recognised lines on one height that stand close, as one, over
     and over until none are left to join; line_no is the first piece's. A page's lines are one small group."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_no")
-        todo = [[*r, 1] for r in rows[["line_no", "text", "x0", "y0", "x1", "y1"]].itertuples(index=False)]
-        width = lambda a: (a[4] - a[2]) / max(1, len("".join(a[1].split())))
+    def work(rows: list[tuple]) -> list[list]:
+        todo = [[*r, 1] for r in rows]
+        wide = lambda a: (a[4] - a[2]) / max(1, len("".join(a[1].split())))
+        # widths are worked out once for each piece, not for each pair
+        widths = [wide(a) for a in todo]
         i = 0
         while i < len(todo):
             a = todo[i]
             for j, b in enumerate(todo):
                 gap = b[2] - a[4]
-                if j != i and min(a[5], b[5]) - max(a[3], b[3]) >= 0.6 * min(a[5] - a[3], b[5] - b[3]) and 0 <= gap <= reach * max(width(a), width(b), 1):
+                if gap >= 0 and j != i and gap <= reach * max(widths[i], widths[j], 1) and min(a[5], b[5]) - max(a[3], b[3]) >= 0.6 * min(a[5] - a[3], b[5] - b[3]):
                     todo[i] = [a[0], f"{a[1]} {b[1]}", min(a[2], b[2]), min(a[3], b[3]), max(a[4], b[4]), max(a[5], b[5]), a[6] + b[6]]
-                    del todo[j]
+                    widths[i] = wide(todo[i])
+                    del todo[j], widths[j]
                     i = -1
                     break
             i += 1
-        out = pd.DataFrame(todo, columns=["line_no", "text", "x0", "y0", "x1", "y1", "n"])
-        return out.assign(doc_id=rows["doc_id"].iloc[0], page=rows["page"].iloc[0])[[*PAGE, "line_no", "text", "x0", "y0", "x1", "y1", "n"]]
+        return todo
 
-    return lines.select(*ROW, "text", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(work, "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, n int")
+    places = (F.col(c).cast("double").alias(c) for c in BOX)
+    return per_page(lines.select(*ROW, "text", *places), ["line_no", "text", *BOX], work, "line_no int, text string, x0 double, y0 double, x1 double, y1 double, n int")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import geometry, lines, pages
+from quire.operators import boxes, geometry, lines, pages
 
 
 def shuffles(df):
@@ -41,3 +41,13 @@ def test_gutters_are_shuffled_once(spark):
     runs = geometry.clear_runs(geometry.gutters(lines.line_glyphs(rows)))
     assert shuffles(runs) == 1
     assert sorted((r.first, r.last) for r in runs.collect()) == [(2, 3), (5, 5)]
+
+
+def test_pages_come_by_the_batch(spark):
+    df = spark.range(3000).selectExpr("1L AS doc_id", "CAST(id DIV 3 AS INT) AS page", "id AS box_id", "id % 3 * 10.0D AS x0", "0.0D AS y0", "id % 3 * 10.0D + 9 AS x1", "5.0D AS y1", "0.5D AS score")
+    for found, n in ((boxes.grown_boxes(df, 2.0), 1000), (boxes.suppressed(df), 3000), (boxes.touching_groups(df), 3000)):
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == n
+    many = [(float(i % 40 * 10), float(i // 40 * 10), float(i % 40 * 10 + 9), float(i // 40 * 10 + 9)) for i in range(400)]
+    assert boxes.touching(many, 2.0) == [0] * 400
+    assert boxes.touching(many, 0.5) == list(range(400))
