@@ -100,8 +100,8 @@ def readings(lines: DataFrame, cell: float = 64.0) -> DataFrame:
     start = F.least(F.col("a"), F.greatest(F.col("a") - before, F.ceil((F.col("r_x0") - rw * 0.2 - F.col("x0")) / step).cast("int") - 1))
     stop = F.greatest(F.col("z"), F.least(F.col("z") + behind, F.floor((F.col("r_x1") + rw * 0.2 - F.col("x0")) / step).cast("int") + 1))
     score = F.abs(gap) + F.abs((F.col("r_x0") + F.col("r_x1") - F.col("x0") - F.col("x1")) / 2) * 0.08
-    best = met.groupBy(*PAGE, "line_no", "reading").agg(F.min(F.struct(score.alias("score"), "base", start.cast("int").alias("start"), stop.cast("int").alias("stop"))).alias("b"))
-    return best.select(*PAGE, "line_no", "b.base", "b.start", "b.stop", "reading")
+    best = met.groupBy(*PAGE, "line_no").agg(F.min(F.struct(score.alias("score"), "base", start.cast("int").alias("start"), stop.cast("int").alias("stop"), "reading")).alias("b"))
+    return best.select(*PAGE, "line_no", "b.base", "b.start", "b.stop", "b.reading")
 
 
 def with_readings(lines: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import boxes, geometry, lines, pages
+from quire.operators import boxes, geometry, lines, pages, regions
 
 
 def shuffles(df):
@@ -51,3 +51,9 @@ def test_pages_come_by_the_batch(spark):
     many = [(float(i % 40 * 10), float(i // 40 * 10), float(i % 40 * 10 + 9), float(i // 40 * 10 + 9)) for i in range(400)]
     assert boxes.touching(many, 2.0) == [0] * 400
     assert boxes.touching(many, 0.5) == list(range(400))
+
+
+def test_a_line_number_reads_one_base(spark):
+    rows = [(1, 0, 1000, "漢字漢字", 0.0, 10.0, 40.0, 22.0), (1, 0, 2000, "漢字漢字", 0.0, 60.0, 40.0, 72.0), (1, 0, 7, "かな", 0.0, 4.0, 20.0, 9.0), (1, 0, 7, "きし", 0.0, 53.0, 20.0, 58.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.line_no, r.base, r.reading) for r in regions.readings(df).collect()] == [(7, 1000, "かな")]
