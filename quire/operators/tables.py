@@ -1,7 +1,7 @@
 """Tables drawn with rules: segments from shapes, groups of touching segments, rows and cells of each group, spans.
 
 paths: (doc_id, page, path_id, x0, y0, x1, y1, stroke, fill, stroke_width), colours as arrays of three numbers up to 255, or null;
-glyphs: (doc_id, page, x0, y0, x1, y1, oy, size) of what isn't white space; pages: (doc_id, page, page_w, page_h).
+glyphs: (doc_id, page, x0, y0, x1, y1, oy, size) of what isn't white space, or their centres; pages: (doc_id, page, page_w, page_h).
 
 Everything is joined on document and page. Segments meet by cells of a grid; groups are connected components, found in
 rounds of joins, and each is worked on by windows over its own edges, so pages with very many rules need no large group in a task.
@@ -38,8 +38,12 @@ def _shaped(paths: DataFrame) -> DataFrame:
     return paths.withColumns({"w": w, "h": h, "outline": outline, "edge": edge})
 
 
-def _centres(glyphs: DataFrame) -> DataFrame:
-    return glyphs.select(*PAGE, ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.col("oy").alias("g_oy"), F.col("size").alias("g_size"))
+def centres(glyphs: DataFrame) -> DataFrame:
+    """(doc_id, page, cx, cy, g_oy, g_size, k): where glyphs have their centres, and how many are alike there; centres stay as they are."""
+    if "cx" in glyphs.columns:
+        return glyphs
+    at = [((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.col("oy").alias("g_oy"), F.col("size").alias("g_size")]
+    return glyphs.groupBy(*PAGE, *at).agg(F.count("*").alias("k"))
 
 
 def line_backgrounds(paths: DataFrame, glyphs: DataFrame) -> DataFrame:
@@ -47,7 +51,7 @@ def line_backgrounds(paths: DataFrame, glyphs: DataFrame) -> DataFrame:
     as an outline around two characters or more, and wider than four of them; else highlight."""
     shapes = _shaped(paths).filter("w > 8 and h > 3")
     inside = (F.col("cx") > F.col("x0")) & (F.col("cx") < F.col("x1")) & (F.col("cy") > F.col("y0")) & (F.col("cy") < F.col("y1"))
-    held = shapes.join(_centres(glyphs), PAGE).filter(inside).groupBy(*PAGE, "path_id").agg(F.count("*").alias("n"), F.median("g_size").alias("size"), (F.max("g_oy") - F.min("g_oy")).alias("spread"))
+    held = shapes.join(centres(glyphs), PAGE).filter(inside).groupBy(*PAGE, "path_id").agg(F.sum("k").alias("n"), F.percentile("g_size", 0.5, F.col("k")).alias("size"), (F.max("g_oy") - F.min("g_oy")).alias("spread"))
     one = shapes.join(held, [*PAGE, "path_id"]).filter((F.col("h") <= F.col("size") * 2) & (F.col("spread") < F.col("size") * 0.5))
     box = F.col("outline") & ~has_ink(F.col("fill")) & (F.col("w") > F.col("size") * 4) & (F.col("n") >= 2)
     return one.select(*PAGE, "path_id", F.when(box, "box").otherwise("highlight").alias("kind"))
@@ -131,13 +135,14 @@ def ruled_tables(groups: DataFrame, glyphs: DataFrame, pages: DataFrame) -> tupl
     edges = edges.groupBy(*GROUP, "x").agg(F.bool_or(F.col("high") - F.col("low") >= F.col("tall") * 0.9).alias("whole"), F.bool_or(F.col("edge").isNotNull()).alias("drawn"))
     sides = columns.join(edges, [*GROUP, "x"], "left").groupBy(*GROUP).agg(F.count("*").alias("n_x"), F.bool_and(F.coalesce("whole", F.lit(False))).alias("closed"), F.bool_and(F.coalesce("drawn", F.lit(False))).alias("drawn"))
 
-    near = settled(box.join(_centres(glyphs), PAGE).filter((F.col("cy") > F.col("y0")) & (F.col("cy") < F.col("y1"))), "text-in-rules")
+    near = settled(box.join(centres(glyphs), PAGE).filter((F.col("cy") > F.col("y0")) & (F.col("cy") < F.col("y1"))), "text-in-rules")
     within = (F.col("cx") > F.col("x0")) & (F.col("cx") < F.col("x1"))
     out = (F.col("cx") < F.col("x0") - 2) | (F.col("cx") > F.col("x1") + 2)
     close = (F.col("cx") > F.col("x0") - 40) & (F.col("cx") < F.col("x1") + 40)
-    text = near.groupBy(*GROUP).agg(F.count_if(within).alias("n"), F.count_if(out).alias("beside"), F.count_if(out & close).alias("spill"), F.median(F.when(within, F.col("g_size"))).alias("size"), (F.max(F.when(within, F.col("g_oy"))) - F.min(F.when(within, F.col("g_oy")))).alias("spread"))
+    number = lambda those: F.sum(F.when(those, F.col("k")).otherwise(0))
+    text = near.groupBy(*GROUP).agg(number(within).alias("n"), number(out).alias("beside"), number(out & close).alias("spill"), F.percentile(F.when(within, F.col("g_size")), 0.5, F.col("k")).alias("size"), (F.max(F.when(within, F.col("g_oy"))) - F.min(F.when(within, F.col("g_oy")))).alias("spread"))
     step = F.col("g_oy") - F.lag("g_oy").over(Window.partitionBy(*GROUP).orderBy("g_oy"))
-    text_lines = near.filter(within).select(*GROUP, "g_oy").withColumn("step", step).join(text.select(*GROUP, "size"), GROUP).groupBy(*GROUP).agg(F.count_if(F.col("step").isNull() | (F.col("step") > F.col("size") * 0.6)).alias("n_lines"))
+    text_lines = near.filter(within).select(*GROUP, "g_oy").distinct().withColumn("step", step).join(text.select(*GROUP, "size"), GROUP).groupBy(*GROUP).agg(F.count_if(F.col("step").isNull() | (F.col("step") > F.col("size") * 0.6)).alias("n_lines"))
 
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     known = box.join(sides, GROUP).join(rules, GROUP, "left").join(text, GROUP, "left").join(text_lines, GROUP, "left").join(pages, PAGE)
@@ -152,7 +157,9 @@ def ruled_tables(groups: DataFrame, glyphs: DataFrame, pages: DataFrame) -> tupl
     found = settled(found, "tables")
 
     cells = settled(ruled_cells(segs, found), "rule-cells")
-    held = cells.join(_centres(glyphs), PAGE).filter((F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1")) & (F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1"))).groupBy(*GROUP).agg(F.count_distinct("row", "col").alias("n_filled"))
+    # first by rows, then by their cells: a centre lies in one row
+    inked = cells.select(*GROUP, "row", "y0", "y1").distinct().join(near.select(*GROUP, "cx", "cy"), GROUP).filter((F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1"))).select(*GROUP, "row", "cx").distinct()
+    held = cells.join(inked, [*GROUP, "row"]).filter((F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1"))).groupBy(*GROUP).agg(F.count_distinct("row", "col").alias("n_filled"))
     made = cells.groupBy(*GROUP).agg(F.count("*").alias("n_cells"))
     shapes = segs.groupBy(*GROUP).agg((F.count_if("shape") >= F.count("*") * 0.8).alias("shaped"))
     # shapes drawn around one line of text are no table
@@ -203,13 +210,14 @@ def line_box_tables(paths: DataFrame, backgrounds: DataFrame, tables: DataFrame,
     boxes = paths.join(backgrounds.filter("kind = 'box'"), [*PAGE, "path_id"]).select(*PAGE, "path_id", "x0", "y0", "x1", "y1")
     t = tables.select(*PAGE, *(F.col(c).alias("t_" + c) for c in ("x0", "y0", "x1", "y1")))
     met = boxes.join(t, PAGE).filter((F.col("t_x0") < F.col("x1")) & (F.col("x0") < F.col("t_x1")) & (F.col("t_y0") < F.col("y1")) & (F.col("y0") < F.col("t_y1")))
-    beside = boxes.join(_centres(glyphs), PAGE).filter((F.col("cy") > F.col("y0")) & (F.col("cy") < F.col("y1")) & ((F.col("cx") < F.col("x0") - 2) | (F.col("cx") > F.col("x1") + 2)))
+    beside = boxes.join(centres(glyphs), PAGE).filter((F.col("cy") > F.col("y0")) & (F.col("cy") < F.col("y1")) & ((F.col("cx") < F.col("x0") - 2) | (F.col("cx") > F.col("x1") + 2)))
     no = met.select(*PAGE, "path_id").unionByName(beside.select(*PAGE, "path_id")).distinct().withColumn("no", F.lit(True))
     return boxes.join(no, [*PAGE, "path_id"], "left").select(*PAGE, "path_id", F.col("no").isNull().alias("is_table"))
 
 
 def page_tables(paths: DataFrame, glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     """spanned_cells of all ruled tables of all pages."""
+    glyphs = glyphs if "cx" in glyphs.columns else settled(centres(glyphs), "centres")
     segs = settled(rule_groups(rule_segments(paths, line_backgrounds(paths, glyphs), pages)), "rule-groups")
     tables, rules = ruled_tables(segs, glyphs, pages)
     return spanned_cells(ruled_cells(rules, tables), rules)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import gutters, tables
+from quire.operators.rounds import settled
 from quire.plans.queries import LINES, _lines, query
 
 _ROWS = f"""{LINES}, ln AS (SELECT doc_id, line_no, text, length(text) AS n, CAST(line_no // 6 AS INT) AS page, 20.0::DOUBLE + line_no % 6 * 40 AS top FROM lines),
@@ -95,17 +96,23 @@ _TABLES = f"""{_RULES}, ex AS (SELECT {_K}, min(bx0) AS ex0, min(by0) AS ey0, ma
     tb AS (SELECT f.* FROM ft f JOIN (SELECT {_K}, count(*) AS n_cells FROM ce GROUP BY ALL) c USING ({_K}) LEFT JOIN fl USING ({_K}) WHERE NOT coalesce(shaped AND n_x >= 3 AND coalesce(n_filled, 0) <= 1 AND spread < coalesce(size, 0) * 0.6 AND n_cells >= 2, FALSE))"""
 
 
+def _shapes(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paths, centres of glyphs, and pages, from tables without text: what reads them several times splits no document again."""
+    rows = _rows(spark, sf_dir)
+    shapes = settled(rows.drop("text"), "rows")
+    return _paths(shapes), settled(tables.centres(_glyphs(rows)), "centres"), _pages(shapes)
+
+
 @query(f"WITH {_FOUND} SELECT * FROM bg")
 def line_backgrounds(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    return tables.line_backgrounds(_paths(rows), _glyphs(rows))
+    paths, centres, _ = _shapes(spark, sf_dir)
+    return tables.line_backgrounds(paths, centres)
 
 
 @query(f"WITH RECURSIVE {_RULES} SELECT doc_id, page, seg, table_id, up AS upright, pos AS at, low, high, edge IS NOT NULL AS seen, shape FROM gs")
 def rule_groups(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    paths = _paths(rows)
-    segs = tables.rule_segments(paths, tables.line_backgrounds(paths, _glyphs(rows)), _pages(rows))
+    paths, centres, pages = _shapes(spark, sf_dir)
+    segs = tables.rule_segments(paths, tables.line_backgrounds(paths, centres), pages)
     return tables.rule_groups(segs).select("doc_id", "page", "seg", "table_id", "upright", "at", "low", "high", F.col("edge").isNotNull().alias("seen"), "shape")
 
 
@@ -114,17 +121,15 @@ def rule_groups(spark, sf_dir):
     ru AS (SELECT *, sum(CASE WHEN before = "row" - 1 AND NOT parted THEN 0 ELSE 1 END) OVER (PARTITION BY {_K}, a, b ORDER BY "row") AS run FROM (SELECT *, lag("row") OVER (PARTITION BY {_K}, a, b ORDER BY "row") AS before FROM pl) q)
     SELECT {_K}, CAST(min("row") AS INT) AS "row", CAST(arg_min(col, "row") AS INT) AS col, arg_min(x0, "row") AS x0, min(y0) AS y0, arg_min(x1, "row") AS x1, max(y1) AS y1, CAST(greatest(1, b - a) AS INT) AS colspan, CAST(count(*) AS INT) AS rowspan FROM ru GROUP BY {_K}, a, b, run""")
 def page_tables(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    return tables.page_tables(_paths(rows), _glyphs(rows), _pages(rows))
+    return tables.page_tables(*_shapes(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {_TABLES}, bo AS (SELECT s.* FROM sd s JOIN bg USING (doc_id, page, path_id) WHERE kind = 'box')
     SELECT doc_id, page, path_id, NOT (EXISTS (SELECT 1 FROM tb t WHERE t.doc_id = bo.doc_id AND t.page = bo.page AND t.x0 < bo.x1 AND bo.x0 < t.x1 AND t.y0 < bo.y1 AND bo.y0 < t.y1) OR EXISTS (SELECT 1 FROM gc g WHERE g.doc_id = bo.doc_id AND g.page = bo.page AND cy > bo.y0 AND cy < bo.y1 AND (cx < bo.x0 - 2 OR cx > bo.x1 + 2))) AS is_table FROM bo""")
 def line_box_tables(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    paths, glyphs, pages = _paths(rows), _glyphs(rows), _pages(rows)
-    backgrounds = tables.line_backgrounds(paths, glyphs)
-    found, _ = tables.ruled_tables(tables.rule_groups(tables.rule_segments(paths, backgrounds, pages)), glyphs, pages)
+    paths, glyphs, pages = _shapes(spark, sf_dir)
+    backgrounds = settled(tables.line_backgrounds(paths, glyphs), "backgrounds")
+    found, _ = tables.ruled_tables(settled(tables.rule_groups(tables.rule_segments(paths, backgrounds, pages)), "rule-groups"), glyphs, pages)
     return tables.line_box_tables(paths, backgrounds, found, glyphs)
 
 

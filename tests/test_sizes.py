@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import boxes, geometry, lines, pages, regions
+from quire.operators import boxes, geometry, lines, pages, regions, tables
 
 
 def shuffles(df):
@@ -50,3 +50,12 @@ def test_a_line_number_reads_one_base(spark):
     rows = [(1, 0, 1000, "漢字漢字", 0.0, 10.0, 40.0, 22.0), (1, 0, 2000, "漢字漢字", 0.0, 60.0, 40.0, 72.0), (1, 0, 7, "かな", 0.0, 4.0, 20.0, 9.0), (1, 0, 7, "きし", 0.0, 53.0, 20.0, 58.0)]
     df = spark.createDataFrame(rows, "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
     assert [(r.line_no, r.base, r.reading) for r in regions.readings(df).collect()] == [(7, 1000, "かな")]
+
+
+def test_glyphs_at_one_place_are_one_row(spark):
+    glyphs = spark.range(3000).selectExpr("1L AS doc_id", "0 AS page", "id % 3 * 20.0D + 44 AS x0", "5.0D AS y0", "id % 3 * 20.0D + 50 AS x1", "13.0D AS y1", "13.0D AS oy", "IF(id < 2000, 8.0D, 9.0D) AS size")
+    centres = tables.centres(glyphs)
+    assert centres.count() == 6 and centres.selectExpr("sum(k)").first()[0] == 3000
+    paths = spark.createDataFrame([(1, 0, 7, 43.0, 4.0, 103.0, 16.0, [0, 0, 9], None, 0.5)], "doc_id long, page int, path_id int, x0 double, y0 double, x1 double, y1 double, stroke array<int>, fill array<int>, stroke_width double")
+    for of in (glyphs, centres):
+        assert [tuple(r) for r in tables.line_backgrounds(paths, of).collect()] == [(1, 0, 7, "box")]
