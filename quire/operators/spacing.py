@@ -6,7 +6,7 @@ likely a space is, how wide the gap is by the line's height, and what put a spac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import SPACE, let
@@ -20,6 +20,8 @@ UNIT = rf"^(?:{_UNITS}|가지|퍼센트)(?![가-힣])|^(?:{_UNITS})[이가은는
 PARTICLES = "으로부터|에서부터|으로서|으로써|에게서|에서|에게|으로|부터|까지|마저|조차|처럼|보다|이나|이며|이고|에는|에도|와는|과는|은|는|이|가|을|를|의|에|와|과|도|로|만|나"
 EDGE = r"[\s\"'“”‘’()\[\]{}<>«»「」『』·,.:;!?…~\-]"
 HANGUL, WORDISH = "[가-힣]", "[가-힣A-Za-z0-9]"
+#: The sign of a space that stays. Other gaps are n, or t, f, o where signs say yes or no, or nothing; upper case has a space.
+FIXED = "S"
 
 
 def core(word: Column) -> Column:
@@ -59,36 +61,43 @@ def refined_spacing(lines: DataFrame) -> DataFrame:
     Other gaps are looked at where signs speak, or what was read is unsure; but a space between Hangul as wide as usual stays. Signs decide; else whether the document has the words on
     both sides as one word alone, or side by side alone, this place left aside; else nothing changes. Gaps are decided from left to right, and
     a word's beginning depends on the decisions before it: each gap's words are looked up for every beginning that can still come
-    about, and a fold over the line takes those that did. Lines whose info doesn't fit their characters, and those without Hangul, stay as they are.
+    about, and a fold takes those that did. A space that can't change begins a word whatever was decided before it, so a line
+    falls into stretches that end with such spaces, each by itself: work grows with lines, not with their square. Lines whose info doesn't fit their characters, and those without Hangul, stay as they are.
     """
     scale = spacing_scale(lines.select("doc_id", F.explode("info").alias("i")).select("doc_id", "i.p", "i.g", "i.src")).select("doc_id", "word")
-    # behind which characters white space stands: between characters, as the text's pieces end
-    sizes = F.transform(F.filter(F.split("text", f"{SPACE}+"), lambda w: w != ""), F.length)
-    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda s, n: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + n)))
-    rows = lines.filter(F.col("text").rlike(HANGUL)).join(scale, "doc_id", "left").select(*LINE, "info", F.coalesce("word", F.lit(0.5)).alias("word"), F.regexp_replace("text", SPACE, "").alias("bare"), ends.alias("ends"))
-    rows = rows.withColumns({"n": F.length("bare"), "hangul": F.length(F.regexp_replace("bare", "[^가-힣]", ""))}).filter("n >= 2 and size(info) = n - 1")
-    single = (F.size("ends") >= 3) & (F.size("ends") == F.col("n")) & (F.col("hangul") >= 3)
+    # each character with the white space behind it
+    signs = F.regexp_extract_all("text", F.lit(f"(?s)(?!{SPACE}).{SPACE}*+"), F.lit(0))
+    rows = lines.filter(F.col("text").rlike(HANGUL)).join(scale, "doc_id", "left").select(*LINE, "info", F.coalesce("word", F.lit(0.5)).alias("word"), signs.alias("signs"), F.length(F.regexp_replace("text", "[^가-힣]", "")).alias("hangul"))
+    rows = rows.withColumn("n", F.size("signs")).filter("n >= 2 and size(info) = n - 1").withColumns({"cs": F.transform("signs", lambda s: F.left(s, F.lit(1))), "sps": F.transform("signs", lambda s: F.length(s) > 1)})
+    single = (F.col("n") >= 3) & F.forall(F.expr("slice(sps, 1, n - 1)"), lambda x: x) & (F.col("hangul") >= 3)
     typed = F.get(F.array_sort(F.transform("info", lambda i: i["g"])), F.floor((F.col("n") - 1) / 2).cast("int")) >= F.col("word")
-    rows = settled(rows.withColumns({"single": single, "typed": typed}), "recognised-lines")
 
-    each = rows.select(*LINE, "word", "bare", "n", "ends", "single", "typed", F.posexplode("info").alias("k", "i"))
+    def code(i: Column, k: Column) -> Column:
+        at = lambda j: F.coalesce(F.get("cs", j), F.lit(""))
+        c, after, sp = at(k), at(k + 1), F.get("sps", k)
+        stays = (i["g"] >= F.col("word")) & sp & c.rlike(HANGUL) & after.rlike(HANGUL)
+        meant = c.rlike(WORDISH) | after.rlike(WORDISH) | c.rlike("[.,:)]")
+        unsure = F.coalesce(F.when(sp, i["src"].isin("p", "gap")).otherwise((i["p"] >= 0.02) | (i["g"] >= 0.25)), F.lit(False))
+        rule = by_signs(c, after, F.concat(after, at(k + 2)), F.when(k > 0, at(k - 1)).otherwise(""), F.when(k > 1, at(k - 2)).otherwise(""), k)
+        kind = let(rule, lambda r: F.when(~F.coalesce(~stays & meant & (unsure | r.isNotNull()), F.lit(False)), F.when(sp, FIXED).otherwise("n")).when(r, "t").when(~r, "f").otherwise("o"))
+        return F.concat(c, F.when(sp, F.upper(kind)).otherwise(kind))
+
+    # characters, each with the sign of the gap behind it
+    coded = F.concat(F.array_join(F.transform("info", code), ""), F.element_at("cs", -1), F.lit("e"))
+    rows = settled(rows.select(*LINE, "n", F.coalesce(single, F.lit(False)).alias("single"), typed.alias("typed"), F.array_join("cs", "").alias("bare"), F.when(single, "").otherwise(coded).alias("coded")), "recognised-lines")
+
+    split = F.filter(F.regexp_extract_all("coded", F.lit(f"(?s)(?:.[^{FIXED}])*+(?:.{FIXED})?+"), F.lit(0)), lambda s: s != "")
+    parts = rows.filter("not single").select(*LINE, F.posexplode(split).alias("part", "s"))
+    parts = parts.select(*LINE, "part", F.regexp_extract_all("s", F.lit("(?s)(.)."), F.lit(1)).alias("cs"), F.regexp_extract_all("s", F.lit("(?s).(.)"), F.lit(1)).alias("codes"))
+    spaced = lambda c: c.isin("T", "F", "O", FIXED)
+    free = lambda c: F.lower(c).isin("t", "f", "o")
+
+    open_ = parts.filter(F.exists("codes", lambda c: F.lower(c) == "o")).select(*LINE, "part", F.array_join("cs", "").alias("t"), "codes", F.posexplode("codes").alias("k", "code")).filter("lower(code) = 'o'")
     k = F.col("k")
-    c, after, sp = F.substring("bare", k + 1, F.lit(1)), F.substring("bare", k + 2, F.lit(1)), F.array_contains("ends", k + 1)
-    rule = by_signs(c, after, F.substring("bare", k + 2, F.lit(2)), F.when(k > 0, F.substring("bare", k, F.lit(1))).otherwise(""), F.when(k > 1, F.substring("bare", k - 1, F.lit(1))).otherwise(""), k)
-    stays = (F.col("i.g") >= F.col("word")) & sp & c.rlike(HANGUL) & after.rlike(HANGUL)
-    meant = c.rlike(WORDISH) | after.rlike(WORDISH) | c.rlike("[.,:)]")
-    unsure = F.when(sp, F.coalesce(F.col("i.src").isin("p", "gap"), F.lit(False))).otherwise((F.col("i.p") >= 0.02) | (F.col("i.g") >= 0.25))
-    gaps = each.select(*LINE, "k", "bare", "n", "single", "typed", sp.alias("sp"), rule.alias("rule"), (~stays & meant & (F.coalesce(unsure, F.lit(False)) | rule.isNotNull())).alias("cand"))
-    # a gap's word begins behind the last space that can't change, or behind any gap since then that has or may get a space
-    w = Window.partitionBy(*LINE).orderBy("k")
-    low = F.coalesce(F.max(F.when(F.col("sp") & ~F.col("cand"), k + 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stop = F.coalesce(F.min(F.when(F.col("sp"), k + 1)).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col("n"))
-    gaps = settled(gaps.withColumns({"low": low, "stop": stop}), "gaps")
-
-    open_ = gaps.filter("not single and cand and rule is null").select(*LINE, "k", "sp", "bare", "low", "stop")
-    later = gaps.filter("not single and cand").select(*LINE, (k + 1).alias("a"))
-    begun = open_.withColumn("a", F.col("low")).unionByName(open_.join(later, LINE).filter("a > low and a <= k"))
-    asked = begun.select(*LINE, "k", "a", "sp", core(F.substring("bare", F.col("a") + 1, k + 1 - F.col("a"))).alias("left"), core(F.substring("bare", k + 2, F.col("stop") - k - 1)).alias("right")).filter((F.col("left") != "") & (F.col("right") != "") & F.concat("left", "right").rlike(HANGUL))
+    later = F.filter(F.transform("codes", lambda c, j: F.when((j > k) & spaced(c), j + 1)), lambda j: j.isNotNull())
+    begins = F.concat(F.array(F.lit(0)), F.filter(F.transform("codes", lambda c, j: F.when((j < k) & free(c), j + 1)), lambda j: j.isNotNull()))
+    asked = open_.select(*LINE, "part", "k", "t", (F.col("code") == "O").alias("sp"), F.coalesce(F.get(later, 0), F.size("codes")).alias("stop"), F.explode(begins).alias("a"))
+    asked = asked.select(*LINE, "part", "k", "a", "sp", core(F.substring("t", F.col("a") + 1, k + 1 - F.col("a"))).alias("left"), core(F.substring("t", k + 2, F.col("stop") - k - 1)).alias("right")).filter((F.col("left") != "") & (F.col("right") != "") & F.concat("left", "right").rlike(HANGUL))
     tokens, pairs = document_words(lines)
     whole = F.concat("left", "right")
     one = tokens.select("doc_id", F.col("token").alias("whole"), F.col("n").alias("n1"))
@@ -97,19 +106,22 @@ def refined_spacing(lines: DataFrame) -> DataFrame:
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     joined = none("n1") + none("n2") - F.when(F.col("sp"), 0).otherwise(1)
     apart = F.greatest(none("n3") - F.when(F.col("sp"), 1).otherwise(0), F.lit(0))
-    known = met.select(*LINE, "k", "a", F.when((joined > 0) & (apart == 0), False).when((apart > 0) & (joined <= 0), True).alias("put")).filter("put is not null")
-    known = known.groupBy(*LINE, "k").agg(F.map_from_entries(F.collect_list(F.struct("a", "put"))).alias("known"))
+    known = met.select(*LINE, "part", "k", "a", F.when((joined > 0) & (apart == 0), False).when((apart > 0) & (joined <= 0), True).alias("put")).filter("put is not null")
+    known = known.groupBy(*LINE, "part").agg(F.collect_list(F.struct("k", "a", "put")).alias("known"))
 
-    line = gaps.join(known, [*LINE, "k"], "left").groupBy(*LINE, "bare", "single", "typed").agg(F.array_sort(F.collect_list(F.struct("k", "sp", "cand", "rule"))).alias("g"), F.map_from_entries(F.collect_list(F.when(F.col("known").isNotNull(), F.struct("k", "known")))).alias("known"))
     start = F.struct(F.lit(0).alias("a"), F.array().cast("array<boolean>").alias("sp"))
 
     def step(s: Column, g: Column) -> Column:
-        put = F.when(g["cand"], F.coalesce(g["rule"], F.try_element_at(F.try_element_at(F.col("known"), g["k"]), s["a"]), g["sp"])).otherwise(g["sp"])
+        found = F.get(F.filter("known", lambda x: (x["k"] == g["k"]) & (x["a"] == s["a"])), 0)["put"]
+        put = F.when(F.lower(g["c"]) == "t", True).when(F.lower(g["c"]) == "f", False).when(F.lower(g["c"]) == "o", F.coalesce(found, g["c"] == "O")).otherwise(spaced(g["c"]))
         return let(put, lambda p: F.struct(F.when(p, g["k"] + 1).otherwise(s["a"]).alias("a"), F.concat(s["sp"], F.array(p)).alias("sp")))
 
-    after = F.when(F.col("single"), F.transform("g", lambda g: F.col("typed"))).otherwise(F.aggregate("g", start, step)["sp"])
-    done = settled(line.select(*LINE, "bare", after.alias("after"), F.transform("g", lambda g: g["sp"]).alias("before")).filter("after <> before"), "spaces")
+    before = F.transform("codes", spaced)
+    after = F.when(F.exists("codes", free), F.aggregate(F.transform("codes", lambda c, i: F.struct(c.alias("c"), i.alias("k"))), start, step)["sp"]).otherwise(before)
+    done = parts.join(known, [*LINE, "part"], "left").select(*LINE, "part", "cs", before.alias("before"), after.alias("after"))
     changed = F.size(F.filter(F.zip_with("after", "before", lambda x, y: x != y), lambda x: x))
-    text = F.array_join(F.transform(F.filter(F.split("bare", ""), lambda c: c != ""), lambda c, i: F.concat(c, F.when(F.coalesce(F.get("after", i), F.lit(False)), " ").otherwise(""))), "")
-    done = done.select(*LINE, changed.alias("n_changed"), text.alias("_text"))
+    piece = F.array_join(F.zip_with("cs", "after", lambda c, p: F.concat(c, F.when(p, " ").otherwise(""))), "")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), "")
+    done = done.select(*LINE, "part", changed.alias("n"), piece.alias("t")).groupBy(*LINE).agg(F.sum("n").cast("int").alias("n_changed"), whole.alias("_text")).filter("n_changed > 0")
+    done = done.unionByName(rows.filter("single and not typed").select(*LINE, (F.col("n") - 1).alias("n_changed"), F.col("bare").alias("_text")))
     return lines.select(*LINE, "text").join(done, LINE, "left").select(*LINE, F.coalesce("_text", "text").alias("text"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))

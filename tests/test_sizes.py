@@ -1,8 +1,10 @@
 """What large tables need: few shuffles, no work that grows with the square, bounded rows."""
 
+import time
+
 from pyspark.sql import functions as F
 
-from quire.operators import boxes, geometry, lines, pages, regions, tables
+from quire.operators import boxes, geometry, lines, pages, regions, spacing, tables
 
 
 def shuffles(df):
@@ -59,3 +61,12 @@ def test_glyphs_at_one_place_are_one_row(spark):
     paths = spark.createDataFrame([(1, 0, 7, 43.0, 4.0, 103.0, 16.0, [0, 0, 9], None, 0.5)], "doc_id long, page int, path_id int, x0 double, y0 double, x1 double, y1 double, stroke array<int>, fill array<int>, stroke_width double")
     for of in (glyphs, centres):
         assert [tuple(r) for r in tables.line_backgrounds(paths, of).collect()] == [(1, 0, 7, "box")]
+
+
+def test_gaps_meet_within_stretches(spark):
+    """Twenty thousand gaps of one line, 4,000 of them open, between spaces that stay."""
+    text = " ".join(["가나다라마"] * 4000)
+    info = "transform(sequence(0, 19998), k -> struct(IF(k % 5 = 2, 0.05D, 0.0D) AS p, IF(k % 5 = 4, 0.6D, 0.1D) AS g, IF(k % 5 = 4, 'model', null) AS src)) AS info"
+    began = time.time()
+    got = spacing.refined_spacing(line(spark, text).selectExpr("*", info)).first()
+    assert (got.text, got.n_changed) == (text, 0) and time.time() - began < 40
