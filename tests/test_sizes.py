@@ -2,9 +2,11 @@
 
 import time
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import boxes, geometry, lines, pages, regions, spacing, tables
+from quire.plans import table_queries
 
 
 def shuffles(df):
@@ -70,3 +72,10 @@ def test_gaps_meet_within_stretches(spark):
     began = time.time()
     got = spacing.refined_spacing(line(spark, text).selectExpr("*", info)).first()
     assert (got.text, got.n_changed) == (text, 0) and time.time() - began < 40
+
+
+def test_words_of_a_document_stay_together(spark):
+    glyphs, _, _ = table_queries._columned(spark, "/root/testdata/sf0.001")
+    after = F.lead("x0").over(Window.partitionBy("doc_id", "page", "row").orderBy("ci"))
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").rdd.getNumPartitions()
+    assert shuffles(glyphs.withColumn("after", after)) == 1 + (documents < spark.sparkContext.defaultParallelism)
