@@ -13,27 +13,32 @@ from quire.operators.flow import END
 CLOSING = r"^[.,!?;:)\]}」』》〉”’…]"
 
 
-def known_words(lines: DataFrame) -> DataFrame:
-    """(doc_id, base, n): how often a document has a word inside its lines, alone or with a particle; first and last words of
-    lines, which may be cut, don't count."""
-    parts = lines.select("doc_id", F.split("text", " ").alias("p")).select("doc_id", F.size("p").alias("n"), F.posexplode("p").alias("pos", "raw")).filter("pos between 1 and n - 2")
-    tokens = parts.select("doc_id", word_core("raw").alias("token")).filter("token <> ''").groupBy("doc_id", "token").agg(F.count("*").alias("k"))
-    bare = [F.when(F.col("token").endswith(p) & (F.length("token") > len(p)), F.expr(f"left(token, length(token) - {len(p)})")) for p in PARTICLES]
-    forms = tokens.select("doc_id", "k", F.explode(F.array_distinct(F.array_compact(F.array(F.col("token"), *bare)))).alias("base"))
-    return forms.groupBy("doc_id", "base").agg(F.sum("k").alias("n"))
+def _known_forms(text: Column) -> Column:
+    """The words inside a line, alone and without a particle, each once; the first and last word, which may be cut, don't count."""
+    parts = F.split(text, " ")
+    words = F.array_distinct(F.filter(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), word_core), lambda t: t != ""))
+    bare = lambda t: [F.when(t.endswith(p) & (F.length(t) > len(p)), F.left(t, F.length(t) - len(p))) for p in PARTICLES]
+    # particles are Hangul, so most words need no look at each of them
+    forms = lambda t: F.when(t.rlike(r"[가-힣]\z"), F.array_compact(F.array(t, *bare(t)))).otherwise(F.array(t))
+    return F.array_distinct(F.flatten(F.transform(words, forms)))
 
 
 def _first_of(cases: list[tuple[Column, str]]) -> Column:
     return reduce(lambda rest, c: F.when(c[0], c[1]).otherwise(rest), reversed(cases), F.lit(None).cast("string"))
 
 
-def pairs(lines: DataFrame) -> DataFrame:
-    """Each line after its document's first with what its neighbours say: the columns of the line before it (p_), of the one
-    before that (q_) and of the next one (n_), and whether they stand in one group on one page."""
+def beside(lines: DataFrame) -> DataFrame:
+    """Each line with what its neighbours say: the columns of the line before it (p_), of the one before that (q_) and of the
+    next one (n_), and whether they stand in one group on one page."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
     near = {f"p_{c}": F.lag(c).over(w) for c in ("text", "x0", "x1", "oy", "size", "weight", "angle", "page", "grp", "left", "right", "justified")}
     near |= {f"q_{c}": F.lag(c, 2).over(w) for c in ("oy", "size", "grp", "page")} | {f"n_{c}": F.lead(c).over(w) for c in ("x0", "oy", "size", "grp", "page", "left")}
-    return lines.withColumns(near).filter("p_text is not null").withColumns({"same_page": F.col("page") == F.col("p_page"), "same": (F.col("page") == F.col("p_page")) & (F.col("grp") == F.col("p_grp"))})
+    return lines.withColumns(near).withColumns({"same_page": F.col("page") == F.col("p_page"), "same": (F.col("page") == F.col("p_page")) & (F.col("grp") == F.col("p_grp"))})
+
+
+def pairs(lines: DataFrame) -> DataFrame:
+    """Each line after its document's first with what its neighbours say (`beside`)."""
+    return beside(lines).filter("p_text is not null")
 
 
 def breaks(paired: DataFrame) -> DataFrame:
@@ -79,19 +84,12 @@ def line_joins(lines: DataFrame) -> DataFrame:
     of evidence for a space, turned into a confidence, and words that the document has in one piece are joined.
     """
     c = F.col
-    rows = breaks(pairs(lines))
+    rows = breaks(beside(lines))
     head, tail = F.substring_index("text", " ", 1), F.substring_index("p_text", " ", -1)
     rows = rows.withColumns({"a": word_core(tail), "b": word_core(head), "char": (c("x1") - c("x0")) / F.greatest(F.length("text"), F.lit(1)), "n_head": F.length(head)})
     hyphen = c("p_text").rlike(r"\p{L}[-‐]\z") & c("p_text").rlike(r"[A-Za-zÀ-ɏ][-‐]\z") & c("text").rlike("^[A-Za-zÀ-ɏ]")
     bare = F.regexp_replace("a", "[-‐]\\z", "")
     rows = rows.withColumns({"hyphen": hyphen, "joined": stem(F.concat(F.when(hyphen, bare).otherwise(c("a")), "b")), "hyphened": F.concat(bare, F.lit("-"), "b")})
-    words = known_words(lines)
-    of = lambda name: words.select(c("doc_id"), c("base").alias(name), c("n").alias(f"n_{name}"))
-    keys = {"joined": c("joined"), "hyphened": c("hyphened"), "stem_a": stem("a"), "stem_b": stem("b")}
-    rows = rows.withColumns(keys)
-    for name in keys:
-        rows = rows.join(of(name), ["doc_id", name], "left")
-    has = lambda name: F.coalesce(c(f"n_{name}") > 0, F.lit(False))
     slack = c("p_right") - c("p_x1")
     same_size = F.abs(c("size") - c("p_size")) <= F.greatest("size", "p_size") * 0.12
     title = c("same") & (c("p_size") > c("body") * 1.15) & same_size & ~c("ended")
@@ -99,22 +97,39 @@ def line_joins(lines: DataFrame) -> DataFrame:
     short = c("p_justified") & ~title & (slack >= c("p_size") * 0.2) & ((slack >= c("char")) | c("ended"))
     bold = c("weight") - c("p_weight") >= 100
     han = c("p_text").rlike(r"[一-鿿぀-ヿ㐀-䶿]\z") & c("text").rlike("^[一-鿿぀-ヿ㐀-䶿]")
-    both = (F.length("a") > 1) & (F.length("b") > 1) & has("stem_a") & has("stem_b")
-    score = F.lit(3.0) - F.when(han, 6.0).otherwise(0.0) + F.when(c("text").rlike(CLOSING), -6.0).when(c("p_text").rlike(r"[.!?…。！？]\z") & c("text").rlike(r"^\p{L}"), 3.0).otherwise(0.0) + F.when(both, 1.5).otherwise(0.0)
-    known = (F.length("joined") >= 2) & (c("a") != "") & (c("b") != "") & has("joined")
-    doubt = F.when(~c("same") & c("ended"), 0.6).when(c("same") & c("p_text").rlike(r"""[.!?][”’"']?\z""") & (~c("p_justified") | (slack < c("p_size") * 0.2)) & (score > 0), 0.7).otherwise(1.0)
+    score = F.lit(3.0) - F.when(han, 6.0).otherwise(0.0) + F.when(c("text").rlike(CLOSING), -6.0).when(c("p_text").rlike(r"[.!?…。！？]\z") & c("text").rlike(r"^\p{L}"), 3.0).otherwise(0.0)
+    late = c("same") & c("p_text").rlike(r"""[.!?][”’"']?\z""") & (~c("p_justified") | (slack < c("p_size") * 0.2))
 
     def result(kind: str, conf, reason) -> Column:
         return F.struct(F.lit(kind).alias("kind"), (conf if isinstance(conf, Column) else F.lit(conf)).cast("double").alias("conf"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
 
-    evidence = let(F.struct(score.alias("s"), doubt.alias("d")), lambda e: F.struct(F.when(e["s"] > 0, "space").otherwise("none").alias("kind"), F.round(F.least(sigmoid(F.abs(e["s"])), e["d"]), 3).alias("conf"), F.lit("evidence").alias("reason")))
-    out = (
+    plain = (
         F.when(c("missing"), result("space", 0.3, "characters may be missing")).when(c("break").isNotNull(), result("para", 0.97, c("break")))
         .when(short, result("para", F.when(c("ended") | bold, 0.95).otherwise(0.78), "short line of a justified column")).when(room, result("para", F.when(c("ended") | (slack > c("p_size") * 3), 0.93).otherwise(0.72), "the next word had room"))
-        .when(c("hyphen") & has("joined"), result("hyphen-drop", 0.92, "known without its hyphen")).when(c("hyphen") & has("hyphened"), result("none", 0.92, "known with its hyphen")).when(c("hyphen"), result("hyphen-drop", 0.6, "hyphen"))
-        .when(known, result("none", 0.97, "known in one piece")).otherwise(evidence)
     )
-    return rows.withColumn("o", out).select("doc_id", "line_no", "o.kind", "o.conf", "o.reason")
+    rows = rows.withColumns({"plain": plain, "score": score, "off": ~c("same") & c("ended"), "late": late})
+    # Words meet as rows without texts: those that the document knows (slot -1), and what a line asks for where nothing else decides;
+    # its own row (slot 0) has the rest. All stay where their document is, so windows and sums need no shuffle.
+    ask = lambda slot, key: F.struct(F.lit(slot).alias("slot"), F.col(key).alias("key") if isinstance(key, str) else key.alias("key"))
+    none = F.array().cast("array<struct<slot:int,key:string>>")
+    whole = F.when((F.length("joined") >= 2) & (c("a") != "") & (c("b") != ""), F.array(ask(1, "joined"))).otherwise(none)
+    both = F.when((F.length("a") > 1) & (F.length("b") > 1), F.array(ask(3, stem("a")), ask(4, stem("b")))).otherwise(none)
+    asked = F.when(c("plain").isNotNull(), none).when(c("hyphen"), F.array(ask(1, "joined"), ask(2, "hyphened"))).otherwise(F.concat(whole, both))
+    own = F.when(c("p_text").isNull(), none).otherwise(F.concat(F.array(ask(0, F.lit(None).cast("string"))), asked))
+    knows = F.transform(_known_forms(c("text")), lambda t: ask(-1, t))
+    rest = {"kind": c("plain.kind"), "conf": c("plain.conf"), "reason": c("plain.reason")} | {k: c(k) for k in ("hyphen", "score", "off", "late")}
+    met = rows.select("doc_id", "line_no", *(v.alias(k) for k, v in rest.items()), F.explode(F.concat(F.coalesce(knows, none), own)).alias("m"))
+    met = met.select("doc_id", "line_no", "m.slot", "m.key", *(F.when(c("m.slot") == 0, c(k)).alias(k) for k in rest))
+    met = met.withColumn("known", F.bool_or(c("slot") < 0).over(Window.partitionBy("doc_id", "key"))).filter("slot = 0 or (slot > 0 and known)")
+    found = met.groupBy("doc_id", "line_no").agg(*(F.max(k).alias(k) for k in rest), *(F.bool_or(c("slot") == i).alias(n) for i, n in enumerate(("joined", "hyphened", "stem_a", "stem_b"), 1)))
+    total = c("score") + F.when(c("stem_a") & c("stem_b"), 1.5).otherwise(0.0)
+    doubt = F.when(c("off"), 0.6).when(c("late") & (total > 0), 0.7).otherwise(1.0)
+    evidence = let(F.struct(total.alias("s"), doubt.alias("d")), lambda e: F.struct(F.when(e["s"] > 0, "space").otherwise("none").alias("kind"), F.round(F.least(sigmoid(F.abs(e["s"])), e["d"]), 3).alias("conf"), F.lit("evidence").alias("reason")))
+    out = (
+        F.when(c("reason").isNotNull(), F.struct("kind", "conf", "reason")).when(c("hyphen") & c("joined"), result("hyphen-drop", 0.92, "known without its hyphen")).when(c("hyphen") & c("hyphened"), result("none", 0.92, "known with its hyphen"))
+        .when(c("hyphen"), result("hyphen-drop", 0.6, "hyphen")).when(c("joined"), result("none", 0.97, "known in one piece")).otherwise(evidence)
+    )
+    return found.withColumn("o", out).select("doc_id", "line_no", "o.kind", "o.conf", "o.reason")
 
 
 #: Particles that begin no line by themselves, and endings that begin no word of their own.
