@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.scalars import let
 from quire.operators.rounds import components
 
 PAGE = ["doc_id", "page"]
@@ -85,22 +86,34 @@ def readings(lines: DataFrame, cell: float = 64.0) -> DataFrame:
     kana = F.length(text) - F.length(F.regexp_replace(text, KANA, ""))
     small = lines.select(*PAGE, "line_no", text.alias("reading"), *(F.col(c).alias("r_" + c) for c in ("x0", "y0", "x1", "y1"))).filter((F.length("reading") > 0) & (F.length("reading") <= 24) & F.coalesce(F.try_divide(F.lit(1.0) * kana, meant) >= 0.72, F.lit(False)))
     h = F.col("y1") - F.col("y0")
-    bases = lines.filter(F.col("text").rlike(HAN) & (F.col("x1") > F.col("x0"))).withColumn("h", h).withColumnRenamed("line_no", "base")
+    bases = lines.filter(F.col("text").rlike(HAN) & (F.col("x1") > F.col("x0"))).withColumns({"h": h, "n": F.length("text")}).withColumnRenamed("line_no", "base")
     bases = bases.withColumn("cell", F.explode(F.sequence(F.floor((F.col("y0") - h * 0.8) / cell), F.floor((F.col("y0") + h * 0.33) / cell))))
     met = small.withColumn("cell", F.floor(F.col("r_y1") / cell)).join(bases, [*PAGE, "cell"]).filter(F.col("base") != F.col("line_no"))
     rh, gap, rw, w = F.col("r_y1") - F.col("r_y0"), F.col("y0") - F.col("r_y1"), F.col("r_x1") - F.col("r_x0"), F.col("x1") - F.col("x0")
     over = F.greatest(F.lit(0.0), F.least("r_x1", "x1") - F.greatest("r_x0", "x0"))
     met = met.filter((rh <= F.col("h") * 0.72) & (F.col("y0") >= F.col("r_y0")) & (gap >= rh * -0.45) & (gap <= F.col("h") * 0.8) & (over >= F.least(rw, w) * 0.3))
-    n, step = F.length("text"), w / F.length("text")
+    # a base line is counted once, before it meets its readings
+    n, step = F.col("n"), w / F.col("n")
     low, high = F.greatest(F.lit(0), F.floor((F.col("r_x0") - F.col("x0")) / w * n) - 1).cast("int"), F.least(n, F.ceil((F.col("r_x1") - F.col("x0")) / w * n) + 1).cast("int")
+    first, last = F.ceil((F.col("r_x0") - rw * 0.2 - F.col("x0")) / step).cast("int") - 1, F.floor((F.col("r_x1") + rw * 0.2 - F.col("x0")) / step).cast("int") + 1
+    # what a reading may take stands between these places; the rest of the base line is left aside at once, so a long line's readings cost little each
+    at, to = F.greatest(F.lit(0), F.least(low, first)), F.least(n, F.greatest(high, last))
     middle = lambda i: F.col("x0") + (i + 0.5) * w / n
-    hits = F.when(high > low, F.filter(F.sequence(low, high - 1), lambda i: middle(i).between(F.col("r_x0"), F.col("r_x1")) & F.substring("text", i + 1, F.lit(1)).rlike(HAN)))
-    met = met.withColumn("hits", hits).filter(F.size("hits") > 0).withColumns({"a": F.array_min("hits"), "z": F.array_max("hits") + 1})
-    before, behind = F.length(F.regexp_extract(F.substring("text", F.lit(1), F.col("a")), rf"{HAN}*\z", 0)), F.length(F.regexp_extract(F.substring("text", F.col("z") + 1, n), rf"^{HAN}*", 0))
-    start = F.least(F.col("a"), F.greatest(F.col("a") - before, F.ceil((F.col("r_x0") - rw * 0.2 - F.col("x0")) / step).cast("int") - 1))
-    stop = F.greatest(F.col("z"), F.least(F.col("z") + behind, F.floor((F.col("r_x1") + rw * 0.2 - F.col("x0")) / step).cast("int") + 1))
+
+    def taken(s: Column) -> Column:
+        hits = F.when(s["high"] > s["low"], F.filter(F.sequence(s["low"], s["high"] - 1), lambda i: middle(i).between(F.col("r_x0"), F.col("r_x1")) & F.substring(s["near"], i - s["at"] + 1, F.lit(1)).rlike(HAN)))
+        return let(hits, lambda i: F.when(F.size(i) > 0, reach(s, F.array_min(i), F.array_max(i) + 1)))
+
+    def reach(s: Column, a: Column, z: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substring(s["near"], F.lit(1), a - s["at"]), rf"(?:(?<!{HAN}){HAN}++)?\z", 0))
+        behind = F.length(F.regexp_extract(F.substring(s["near"], z - s["at"] + 1, F.length(s["near"])), rf"^{HAN}*", 0))
+        return F.struct(F.least(a, F.greatest(a - before, s["first"])).cast("int").alias("start"), F.greatest(z, F.least(z + behind, s["last"])).cast("int").alias("stop"))
+
+    bounds = {"low": low, "high": high, "first": first, "last": last, "at": at, "near": F.substring("text", at + 1, F.greatest(to - at, F.lit(0)))}
     score = F.abs(gap) + F.abs((F.col("r_x0") + F.col("r_x1") - F.col("x0") - F.col("x1")) / 2) * 0.08
-    best = met.groupBy(*PAGE, "line_no").agg(F.min(F.struct(score.alias("score"), "base", start.cast("int").alias("start"), stop.cast("int").alias("stop"), "reading")).alias("b"))
+    # no filter before the sum: it would go down into the join and be worked out twice
+    met = met.select(*PAGE, "line_no", "base", "reading", score.alias("score"), let(F.struct(*(v.alias(k) for k, v in bounds.items())), taken).alias("t"))
+    best = met.groupBy(*PAGE, "line_no").agg(F.min(F.when(F.col("t").isNotNull(), F.struct("score", "base", "t.start", "t.stop", "reading"))).alias("b")).filter("b is not null")
     return best.select(*PAGE, "line_no", "b.base", "b.start", "b.stop", "b.reading")
 
 

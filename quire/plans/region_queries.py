@@ -70,7 +70,8 @@ _RUBY = f"""{_LN}, ba AS (SELECT doc_id, CAST(line_no // 20 AS INT) AS page, lin
 def _ruby(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window
 
-    rows, n, y = _ln(spark, sf_dir), F.col("n"), 20.0 + F.col("line_no") % 20 * 30
+    # a document's lines are in one part before they become words, so the window over words needs no shuffle
+    rows, n, y = _ln(spark, sf_dir).repartition("doc_id"), F.col("n"), 20.0 + F.col("line_no") % 20 * 30
     page = F.floor(F.col("line_no") / 20).cast("int").alias("page")
     base = rows.select("doc_id", page, (F.col("line_no") * 1000).alias("line_no"), F.translate("text", "aeiou", "漢字日本語").alias("text"), F.lit(40.0).alias("x0"), y.alias("y0"), (40.0 + n * 6).alias("x1"), (y + 12).alias("y1"))
     words = rows.select("doc_id", "line_no", "n", F.posexplode(F.split("text", " ")).alias("ci", "w")).withColumn("off", F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id", "line_no").orderBy("ci")) - F.length("w") - 1).filter("w <> ''")
