@@ -5,6 +5,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from quire.functions.quotes import repaired_quotes
 from quire.operators import joins, regions
 
 
@@ -52,3 +53,12 @@ def test_readings_of_a_long_line(spark):
     got = regions.readings(base.union(above)).select(F.count("*"), F.sum((F.col("start") == (F.col("line_no") - 1) * 8).cast("int")), F.sum((F.col("stop") - F.col("start") == 2).cast("int"))).first()
     assert tuple(got) == (n // 8, n // 8, n // 8)
     assert time.time() - began < 20
+
+
+def test_many_marks_in_one_text(spark):
+    n = 3000
+    text = spark.range(1).select(F.repeat(F.lit("가 \"나 다\" 'x. 라' "), n).alias("t"))
+    began = time.time()
+    got = text.select(repaired_quotes("t")).first()[0]
+    assert got == "가 “나 다” “x. 라” " * n
+    assert time.time() - began < 20
