@@ -31,10 +31,12 @@ def dictionary(lines: DataFrame) -> DataFrame:
 
     A line's first and last parts may be cut by the line's end, so they don't count as inner tokens.
     """
-    counted = token_counts(lines)
-    stems = counted.filter("n_inner > 0").groupBy(stem("token").alias("token")).agg(F.sum("n_inner").alias("n_stem"))
-    out = counted.join(stems, "token", "full_outer")
-    return out.select("token", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_all", "n_inner", "n_stem")))
+    # a token counts for itself and, inside lines, for its stem: one pass over the text
+    zero = F.lit(0).cast("long")
+    own = F.struct("token", "n_all", "n_inner", zero.alias("n_stem"))
+    stems = F.when(F.col("n_inner") > 0, F.array(F.struct(stem("token").alias("token"), zero.alias("n_all"), zero.alias("n_inner"), F.col("n_inner").alias("n_stem"))))
+    each = token_counts(lines).select(F.explode(F.concat(F.array(own), F.coalesce(stems, F.array().cast("array<struct<token:string,n_all:bigint,n_inner:bigint,n_stem:bigint>>")))).alias("t"))
+    return each.groupBy("t.token").agg(*(F.sum(f"t.{c}").alias(c) for c in ("n_all", "n_inner", "n_stem")))
 
 
 def token_pairs(lines: DataFrame, least: int = 2) -> DataFrame:
@@ -66,6 +68,18 @@ def word_families(words: DataFrame, counted: DataFrame) -> DataFrame:
     return found.select("base", F.when(F.length("base") < 2, 0).otherwise(F.col("n")).alias("n"))
 
 
+def line_start_families(lines: DataFrame) -> DataFrame:
+    """(base, n): the same for each word that begins a line, against all words: a word counts for itself and for what it is without
+    a particle, so the text is read once and no word meets all others."""
+    parts = lines.select(F.posexplode(F.split("text", "[ \t]")).alias("pos", "raw")).filter("raw <> ''")
+    raw = parts.groupBy("raw").agg(F.count("*").alias("n_all"), F.count_if(F.col("pos") == 0).alias("n_first"))
+    counted = raw.select(word_core("raw").alias("token"), "n_all", "n_first").filter("token <> ''").groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_first").alias("n_first"))
+    t, zero = F.col("token"), F.lit(0).cast("long")
+    bases = [F.struct(t.alias("base"), "n_all", "n_first")] + [F.when(t.endswith(p) & (F.length(t) > len(p)), F.struct(F.left(t, F.length(t) - len(p)).alias("base"), F.col("n_all").alias("n_all"), zero.alias("n_first"))) for p in PARTICLES]
+    found = counted.select(F.explode(F.array_compact(F.array(*bases))).alias("b")).groupBy("b.base").agg(F.sum("b.n_all").alias("n"), F.sum("b.n_first").alias("k")).filter("k > 0")
+    return found.select("base", F.when(F.length("base") < 2, 0).otherwise(F.col("n")).alias("n"))
+
+
 def spacing_scale(gaps: DataFrame, enough: int = 15) -> DataFrame:
     """(doc_id, word, syllable): a document's usual gap at written spaces (src = model), and the upper one inside words.
 

@@ -6,7 +6,8 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from quire.functions.quotes import repaired_quotes
-from quire.operators import joins, regions
+from quire.functions.scalars import EDGE, word_core
+from quire.operators import joins, regions, vocabulary
 
 
 @contextmanager
@@ -62,3 +63,20 @@ def test_many_marks_in_one_text(spark):
     got = text.select(repaired_quotes("t")).first()[0]
     assert got == "가 “나 다” “x. 라” " * n
     assert time.time() - began < 20
+
+
+def test_words_are_trimmed_without_patterns(spark):
+    df = spark.createDataFrame([(t,) for t in ("(a)", "“..a.b”\t", "so\u00adft\u00ad,", "...", "", "x]", "[]{}「」『』《》〈〉.,!?;:…·'‘’\x0b y", None)], "t string")
+    old = F.regexp_replace(F.regexp_replace("t", "\u00ad", ""), rf"^{EDGE}++|(?<!{EDGE}){EDGE}++\z", "")
+    got = df.select(word_core("t").alias("a"), old.alias("b"))
+    assert [r.a for r in got.collect()] == [r.b for r in got.collect()] == ["a", "a.b", "soft", "", "", "x", "y", None]
+    assert "regexp" not in df.select(word_core("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vocabulary_reads_the_text_once(spark):
+    df = spark.createDataFrame([(1, 0, "학교 x 학교는 학교를 y"), (1, 1, "y (x) z")], "doc_id long, line_no int, text string")
+    once = lambda out: out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    words, families = vocabulary.dictionary(df), vocabulary.line_start_families(df)
+    assert once(words) == once(families) == 1
+    assert {tuple(r) for r in words.collect()} == {("학교", 1, 0, 2), ("x", 2, 2, 2), ("학교는", 1, 1, 0), ("학교를", 1, 1, 0), ("y", 2, 0, 0), ("z", 1, 0, 0)}
+    assert {tuple(r) for r in families.collect()} == {("학교", 3), ("y", 0)}
