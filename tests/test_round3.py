@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.quotes import repaired_quotes
 from quire.functions.scalars import EDGE, word_core
-from quire.operators import joins, regions, vocabulary
+from quire.operators import joins, pages, regions, vocabulary
 
 
 @contextmanager
@@ -80,3 +80,14 @@ def test_vocabulary_reads_the_text_once(spark):
     assert once(words) == once(families) == 1
     assert {tuple(r) for r in words.collect()} == {("학교", 1, 0, 2), ("x", 2, 2, 2), ("학교는", 1, 1, 0), ("학교를", 1, 1, 0), ("y", 2, 0, 0), ("z", 1, 0, 0)}
     assert {tuple(r) for r in families.collect()} == {("학교", 3), ("y", 0)}
+
+
+def test_columns_cost_nothing_by_their_width(spark):
+    wide = 1e8
+    rows = [(1, 0, i, "abcdefghij", i % 2 * wide * 2, i // 2 * 20.0, i % 2 * wide * 2 + wide, i // 2 * 20.0 + 12) for i in range(6)] + [(1, 0, 6, "over", 0.0, 100.0, wide * 3, 112.0)]
+    rows += [(2, 0, i, "", 10.0 + i * 5, i * 20.0, 10.0 + i * 5 + (3 if i == 2 else 0), i * 20.0 + 12) for i in range(5)]  # characters without width
+    began = time.time()
+    got = {(r.doc_id, r.line_no): (r.col, r.place) for r in pages.column_order(spark.createDataFrame(rows, LINE)).collect()}
+    assert [got[1, i] for i in range(7)] == [(0, 1), (1, 4), (0, 2), (1, 5), (0, 3), (1, 6), (None, 7)]
+    assert [got[2, i] for i in range(5)] == [(0, 1), (1, 2), (None, 5), (6, 3), (7, 4)]
+    assert time.time() - began < 20
