@@ -74,10 +74,11 @@ def turned_lines(glyphs: DataFrame) -> DataFrame:
     rows = glyphs.filter(F.trim("c") != "").select(*PAGE, "ci", "c", "size", F.round(u, 6).alias("u"), half_up(a * 20).alias("turn"), half_up(v / 5).alias("track"))
     w = Window.partitionBy(*key).orderBy("u", "ci")
     rows = rows.withColumn("step", F.col("u") - F.lag("u").over(w))
-    # the step at nearest rank 0.3 of the positive ones, by their order
-    ranked = rows.filter("step > 0").withColumns({"i": F.row_number().over(Window.partitionBy(*key).orderBy("step")), "n": F.count("*").over(Window.partitionBy(*key))})
-    usual = ranked.filter(F.col("i") == half_up((F.col("n") - 1) * 0.3) + 1).select(*key, F.col("step").alias("usual"))
-    spaced = rows.join(usual, key, "left").withColumn("t", F.concat(F.when(F.col("step") > F.col("usual") * 1.2 + F.col("size") * 0.1, " ").otherwise(""), "c"))
+    # the step at nearest rank 0.3 of the positive ones, by their order: windows over the same rows, no join
+    whole, ahead = Window.partitionBy(*key), F.coalesce(F.col("step") > 0, F.lit(False))
+    rows = rows.withColumns({"i": F.row_number().over(whole.orderBy(F.desc(ahead), "step")), "n": F.count_if(ahead).over(whole)})
+    rows = rows.withColumn("usual", F.max(F.when(ahead & (F.col("i") == half_up((F.col("n") - 1) * 0.3) + 1), F.col("step"))).over(whole))
+    spaced = rows.withColumn("t", F.concat(F.when(F.col("step") > F.col("usual") * 1.2 + F.col("size") * 0.1, " ").otherwise(""), "c"))
     parts = F.array_sort(F.collect_list(F.struct("u", "ci", "t")))
     return spaced.groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"))
 

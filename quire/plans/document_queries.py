@@ -16,9 +16,10 @@ PIECES = f"""{GEO}, pieces AS (SELECT doc_id, page, line_no, oy, CAST(ci AS INT)
     FROM (SELECT doc_id, page, line_no, oy, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS ci FROM geo) q)"""
 
 
-def _pieces(spark, sf_dir) -> DataFrame:
+def _pieces(spark, sf_dir, dealt: bool = False) -> DataFrame:
+    """dealt: a document's lines are in one part before they become pieces, so windows over pieces need no shuffle."""
     n = F.length("w")
-    rows = _geo(spark, sf_dir).select("doc_id", "page", "line_no", "oy", F.posexplode(F.split("text", " ")).alias("ci", "w"))
+    rows = (_geo(spark, sf_dir).repartition("doc_id") if dealt else _geo(spark, sf_dir)).select("doc_id", "page", "line_no", "oy", F.posexplode(F.split("text", " ")).alias("ci", "w"))
     x0 = F.col("ci") * 40.0 + n % 3 * 4
     return rows.select("*", x0.alias("x0"), (x0 + n * 6).alias("x1"), F.when(n % 5 == 4, 21.0).otherwise(10.0).alias("size"), F.when(n % 4 == 0, "ABCDEF+Sans-Bold").otherwise("serif,x").alias("font"))
 
@@ -68,7 +69,7 @@ def spanning_titles(spark, sf_dir):
     t AS (SELECT s.*, CASE WHEN step > a[CAST(floor((len(a) - 1) * 0.3 + 0.5) AS BIGINT) + 1] * 1.2 + size * 0.1 THEN ' ' ELSE '' END || c AS t FROM s LEFT JOIN k USING (doc_id, page, turn, track))
     SELECT doc_id, page, turn, track, string_agg(t, '' ORDER BY u, ci, t) AS text FROM t GROUP BY ALL""")
 def turned_lines(spark, sf_dir):
-    rows = _pieces(spark, sf_dir).select("doc_id", "page", "ci", F.col("w").alias("c"), F.col("x0").alias("ox"), F.col("oy").alias("oy"), F.lit(0.5).alias("angle"), "size")
+    rows = _pieces(spark, sf_dir, dealt=True).select("doc_id", "page", "ci", F.col("w").alias("c"), F.col("x0").alias("ox"), F.col("oy").alias("oy"), F.lit(0.5).alias("angle"), "size")
     return segments.turned_lines(rows)
 
 

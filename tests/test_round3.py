@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.quotes import repaired_quotes
 from quire.functions.scalars import EDGE, word_core
-from quire.operators import joins, pages, regions, vocabulary
+from quire.operators import joins, pages, regions, segments, vocabulary
 
 
 @contextmanager
@@ -91,3 +91,12 @@ def test_columns_cost_nothing_by_their_width(spark):
     assert [got[1, i] for i in range(7)] == [(0, 1), (1, 4), (0, 2), (1, 5), (0, 3), (1, 6), (None, 7)]
     assert [got[2, i] for i in range(5)] == [(0, 1), (1, 2), (None, 5), (6, 3), (7, 4)]
     assert time.time() - began < 20
+
+
+def test_turned_lines_meet_in_windows_alone(spark):
+    rows = [(1, 0, i, c, x, 0.0, 0.0, 10.0) for i, (c, x) in enumerate([("a", 0.0), ("b", 5.0), ("c", 10.0), ("d", 40.0), (" ", 45.0), ("e", 45.0), ("e", 45.0)])] + [(1, 1, 0, "x", 0.0, 0.0, 0.0, 10.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, ci int, c string, ox double, oy double, angle double, size double")
+    with no_broadcast(spark):
+        got = segments.turned_lines(df)
+        assert shuffles(got) == 1
+        assert {(r.page, r.text) for r in got.collect()} == {(0, "abc dee"), (1, "x")}
