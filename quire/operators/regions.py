@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import let
-from quire.operators.rounds import components
+from quire.operators.rounds import components, settled
 
 PAGE = ["doc_id", "page"]
 #: Labels of regions that are read by themselves.
@@ -146,24 +146,28 @@ def image_pieces(images: DataFrame, glyphs: DataFrame, cell: float = 128.0) -> D
     5 points are left out. glyphs: doc_id, page, x0, y0, x1, y1.
     """
     clip = lambda c, most: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(most)))
-    rows = images.select(*PAGE, "box_id", *(clip(c, "page_w" if c[0] == "x" else "page_h").alias(c) for c in ("x0", "y0", "x1", "y1")), (F.col("page_w") * F.col("page_h")).alias("whole")).filter("x1 - x0 >= 5 and y1 - y0 >= 5")
+    known_boxes = images.select(*PAGE, "box_id", *(clip(c, "page_w" if c[0] == "x" else "page_h").alias(c) for c in ("x0", "y0", "x1", "y1")), (F.col("page_w") * F.col("page_h")).alias("whole")).filter("x1 - x0 >= 5 and y1 - y0 >= 5")
     centre = glyphs.select(*PAGE, ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    text = rows.join(centre, PAGE).filter("cx > x0 and cx < x1 and cy > y0 and cy < y1").groupBy(*PAGE, "box_id").agg(F.count("*").alias("n_text"))
-    rows = rows.join(text, [*PAGE, "box_id"], "left").fillna(0, ["n_text"]).withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    span = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - 2) / cell), F.floor((F.col(b) + 2) / cell)))
-    dealt = rows.withColumn("cell_x", span("x0", "x1")).withColumn("cell_y", span("y0", "y1"))
-    a, b = (dealt.select(*PAGE, "cell_x", "cell_y", *(F.col(c).alias(f"{p}_{c}") for c in ("box_id", "x0", "y0", "x1", "y1", "n_text", "area")), *(["whole"] if p == "a" else [])) for p in "ab")
+    text = known_boxes.join(centre, PAGE).filter("cx > x0 and cx < x1 and cy > y0 and cy < y1").groupBy(*PAGE, "box_id").agg(F.count("*").alias("n_text"))
+    rows = known_boxes.join(text, [*PAGE, "box_id"], "left").fillna(0, ["n_text"]).withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    place = lambda c, by: F.floor((F.col(c) + by) / cell)
+    dealt = rows.withColumns({"in_x": place("x0", -2), "in_y": place("y0", -2)})
+    dealt = dealt.withColumn("cell_x", F.explode(F.sequence("in_x", place("x1", 2)))).withColumn("cell_y", F.explode(F.sequence("in_y", place("y1", 2))))
+    a, b = (dealt.select(*PAGE, "cell_x", "cell_y", *(F.col(c).alias(f"{p}_{c}") for c in ("box_id", "x0", "y0", "x1", "y1", "n_text", "area", "in_x", "in_y")), *(["whole"] if p == "a" else [])) for p in "ab")
+    # two boxes meet in the first cell that both have
+    once = (F.col("cell_x") == F.greatest("a_in_x", "b_in_x")) & (F.col("cell_y") == F.greatest("a_in_y", "b_in_y"))
     near = lambda p, q: F.abs(F.col(p) - F.col(q)) <= 2
     upright = near("a_x0", "b_x0") & near("a_x1", "b_x1") & (near("a_y1", "b_y0") | near("b_y1", "a_y0"))
     level = near("a_y0", "b_y0") & near("a_y1", "b_y1") & (near("a_x1", "b_x0") | near("b_x1", "a_x0"))
     shared = F.greatest(F.lit(0.0), F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")) * F.greatest(F.lit(0.0), F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"))
     over = (F.greatest("a_area", "b_area") < F.col("whole") * 0.5) & (shared >= F.least("a_area", "b_area") * 0.1) & (F.greatest("a_n_text", "b_n_text") < 3)
     cards = (upright | level) & (F.least("a_n_text", "b_n_text") >= 3)
-    links = a.join(b, [*PAGE, "cell_x", "cell_y"]).filter((F.col("a_box_id") > F.col("b_box_id")) & (upright | level | over))
-    links = links.select(*PAGE, F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), (~cards).alias("one"), (over & ~upright & ~level).alias("over")).distinct()
+    links = a.join(b, [*PAGE, "cell_x", "cell_y"]).filter((F.col("a_box_id") > F.col("b_box_id")) & once & (upright | level | over))
+    # written, as both what hangs together and what is laid over come from them
+    links = settled(links.select(*PAGE, F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), (~cards).alias("one"), (over & ~upright & ~level).alias("over")))
     known = components(links.filter("one").select(*PAGE, "a", "b"), PAGE).select(*PAGE, F.col("node").alias("box_id"), F.col("label").alias("group_id"))
     laid = links.filter("over").select(*PAGE, F.explode(F.array("a", "b")).alias("box_id")).distinct().withColumn("overlay", F.lit(True))
-    out = rows.select(*PAGE, "box_id").join(known, [*PAGE, "box_id"], "left").join(laid, [*PAGE, "box_id"], "left")
+    out = known_boxes.select(*PAGE, "box_id").join(known, [*PAGE, "box_id"], "left").join(laid, [*PAGE, "box_id"], "left")
     return out.select(*PAGE, "box_id", F.coalesce("group_id", "box_id").alias("group_id"), F.coalesce("overlay", F.lit(False)).alias("overlay"))
 
 

@@ -33,8 +33,8 @@ def components(links: DataFrame, keys: list[str], most: int = 60) -> DataFrame:
     ab = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"))
     now = settled(links.filter("a <> b").select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most):
-        held = now.select(*keys, F.col("b").alias("a"), F.lit(True).alias("holds")).distinct()
-        if not now.join(held, [*keys, "a"], "left").groupBy(*keys, "a").agg(F.count("*").alias("n"), F.first("holds").alias("holds")).filter("n > 1 or holds").take(1):
+        ends = now.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+        if not ends.groupBy(*keys, "e.node").agg(F.sum("e.up").alias("n"), F.min("e.up").alias("low")).filter("n > 1 or (n = 1 and low = 0)").take(1):
             break
         both = now.unionByName(now.select(*keys, *ab("b", "a")))
         least = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

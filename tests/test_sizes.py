@@ -79,3 +79,15 @@ def test_words_of_a_document_stay_together(spark):
     after = F.lead("x0").over(Window.partitionBy("doc_id", "page", "row").orderBy("ci"))
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").rdd.getNumPartitions()
     assert shuffles(glyphs.withColumn("after", after)) == 1 + (documents < spark.sparkContext.defaultParallelism)
+
+
+def test_pieces_meet_once(spark):
+    images = [(1, 0, i, 200.0 * (i % 2), 10.0 + 150 * (i // 2), 200.0 + 200 * (i % 2), 160.0 + 150 * (i // 2), 500.0, 500.0) for i in range(6)]
+    df = spark.createDataFrame(images, "doc_id long, page int, box_id long, x0 double, y0 double, x1 double, y1 double, page_w double, page_h double")
+    # three words with one centre are three, on two pieces that stay apart
+    words = spark.createDataFrame([(1, 0, x, 20.0, x + 9, 30.0) for x in (20.0, 220.0) for _ in range(3)], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
+    found = regions.image_pieces(df.filter("box_id < 2"), words)
+    assert {r.box_id: (r.group_id, r.overlay) for r in found.collect()} == {0: (0, False), 1: (1, False)}
+    assert {r.box_id: r.group_id for r in regions.image_pieces(df, words.limit(3)).collect()} == dict.fromkeys(range(6), 0)
+    # words are read for the links alone, not again for what is returned
+    assert "cx" not in found._jdf.queryExecution().executedPlan().toString()
