@@ -5,6 +5,7 @@ import time
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire.functions import scalars as S
 from quire.operators import boxes, geometry, lines, pages, regions, spacing, tables
 from quire.plans import table_queries
 
@@ -91,3 +92,18 @@ def test_pieces_meet_once(spark):
     assert {r.box_id: r.group_id for r in regions.image_pieces(df, words.limit(3)).collect()} == dict.fromkeys(range(6), 0)
     # words are read for the links alone, not again for what is returned
     assert "cx" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trimmed_as_by_its_pattern(spark):
+    signs = [*range(0x100), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0x3001, 0xFEFF]
+    texts = [(t,) for c in map(chr, signs) for t in (f"{c} a{c}b {c}", c, f"{c}{c}a")] + [("",), (None,), (" \t\u3000",)]
+    rows = spark.createDataFrame(texts, "text string").withColumn("old", F.regexp_replace("text", rf"^{S.SPACE}++|(?<!{S.SPACE}){S.SPACE}++\z", ""))
+    assert rows.filter(~F.col("old").eqNullSafe(S.trimmed("text"))).count() == 0
+    assert "regexp" not in rows.select(S.trimmed("text"))._jdf.queryExecution().analyzed().toString().split("\n")[0]
+
+
+def test_lines_at_edges_are_looked_at_once(spark):
+    rows = spark.createDataFrame([(1, p, p * 2 + k, t, 10.0 + 300 * k, 10.0, 480.0, 320.0) for p in range(3) for k, t in enumerate((f"A head of {p + 4}", f"{p} words at the foot {p * p}"))], "doc_id long, page int, line_no int, text string, oy double, size double, page_w double, page_h double")
+    found = pages.furniture(rows, rows.select("doc_id").distinct().withColumn("body", F.lit(10.0)))
+    assert sorted(r.line_no for r in found.collect()) == [0, 1, 2, 3, 4, 5]
+    assert "regexp_extract" not in found._jdf.queryExecution().executedPlan().toString()
