@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
@@ -21,9 +21,14 @@ _STEM = lambda t: f"regexp_replace({t}, '^(.+?)(?:{_PART})$', '\\1')"  # noqa: E
 _core = lambda t: CORE.replace("raw", t)
 
 
+def _fours(text: Column) -> Column:
+    """The pieces of four words of a line, which is split once, not for each of its pieces."""
+    places = lambda w: F.sequence(F.lit(0), F.floor((F.size(w) + 3) / 4).cast("int") - 1)
+    return S.let(F.split(text, " "), lambda w: F.transform(places(w), lambda k: F.array_join(F.slice(w, k * 4 + 1, 4), " ")))
+
+
 def _rows(spark, sf_dir) -> DataFrame:
-    w = F.split("text", " ")
-    four = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) + 3) / 4).cast("int") - 1), lambda k: F.array_join(F.slice(w, k * 4 + 1, 4), " "))
+    four = _fours(F.col("text"))
     # pieces are numbered through each document by the lines and pieces before them
     cut = _lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(four).alias("k", "text"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "k")) - 1

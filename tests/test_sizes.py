@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
 from quire.operators import boxes, geometry, lines, pages, regions, spacing, tables
-from quire.plans import table_queries
+from quire.plans import join_queries, table_queries
 
 
 def shuffles(df):
@@ -107,3 +107,12 @@ def test_lines_at_edges_are_looked_at_once(spark):
     found = pages.furniture(rows, rows.select("doc_id").distinct().withColumn("body", F.lit(10.0)))
     assert sorted(r.line_no for r in found.collect()) == [0, 1, 2, 3, 4, 5]
     assert "regexp_extract" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_split_once_into_fours(spark):
+    rows = spark.createDataFrame([("a b c d e",), ("a",), ("",), (" ".join(map(str, range(9))),), (None,)], "text string")
+    assert [r[0] for r in rows.select(join_queries._fours(F.col("text"))).collect()] == [["a b c d", "e"], ["a"], [""], ["0 1 2 3", "4 5 6 7", "8"], None]
+    # a line's pieces are many: each of them split its whole line again
+    assert rows.select(join_queries._fours(F.col("text")).alias("x"))._jdf.queryExecution().analyzed().toString().split("\n")[0].count("split(") == 1
+    marks = ["a .... 7", "a . . . . 7", "a ...7", "a. b. c. d. 7", "·  ·  ·  ·  xi  ", "1.5", None]
+    assert [r[0] for r in spark.createDataFrame([(m,) for m in marks], "text string").select(S.is_toc_line("text")).collect()] == [True, True, False, False, True, False, None]
