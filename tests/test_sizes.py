@@ -116,3 +116,12 @@ def test_lines_are_split_once_into_fours(spark):
     assert rows.select(join_queries._fours(F.col("text")).alias("x"))._jdf.queryExecution().analyzed().toString().split("\n")[0].count("split(") == 1
     marks = ["a .... 7", "a . . . . 7", "a ...7", "a. b. c. d. 7", "·  ·  ·  ·  xi  ", "1.5", None]
     assert [r[0] for r in spark.createDataFrame([(m,) for m in marks], "text string").select(S.is_toc_line("text")).collect()] == [True, True, False, False, True, False, None]
+
+
+def test_areas_of_images_come_by_the_batch(spark):
+    images = [(1, p, i, 10.0 + 60 * i, 10.0, 70.0 + 60 * i, 60.0, 120, 100) for p in range(3) for i in range(2)] + [(2, 0, 0, 0.0, 0.0, 400.0, 300.0, 800, 600)]
+    df = spark.createDataFrame(images, "doc_id long, page int, box_id long, x0 double, y0 double, x1 double, y1 double, px_w int, px_h int")
+    held = spark.createDataFrame([(d, p, 10 if d == 2 else 90, 480.0, 320.0) for d, p in ((1, 0), (1, 1), (1, 2), (2, 0))], "doc_id long, page int, n_chars long, page_w double, page_h double")
+    found = pages.image_text_areas(df, held)
+    assert sorted(map(tuple, found.collect())) == [(1, p, 10.0, 10.0, 130.0, 60.0, 2) for p in range(3)] + [(2, 0, 0.0, 0.0, 480.0, 320.0, 1)]
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
