@@ -42,7 +42,8 @@ def dictionary(lines: DataFrame) -> DataFrame:
 def token_pairs(lines: DataFrame, least: int = 2) -> DataFrame:
     """(left, right, n): neighbouring words of lines that stand together at least `least` times."""
     words = F.filter(F.transform(F.split("text", r"[ \t]+"), word_core), lambda w: w != "")
-    pairs = lines.select(words.alias("w")).select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("left"), F.expr("slice(w, 2, size(w))").alias("right"))).alias("p"))
+    # a line without words has no pairs: a slice of a negative length is an error
+    pairs = lines.select(words.alias("w")).select(F.explode(F.arrays_zip(F.expr("slice(w, 1, greatest(size(w) - 1, 0))").alias("left"), F.expr("slice(w, 2, size(w))").alias("right"))).alias("p"))
     return pairs.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
