@@ -8,3 +8,8 @@ LINES = "doc_id long, line_no int, text string"
 def test_token_pairs_of_lines_without_words(spark):
     lines = spark.createDataFrame([(1, 0, "a b"), (1, 1, ""), (1, 2, " ... "), (1, 3, "x"), (2, 0, "a b"), (2, 1, None)], LINES)
     assert [tuple(r) for r in vocabulary.token_pairs(lines).collect()] == [("a", "b", 2)]
+
+
+def test_joined_evidence_of_lines_without_words(spark):
+    lines = spark.createDataFrame([(1, 0, "in form inform"), (1, 1, ""), (1, 2, "..."), (2, 0, "form")], LINES)
+    assert [tuple(r) for r in vocabulary.joined_evidence(lines).collect()] == [("in", "form", 1, 1)]
