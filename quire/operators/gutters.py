@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.rounds import settled
+
 PAGE = ["doc_id", "page"]
 ROW = ["doc_id", "page", "row"]
 
@@ -51,8 +53,9 @@ def occupancy(stretches: DataFrame) -> DataFrame:
 
 
 def _extents(glyphs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(doc_id, page, row, first, last): where each row's first glyph begins and its last one ends."""
-    return glyphs.join(kept.select(*ROW), ROW, "left_semi").groupBy(*ROW).agg(F.min_by("x0", "ci").alias("first"), F.max_by("x1", "ci").alias("last"))
+    """(doc_id, page, row, first, last, x0_min, x0_max, x1_min, x1_max): where each row's first glyph begins and its last one ends, and where any do."""
+    ends = [f(c).alias(f"{c}_{n}") for c in ("x0", "x1") for f, n in ((F.min, "min"), (F.max, "max"))]
+    return glyphs.join(kept.select(*ROW), ROW, "left_semi").groupBy(*ROW).agg(F.min_by("x0", "ci").alias("first"), F.max_by("x1", "ci").alias("last"), *ends)
 
 
 def valleys(stretches: DataFrame, extents: DataFrame, kept: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ def valleys(stretches: DataFrame, extents: DataFrame, kept: DataFrame) -> DataFr
     nearest = lambda s: F.greatest(s["x"], F.least(s["upto"] - 1, F.floor(mid)))
     best = F.array_min(F.transform("steps", lambda s: F.struct((s["n"] * 1000 + F.abs(nearest(s) - mid)).alias("score"), nearest(s).alias("q"))))
     bands = bands.select(*PAGE, "low", "high", best["q"].alias("cut"))
-    rows = bands.join(extents, PAGE)
+    rows = bands.join(extents.select(*ROW, "first", "last"), PAGE)
     inked = stretches.select(*ROW, F.col("low").alias("s_low"), F.col("high").alias("s_high"))
     across = bands.join(inked, PAGE).filter((F.col("s_low") <= F.col("cut")) & (F.col("s_high") >= F.col("cut"))).select(*ROW, "low", F.lit(True).alias("across")).distinct()
     seen = rows.join(across, [*ROW, "low"], "left").withColumns({"across": F.coalesce("across", F.lit(False)), "l": F.col("first") < F.col("low"), "r": F.col("last") > F.col("high")})
@@ -100,7 +103,7 @@ def wide_gaps(glyphs: DataFrame, kept: DataFrame) -> DataFrame:
     return found.select(*ROW, "ci", F.col("before").alias("left"), F.col("x0").alias("right"), ((F.col("before") + F.col("x0")) / 2).alias("mid"), (F.col("before") - F.col("before_first")).alias("w_left"), (F.col("c_last") - F.col("x0")).alias("w_right"), "body")
 
 
-def gap_columns(gaps: DataFrame, glyphs: DataFrame, kept: DataFrame, known: DataFrame) -> DataFrame:
+def gap_columns(gaps: DataFrame, extents: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, page, low, high, cut): wide gaps that three rows or more have at nearly the same place, where no known gutter is.
 
     A page's gaps are taken from left to right; each joins the last group if it is no further than the body's size from the group's median.
@@ -116,8 +119,7 @@ def gap_columns(gaps: DataFrame, glyphs: DataFrame, kept: DataFrame, known: Data
     groups = groups.filter((F.col("n") >= 3) & (F.col("w_left") >= F.col("body") * 12) & (F.col("w_right") >= F.col("body") * 12))
     near = known.select(*PAGE, F.col("cut").alias("k_cut"))
     groups = groups.join(near, (groups.doc_id == near.doc_id) & (groups.page == near.page) & (F.abs(F.col("k_cut") - F.col("cut")) < F.col("body") * 2), "left_anti")
-    ends = glyphs.join(kept.select(*ROW), ROW, "left_semi").groupBy(*ROW).agg(F.min("x0").alias("x0_min"), F.max("x0").alias("x0_max"), F.min("x1").alias("x1_min"), F.max("x1").alias("x1_max"))
-    sides = groups.join(ends, PAGE).groupBy(*PAGE, "cut", "low", "high", "n", "body").agg(
+    sides = groups.join(extents, PAGE).groupBy(*PAGE, "cut", "low", "high", "n", "body").agg(
         F.count_if(F.col("x1_min") < F.col("cut")).alias("n_left"), F.count_if(F.col("x0_max") > F.col("cut")).alias("n_right"), F.count_if((F.col("x0_min") < F.col("cut")) & (F.col("x1_max") > F.col("cut"))).alias("n_over"),
     )
     good = sides.filter("n_left >= 3 and n_right >= 3 and n >= n_over * 0.6")
@@ -128,10 +130,11 @@ def gap_columns(gaps: DataFrame, glyphs: DataFrame, kept: DataFrame, known: Data
 
 def find_gutters(glyphs: DataFrame, rows: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, low, high, cut, n_split, n_cross): where columns part: white bands, and repeated wide gaps (without counts)."""
-    kept = body_rows(rows, pages)
-    extents, stretches = _extents(glyphs, kept), ink_stretches(glyphs, kept)
-    bands = valleys(stretches, extents, kept)
-    more = gap_columns(wide_gaps(glyphs, kept), glyphs, kept, bands)
+    # written, as rows, ends and bands are used several times; they are few, and glyphs are gone through once for each of these
+    kept = settled(body_rows(rows, pages), "body-rows")
+    extents, stretches = settled(_extents(glyphs, kept), "row-ends"), settled(ink_stretches(glyphs, kept), "ink")
+    bands = settled(valleys(stretches, extents, kept), "bands")
+    more = gap_columns(wide_gaps(glyphs, kept), extents, bands)
     none = F.lit(None).cast("long")
     return bands.select(*PAGE, *(F.col(c).cast("double").alias(c) for c in ("low", "high", "cut")), "n_split", "n_cross").unionByName(more.withColumns({"n_split": none, "n_cross": none}))
 

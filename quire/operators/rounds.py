@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,14 @@ def settled(df: DataFrame, name: str = "round") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_once(spark: SparkSession) -> SparkSession:
+    """A session like this one, with its settings as they are now, where rows that are dealt out by a document's id meet on more keys without being
+    dealt out again: by default Spark shuffles both sides of a join whose keys are more than those they are dealt out by."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return own
+
+
 def components(links: DataFrame, keys: list[str], most: int = 60) -> DataFrame:
     """(keys, node, label) of all nodes that links (keys, a, b) name: within equal keys, label is the smallest node that links reach.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import gutters, tables
-from quire.operators.rounds import settled
+from quire.operators.rounds import dealt_once, settled
 from quire.plans.queries import LINES, _lines, query
 
 _ROWS = f"""{LINES}, ln AS (SELECT doc_id, line_no, text, length(text) AS n, CAST(line_no // 6 AS INT) AS page, 20.0::DOUBLE + line_no % 6 * 40 AS top FROM lines),
@@ -146,7 +146,8 @@ def _columned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     n, at = F.col("n"), F.col("line_no")
-    # documents stay together, so running sums and neighbours in lines need no shuffle of words; a fixed number, or little text would end in one task
+    # documents stay together, so running sums and neighbours in lines, and what words meet, need no shuffle of words; a fixed number, or little text would end in one task
+    spark = dealt_once(spark)
     lines = _lines(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").withColumn("n", F.length("text")).withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
     size, page = F.when(n % 13 == 0, 15.0).otherwise(10.0), F.floor(at / 12).cast("int")
     words = lines.select("doc_id", "line_no", "n", F.size("w").alias("nw"), F.posexplode("w").alias("ci", "w")).withColumn("half", F.when((n % 7 == 0) | (F.col("ci") * 2 < F.col("nw")), 0).otherwise(1))
