@@ -30,3 +30,10 @@ def test_words_of_columns_are_dealt_out_once(spark):
         assert dealt_again(gutters.wide_gaps(glyphs, kept)) == 0
     # other queries of the session join as before
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_words_that_meet_gutters_are_dealt_out_once(spark):
+    with no_broadcast(spark):
+        glyphs, rows, pages = table_queries._columned(spark, SF)
+        cuts = pages.select("doc_id", "page", *((pages.page_w * k).alias(c) for c, k in (("low", 0.4), ("high", 0.5), ("cut", 0.45))))
+        assert dealt_again(gutters.rows_across(glyphs, rows, cuts)) == 0
