@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import regions
+from quire.operators.rounds import dealt_once
 from quire.plans.queries import LINES, _lines, query
 
 _LN = f"{LINES}, ln AS (SELECT *, length(text) AS n FROM lines)"
@@ -70,12 +71,14 @@ _RUBY = f"""{_LN}, ba AS (SELECT doc_id, CAST(line_no // 20 AS INT) AS page, lin
 def _ruby(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window
 
-    # a document's lines are in one part before they become words, so the window over words needs no shuffle
-    rows, n, y = _ln(spark, sf_dir).repartition("doc_id"), F.col("n"), 20.0 + F.col("line_no") % 20 * 30
+    # a document's lines are in one part before they become words, so the window over words, and what words meet, need no shuffle; a fixed number, or parts of two uses would differ
+    spark = dealt_once(spark)
+    rows, n, y = _lines(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").withColumn("n", F.length("text")), F.col("n"), 20.0 + F.col("line_no") % 20 * 30
     page = F.floor(F.col("line_no") / 20).cast("int").alias("page")
     base = rows.select("doc_id", page, (F.col("line_no") * 1000).alias("line_no"), F.translate("text", "aeiou", "漢字日本語").alias("text"), F.lit(40.0).alias("x0"), y.alias("y0"), (40.0 + n * 6).alias("x1"), (y + 12).alias("y1"))
-    words = rows.select("doc_id", "line_no", "n", F.posexplode(F.split("text", " ")).alias("ci", "w")).withColumn("off", F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id", "line_no").orderBy("ci")) - F.length("w") - 1).filter("w <> ''")
-    above = words.select("doc_id", page, (F.col("line_no") * 1000 + F.col("ci") + 1).alias("line_no"), F.translate("w", "aeiourstn", "かなひらがきさしの").alias("text"), (40.0 + F.col("off") * 6).alias("x0"), (y - 5 - n % 6).alias("y0"), (40.0 + (F.col("off") + F.length("w")) * 6).alias("x1"), (y - n % 6 + n % 4).alias("y1"))
+    kana = F.translate("text", "aeiourstn", "かなひらがきさしの")  # of a line at once: what looks at a word would translate it again
+    words = rows.select("doc_id", "line_no", "n", F.posexplode(F.split(kana, " ")).alias("ci", "w")).withColumn("off", F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id", "line_no").orderBy("ci")) - F.length("w") - 1).filter("w <> ''")
+    above = words.select("doc_id", page, (F.col("line_no") * 1000 + F.col("ci") + 1).alias("line_no"), F.col("w").alias("text"), (40.0 + F.col("off") * 6).alias("x0"), (y - 5 - n % 6).alias("y0"), (40.0 + (F.col("off") + F.length("w")) * 6).alias("x1"), (y - n % 6 + n % 4).alias("y1"))
     return base.unionByName(above)
 
 
