@@ -42,3 +42,9 @@ def test_words_that_meet_gutters_are_dealt_out_once(spark):
 def test_readings_and_their_bases_meet_where_their_document_is(spark):
     with no_broadcast(spark):
         assert dealt_again(region_queries.with_readings(spark, SF)) == 0
+
+
+def test_readings_are_translated_by_the_line(spark):
+    with no_broadcast(spark):
+        plan = region_queries.readings(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(w" not in plan and "split(translate(text" in plan
