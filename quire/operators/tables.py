@@ -3,24 +3,28 @@
 paths: (doc_id, page, path_id, x0, y0, x1, y1, stroke, fill, stroke_width), colours as arrays of three numbers up to 255, or null;
 glyphs: (doc_id, page, x0, y0, x1, y1, oy, size) of what isn't white space, or their centres; pages: (doc_id, page, page_w, page_h).
 
-Everything is joined on document and page. Segments meet by cells of a grid; groups are connected components, found in
-rounds of joins, and each is worked on by windows over its own edges, so pages with very many rules need no large group in a task.
+A page's shapes and centres come to one place, pages by the batch, and rules.py works on all pages of a batch at once: a join for each of its steps would
+take most of the time of pages that are many and small. What meets on a page is looked for piece by piece, so pages with very many rules need no more memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from quire.functions.scalars import half_up
-from quire.operators.rounds import components, settled
+from quire.operators import rules
 
 PAGE = ["doc_id", "page"]
-GROUP = ["doc_id", "page", "table_id"]
-#: Rounded edges that are no further from the one before than this are one.
-NEAR = 3
-#: Sides of the cells by which segments meet.
-CELL_W, CELL_H = 256.0, 64.0
+#: So many shapes and centres are worked on at once, or one page.
+AT_ONCE = 200_000
 
 
 def has_ink(colour: Column) -> Column:
@@ -57,167 +61,66 @@ def line_backgrounds(paths: DataFrame, glyphs: DataFrame) -> DataFrame:
     return one.select(*PAGE, "path_id", F.when(box, "box").otherwise("highlight").alias("kind"))
 
 
-def rule_segments(paths: DataFrame, backgrounds: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page, seg, upright, at, low, high, edge, shape, x0, y0, x1, y1): thin shapes as segments, and the four sides of others
-    that leave some of the page free. shape: whether it is the side of a shape, whose box the last four tell; edge: its colour, null
-    where it isn't seen, thin ones on a ground of the same colour among these. Backgrounds of single lines are left out."""
-    rows = _shaped(paths).join(backgrounds, [*PAGE, "path_id"], "left_anti").join(pages, PAGE)
-    side = lambda k, upright, at, low, high, shape: F.struct(F.lit(k).alias("k"), F.lit(upright).alias("upright"), at.alias("at"), low.alias("low"), high.alias("high"), F.lit(shape).alias("shape"))
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    sides = (
-        F.when((F.col("w") <= 3) & (F.col("h") >= 8), F.array(side(0, True, (x0 + x1) / 2, y0, y1, False)))
-        .when((F.col("h") <= 3) & (F.col("w") >= 8), F.array(side(0, False, (y0 + y1) / 2, x0, x1, False)))
-        .when((F.col("w") > 8) & (F.col("h") > 8) & (F.col("w") < F.col("page_w") * 0.95) & (F.col("h") < F.col("page_h") * 0.95), F.array(side(0, True, x0, y0, y1, True), side(1, True, x1, y0, y1, True), side(2, False, y0, x0, x1, True), side(3, False, y1, x0, x1, True)))
-    )
-    segs = rows.select(*PAGE, "path_id", "edge", "x0", "y0", "x1", "y1", F.explode(sides).alias("s")).select(*PAGE, (F.col("path_id") * 4 + F.col("s.k")).cast("long").alias("seg"), "s.upright", "s.at", "s.low", "s.high", "edge", "s.shape", "x0", "y0", "x1", "y1")
-    ground = _shaped(paths).filter(~has_ink(F.col("stroke")) & has_ink(F.col("fill")) & (F.col("w") > 8) & (F.col("h") > 8)).select(*PAGE, F.col("fill").alias("f"), *(F.col(c).alias("f_" + c) for c in ("x0", "y0", "x1", "y1")))
-    thin = segs.filter(~F.col("shape") & F.col("edge").isNotNull()).join(ground, PAGE)
-    low_x, high_x = F.when(F.col("upright"), F.col("at")).otherwise(F.col("low")), F.when(F.col("upright"), F.col("at")).otherwise(F.col("high"))
-    low_y, high_y = F.when(F.col("upright"), F.col("low")).otherwise(F.col("at")), F.when(F.col("upright"), F.col("high")).otherwise(F.col("at"))
-    on = (F.col("f_x0") - 2 <= low_x) & (F.col("f_x1") + 2 >= high_x) & (F.col("f_y0") - 2 <= low_y) & (F.col("f_y1") + 2 >= high_y)
-    apart = sum((F.abs(F.get("edge", k) - F.get("f", k)) for k in range(3)), F.lit(0))
-    unseen = thin.filter(on & (apart <= 12)).select(*PAGE, "seg").distinct().withColumn("unseen", F.lit(True))
-    return segs.join(unseen, [*PAGE, "seg"], "left").withColumn("edge", F.when(F.col("unseen").isNull(), F.col("edge"))).drop("unseen")
-
-
-def _reach(segs: DataFrame) -> DataFrame:
-    """Segments with the box that they take up: b_x0, b_y0, b_x1, b_y1."""
-    up = F.col("upright")
-    return segs.withColumns({"b_x0": F.when(up, F.col("at")).otherwise(F.col("low")) - 1, "b_x1": F.when(up, F.col("at")).otherwise(F.col("high")) + 1, "b_y0": F.when(up, F.col("low")).otherwise(F.col("at")) - 1, "b_y1": F.when(up, F.col("high")).otherwise(F.col("at")) + 1})
-
-
-def rule_groups(segs: DataFrame) -> DataFrame:
-    """Segments with table_id: the smallest segment that they touch, to within 2 points, over any number of others."""
-    rows = settled(_reach(segs), "rules")
-    cells = lambda low, high, size: F.explode(F.sequence(F.floor((low - 2) / size), F.floor((high + 2) / size)))
-    dealt = rows.select(*PAGE, "seg", "b_x0", "b_y0", "b_x1", "b_y1", cells(F.col("b_x0"), F.col("b_x1"), CELL_W).alias("cell_x")).withColumn("cell_y", cells(F.col("b_y0"), F.col("b_y1"), CELL_H))
-    a, b = (dealt.select(*PAGE, "cell_x", "cell_y", *(F.col(c).alias(f"{p}_{c}") for c in ("seg", "b_x0", "b_y0", "b_x1", "b_y1"))) for p in "ab")
-    touch = (F.col("a_b_x0") <= F.col("b_b_x1") + 2) & (F.col("b_b_x0") <= F.col("a_b_x1") + 2) & (F.col("a_b_y0") <= F.col("b_b_y1") + 2) & (F.col("b_b_y0") <= F.col("a_b_y1") + 2)
-    links = a.join(b, [*PAGE, "cell_x", "cell_y"]).filter((F.col("a_seg") > F.col("b_seg")) & touch).select(*PAGE, F.col("a_seg").alias("a"), F.col("b_seg").alias("b"))
-    known = components(links, PAGE).select(*PAGE, F.col("node").alias("seg"), F.col("label").alias("table_id"))
-    return rows.join(known, [*PAGE, "seg"], "left").withColumn("table_id", F.coalesce("table_id", "seg"))
-
-
-def chained(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The distinct values of each key that are more than NEAR above the one before, or the first."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    return values.select(*keys, value).distinct().withColumn("_before", F.lag(value).over(w)).filter(F.col("_before").isNull() | (F.col(value) - F.col("_before") > NEAR)).drop("_before")
-
-
-def _numbered(values: DataFrame, keys: list[str], value: str, number: str) -> DataFrame:
-    """values with their number from 0 and the next value."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    return values.withColumn(number, F.row_number().over(w) - 1).withColumn("next", F.lead(value).over(w))
-
-
-def ruled_tables(groups: DataFrame, glyphs: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tables, segments): groups that are tables, with their boxes (doc_id, page, table_id, x0, y0, x1, y1, n_cols, note), and the segments
-    that they are made of.
-
-    Two columns and more make a table if there are four characters inside, and not many beside it. One column does with three
-    rules right across, the first row like a title, or with four; and a closed box around text that is lower than 0.4 of the page (note).
-    Where a drawn box of one column has unseen shapes touching it from outside, these are left out first.
-    """
-    seen = groups.filter("edge is not null")
-    two = chained(seen.filter("upright").withColumn("x", half_up(F.col("at"))), GROUP, "x").groupBy(*GROUP).agg(F.count("*").alias("n_x"))
-    extent = seen.groupBy(*GROUP).agg(F.count("*").alias("n_seen"), F.min("b_x0").alias("e_x0"), F.min("b_y0").alias("e_y0"), F.max("b_x1").alias("e_x1"), F.max("b_y1").alias("e_y1")).join(two, GROUP).filter("n_x = 2")
-    outside = (F.col("y1") <= F.col("e_y0") + 3) | (F.col("y0") >= F.col("e_y1") - 3) | (F.col("x1") <= F.col("e_x0") + 3) | (F.col("x0") >= F.col("e_x1") - 3)
-    left_out = F.coalesce(F.col("edge").isNull() & F.col("shape") & outside, F.lit(False))
-    segs = settled(groups.join(extent, GROUP, "left").filter(~left_out).select(*groups.columns), "table-rules")
-
-    box = settled(segs.groupBy(*GROUP).agg(F.min("b_x0").alias("x0"), F.min("b_y0").alias("y0"), F.max("b_x1").alias("x1"), F.max("b_y1").alias("y1")), "rule-boxes")
-    columns = chained(segs.filter("upright").withColumn("x", half_up(F.col("at"))), GROUP, "x")
-    across = segs.filter("not upright").join(box.select(*GROUP, (F.col("x1") - F.col("x0")).alias("wide")), GROUP).filter(F.col("high") - F.col("low") >= F.col("wide") * 0.9)
-    rules = chained(across.withColumn("y", half_up(F.col("at"))), GROUP, "y")
-    rules = rules.groupBy(*GROUP).agg(F.count("*").alias("n_rules"), F.slice(F.array_sort(F.collect_list("y")), 1, 2).alias("first"))
-    # of each outer edge of a group of two: whether one segment is nearly as high as the group, and whether one is seen
-    edges = columns.join(segs.filter("upright").select(*GROUP, "at", "low", "high", "edge"), GROUP).filter(F.abs(F.col("at") - F.col("x")) <= 3).join(box.select(*GROUP, (F.col("y1") - F.col("y0")).alias("tall")), GROUP)
-    edges = edges.groupBy(*GROUP, "x").agg(F.bool_or(F.col("high") - F.col("low") >= F.col("tall") * 0.9).alias("whole"), F.bool_or(F.col("edge").isNotNull()).alias("drawn"))
-    sides = columns.join(edges, [*GROUP, "x"], "left").groupBy(*GROUP).agg(F.count("*").alias("n_x"), F.bool_and(F.coalesce("whole", F.lit(False))).alias("closed"), F.bool_and(F.coalesce("drawn", F.lit(False))).alias("drawn"))
-
-    near = settled(box.join(centres(glyphs), PAGE).filter((F.col("cy") > F.col("y0")) & (F.col("cy") < F.col("y1"))), "text-in-rules")
-    within = (F.col("cx") > F.col("x0")) & (F.col("cx") < F.col("x1"))
-    out = (F.col("cx") < F.col("x0") - 2) | (F.col("cx") > F.col("x1") + 2)
-    close = (F.col("cx") > F.col("x0") - 40) & (F.col("cx") < F.col("x1") + 40)
-    number = lambda those: F.sum(F.when(those, F.col("k")).otherwise(0))
-    text = near.groupBy(*GROUP).agg(number(within).alias("n"), number(out).alias("beside"), number(out & close).alias("spill"), F.percentile(F.when(within, F.col("g_size")), 0.5, F.col("k")).alias("size"), (F.max(F.when(within, F.col("g_oy"))) - F.min(F.when(within, F.col("g_oy")))).alias("spread"))
-    step = F.col("g_oy") - F.lag("g_oy").over(Window.partitionBy(*GROUP).orderBy("g_oy"))
-    text_lines = near.filter(within).select(*GROUP, "g_oy").distinct().withColumn("step", step).join(text.select(*GROUP, "size"), GROUP).groupBy(*GROUP).agg(F.count_if(F.col("step").isNull() | (F.col("step") > F.col("size") * 0.6)).alias("n_lines"))
-
-    none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    known = box.join(sides, GROUP).join(rules, GROUP, "left").join(text, GROUP, "left").join(text_lines, GROUP, "left").join(pages, PAGE)
-    known = known.join(segs.groupBy(*PAGE).agg(F.count_if("upright").alias("n_upright")), PAGE).filter("n_upright >= 3")
-    size, lines_ = none("size"), none("n_lines")
-    titled = (none("n_rules") >= 3) & (size > 0) & (F.get("first", 1) - F.get("first", 0) <= size * 3)
-    note = F.col("closed") & (none("n_rules") == 2) & (lines_ >= 1) & (F.col("y1") - F.col("y0") < F.col("page_h") * 0.4) & (F.col("x1") - F.col("x0") > size * F.when(lines_ >= 2, 8).otherwise(4)) & F.col("drawn")
-    rowed = F.coalesce((none("n_rules") >= 4) | titled, F.lit(False))
-    single = (F.col("n_x") == 2) & (rowed | F.coalesce(note, F.lit(False))) & (none("beside") <= none("n") * 0.2)
-    good = ((F.col("n_x") >= 3) | single) & (none("n") >= F.when(F.col("n_x") < 3, 2).otherwise(4)) & (none("spill") <= none("n") * 0.1)
-    found = known.filter(good).select(*GROUP, "x0", "y0", "x1", "y1", F.col("n_x").alias("n_cols"), (F.coalesce(note, F.lit(False)) & ~rowed & (F.col("n_x") == 2)).alias("note"), (F.col("spread") < size * 0.6).alias("one_line"))
-    found = settled(found, "tables")
-
-    cells = settled(ruled_cells(segs, found), "rule-cells")
-    # first by rows, then by their cells: a centre lies in one row
-    inked = cells.select(*GROUP, "row", "y0", "y1").distinct().join(near.select(*GROUP, "cx", "cy"), GROUP).filter((F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1"))).select(*GROUP, "row", "cx").distinct()
-    held = cells.join(inked, [*GROUP, "row"]).filter((F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1"))).groupBy(*GROUP).agg(F.count_distinct("row", "col").alias("n_filled"))
-    made = cells.groupBy(*GROUP).agg(F.count("*").alias("n_cells"))
-    shapes = segs.groupBy(*GROUP).agg((F.count_if("shape") >= F.count("*") * 0.8).alias("shaped"))
-    # shapes drawn around one line of text are no table
-    frame = F.col("shaped") & (F.col("n_cols") >= 3) & (none("n_filled") <= 1) & F.col("one_line") & (F.col("n_cells") >= 2)
-    kept = found.join(made, GROUP).join(held, GROUP, "left").join(shapes, GROUP).filter(~F.coalesce(frame, F.lit(False)))
-    return kept.select(*GROUP, "x0", "y0", "x1", "y1", "n_cols", "note"), segs
-
-
-def ruled_cells(segs: DataFrame, tables: DataFrame) -> DataFrame:
-    """(doc_id, page, table_id, row, col, x0, y0, x1, y1): the cells between rules of each table: rows from one rule to the next, and in
-    each of them cells from one upright segment to the next of those that pass through it."""
-    mine = segs.join(tables.select(*GROUP, F.col("x0").alias("t_x0"), F.col("y0").alias("t_y0"), F.col("x1").alias("t_x1"), F.col("y1").alias("t_y1")), GROUP)
-    ends = lambda low, high: tables.select(*GROUP, F.explode(F.array(half_up(F.col(low) + 1), half_up(F.col(high) - 1))).alias("v"))
-    ys = chained(mine.filter("not upright").select(*GROUP, half_up(F.col("at")).alias("v")).unionByName(ends("y0", "y1")), GROUP, "v")
-    rows = _numbered(ys, GROUP, "v", "row").filter("next is not null").select(*GROUP, "row", F.col("v").alias("y0"), F.col("next").alias("y1"))
-    columns = chained(mine.filter("upright").withColumn("x", half_up(F.col("at"))), GROUP, "x")
-    mid = (F.col("y0") + F.col("y1")) / 2
-    ups = mine.filter("upright").select(*GROUP, "at", "low", "high")
-    passing = rows.join(ups, GROUP).filter((F.col("low") <= mid + 1) & (F.col("high") >= mid - 1)).join(columns, GROUP).filter(F.abs(F.col("at") - F.col("x")) < 3).select(*GROUP, "row", F.col("x").alias("v"))
-    cuts = passing.unionByName(rows.select(*GROUP, "row").join(ends("x0", "x1"), GROUP))
-    cells = _numbered(chained(cuts, [*GROUP, "row"], "v"), [*GROUP, "row"], "v", "col").filter("next is not null")
-    return cells.select(*GROUP, "row", "col", F.col("v").alias("x0"), F.col("next").alias("x1")).join(rows, [*GROUP, "row"])
-
-
-def spanned_cells(cells: DataFrame, segs: DataFrame) -> DataFrame:
-    """(doc_id, page, table_id, row, col, x0, y0, x1, y1, colspan, rowspan): cells of ruled_cells that take up several columns and rows.
-
-    A table's columns begin where any cell's sides stand, sides NEAR each other being one, the first in reading order. A cell goes on in the row below if that has one of
-    the same columns and no rule passes between them in the middle.
-    """
-    sides = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", F.array("x0", "x1").alias("s")))), lambda c: c["s"]))
-    kept = F.aggregate(sides, F.array().cast("array<long>"), lambda some, x: F.when(F.exists(some, lambda v: F.abs(v - x) <= NEAR), some).otherwise(F.concat(some, F.array(x))))
-    edges = cells.groupBy(*GROUP).agg(F.array_sort(kept).alias("edges"))
-    place = lambda x: F.array_position(F.transform("edges", lambda v: F.abs(v - x) <= NEAR), F.lit(True)) - 1
-    placed = cells.join(edges, GROUP).withColumns({"from": place(F.col("x0")), "to": place(F.col("x1"))})
-    rules = segs.filter("not upright").select(*GROUP, F.col("at").alias("h_y"), F.col("low").alias("h_x0"), F.col("high").alias("h_x1"))
-    mid = (F.col("x0") + F.col("x1")) / 2
-    parted = placed.join(rules, GROUP).filter((F.abs(F.col("h_y") - F.col("y0")) <= 2.5) & (F.col("h_x0") <= mid + 1) & (F.col("h_x1") >= mid - 1)).select(*GROUP, "row", "col").distinct().withColumn("parted", F.lit(True))
-    w = Window.partitionBy(*GROUP, "from", "to").orderBy("row")
-    goes_on = (F.lag("row").over(w) == F.col("row") - 1) & F.col("parted").isNull()
-    runs = placed.join(parted, [*GROUP, "row", "col"], "left").withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    out = runs.groupBy(*GROUP, "from", "to", "run").agg(F.min("row").alias("row"), F.min_by("col", "row").alias("col"), F.min_by("x0", "row").alias("x0"), F.min_by("x1", "row").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count("*").alias("rowspan"))
-    return out.select(*GROUP, "row", "col", "x0", "y0", "x1", "y1", F.greatest(F.lit(1), F.col("to") - F.col("from")).cast("int").alias("colspan"), F.col("rowspan").cast("int").alias("rowspan"))
-
-
-def line_box_tables(paths: DataFrame, backgrounds: DataFrame, tables: DataFrame, glyphs: DataFrame) -> DataFrame:
+def _flat(lists: pa.Array) -> pd.DataFrame:
+    """The structs of lists, one row each, with pg, the place of their list."""
+    flat = lists.flatten()
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pd.DataFrame({"pg": np.repeat(np.arange(len(lists)), n)} | {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)})
+
+
+def _by_pages(paths: DataFrame, glyphs: DataFrame, pages: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """(doc_id, page, schema): work() on the shapes, centres and sizes of some pages, which gives rows with pg, the page's number."""
+    three = lambda of, to: [F.get(of, k).cast("double").alias(f"{to}{k}") for k in range(3)]
+    shapes = _shaped(paths).select(*PAGE, F.struct("path_id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "w", "h")), "outline", F.col("edge").isNotNull().alias("seen"), has_ink(F.col("stroke")).alias("stroked"), has_ink(F.col("fill")).alias("filled"), *three("edge", "c"), *three("fill", "f")).alias("s"))
+    ink = centres(glyphs).select(*PAGE, F.struct("cx", "cy", F.col("g_oy").cast("double").alias("oy"), F.col("g_size").cast("double").alias("size"), "k").alias("s"))
+    each = shapes.groupBy(*PAGE).agg(F.collect_list("s").alias("paths")).join(pages.select(*PAGE, "page_w", "page_h"), PAGE).join(ink.groupBy(*PAGE).agg(F.collect_list("s").alias("ink")), PAGE, "left")
+    each = each.select(*PAGE, "page_w", "page_h", "paths", "ink")
+    full = StructType([each.schema[c] for c in PAGE] + StructType.fromDDL(schema).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(full)
+        for batch in batches:
+            load = sum(pc.fill_null(pc.list_value_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5))
+            part = np.cumsum(load) // AT_ONCE
+            ends = np.flatnonzero(np.diff(part, append=part[-1:] + 1)) + 1
+            for a, z in zip([0, *ends[:-1]], ends):
+                some = batch.slice(a, z - a)
+                out = work(_flat(some.column(4)), _flat(some.column(5)), pd.DataFrame({c: some.column(k).to_numpy(zero_copy_only=False) for k, c in ((2, "page_w"), (3, "page_h"))}))
+                at = pa.array(out["pg"].to_numpy().astype(np.int64))
+                yield pa.RecordBatch.from_arrays([some.column(k).take(at) for k in (0, 1)] + [pa.array(out[f.name].to_numpy()).cast(f.type) for f in list(target)[2:]], schema=target)
+
+    return each.mapInArrow(run, full)
+
+
+def rule_groups(paths: DataFrame, glyphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, seg, table_id, upright, at, low, high, seen, shape): thin shapes as segments, and the four sides of others that leave some of the page free,
+    without backgrounds of single lines. shape: whether it is the side of a shape; seen: whether its edge has a colour that its ground doesn't have;
+    table_id: the smallest segment that it touches, to within 2 points, over any number of others."""
+
+    def work(paths: pd.DataFrame, ink: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
+        return rules.groups(rules.segments(rules.backgrounds(paths, ink), page))
+
+    return _by_pages(paths, glyphs, pages, work, "seg long, table_id long, upright boolean, at double, low double, high double, seen boolean, shape boolean")
+
+
+def line_box_tables(paths: DataFrame, glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, path_id, is_table): boxes around one line: tables of one cell, unless they meet a ruled table or text stands beside them."""
-    boxes = paths.join(backgrounds.filter("kind = 'box'"), [*PAGE, "path_id"]).select(*PAGE, "path_id", "x0", "y0", "x1", "y1")
-    t = tables.select(*PAGE, *(F.col(c).alias("t_" + c) for c in ("x0", "y0", "x1", "y1")))
-    met = boxes.join(t, PAGE).filter((F.col("t_x0") < F.col("x1")) & (F.col("x0") < F.col("t_x1")) & (F.col("t_y0") < F.col("y1")) & (F.col("y0") < F.col("t_y1")))
-    beside = boxes.join(centres(glyphs), PAGE).filter((F.col("cy") > F.col("y0")) & (F.col("cy") < F.col("y1")) & ((F.col("cx") < F.col("x0") - 2) | (F.col("cx") > F.col("x1") + 2)))
-    no = met.select(*PAGE, "path_id").unionByName(beside.select(*PAGE, "path_id")).distinct().withColumn("no", F.lit(True))
-    return boxes.join(no, [*PAGE, "path_id"], "left").select(*PAGE, "path_id", F.col("no").isNull().alias("is_table"))
+
+    def work(paths: pd.DataFrame, ink: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
+        paths = rules.backgrounds(paths, ink)
+        found, _, _ = rules.ruled(rules.groups(rules.segments(paths, page)), ink, page)
+        return rules.one_cells(paths, found, ink)
+
+    return _by_pages(paths, glyphs, pages, work, f"path_id {paths.schema['path_id'].dataType.simpleString()}, is_table boolean")
 
 
 def page_tables(paths: DataFrame, glyphs: DataFrame, pages: DataFrame) -> DataFrame:
-    """spanned_cells of all ruled tables of all pages."""
-    glyphs = glyphs if "cx" in glyphs.columns else settled(centres(glyphs), "centres")
-    segs = settled(rule_groups(rule_segments(paths, line_backgrounds(paths, glyphs), pages)), "rule-groups")
-    tables, rules = ruled_tables(segs, glyphs, pages)
-    return spanned_cells(ruled_cells(rules, tables), rules)
+    """(doc_id, page, table_id, row, col, x0, y0, x1, y1, colspan, rowspan): the cells of all ruled tables of all pages."""
+
+    def work(paths: pd.DataFrame, ink: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
+        grouped = rules.groups(rules.segments(rules.backgrounds(paths, ink), page))
+        _, segs, cells = rules.ruled(grouped, ink, page)
+        out, first = rules.spanned(cells, segs), grouped.drop_duplicates("g").set_index("g")
+        return out.assign(pg=first["pg"].reindex(out["g"]).to_numpy(), table_id=first["table_id"].reindex(out["g"]).to_numpy())
+
+    return _by_pages(paths, glyphs, pages, work, "table_id long, row int, col int, x0 long, y0 long, x1 long, y1 long, colspan int, rowspan int")

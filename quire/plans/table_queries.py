@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import gutters, tables
-from quire.operators.rounds import dealt_once, settled
+from quire.operators.rounds import dealt_once
 from quire.plans.queries import LINES, _lines, query
 
 _ROWS = f"""{LINES}, ln AS (SELECT doc_id, line_no, text, length(text) AS n, CAST(line_no // 6 AS INT) AS page, 20.0::DOUBLE + line_no % 6 * 40 AS top FROM lines),
@@ -18,8 +18,8 @@ _ROWS = f"""{LINES}, ln AS (SELECT doc_id, line_no, text, length(text) AS n, CAS
     pg AS (SELECT DISTINCT doc_id, page, 480.0::DOUBLE AS page_w, 400.0::DOUBLE AS page_h FROM ln)"""
 
 
-def _rows(spark, sf_dir) -> DataFrame:
-    rows = _lines(spark, sf_dir).withColumn("n", F.length("text"))
+def _placed(lines: DataFrame) -> DataFrame:
+    rows = lines.withColumn("n", F.length("text"))
     return rows.select("doc_id", "line_no", "text", "n", F.floor(F.col("line_no") / 6).cast("int").alias("page"), (20.0 + F.col("line_no") % 6 * 40).alias("top"))
 
 
@@ -97,10 +97,11 @@ _TABLES = f"""{_RULES}, ex AS (SELECT {_K}, min(bx0) AS ex0, min(by0) AS ey0, ma
 
 
 def _shapes(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Paths, centres of glyphs, and pages, from tables without text: what reads them several times splits no document again."""
-    rows = _rows(spark, sf_dir)
-    shapes = settled(rows.drop("text"), "rows")
-    return _paths(shapes), settled(tables.centres(_glyphs(rows)), "centres"), _pages(shapes)
+    """Paths, centres of glyphs, and pages; a document's lines are dealt out once, and what they give stays there."""
+    spark = dealt_once(spark)
+    lines = _lines(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    rows = _placed(lines)
+    return _paths(rows), tables.centres(_glyphs(rows)), _pages(rows)
 
 
 @query(f"WITH {_FOUND} SELECT * FROM bg")
@@ -111,9 +112,7 @@ def line_backgrounds(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_RULES} SELECT doc_id, page, seg, table_id, up AS upright, pos AS at, low, high, edge IS NOT NULL AS seen, shape FROM gs")
 def rule_groups(spark, sf_dir):
-    paths, centres, pages = _shapes(spark, sf_dir)
-    segs = tables.rule_segments(paths, tables.line_backgrounds(paths, centres), pages)
-    return tables.rule_groups(segs).select("doc_id", "page", "seg", "table_id", "upright", "at", "low", "high", F.col("edge").isNotNull().alias("seen"), "shape")
+    return tables.rule_groups(*_shapes(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {_TABLES}, ke AS (SELECT * FROM ce SEMI JOIN tb USING ({_K})), ed AS (SELECT {_K}, list_sort(list_reduce(list_prepend([]::BIGINT[], list_transform(flatten(list([x0, x1] ORDER BY "row", col)), lambda x: [x])), lambda kept, x: CASE WHEN len(list_filter(kept, lambda v: abs(v - x[1]) <= 3)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS e FROM ke GROUP BY ALL),
@@ -127,10 +126,7 @@ def page_tables(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_TABLES}, bo AS (SELECT s.* FROM sd s JOIN bg USING (doc_id, page, path_id) WHERE kind = 'box')
     SELECT doc_id, page, path_id, NOT (EXISTS (SELECT 1 FROM tb t WHERE t.doc_id = bo.doc_id AND t.page = bo.page AND t.x0 < bo.x1 AND bo.x0 < t.x1 AND t.y0 < bo.y1 AND bo.y0 < t.y1) OR EXISTS (SELECT 1 FROM gc g WHERE g.doc_id = bo.doc_id AND g.page = bo.page AND cy > bo.y0 AND cy < bo.y1 AND (cx < bo.x0 - 2 OR cx > bo.x1 + 2))) AS is_table FROM bo""")
 def line_box_tables(spark, sf_dir):
-    paths, glyphs, pages = _shapes(spark, sf_dir)
-    backgrounds = settled(tables.line_backgrounds(paths, glyphs), "backgrounds")
-    found, _ = tables.ruled_tables(settled(tables.rule_groups(tables.rule_segments(paths, backgrounds, pages)), "rule-groups"), glyphs, pages)
-    return tables.line_box_tables(paths, backgrounds, found, glyphs)
+    return tables.line_box_tables(*_shapes(spark, sf_dir))
 
 
 # columns
