@@ -58,3 +58,18 @@ def test_page_tables_need_one_pass_over_pages(spark):
         df = table_queries.page_tables(spark, SF)
         assert dealt_again(df) == 0
         assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_line_box_tables_need_one_pass_over_pages(spark):
+    with no_broadcast(spark):
+        assert dealt_again(table_queries.line_box_tables(spark, SF)) == 0
+
+
+def test_what_meets_is_found_piece_by_piece(monkeypatch):
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 5, 60), rng.integers(0, 6, 80)
+    test = lambda i, j: (i + j) % 3 == 0
+    expected = sorted((i, j) for i in range(60) for j in range(80) if a[i] == b[j] and (i + j) % 3 == 0)
+    for most in (1, 7, 2_000_000):
+        monkeypatch.setattr(rules, "PAIRS", most)
+        assert sorted(zip(*(x.tolist() for x in rules.meet(a, b, test)))) == expected
