@@ -73,3 +73,16 @@ def test_what_meets_is_found_piece_by_piece(monkeypatch):
     for most in (1, 7, 2_000_000):
         monkeypatch.setattr(rules, "PAIRS", most)
         assert sorted(zip(*(x.tolist() for x in rules.meet(a, b, test)))) == expected
+
+
+def test_rule_groups_need_one_pass_over_pages(spark):
+    with no_broadcast(spark):
+        assert dealt_again(table_queries.rule_groups(spark, SF)) == 0
+
+
+def test_rules_in_a_long_chain_are_one_group():
+    n, order = 3000, np.random.default_rng(2).permutation(3000)
+    s = pd.DataFrame({"pg": 0, "seg": order, "b_x0": np.arange(n) * 10.0, "b_x1": np.arange(n) * 10.0 + 9, "b_y0": 0.0, "b_y1": 2.0}).sort_values("seg", ignore_index=True)
+    other = s.assign(pg=1, b_x0=s["b_x0"] * 9, b_x1=s["b_x0"] * 9 + 9)
+    got = rules.groups(pd.concat([s, other], ignore_index=True))
+    assert (got[got["pg"] == 0]["table_id"] == 0).all() and (got[got["pg"] == 1]["table_id"] == got[got["pg"] == 1]["seg"]).all()
