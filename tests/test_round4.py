@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from quire.operators import gutters, rules, spacing, vocabulary
-from quire.plans import region_queries, table_queries
+from quire.plans import queries, region_queries, table_queries
 from tests.test_round3 import no_broadcast
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +99,8 @@ def test_a_line_of_many_open_gaps_takes_time_by_its_length(spark):
     got = {r.line_no: (r.text, r.n_changed) for r in spacing.refined_spacing(df).collect()}
     assert time.time() - began < 20
     assert got == {0: (text.strip(), 0), 1: ("나가 가나 나가", 0), 2: (None, 0)}
+
+
+def test_cells_are_counted_where_their_document_is(spark):
+    with no_broadcast(spark):
+        assert dealt_again(queries.column_gutters(spark, SF)) == 0
