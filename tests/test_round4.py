@@ -5,8 +5,8 @@ import time
 import numpy as np
 import pandas as pd
 
-from quire.operators import gutters, rules, spacing, vocabulary
-from quire.plans import queries, region_queries, table_queries
+from quire.operators import gutters, pages, rules, spacing, vocabulary
+from quire.plans import page_queries, queries, region_queries, table_queries
 from tests.test_round3 import no_broadcast
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +104,14 @@ def test_a_line_of_many_open_gaps_takes_time_by_its_length(spark):
 def test_cells_are_counted_where_their_document_is(spark):
     with no_broadcast(spark):
         assert dealt_again(queries.column_gutters(spark, SF)) == 0
+
+
+def test_dot_leaders_look_at_all_lines_of_a_batch_at_once(spark):
+    glyph = lambda i, c, font="g", x=None: (i, c, 5.0 * i if x is None else x, 5.0 * i + 4 if x is None else x + 4, 10.0, font)
+    texts = {1: "a???", 2: "??1", 3: "??a", 4: "", 5: "???"}
+    rows = [(1, k, [glyph(i, c) for i, c in enumerate(t)]) for k, t in texts.items()]
+    rows += [(1, 6, [glyph(0, "?"), glyph(1, "?", "f"), glyph(2, "?", "f")]), (1, 7, [glyph(0, "?"), glyph(1, "?"), glyph(2, "?", x=40.0)]), (1, 8, [glyph(0, None), glyph(1, "?"), glyph(2, "?"), glyph(3, "1")]), (2, 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, line_no int, glyphs array<struct<ci:int,c:string,x0:double,x1:double,size:double,font:string>>")
+    got = pages.leader_runs(df, "?")
+    assert "lambdafunction" not in page_queries.dot_leaders(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.line_no, r.ci) for r in got.collect()) == [(1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (5, 0), (5, 1), (5, 2), (8, 1), (8, 2)]
